@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from .chat import OP5_SQL, op5_chat_formatting
+from .fingerprint import op9_document_fingerprints
+from .packing import op7_best_fit_packing
+from .pii import op4_personal_data
+from .quality import op10_quality_classifier
 from .secrets import op2_secret_scans
 
 QUERIES = {
     "op2_secret_scans": op2_secret_scans,
+    "op4_personal_data": op4_personal_data,
+    "op5_chat_formatting": op5_chat_formatting,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_document_fingerprints": op9_document_fingerprints,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 
 
@@ -14,4 +24,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op5_chat_formatting": OP5_SQL}
