@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
@@ -239,8 +240,8 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col=
             s = score_texts(model, batch.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype("int32"))], [*batch.schema.names, "score", "predicted"])
 
-    schema = docs.schema.add("score", "double").add("predicted", "integer")
-    return docs.mapInArrow(run, schema)
+    added = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
 
 
 def op10_quality_classifier(spark, sf_dir):
