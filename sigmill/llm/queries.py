@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 from .chat import OP5_SQL, op5_chat_formatting
+from .decontaminate import op6_benchmark_decontamination
 from .fingerprint import op9_document_fingerprints
+from .lm import op1_ppm_scoring
+from .near import op8_minhash_near_dedup
 from .packing import op7_best_fit_packing
 from .pii import op4_personal_data
 from .quality import op10_quality_classifier
 from .secrets import op2_secret_scans
+from .substrings import op3_substring_dedup
 
 QUERIES = {
+    "op1_ppm_scoring": op1_ppm_scoring,
     "op2_secret_scans": op2_secret_scans,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_personal_data": op4_personal_data,
     "op5_chat_formatting": op5_chat_formatting,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_quality_classifier": op10_quality_classifier,
 }
