@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 
 from .common import cut
 
-#: The cache of a worker: distinct space-delimited units and their ids.
-CACHE_UNITS = 300_000
+#: The cache of a worker: distinct space-delimited units and their ids, some 200 bytes each.
+CACHE_UNITS = 1_000_000
 RANK_BUCKETS = 64
 
 
@@ -33,8 +33,10 @@ class Encoder:
     """ids of whole texts, as little-endian 32-bit bytes, by a byte-level BPE file.
 
     The pre-tokenizer never joins what a single space between two other
-    characters parts, so each such unit (with its leading space) is encoded
-    once and remembered.
+    characters parts, so such a unit (with its leading space) is encoded once
+    and remembered. New units are encoded as one text and parted again at the
+    ids that begin with a space, of which each unit has one. Texts with other
+    white space beside a space are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -45,27 +47,49 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, i in vocabulary.items():
+            self.begins[i] = token.startswith("\u0120")
         self.known: dict[str, bytes] = {}
 
-    def units(self, text: str) -> list[str]:
-        import re
-
-        if re.search(r"\s\s|^\s|\s$", text):
-            parts = re.split(r"(?<=\S) (?=\S)", text)
-        else:
-            parts = text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]] if len(parts) > 1 else parts
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Encodes new units; those beside other white space can't be parted and stay unknown."""
+        inner, first = [], []
+        for u in new:
+            body = u[1:] if u[:1] == " " else u
+            if body and not body[0].isspace() and not body[-1].isspace():
+                (first if body is u else inner).append(u)
+        for u, ids in zip(first, self._ids(first), strict=True):
+            self.known[u] = ids.tobytes()
+        for at in range(0, len(inner), 500):
+            part = inner[at : at + 500]
+            ids = self._ids(["".join(part)])[0]
+            ends = np.append(np.flatnonzero(self.begins[ids])[1:], len(ids)).tolist()
+            raw, start = ids.tobytes(), 0
+            for u, end in zip(part, ends, strict=True):
+                self.known[u] = raw[4 * start : 4 * end]
+                start = end
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.units(t) for t in texts]
-        if len(self.known) > CACHE_UNITS:
+        split = []
+        for t in texts:
+            parts = t.split(" ")
+            split.append([parts[0], *[" " + p for p in parts[1:]]])
+        wanted = set().union(*split)
+        if len(self.known) + len(wanted) > CACHE_UNITS:
             self.known.clear()
-        new = list({u for us in split for u in us}.difference(self.known))
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[u] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, us)) for us in split]
+        self._learn(wanted.difference(self.known))
+        out = []
+        for t, us in zip(texts, split, strict=True):
+            try:
+                out.append(b"".join([self.known[u] for u in us]))
+            except KeyError:
+                out.append(self._ids([t])[0].tobytes())
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
