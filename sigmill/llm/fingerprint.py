@@ -114,21 +114,20 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     n = blocks_for(total_bytes(rows), per_bucket)
-    borders = np.unique(rows.approxQuantile("id", list(np.arange(1, n) / n), 0.2 / n)) if n > 1 else np.empty(0)
-    borders = borders.astype(np.int64)
+    places = rows.agg(F.percentile_approx("id", [i / n for i in range(n)], 5 * n)).first()[0] if n > 1 else None
+    places = places or []
+    # Every border is an id, and the least id is none, so no range is empty.
+    borders = np.unique(np.array(places[1:], np.int64))
+    borders = borders[borders > min(places, default=0)]
 
     @F.arrow_udf("int")
     def bucket(ids: pa.Array) -> pa.Array:
         return pa.array(np.searchsorted(borders, ids.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right").astype(np.int32))
 
     rows = rows.withColumn("bucket", F.coalesce(bucket("id"), F.lit(0)) if len(borders) else F.lit(0))
-    least = F.min(F.coalesce("id", F.lit(-(1 << 63))))
-    firsts = rows.groupBy("bucket").agg(least.alias("first"))
-    order = Window.orderBy("bucket")
-    firsts = firsts.select("bucket", "first", F.lag("bucket").over(order).alias("before"), F.max("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("end"))
-    heads = rows.select("bucket", "text", F.coalesce("id", F.lit(-(1 << 63))).alias("first")).join(firsts, ["bucket", "first"])
-    heads = heads.groupBy("bucket", "before", "end").agg(F.min("text").alias("text"))
-    guard = heads.select(F.lit(None).cast("long").alias("id"), "text", F.coalesce("before", "end").alias("bucket"), F.lit(1).alias("guard"))
+    heads = rows.groupBy("bucket").agg(F.min(F.struct("id", "text")).alias("m"))
+    before = F.when(F.col("bucket") == 0, len(borders)).otherwise(F.col("bucket") - 1)
+    guard = heads.select(F.lit(None).cast("long").alias("id"), "m.text", before.alias("bucket"), F.lit(1).alias("guard"))
     both = rows.withColumn("guard", F.lit(0)).unionByName(guard)
     w = Window.partitionBy("bucket").orderBy("guard", F.col("id").asc_nulls_first(), "text")
     return both.withColumn("next_text", F.lead("text").over(w)).filter(F.col("guard") == 0).select("id", "text", "next_text")
