@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-MODULES = ()
+from . import q_logs, q_signals
+
+MODULES = (q_logs, q_signals)
 
 
 def queries():
