@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_logs, q_signals
+from . import q_logs, q_rules, q_signals
 
-MODULES = (q_logs, q_signals)
+MODULES = (q_logs, q_signals, q_rules)
 
 
 def queries():
