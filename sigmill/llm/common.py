@@ -89,13 +89,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+FACTOR = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def powers(n: int) -> list[np.ndarray]:
+    """The first n powers of an odd factor and of its inverse, modulo 2^64."""
+    if n > len(_powers[0]):
+        for k, base in enumerate((FACTOR, pow(FACTOR, -1, 1 << 64))):
+            x = np.full(2 * n, base, np.uint64)
+            x[0] = 1
+            _powers[k] = np.multiply.accumulate(x)
+    return _powers
+
+
 def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
-    """A hash of every run of n consecutive codes; empty if there are fewer."""
-    if len(codes) < n:
+    """A hash of every run of n consecutive codes; empty if there are fewer.
+
+    Differences of one running sum, so the cost doesn't depend on n.
+    """
+    m = len(codes) - n + 1
+    if m <= 0 or n == 0:
         return np.empty(0, np.uint64)
+    up, down = powers(len(codes))
     with np.errstate(over="ignore"):
-        x = np.zeros(len(codes) - n + 1, np.uint64)
-        for i in range(n):
-            x = x * np.uint64(0x100000001B3) + codes[i : len(codes) - n + 1 + i]
-            x ^= x >> np.uint64(23)
+        total = np.cumsum(codes * up[: len(codes)])
+        x = total[n - 1 :].copy()
+        x[1:] -= total[: m - 1]
+        x *= down[:m]
     return mix(x)

@@ -27,7 +27,9 @@ LONGS = HASHES * BITS // 64
 ODD = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
 ADD = mix(np.arange(1001, HASHES + 1001, dtype=np.uint64))
 #: Buckets up to this size compare all pairs; larger ones go by leaders, and then across components.
-SMALL, LEADERS = 16, 4
+SMALL, LEADERS = 16, 2
+#: Texts on either side of one cell of the comparison across components.
+CELL = 500
 LANES = 0x5555555555555555
 
 
@@ -142,15 +144,60 @@ def links_between(classes: DataFrame, docs: DataFrame, n: int, percent: int) ->
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(large.select("id")).distinct()
     texts = cut(docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     links = cut(confirm(pairs, texts, n, percent))
-    # Leaders may split a large bucket: what is left apart is compared across the parts.
+    # Leaders may split a large bucket: what is left apart is compared with all of the bucket.
     found = components(links)
-    parts = cut(large.select("band", "id", "sig").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
+    parts = cut(large.select("band", "id").join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
     main = parts.groupBy("band", "component").agg(F.count("*").alias("n")).groupBy("band").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
-    apart = parts.join(main.filter("parts > 1"), "band")
-    y = apart.select("band", F.col("id").alias("y"), F.col("sig").alias("sig_y"), F.col("component").alias("component_y"))
-    x = apart.filter("component != main").select("band", F.col("id").alias("x"), "sig", "component")
-    across = x.join(y, (x["band"] == y["band"]) & (F.col("component") != F.col("component_y")) & meets).select("x", "y")
-    return links.union(confirm(cut(ordered(across)), texts, n, percent))
+    apart = cut(parts.join(main.filter("parts > 1").select("band", "main"), "band").select("main", "id", "component").distinct())
+    return links.union(across(apart, texts, n, percent))
+
+
+def cells(ids: DataFrame, here: str, there: str, sizes: DataFrame) -> DataFrame:
+    """Each id in the cells of its part: its own row or column of the grid of its main component, all across it."""
+    own = F.pmod(F.xxhash64("id"), F.ceil(F.col(f"n_{here}") / CELL)).cast("int").alias(here)
+    all_across = F.explode(F.sequence(F.lit(0), F.ceil(F.col(f"n_{there}") / CELL).cast("int") - 1)).alias(there)
+    return ids.join(sizes, "main").select("main", "id", "component", own, all_across)
+
+
+def across(apart: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) of ids outside their bucket's main component (main, id, component) with any id met in such buckets.
+
+    Both sides are dealt into cells of about CELL x CELL texts; a cell counts
+    shared shingles by an index of one side, and gives each text one link at
+    most per component of the other.
+    """
+    outside = apart.filter("component != main")
+    sizes = apart.groupBy("main").agg(F.count("*").alias("n_y"), F.count(F.when(F.col("component") != F.col("main"), 1)).alias("n_x"))
+    y = cells(apart, "y", "x", sizes).join(texts, "id").select("main", "x", "y", "id", "component", "text")
+    x = cells(outside, "x", "y", sizes).join(texts, "id").select("main", "x", "y", "id", "component", "text")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+        out_a, out_b = [], []
+        if left.num_rows and right.num_rows:
+            codes = WordCodes()
+            ids, part = left.column("id").to_numpy(), left.column("component").to_numpy()
+            sets = [shingles(t, n, codes) for t in left.column("text").to_pylist()]
+            size = np.array([len(s) for s in sets])
+            values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+            order = np.argsort(values, kind="stable")
+            values, owner = values[order], owner[order]
+            for i, c, t in zip(right.column("id").to_pylist(), right.column("component").to_pylist(), right.column("text").to_pylist(), strict=True):
+                s = shingles(t, n, codes)
+                lo = np.searchsorted(values, s, "left")
+                count = np.searchsorted(values, s, "right") - lo
+                at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+                both = np.bincount(owner[at], minlength=len(sets))
+                hit = np.flatnonzero((100 * both >= percent * (len(s) + size - both)) & (part != c))
+                for k in np.unique(part[hit], return_index=True)[1]:
+                    j = int(ids[hit[k]])
+                    out_a.append(min(i, j))
+                    out_b.append(max(i, j))
+        return pa.table([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], schema=schema)
+
+    keys = ["main", "x", "y"]
+    x = x.select(*[F.col(c).alias(c) for c in x.columns])  # names of its own: both sides come from one table
+    return y.groupBy(*keys).cogroup(x.groupBy(*keys)).applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80) -> DataFrame:
