@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCodes, block_of, blocks_for, gram_hashes, mix, total_bytes, words_of
+from .common import WordCodes, block_of, blocks_for, gram_hashes, mix, powers, total_bytes, words_of
 
 RUN = 6
 LEVELS = (1, 2, 4)
@@ -78,12 +78,29 @@ def prefix_histogram(docs: DataFrame, slots: int, window: int) -> dict[int, np.n
 
     def run(batches):
         codes, total = WordCodes(), np.zeros((len(LEVELS), slots), np.int64)
+
+        def add(docs: list[np.ndarray]):
+            # One array of many documents; a prefix that would run into the next one is no prefix.
+            c = np.concatenate(docs)
+            size = np.array([len(x) for x in docs])
+            left = np.repeat(np.cumsum(size), size) - np.arange(len(c))
+            for k, n in enumerate(LEVELS):
+                h = gram_hashes(c, n)
+                h = h[left[: len(h)] >= n] & np.uint64(slots - 1)
+                total[k] += np.bincount(h.astype(np.int64), minlength=slots)
+
         for batch in batches:
+            held, n = [], 0
             for t in batch.column("text").to_pylist():
-                c = codes.of(words_of(t))
-                for k, n in enumerate(LEVELS):
-                    if len(c) >= window:
-                        total[k] += np.bincount((gram_hashes(c, n) % np.uint64(slots)).astype(np.int64), minlength=slots)
+                words = words_of(t)
+                if len(words) >= window:
+                    held.append(codes.of(words))
+                    n += len(words)
+                if n > 100_000:
+                    add(held)
+                    held, n = [], 0
+            if held:
+                add(held)
         k, slot = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(slot.astype(np.int32)), pa.array(total[k, slot])], ["level", "slot", "n"])
 
@@ -154,7 +171,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     out[c].append(x)
         return _table(out, answer)
 
-    leaf = pa.schema([("grp", pa.int32()), ("block", pa.int32()), ("window", pa.binary()), ("codes", pa.binary()), ("least", pa.binary()), ("more", pa.binary())])
+    leaf = pa.schema([("grp", pa.int32()), ("block", pa.int32()), ("codes", pa.binary()), ("least", pa.binary()), ("more", pa.binary())])
 
     def leaves(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {c: [] for c in leaf.names}
@@ -168,13 +185,14 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 at = np.flatnonzero(among(anchors(c, window), repeated) >= 0)
                 if len(at):
                     short = c.astype(U32)
-                    group, done = mix(gram_hashes(c, window)[at]), np.zeros(len(at), bool)
+                    hashed = gram_hashes(short.astype(U64), window)[at]
+                    group, done = mix(hashed), np.zeros(len(at), bool)
                     for n in LEVELS:
                         h = gram_hashes(c, n)[at]
-                        few = ~done & (histogram[n][(h % np.uint64(slots)).astype(np.int64)] <= group_size)
+                        few = ~done & (histogram[n][(h & np.uint64(slots - 1)).astype(np.int64)] <= group_size)
                         group[few] = mix(h[few] + np.uint64(n))
                         done |= few
-                    parts.append((gram_hashes(c, window)[at], group, short[at[:, None] + np.arange(window)], np.full(len(at), i, I64)))
+                    parts.append((hashed, group, short[at[:, None] + np.arange(window)], np.full(len(at), i, I64)))
         if parts:
             hashed, group, words, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((ids, hashed))
@@ -186,19 +204,20 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             block = left.column("block")[0].as_py()
             for g, at in _split((group[start] >> np.uint64(33)).astype(np.int64) % blocks):
                 rows_ = start[at]
-                values = (g, block, hashed[rows_].tobytes(), np.ascontiguousarray(words[rows_]).tobytes(), least[at].tobytes(), more[at].tobytes())
+                values = (g, block, np.ascontiguousarray(words[rows_]).tobytes(), least[at].tobytes(), more[at].tobytes())
                 for c, x in zip(leaf.names, values, strict=True):
                     out[c].append(x)
         return _table(out, leaf)
 
     def deep_nodes(group: pa.Table) -> pa.Table:
         """The subtree of one group: its leaves in order, the depths between them, the nodes deep enough."""
-        whole = {c: np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("window", U64), ("codes", U32), ("least", I64), ("more", np.uint8))}
-        lengths = [len(x) // 8 for x in group.column("window").to_pylist()]
+        whole = {c: np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in (("codes", U32), ("least", I64), ("more", np.uint8))}
+        lengths = [len(x) for x in group.column("more").to_pylist()]
         block = np.repeat(np.array(group.column("block").to_pylist()), lengths)
         words = whole["codes"].reshape(-1, window)
         order = np.lexsort(words.T[::-1])
-        words, least, more, block, hashed = words[order], whole["least"][order], whole["more"][order], block[order], whole["window"][order]
+        words, least, more, block = words[order], whole["least"][order], whole["more"][order], block[order]
+        hashed = mix((words.astype(U64) * powers(window)[0][:window]).sum(1, dtype=U64))
         depth = np.cumprod(words[1:] == words[:-1], axis=1).sum(1)
         start = np.flatnonzero(np.concatenate([[True], depth < window]))
         count = np.diff(np.append(start, len(words)))
@@ -228,7 +247,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 if i in skip:
                     kept = []
                 elif len(hashed):
-                    at = among(gram_hashes(codes.of(words), window), hashed)
+                    at = among(gram_hashes(codes.of(words) & np.uint64(0xFFFFFFFF), window), hashed)
                     hit = (at >= 0) & (first[at] < i)
                     if hit.any():
                         cover = np.zeros(n + 1, np.int64)
@@ -246,7 +265,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     asked = meet(copies, ask_anchors, "bucket int, block int, once binary, more binary")
     found = asked.groupBy("bucket").applyInArrow(repeated_anchors, ANSWER).union(copies)
-    trees = meet(found, leaves, "grp int, block int, window binary, codes binary, least binary, more binary")
+    trees = meet(found, leaves, "grp int, block int, codes binary, least binary, more binary")
     nodes = trees.groupBy("grp").applyInArrow(deep_nodes, ANSWER).union(copies)
     return meet(nodes, remove, "id long, n_words long, n_removed long, kept_sha256 string, kept string").withColumnRenamed("id", id_col)
 
