@@ -25,7 +25,7 @@ Q = 3
 #: A fixed map of the items' q-grams: half a megabyte however large the benchmark is.
 MAP_BITS = 22
 WALKS, SAMPLED = 24, 3
-RATIO = 1.12
+RATIO = 1.05
 
 
 def size_class(n: int) -> int:
@@ -72,38 +72,59 @@ def edit_distance_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
-def windows_of(codes: np.ndarray, grams: np.ndarray, bitmap: np.ndarray, sizes: list[int], share: float):
-    """(start, size) of the windows worth embedding: locally most shared q-grams, and enough of them."""
-    if not len(grams):
-        return
-    place = grams & np.uint64((1 << MAP_BITS) - 1)
-    seeds = bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1
-    if not seeds.any():
+def windows_of(grams: np.ndarray, bitmap: np.ndarray, sizes: list[tuple[int, int]]):
+    """(start, size) of the windows worth embedding: locally most shared q-grams, and enough of them.
+
+    sizes: (size, fewest shared q-grams) of each class of items.
+    """
+    hits = np.flatnonzero(is_set(bitmap, grams))
+    fewest, widest = min(least for _, least in sizes), max(size for size, _ in sizes) - Q + 1
+    if not dense(hits, fewest, widest):
         return
-    total = np.concatenate([[0], np.cumsum(seeds)])
-    for size in sizes:
-        least = max(1, int((size / RATIO - Q + 1) - (Q + 1) * allowed(size, share)) - 1)
+    for size, least in sizes:
         span = size - Q + 1
-        reach = np.arange(-(span - 1), len(seeds))
-        count = total[np.clip(reach + span, 0, len(seeds))] - total[np.clip(reach, 0, len(seeds))]
-        good = np.flatnonzero(count >= least)
+        own = hits[is_set(bitmap, of_class(grams[hits], size))]
+        if not dense(own, least, span):
+            continue
+        reach = np.arange(own[0] - span + 1, own[-1] + 1)
+        count = np.searchsorted(own, reach + span) - np.searchsorted(own, reach)
         step = max(1, size // 4)
         last = None
-        for k in good:
+        for k in np.flatnonzero(count >= least):
             lo, hi = max(0, k - step), k + step + 1
             if count[k] == count[lo:hi].max() and (last is None or k - last > step or count[k] > count[last]):
                 last = k
                 yield int(reach[k]), size
 
 
+def dense(places: np.ndarray, least: int, span: int) -> bool:
+    """Whether any `span` neighbouring places hold `least` of these."""
+    return len(places) >= least and bool((places[least - 1 :] - places[: len(places) - least + 1] < span).any())
+
+
+def of_class(grams: np.ndarray, size: int) -> np.ndarray:
+    """The q-grams as those of items of one size class."""
+    return mix(grams ^ np.uint64(size << 32))
+
+
+def is_set(bitmap: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    place = grams & np.uint64((1 << MAP_BITS) - 1)
+    return (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+
+
 def gram_map(items: DataFrame) -> np.ndarray:
-    """Bits of the items' q-grams. At most 2^MAP_BITS numbers reach the driver."""
+    """Bits of the items' q-grams, alone and with their size class. At most 2^MAP_BITS numbers reach the driver."""
 
     def run(batches):
         codes = WordCodes()
         for batch in batches:
-            found = [gram_hashes(codes.of(lower_words(t)), Q) & np.uint64((1 << MAP_BITS) - 1) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)).astype(np.int32))], ["bit"])
+            found = [np.empty(0, np.uint64)]
+            for t in batch.column("text").to_pylist():
+                c = codes.of(lower_words(t))
+                g = gram_hashes(c, Q)
+                found += [g, of_class(g, size_class(len(c)))]
+            bits = np.unique(np.concatenate(found) & np.uint64((1 << MAP_BITS) - 1))
+            yield pa.RecordBatch.from_arrays([pa.array(bits.astype(np.int32))], ["bit"])
 
     bits = np.zeros(1 << MAP_BITS, np.uint8)
     for part in items.select("text").mapInArrow(run, "bit int").distinct().toArrow().column("bit").chunks:
@@ -118,7 +139,7 @@ def contaminated(
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
-    share: float = 0.2,
+    share: float = 0.15,
 ) -> DataFrame:
     """(id, item, distance, item_words, start_word): items that a text holds within share x words edits.
 
@@ -129,8 +150,7 @@ def contaminated(
     either side give no rows; other columns are not read.
 
     A pair at the largest allowed distance is found by 24 walks of 3 sampled
-    places with a chance of about 0.98, nearer ones with more; exact copies
-    always.
+    places with a chance of about 0.98, nearer ones with more.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(item_text_col, F.lit("")).alias("text"))
     bitmap = gram_map(items)
@@ -150,7 +170,10 @@ def contaminated(
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.int32())], ["item", "item_codes", "keys", "size"])
 
     known = cut(items.mapInArrow(item_rows, "item long, item_codes binary, keys array<long>, size int"))
-    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())
+    # An edit destroys at most Q q-grams and shifts at most one out of the window.
+    words = F.octet_length("item_codes") / 8
+    spans = known.groupBy("size").agg(F.min(words).alias("lo"), F.max(words).alias("hi")).collect()
+    sizes = sorted((r["size"], max(1, int(r["lo"]) - Q + 1 - (Q + 1) * allowed(int(r["hi"]), share))) for r in spans)
 
     def doc_windows(batches):
         codes = WordCodes()
@@ -158,7 +181,7 @@ def contaminated(
             found: dict[int, list] = {}
             for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 c = codes.of(lower_words(t))
-                for start, size in windows_of(c, gram_hashes(c, Q), bitmap, sizes, share):
+                for start, size in windows_of(gram_hashes(c, Q), bitmap, sizes) if sizes else ():
                     found.setdefault(size, []).append((i, start, c))
             ids, starts, texts, keys = [], [], [], []
             for size, rows in found.items():
