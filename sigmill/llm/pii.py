@@ -53,10 +53,9 @@ def matches(text: Column, kind: str) -> Column:
     """array of (i, gap, value, before): each match with the length and end of what precedes it."""
     found = F.regexp_extract_all(text, F.lit(REGEX[kind]), F.lit(0))
     gaps = F.split(text, REGEX[kind], -1)
-    each = F.transform(
-        found,
-        lambda v, i: F.struct(i.alias("i"), F.char_length(F.get(gaps, i)).cast("long").alias("gap"), v.alias("value"), F.right(F.get(gaps, i), F.lit(80)).alias("before")),
-    )
+    # Zipped first: inside the function of `transform` the split would be done again for every match.
+    both = F.slice(F.arrays_zip(gaps, found), 1, F.size(found))
+    each = F.transform(both, lambda x, i: F.struct(i.alias("i"), F.char_length(x["0"]).cast("long").alias("gap"), x["1"].alias("value"), F.right(x["0"], F.lit(80)).alias("before")))
     none = F.array().cast("array<struct<i:int,gap:bigint,value:string,before:string>>")
     return F.when(NEEDS[kind](text), each).otherwise(none)
 
