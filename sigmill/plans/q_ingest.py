@@ -237,7 +237,7 @@ def _(spark, d):
 
 @q("str3_trace_status", f"SELECT trace_id, count(*) AS spans, array_to_string(list_sort(list(DISTINCT service)), ',') AS services, epoch_us(max(ts))//1000 - epoch_us(min(ts))//1000 AS duration_ms, bool_or({ERR}) AS has_errors FROM logs GROUP BY 1")
 def _(spark, d):
-    out = drained(streams.stream_trace_status(log_stream(spark, d)), "update")
+    out = drained(streams.stream_trace_status(log_stream(spark, d), None), "update")
     last = out.groupBy("trace_id").agg(F.max_by(F.struct("spans", "services", "duration_ms", "has_errors"), F.col("spans")).alias("t"))
     return last.select("trace_id", "t.*")
 
@@ -249,7 +249,7 @@ def _(spark, d):
 
 @q("str5_heartbeat", "SELECT service, epoch_us(max(ts))//1000 AS last_ms FROM logs GROUP BY 1")
 def _(spark, d):
-    return drained(streams.stream_heartbeat(log_stream(spark, d)), "update").groupBy("service").agg(F.max("last_ms").alias("last_ms"))
+    return drained(streams.stream_heartbeat(log_stream(spark, d), None), "update").groupBy("service").agg(F.max("last_ms").alias("last_ms"))
 
 
 @q("str6_minute_rollup", "SELECT date_trunc('minute', ts) AS minute, service, env, level, count(*) AS n FROM logs GROUP BY ALL")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import q_logs, q_rules, q_signals
+from . import q_ingest, q_logs, q_rules, q_signals
 
-MODULES = (q_logs, q_signals, q_rules)
+MODULES = (q_logs, q_signals, q_rules, q_ingest)
 
 
 def queries():

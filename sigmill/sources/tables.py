@@ -12,14 +12,14 @@ def arrival_hour(c: str = "received_at"):
     return F.date_format(F.date_trunc("hour", c), "yyyy-MM-dd-HH")
 
 
-def write_logs(df: DataFrame, path: str, mode: str = "append") -> None:
+def write_logs(df: DataFrame, path: str, mode: str = "append", files_per_hour: int = 1) -> None:
     """SRC-5: append to the table at `path`, one folder an arrival hour.
 
-    Rows are dealt by hour and a salt first, so an hour is a few files of one
-    size and a busy hour is not one task's work.
+    Rows are dealt by hour and, for busy tables, over several files an hour, so
+    an hour is neither many small files nor one task's work.
     """
     out = df.withColumn(HOUR, arrival_hour())
-    out.repartition(HOUR, F.pmod(F.xxhash64("id"), F.lit(8))).write.mode(mode).partitionBy(HOUR).parquet(path)
+    out.repartition(HOUR, F.pmod(F.xxhash64("id"), F.lit(files_per_hour))).write.mode(mode).partitionBy(HOUR).parquet(path)
 
 
 def write_rollup(df: DataFrame, path: str, mode: str = "append") -> None:

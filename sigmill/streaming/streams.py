@@ -55,32 +55,42 @@ TRACE = "trace_id string, spans long, services string, duration_ms long, has_err
 TRACE_STATE = "spans long, services string, first long, last long, errors boolean"
 
 
-def trace_update(key, batches, state: GroupState):
+def trace_update(silence_ms: int | None):
     """One trace's state: emitted on change, and as timed out after silence."""
-    row = state.get if state.exists else (0, "", None, None, False)
-    spans, services, first, last, errors = row
-    if state.hasTimedOut:
-        status = "timeout"
-        state.remove()
-    else:
-        status, names = "partial", set(filter(None, services.split(",")))
-        for df in batches:
-            at = df["ms"]
-            spans += len(df)
-            names |= set(df["service"].dropna())
-            first = int(at.min()) if first is None else min(first, int(at.min()))
-            last = int(at.max()) if last is None else max(last, int(at.max()))
-            errors = bool(errors or df["level"].isin(["error", "fatal"]).any())
-        services = ",".join(sorted(names))
-        state.update((spans, services, first, last, errors))
-        state.setTimeoutDuration(30_000)
-    yield pd.DataFrame([{"trace_id": key[0], "spans": spans, "services": services, "duration_ms": (last or 0) - (first or 0), "has_errors": errors, "status": status}])
-
-
-def stream_trace_status(stream: DataFrame, timeout: str = GroupStateTimeout.ProcessingTimeTimeout) -> DataFrame:
+
+    def update(key, batches, state: GroupState):
+        spans, services, first, last, errors = state.get if state.exists else (0, "", None, None, False)
+        if state.hasTimedOut:
+            status = "timeout"
+            state.remove()
+        else:
+            status, names = "partial", set(filter(None, services.split(",")))
+            for df in batches:
+                at = df["ms"]
+                spans += len(df)
+                names |= set(df["service"].dropna())
+                first = int(at.min()) if first is None else min(first, int(at.min()))
+                last = int(at.max()) if last is None else max(last, int(at.max()))
+                errors = bool(errors or df["level"].isin(["error", "fatal"]).any())
+            services = ",".join(sorted(names))
+            state.update((spans, services, first, last, errors))
+            if silence_ms:
+                state.setTimeoutDuration(silence_ms)
+        yield pd.DataFrame([{"trace_id": key[0], "spans": spans, "services": services, "duration_ms": (last or 0) - (first or 0), "has_errors": errors, "status": status}])
+
+    return update
+
+
+def timer(silence_ms: int | None) -> str:
+    """A bounded run (availableNow) can't wait for timers: without a silence there are none."""
+    return GroupStateTimeout.ProcessingTimeTimeout if silence_ms else GroupStateTimeout.NoTimeout
+
+
+def stream_trace_status(stream: DataFrame, silence_s: int | None = 30) -> DataFrame:
     """STR-3: TRC-6 kept per trace; a trace that is silent for 30 s comes out once more, timed out."""
+    ms = 1000 * silence_s if silence_s else None
     rows = stream.filter(F.coalesce("trace_id", F.lit("")) != "").select("trace_id", "service", "level", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    return rows.groupBy("trace_id").applyInPandasWithState(trace_update, TRACE, TRACE_STATE, "update", timeout)
+    return rows.groupBy("trace_id").applyInPandasWithState(trace_update(ms), TRACE, TRACE_STATE, "update", timer(ms))
 
 
 def live_tail(stream: DataFrame, **params) -> DataFrame:
@@ -88,7 +98,7 @@ def live_tail(stream: DataFrame, **params) -> DataFrame:
     return filter_logs(stream, **params)
 
 
-def heartbeat_update(silence_ms: int):
+def heartbeat_update(silence_ms: int | None):
     def update(key, batches, state: GroupState):
         if state.hasTimedOut:
             last = state.get[0]
@@ -99,16 +109,18 @@ def heartbeat_update(silence_ms: int):
         if state.exists:
             last = max(last, state.get[0])
         state.update((last,))
-        state.setTimeoutDuration(silence_ms)
+        if silence_ms:
+            state.setTimeoutDuration(silence_ms)
         yield pd.DataFrame([{"service": key[0], "last_ms": last, "silent": False}])
 
     return update
 
 
-def stream_heartbeat(stream: DataFrame, silence_s: int = 900) -> DataFrame:
+def stream_heartbeat(stream: DataFrame, silence_s: int | None = 900) -> DataFrame:
     """STR-5: the last row of each service, and once more when it has been silent for the threshold."""
+    ms = 1000 * silence_s if silence_s else None
     rows = stream.select("service", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    return rows.groupBy("service").applyInPandasWithState(heartbeat_update(1000 * silence_s), "service string, last_ms long, silent boolean", "last long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("service").applyInPandasWithState(heartbeat_update(ms), "service string, last_ms long, silent boolean", "last long", "update", timer(ms))
 
 
 def stream_first_seen_deploys(stream: DataFrame) -> DataFrame:
