@@ -8,8 +8,13 @@ from pyspark.sql.window import Window
 
 from .predicates import is_error
 
-EACH = Window.partitionBy("trace_id")
-INORDER = Window.partitionBy("trace_id").orderBy("ts", "id")
+
+def each():
+    return Window.partitionBy("trace_id")
+
+
+def in_order():
+    return each().orderBy("ts", "id")
 
 
 def ms_between(a, b):
@@ -23,7 +28,7 @@ def of_traces(logs: DataFrame) -> DataFrame:
 def trace_timeline(logs: DataFrame, trace_id: str | None = None) -> DataFrame:
     """TRC-1: rows of one trace (or all) oldest first, elapsed ms from the first, and the whole trace's span."""
     rows = of_traces(logs) if trace_id is None else logs.filter(F.col("trace_id") == trace_id)
-    first, last = F.min("ts").over(EACH), F.max("ts").over(EACH)
+    first, last = F.min("ts").over(each()), F.max("ts").over(each())
     return rows.select(
         "trace_id",
         "id",
@@ -31,8 +36,8 @@ def trace_timeline(logs: DataFrame, trace_id: str | None = None) -> DataFrame:
         "level",
         ms_between(first, F.col("ts")).alias("elapsed_ms"),
         ms_between(first, last).alias("total_ms"),
-        F.max(is_error()).over(EACH).alias("has_errors"),
-        F.size(F.collect_set("service").over(EACH)).cast("long").alias("n_services"),
+        F.max(is_error()).over(each()).alias("has_errors"),
+        F.size(F.collect_set("service").over(each())).cast("long").alias("n_services"),
     )
 
 
@@ -43,7 +48,7 @@ def trace_service_summary(logs: DataFrame) -> DataFrame:
 
 def trace_gaps(logs: DataFrame, least_ms: int = 500) -> DataFrame:
     """TRC-3: neighbouring rows further apart than `least_ms` that change service."""
-    rows = of_traces(logs).select("trace_id", "id", "ts", "service", F.lag("ts").over(INORDER).alias("before"), F.lag("service").over(INORDER).alias("from_service"), F.lag("id").over(INORDER).alias("from_id"))
+    rows = of_traces(logs).select("trace_id", "id", "ts", "service", F.lag("ts").over(in_order()).alias("before"), F.lag("service").over(in_order()).alias("from_service"), F.lag("id").over(in_order()).alias("from_id"))
     gap = ms_between(F.col("before"), F.col("ts"))
     return rows.filter((gap > least_ms) & (F.col("service") != F.col("from_service"))).select("trace_id", "from_id", "id", "from_service", "service", gap.alias("gap_ms"))
 
