@@ -21,9 +21,17 @@ from sigmill.llm.secrets import redact
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """`docs` but for the rows of these ids; rows with a null id stay."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+#: Names a row by id and text in each stage, so that null ids and ids of several texts are told apart; 64 bits, which
+#: two different rows among 100 million share with a chance of 1 in 3,000.
+KEY = "__key"
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    return keyed.join(keys.select(KEY).distinct(), KEY, "left_anti").drop(KEY)
 
 
 def quality(spark, docs, sf_dir):
@@ -32,13 +40,24 @@ def quality(spark, docs, sf_dir):
 
 
 def near_dedup(spark, docs, sf_dir):
-    """Of each group of texts linked at 80 % of their five-word shingles the one of least id stays."""
-    return _without(docs, near_duplicates(docs, n_words=5, percent=80).filter("not kept"))
+    """Of each group of texts linked at 80 % of their five-word shingles one row stays: of least id, null ids last.
+
+    Rows of one id are linked by their texts alone; of repeated rows one stays. Rows without words all stay.
+    """
+    keyed = _keyed(docs)
+    found = near_duplicates(keyed, KEY, n_words=5, percent=80).filter("n_shingles > 0").groupBy(KEY).agg(F.first("component_id").alias("component"), F.count("*").alias("n"))
+    found = cut(found.join(keyed.select(KEY, "doc_id").distinct(), KEY))
+    best = cut(found.groupBy("component").agg(F.min(F.struct(F.isnull("doc_id").alias("nameless"), "doc_id", KEY)).alias("m")).select(f"m.{KEY}"))
+    gone = found.join(best, KEY, "left_anti").select(KEY)
+    again = cut(found.filter("n > 1").join(best, KEY, "left_semi").select(KEY))
+    once = keyed.join(again, KEY, "left_semi").dropDuplicates([KEY]).drop(KEY)
+    return _without(keyed, gone.union(again)).unionByName(once).select(docs.columns)
 
 
 def decontaminate(spark, docs, sf_dir):
     """Documents that hold a benchmark item within a fifth of its words in edits go."""
-    return _without(docs, contaminated(docs, table(spark, sf_dir, "benchmark")))
+    keyed = _keyed(docs)
+    return _without(keyed, contaminated(keyed, table(spark, sf_dir, "benchmark"), KEY)).select(docs.columns)
 
 
 def secrets(spark, docs, sf_dir):

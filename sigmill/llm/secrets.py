@@ -145,12 +145,15 @@ def _redact_batches(batches):
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **scan_args) -> DataFrame:
     """`docs` with each secret that is not a widely copied example replaced by [SECRET].
 
-    Rows meet their spans by id; ids must be unique for that, as in documents.
-    Rows with a null id, a null text or no secret stay as they are.
+    Rows meet their spans by a 64-bit hash of id and text, which alone decide
+    them: repeated rows, ids of several texts and null ids are redacted like
+    others, one row for one. Rows with a null text or no secret stay as they are.
     """
-    spans = ownership_scan(docs, id_col, text_col, **scan_args)
+    key = F.xxhash64(id_col, text_col)
+    spans = ownership_scan(docs.withColumn("__key", key), "__key", text_col, **scan_args)
     cuts = F.filter("spans", lambda s: s["verdict"] != "copied")
-    spans = spans.select(F.col(id_col).alias("__id"), F.transform(cuts, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("cuts")).filter(F.size("cuts") > 0)
-    joined = docs.join(spans, docs[id_col] == spans["__id"], "left").drop("__id").withColumnRenamed(text_col, "text")
+    spans = spans.select("__key", F.transform(cuts, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("cuts")).filter(F.size("cuts") > 0)
+    spans = spans.groupBy("__key").agg(F.first("cuts").alias("cuts"))
+    joined = docs.withColumn("__key", key).join(spans, "__key", "left").drop("__key").withColumnRenamed(text_col, "text")
     schema = joined.drop("cuts").schema
     return joined.mapInArrow(_redact_batches, schema).withColumnRenamed("text", text_col).select(docs.columns)
