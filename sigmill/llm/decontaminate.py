@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 from .common import WordCodes, cut, gram_hashes, lower_words, mix
 
 Q = 3
-#: A fixed map of the items' q-grams: half a megabyte however large the benchmark is.
-MAP_BITS = 22
+#: The map of the items' q-grams has 2^this bits at least and at most: half a megabyte to eight. A full map lets more
+#: windows through and loses none.
+MAP_BITS = 22, 26
+#: Windows embedded at once.
+AT_ONCE = 4096
 WALKS, SAMPLED = 24, 3
 RATIO = 1.05
 
@@ -73,7 +76,7 @@ def edit_distance_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 def windows_of(grams: np.ndarray, bitmap: np.ndarray, sizes: list[tuple[int, int]]):
-    """(start, size) of the windows worth embedding: locally most shared q-grams, and enough of them.
+    """(starts, size) of the windows worth embedding: all that share enough q-grams with items of their size.
 
     sizes: (size, fewest shared q-grams) of each class of items.
     """
@@ -86,15 +89,9 @@ def windows_of(grams: np.ndarray, bitmap: np.ndarray, sizes: list[tuple[int, int
         own = hits[is_set(bitmap, of_class(grams[hits], size))]
         if not dense(own, least, span):
             continue
-        reach = np.arange(own[0] - span + 1, own[-1] + 1)
+        reach = np.arange(max(0, own[0] - span + 1), own[-1] + 1)
         count = np.searchsorted(own, reach + span) - np.searchsorted(own, reach)
-        step = max(1, size // 4)
-        last = None
-        for k in np.flatnonzero(count >= least):
-            lo, hi = max(0, k - step), k + step + 1
-            if count[k] == count[lo:hi].max() and (last is None or k - last > step or count[k] > count[last]):
-                last = k
-                yield int(reach[k]), size
+        yield reach[count >= least], size
 
 
 def dense(places: np.ndarray, least: int, span: int) -> bool:
@@ -108,12 +105,17 @@ def of_class(grams: np.ndarray, size: int) -> np.ndarray:
 
 
 def is_set(bitmap: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    place = grams & np.uint64((1 << MAP_BITS) - 1)
+    place = grams & np.uint64(8 * len(bitmap) - 1)
     return (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
 def gram_map(items: DataFrame) -> np.ndarray:
-    """Bits of the items' q-grams, alone and with their size class. At most 2^MAP_BITS numbers reach the driver."""
+    """Bits of the items' q-grams, alone and with their size class, a sixteenth of all at most while the map can grow.
+
+    At most 2^26 numbers reach the driver.
+    """
+    words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
+    n_bits = min(max((32 * words).bit_length(), MAP_BITS[0]), MAP_BITS[1])
 
     def run(batches):
         codes = WordCodes()
@@ -123,10 +125,10 @@ def gram_map(items: DataFrame) -> np.ndarray:
                 c = codes.of(lower_words(t))
                 g = gram_hashes(c, Q)
                 found += [g, of_class(g, size_class(len(c)))]
-            bits = np.unique(np.concatenate(found) & np.uint64((1 << MAP_BITS) - 1))
+            bits = np.unique(np.concatenate(found) & np.uint64((1 << n_bits) - 1))
             yield pa.RecordBatch.from_arrays([pa.array(bits.astype(np.int32))], ["bit"])
 
-    bits = np.zeros(1 << MAP_BITS, np.uint8)
+    bits = np.zeros(1 << n_bits, np.uint8)
     for part in items.select("text").mapInArrow(run, "bit int").distinct().toArrow().column("bit").chunks:
         bits[part.to_numpy()] = 1
     return np.packbits(bits, bitorder="little")
@@ -175,30 +177,43 @@ def contaminated(
     spans = known.groupBy("size").agg(F.min(words).alias("lo"), F.max(words).alias("hi")).collect()
     sizes = sorted((r["size"], max(1, int(r["lo"]) - Q + 1 - (Q + 1) * allowed(int(r["hi"]), share))) for r in spans)
 
+    def regions(size, found):
+        """A row per part of a text: what all windows that start in it can match, and their keys."""
+        w = np.zeros((sum(len(starts) for _, starts, _ in found), size), np.uint64)
+        for row, (c, start) in zip(w, ((c, start) for _, starts, c in found for start in starts), strict=True):
+            part = c[start : start + size]
+            row[: len(part)] = part
+        keys, slack = embed_keys(w), size // 3 + 1
+        out, at = [], 0
+        for i, starts, c in found:
+            lo = max(0, int(starts[0]) - slack)
+            out.append((i, lo, c[lo : int(starts[-1]) + size + slack].tobytes(), np.unique(keys[at : at + len(starts)])))
+            at += len(starts)
+        ids, los, texts, all_keys = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(los, pa.int64()), pa.array(texts, pa.binary()), pa.array(all_keys, pa.list_(pa.int64()))], ["id", "start", "codes", "keys"])
+
     def doc_windows(batches):
         codes = WordCodes()
+        found: dict[int, list] = {}
         for batch in batches:
-            found: dict[int, list] = {}
             for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 c = codes.of(lower_words(t))
-                for start, size in windows_of(gram_hashes(c, Q), bitmap, sizes) if sizes else ():
-                    found.setdefault(size, []).append((i, start, c))
-            ids, starts, texts, keys = [], [], [], []
-            for size, rows in found.items():
-                w = np.zeros((len(rows), size), np.uint64)
-                for k, (_, start, c) in enumerate(rows):
-                    part = c[max(0, start) : max(0, start + size)]
-                    w[k, : len(part)] = part
-                keys.extend(embed_keys(w))
-                slack = size // 3 + 1
-                for i, start, c in rows:
-                    lo = max(0, start - slack)
-                    ids.append(i), starts.append(lo), texts.append(c[lo : start + size + slack].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(texts, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "start", "codes", "keys"])
+                for starts, size in windows_of(gram_hashes(c, Q), bitmap, sizes) if sizes else ():
+                    mine = found.setdefault(size, [])
+                    for part in np.split(starts, np.flatnonzero(np.diff(starts // size)) + 1):
+                        if len(part):
+                            mine.append((i, part, c))
+                        if sum(len(x) for _, x, _ in mine) >= AT_ONCE:
+                            yield regions(size, mine)
+                            mine.clear()
+            for size, mine in found.items():
+                if mine:
+                    yield regions(size, mine)
+                    mine.clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     windows = rows.mapInArrow(doc_windows, "id long, start long, codes binary, keys array<long>")
-    windows = cut(windows.withColumn("window", F.xxhash64("id", "start", "codes")).dropDuplicates(["window"]))
+    windows = cut(windows.withColumn("window", F.xxhash64("id", "start", "codes", "keys")).dropDuplicates(["window"]))
     met = windows.select("window", F.explode("keys").alias("key")).join(known.select("item", F.explode("keys").alias("key")), "key").select("window", "item").distinct()
 
     def verify(batches):

@@ -222,6 +222,27 @@ def test_items_are_found_within_edits_and_others_not(spark, words):
     assert all((d, d % 12) in got for d in range(0, 80, 2))
 
 
+def test_neighbours_hide_no_item(spark, words):
+    r = random.Random(12)
+    say = lambda n: [r.choice(words) for _ in range(n)]
+    items = [(i, say(20)) for i in range(60)] + [(100 + i, say(r.randint(150, 260))) for i in range(6)]
+    text, rows, want = dict(items), [], {}
+    worn = lambda w, n: [f"odd{i}" if i in set(range(3, 6 * n, 6)) else x for i, x in enumerate(w)]
+    for d in range(0, 60, 2):
+        a, b = worn(text[d], 3), text[d + 1][:]
+        rows.append((d, " ".join(say(30) + a + b + say(30)), "en", "s"))
+        rows.append((d + 1, " ".join(say(30) + a + text[d + 1][:12] + say(30)), "en", "s"))
+        want |= {(d, d): 3, (d, d + 1): 0, (d + 1, d): 3}
+    for d in range(6):
+        rows.append((200 + d, " ".join(say(20) + worn(text[100 + d], 15) + text[100 + (d + 1) % 6] + say(20)), "en", "s"))
+        want |= {(200 + d, 100 + d): 15, (200 + d, 100 + (d + 1) % 6): 0}
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.distance for x in decontaminate.contaminated(make(spark, rows), bench).collect()}
+    print("recall", len(got), "of", len(want), sorted(set(want) - set(got)))
+    assert len(got) >= 0.98 * len(want)
+    assert all(want[k] >= d for k, d in got.items())
+
+
 # 7: packing
 def test_packing_is_gapless_and_tight(messy, corpus):
     import public_tokenizers
