@@ -195,21 +195,25 @@ def _(spark, d):
 
 
 def log_stream(spark, d):
-    """The log rows as a stream of files."""
-    where = folder(spark, "stream")
+    """The log rows as a stream of files, as many as the cluster runs tasks at once; half of them are a batch."""
+    where, n = folder(spark, "stream"), spark.sparkContext.defaultParallelism
     rows = logs(spark, d)
-    rows.repartition(4).write.parquet(where)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(where)
+    rows.repartition(n).write.parquet(where)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-n // 2)).parquet(where)
 
 
-def drained(stream, mode: str, foreach=None):
-    """Runs a stream over all there is; the rows of its sink."""
-    spark = stream.sparkSession
-    name, at = f"s{uuid.uuid4().hex}", folder(spark, "progress")
-    w = stream.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True)
-    query = (w.foreachBatch(foreach) if foreach else w.format("memory").queryName(name)).start()
-    query.awaitTermination()
-    return None if foreach else spark.table(name)
+def drained(stream, mode: str, foreach) -> None:
+    """Runs a stream over all there is."""
+    at = folder(stream.sparkSession, "progress")
+    stream.writeStream.outputMode(mode).option("checkpointLocation", at).trigger(availableNow=True).foreachBatch(foreach).start().awaitTermination()
+
+
+def sunk(stream, mode: str, keys: tuple[str, ...] = ()):
+    """The rows that a stream over all there is wrote to the shared folder: the newest of each key, or all if there is none."""
+    spark, where = stream.sparkSession, folder(stream.sparkSession, "sink")
+    drained(stream, mode, streams.merge_updates(where, keys))
+    rows = spark.read.parquet(where)
+    return streams.latest_updates(rows, keys) if keys else rows
 
 
 @q("str1_stream_watches", f", m AS (SELECT time_bucket(INTERVAL 6 hour, ts) AS t, service, env, count(*) FILTER ({ERR})::DOUBLE/count(*) > 0.15 AS breached FROM logs GROUP BY ALL) SELECT 'w1' AS watch_id, t AS \"at\", service, env, breached FROM m")
@@ -232,34 +236,33 @@ def _(spark, d):
 
 @q("str2_impacts", f"SELECT error_fingerprint AS fingerprint, env, user_id, count(*) AS occurrences FROM logs WHERE {ERR} AND error_fingerprint<>'' GROUP BY ALL")
 def _(spark, d):
-    return drained(streams.stream_impacts(log_stream(spark, d)), "complete").select("fingerprint", "env", "user_id", "occurrences")
+    return sunk(streams.stream_impacts(log_stream(spark, d)), "update", ("fingerprint", "env", "user_id")).select("fingerprint", "env", "user_id", "occurrences")
 
 
 @q("str3_trace_status", f"SELECT trace_id, count(*) AS spans, array_to_string(list_sort(list(DISTINCT service)), ',') AS services, epoch_us(max(ts))//1000 - epoch_us(min(ts))//1000 AS duration_ms, bool_or({ERR}) AS has_errors FROM logs GROUP BY 1")
 def _(spark, d):
-    out = drained(streams.stream_trace_status(log_stream(spark, d), None), "update")
-    last = out.groupBy("trace_id").agg(F.max_by(F.struct("spans", "services", "duration_ms", "has_errors"), F.col("spans")).alias("t"))
-    return last.select("trace_id", "t.*")
+    return sunk(streams.stream_trace_status(log_stream(spark, d), None), "update", ("trace_id",)).select("trace_id", "spans", "services", "duration_ms", "has_errors")
 
 
 @q("str4_live_tail", f"SELECT id, message FROM logs WHERE {ERR} AND level='fatal' AND service='web'")
 def _(spark, d):
-    return drained(streams.live_tail(log_stream(spark, d), level="fatal", service="web"), "append").select("id", "message")
+    return sunk(streams.live_tail(log_stream(spark, d), level="fatal", service="web"), "append").select("id", "message")
 
 
 @q("str5_heartbeat", "SELECT service, epoch_us(max(ts))//1000 AS last_ms FROM logs GROUP BY 1")
 def _(spark, d):
-    return drained(streams.stream_heartbeat(log_stream(spark, d), None), "update").groupBy("service").agg(F.max("last_ms").alias("last_ms"))
+    return sunk(streams.stream_heartbeat(log_stream(spark, d), None), "update", ("service",)).select("service", "last_ms")
 
 
 @q("str6_minute_rollup", "SELECT date_trunc('minute', ts) AS minute, service, env, level, count(*) AS n FROM logs GROUP BY ALL")
 def _(spark, d):
-    return plain(drained(streams.stream_minute_rollup(log_stream(spark, d)), "complete"), "minute", "service", "env", "level", "n")
+    # Complete, as rows are spread over the batches whatever their time: update would drop the late ones.
+    return plain(sunk(streams.stream_minute_rollup(log_stream(spark, d)), "complete", ("minute", "service", "env", "level")), "minute", "service", "env", "level", "n")
 
 
 @q("str7_first_seen_deploys", "SELECT DISTINCT version, service, env FROM logs")
 def _(spark, d):
-    return drained(streams.stream_first_seen_deploys(log_stream(spark, d)), "append").select("version", "service", "env")
+    return sunk(streams.stream_first_seen_deploys(log_stream(spark, d)), "append").select("version", "service", "env")
 
 
 QUERIES, SQL = B.queries, B.sql
