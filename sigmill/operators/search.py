@@ -42,7 +42,7 @@ def log_context(logs: DataFrame, anchors: DataFrame, before=10, after=10, same_s
     and the two beside it, not the whole table.
     """
     day = F.unix_date(F.to_date("ts"))
-    a = logs.join(F.broadcast(anchors.select(F.col("id").alias("anchor"))), F.col("id") == F.col("anchor")).select("anchor", F.col("ts").alias("at"), F.col("env").alias("a_env"), F.col("service").alias("a_service"), day.alias("a_day"))
+    a = logs.join(anchors.select(F.col("id").alias("anchor")), F.col("id") == F.col("anchor")).select("anchor", F.col("ts").alias("at"), F.col("env").alias("a_env"), F.col("service").alias("a_service"), day.alias("a_day"))
     a = a.withColumn("day", F.explode(F.array(*[F.col("a_day") + d for d in (-1, 0, 1)])))
     near = logs.withColumn("day", day).join(a, "day").filter((F.col("env") == F.col("a_env")) & (F.abs(F.timestamp_diff("SECOND", F.col("at"), F.col("ts"))) <= hours * 3600))
     if same_service:

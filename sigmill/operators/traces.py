@@ -65,7 +65,7 @@ def trace_context(logs: DataFrame, traces: DataFrame, margin_s: int = 2, limit:
     A part is at most as long as its trace; minutes are the equi-join key of the
     range join, so rows meet only parts that are near.
     """
-    spans = of_traces(logs).join(F.broadcast(traces.select("trace_id").distinct()), "trace_id").groupBy("trace_id", "service").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
+    spans = of_traces(logs).join(traces.select("trace_id").distinct(), "trace_id").groupBy("trace_id", "service").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     lo, hi = F.unix_seconds("a") - margin_s, F.unix_seconds("b") + margin_s + 1
     spans = spans.withColumn("minute", F.explode(F.sequence(F.floor(lo / 60), F.floor(hi / 60)))).withColumnRenamed("trace_id", "of_trace")
     rows = logs.withColumn("minute", F.floor(F.unix_seconds("ts") / 60))

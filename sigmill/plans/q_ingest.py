@@ -191,8 +191,8 @@ def _(spark, d):
 @q("ing11_suggest_field", "SELECT DISTINCT CASE event_id % 3 WHEN 0 THEN 'servce' WHEN 1 THEN 'severity' ELSE 'qqqqqq' END AS field, CASE event_id % 3 WHEN 0 THEN 'service' WHEN 1 THEN 'level' ELSE '' END AS suggestion FROM events", ())
 def _(spark, d):
     i = F.col("event_id") % 3
-    wanted = table(spark, d, "events").select(F.when(i == 0, "servce").when(i == 1, "severity").otherwise("qqqqqq").alias("field")).distinct()
-    return wanted.select("field", ing.suggest_field(F.col("field")).alias("suggestion"))
+    wanted = table(spark, d, "events").select(F.when(i == 0, "servce").when(i == 1, "severity").otherwise("qqqqqq").alias("field"))
+    return wanted.select("field", ing.suggest_field(F.col("field")).alias("suggestion")).distinct()
 
 
 def log_stream(spark, d):
