@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,11 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir where it is set; a folder of this machine in tests."""
+    """spark.checkpoint.dir; every executor must see it, so nothing else will do."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
-        where = tempfile.mkdtemp(prefix="sigmill-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return where
 
 
@@ -60,27 +59,6 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-class WordCodes(dict):
-    """word -> 64 mixed bits from two CRCs; the cache holds at most `most` words."""
-
-    def __init__(self, most: int = 500_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        x = zlib.crc32(word) | zlib.crc32(word, 0x9E3779B9) << 32
-        x = (x ^ len(word)) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF
-        x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF
-        x ^= x >> 32
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = x
-        return x
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits in which every output bit depends on every input bit."""
     with np.errstate(over="ignore"):
@@ -118,3 +96,68 @@ def gram_hashes(codes: np.ndarray, n: int) -> np.ndarray:
         x[1:] -= total[: m - 1]
         x *= down[:m]
     return mix(x)
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: A number for each byte, and one that is the same for A and a.
+BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(FACTOR))
+LOWER = BYTE.copy()
+LOWER[65:91] = BYTE[97:123]
+#: Bytes of text whose words are hashed at once.
+AT_ONCE = 1 << 18
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """64 bits for each word data[start:end], by a running sum over all bytes."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        base = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, base + AT_ONCE, "right")))
+        part = data[base : int(ends[to - 1])]
+        up, down = powers(len(part))
+        first, last = starts[at:to] - base, ends[at:to] - base
+        with np.errstate(over="ignore"):
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(number[part] * up[: len(part)], out=total[1:])
+            out[at:to] = mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+        at = to
+    return out
+
+
+def coded(column: pa.Array | pa.ChunkedArray, lower: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, words of each row, codes of all these words) for runs of rows of a string column; null is empty.
+
+    A word is what stands between ASCII white space; its code is a 64-bit hash,
+    with `lower` of the word with A-Z in lower case. Whole runs of rows are
+    hashed together, so a word costs no Python call.
+    """
+    before = 0
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        chunk = chunk.cast(pa.large_binary()).fill_null(b"")
+        if not len(chunk):
+            continue
+        _, offsets, data = chunk.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+        row = 0
+        while row < len(chunk):
+            to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + AT_ONCE, "right")) - 1)
+            part, borders = data[offsets[row] : offsets[to]], offsets[row : to + 1] - offsets[row]
+            inside = ~SPACE[part]
+            first, last = inside.copy(), inside.copy()
+            first[1:] &= ~inside[:-1]
+            last[:-1] &= ~inside[1:]
+            begins = borders[:-1][borders[:-1] < borders[1:]]
+            first[begins] = inside[begins]
+            finals = borders[1:][borders[:-1] < borders[1:]] - 1
+            last[finals] = inside[finals]
+            starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+            yield before + row, np.diff(np.searchsorted(starts, borders)), _hashed(part, starts, ends, LOWER if lower else BYTE)
+            row = to
+        before += len(chunk)
+
+
+def codes_of(text: str | None, lower: bool = False) -> np.ndarray:
+    """The codes of the words of one text."""
+    return next(coded(pa.array([text], pa.string()), lower))[2]
