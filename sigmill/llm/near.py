@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCodes, cut, gram_hashes, lower_words, mix
+from .common import coded, cut, gram_hashes, mix
 from .graph import components
 
 ROWS, BANDS, BITS = 4, 24, 2
@@ -33,12 +34,15 @@ CELL = 500
 LANES = 0x5555555555555555
 
 
-def shingles(text: str | None, n: int, codes: WordCodes) -> np.ndarray:
-    """Sorted distinct hashes of the runs of n words, or of the whole if it is shorter."""
-    c = codes.of(lower_words(text))
-    if len(c) == 0:
-        return np.empty(0, np.uint64)
-    return np.unique(gram_hashes(c, n) if len(c) >= n else gram_hashes(c, len(c)) ^ np.uint64(len(c)))
+def shingle_sets(texts: pa.Array | pa.ChunkedArray, n: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct hashes of its runs of n words, or of the whole if it is shorter."""
+    for _, counts, codes in coded(texts, lower=True):
+        grams, end = gram_hashes(codes, n), np.cumsum(counts).tolist()
+        for hi, size in zip(end, counts.tolist(), strict=True):
+            if size >= n:
+                yield np.unique(grams[hi - size : hi - n + 1])
+            else:
+                yield gram_hashes(codes[hi - size : hi], size) ^ np.uint64(size)
 
 
 def minima(s: np.ndarray) -> np.ndarray:
@@ -66,14 +70,12 @@ def bands(m: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n_shingles, key, sig, bands) of every row of (id, text); key is null for empty sets."""
+    """(row, id, n_shingles, key, sig, bands) of every row of (row, id, text); key is null for empty sets."""
 
     def run(batches):
-        codes = WordCodes()
         for batch in batches:
             size, keys, sigs, all_bands = [], [], [], []
-            for text in batch.column("text"):
-                s = shingles(text.as_py(), n, codes)
+            for s in shingle_sets(batch.column("text"), n):
                 size.append(len(s))
                 if len(s):
                     m = minima(s)
@@ -83,10 +85,10 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 else:
                     keys.append(None), sigs.append([]), all_bands.append([])
             long_list = pa.list_(pa.int64())
-            columns = [batch.column("id"), pa.array(size, pa.int64()), pa.array(keys, pa.string()), pa.array(sigs, long_list), pa.array(all_bands, long_list)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n_shingles", "key", "sig", "bands"])
+            columns = [batch.column("row"), batch.column("id"), pa.array(size, pa.int64()), pa.array(keys, pa.string()), pa.array(sigs, long_list), pa.array(all_bands, long_list)]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "id", "n_shingles", "key", "sig", "bands"])
 
-    return docs.mapInArrow(run, "id long, n_shingles long, key string, sig array<long>, bands array<long>")
+    return docs.mapInArrow(run, "row long, id long, n_shingles long, key string, sig array<long>, bands array<long>")
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -112,16 +114,19 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
     """The pairs (a, b) of which 100 x shared shingles reach percent x all shingles."""
 
     def run(batches):
-        codes, known = WordCodes(), {}
-        for batch in batches:
-            keep = []
-            for a, b, s, t in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                if len(known) > 256:
-                    known.clear()
-                x, y = (known[i] if i in known else known.setdefault(i, shingles(v, n, codes)) for i, v in ((a, s), (b, t)))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                sides = []
+                for c in ("a", "b"):
+                    _, first, own = np.unique(batch.column(c).to_numpy(), return_index=True, return_inverse=True)
+                    sets = list(shingle_sets(batch.column(f"text_{c}").take(pa.array(first)), n))
+                    sides.append([sets[i] for i in own])
+                keep = []
+                for x, y in zip(*sides, strict=True):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     named = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"text_{c}"))
     return pairs.join(named("a"), "a").join(named("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
@@ -142,7 +147,7 @@ def links_between(classes: DataFrame, docs: DataFrame, n: int, percent: int) ->
     stars = large.select(F.col("id").alias("x"), F.explode(F.array(*[f"l{i}" for i in range(LEADERS)])).alias("y"))
     pairs = cut(ordered(pairs.union(stars)))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).union(large.select("id")).distinct()
-    texts = cut(docs.join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
+    texts = cut(docs.select(F.col("row").alias("id"), "text").join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
     links = cut(confirm(pairs, texts, n, percent))
     # Leaders may split a large bucket: what is left apart is compared with all of the bucket.
     found = components(links)
@@ -175,15 +180,13 @@ def across(apart: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFram
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         out_a, out_b = [], []
         if left.num_rows and right.num_rows:
-            codes = WordCodes()
             ids, part = left.column("id").to_numpy(), left.column("component").to_numpy()
-            sets = [shingles(t, n, codes) for t in left.column("text").to_pylist()]
+            sets = list(shingle_sets(left.column("text"), n))
             size = np.array([len(s) for s in sets])
             values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
             order = np.argsort(values, kind="stable")
             values, owner = values[order], owner[order]
-            for i, c, t in zip(right.column("id").to_pylist(), right.column("component").to_pylist(), right.column("text").to_pylist(), strict=True):
-                s = shingles(t, n, codes)
+            for i, c, s in zip(right.column("id").to_pylist(), right.column("component").to_pylist(), shingle_sets(right.column("text"), n), strict=True):
                 lo = np.searchsorted(values, s, "left")
                 count = np.searchsorted(values, s, "right") - lo
                 at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
@@ -210,20 +213,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component of their own, null, and kept. No rows give no rows; other columns
     are not read.
 
-    A pair at the threshold misses all 24 bands about 3 times in a million.
+    Rows are told apart by a 64-bit hash of id and text. A pair at the threshold misses all 24 bands about 3 times in a million.
     Equal sets are folded before any pairing; of a large bucket only leaders
     are paired with all members, and then only what remains apart.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.xxhash64(F.col(id_col).cast("long"), text_col).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = cut(signatures(rows, n_words))
-    classes = cut(signed.filter("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
+    # A class is named by one of its rows, so that every text of it is confirmed as itself, whatever ids share it.
+    classes = cut(signed.filter("key is not null and id is not null").groupBy("key").agg(F.min("row").alias("id"), F.first("sig").alias("sig"), F.first("bands").alias("bands")))
     links = links_between(classes.select("id", "sig", "bands"), rows, n_words, percent)
-    named = signed.select("id", "n_shingles", "key").join(classes.select("key", F.col("id").alias("class")), "key", "left").withColumn("class", F.coalesce("class", "id"))
+    # Rows without words are linked by their id alone.
+    named = signed.join(classes.select("key", F.col("id").alias("class")), "key", "left").select("id", "n_shingles", F.coalesce("class", F.xxhash64("id", F.lit("no words"))).alias("class"))
     named = cut(named)
-    repeated = named.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a != b").select("a", "b")
-    found = components(links.union(repeated))
-    out = named.join(found.select(F.col("id").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    return out.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    owned = named.filter("id is not null").groupBy("id", "class").count().drop("count")
+    several = cut(owned.groupBy("id").agg(F.min("class").alias("a"), F.max("class").alias("b")).filter("a != b").select("id", "a"))
+    repeated = owned.join(several, "id").select("a", F.col("class").alias("b"))
+    found = cut(components(links.union(repeated)).select(F.col("id").alias("class"), F.col("component").alias("label")))
+    labelled = owned.join(found, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    # Counted by id and class before, so that copies of one text meet as partial least ids.
+    least = cut(labelled.groupBy("label").agg(F.min("id").alias("component_id")))
+    of_class = cut(found.join(least, "label").select("class", "component_id").union(least.join(found, least["label"] == found["class"], "left_anti").select(F.col("label").alias("class"), "component_id")))
+    out = named.filter("id is not null").join(of_class, "class", "left").select("id", "n_shingles", "component_id")
+    out = out.union(named.filter("id is null").select("id", "n_shingles", F.lit(None).cast("long")))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op8_minhash_near_dedup(spark, sf_dir):
