@@ -5,7 +5,9 @@ symbol read deciding by a hash whether the reader moves on. Two sequences at a
 small edit distance fall into step again and again, so the walks agree in most
 places: edit distance has become Hamming distance. Sampled places of several
 walks are keys; windows and items that share a key are compared by their exact
-edit distance.
+edit distance. How many walks it takes follows from the size of the items and
+the recall asked for: for each size, made-up pairs at the most edits allowed
+are walked, and walks are added until keys meet often enough.
 
 Symbols are lower-cased words. Windows that no item can be close to are left
 out first: by the q-gram lemma a close window shares many runs of `q` words
@@ -14,12 +16,14 @@ with its item.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordCodes, cut, gram_hashes, lower_words, mix
+from .common import coded, codes_of, cut, gram_hashes, mix
 
 Q = 3
 #: The map of the items' q-grams has 2^this bits at least and at most: half a megabyte to eight. A full map lets more
@@ -27,13 +31,15 @@ Q = 3
 MAP_BITS = 22, 26
 #: Windows embedded at once.
 AT_ONCE = 4096
-WALKS, SAMPLED = 24, 3
+SAMPLED = 3
+#: Made-up pairs of each size, and walks of each, that tell how many walks a recall takes.
+TRIALS, TRIAL_WALKS = 96, 24
 RATIO = 1.05
 
 
 def size_class(n: int) -> int:
     """The window size for items of n words: sizes grow by a ratio, so there are few."""
-    size = Q
+    size = 1
     while size < n:
         size = max(size + 1, int(size * RATIO))
     return size
@@ -43,27 +49,70 @@ def allowed(n: int, share: float) -> int:
     return int(n * share)
 
 
-def embed_keys(windows: np.ndarray) -> np.ndarray:
-    """WALKS keys for each row of word codes (0 pads a row)."""
+def run_of(size: int) -> int:
+    """Words in the runs that items of a size class must share with a window."""
+    return min(Q, size)
+
+
+def walk(windows: np.ndarray, walks: int):
+    """For each step the symbols read by all walks (rows x walks) over each row of word codes (0 pads a row)."""
     n, w = windows.shape
     padded = np.concatenate([windows, np.zeros((n, 1), np.uint64)], axis=1)
-    steps = 3 * w
     rows = np.arange(n)[:, None]
-    at = np.zeros((n, WALKS), np.int64)
-    salt = mix(np.arange(1, WALKS + 1, dtype=np.uint64) * np.uint64(7919))
-    chosen = (mix(salt[:, None] + np.arange(SAMPLED, dtype=np.uint64)) % np.uint64(steps)).astype(np.int64)
+    at = np.zeros((n, walks), np.int64)
+    salt = salts(walks)
+    for j in range(3 * w):
+        x = padded[rows, np.minimum(at, w)]
+        yield x
+        at += (mix(x ^ (salt + np.uint64(j * 1_000_003))) & np.uint64(1)).astype(np.int64)
+
+
+def salts(walks: int) -> np.ndarray:
+    return mix(np.arange(1, walks + 1, dtype=np.uint64) * np.uint64(7919))
+
+
+def embed_keys(windows: np.ndarray, walks: int) -> np.ndarray:
+    """A key of each walk for each row of word codes (0 pads a row)."""
+    n, w = windows.shape
+    salt = salts(walks)
+    chosen = (mix(salt[:, None] + np.arange(SAMPLED, dtype=np.uint64)) % np.uint64(3 * w)).astype(np.int64)
     key = np.repeat(salt[None, :] ^ np.uint64(w), n, axis=0)
     with np.errstate(over="ignore"):
-        for j in range(steps):
-            x = padded[rows, np.minimum(at, w)]
-            hit = (chosen == j).sum(1)
+        for j, x in enumerate(walk(windows, walks)):
+            hit = (chosen == j).any(1)
             if hit.any():
-                key = np.where(hit > 0, mix(key * np.uint64(0x9E3779B97F4A7C15) + x + np.uint64(j)), key)
-            coin = mix(x ^ (salt + np.uint64(j * 1_000_003)))
-            at += (coin & np.uint64(1)).astype(np.int64)
+                key[:, hit] = mix(key[:, hit] * np.uint64(0x9E3779B97F4A7C15) + x[:, hit] + np.uint64(j))
     return key.view(np.int64)
 
 
+@lru_cache(maxsize=1024)
+def walks_for(size: int, share: float, recall: float) -> int:
+    """How many walks find a pair of this size at the most edits, of the kind that is hardest, with a chance of `recall`.
+
+    Deletions are hardest: they part the walks as others do and let strange
+    words into the window. The pairs are made up from a fixed seed, so every
+    task and every run comes to the same number.
+    """
+    edits = allowed(size, share)
+    if not edits:
+        return 1
+    r = np.random.default_rng(size)
+    items = r.integers(1, 1 << 62, (TRIALS, size)).astype(np.uint64)
+    worn = np.zeros_like(items)
+    for item, row in zip(items, worn, strict=True):
+        left = np.delete(item, r.choice(size, edits, replace=False))
+        row[: len(left)] = left
+        row[len(left) :] = r.integers(1, 1 << 62, edits).astype(np.uint64)
+    same = np.zeros((TRIALS, TRIAL_WALKS))
+    for x, y in zip(walk(items, TRIAL_WALKS), walk(worn, TRIAL_WALKS), strict=True):
+        same += x == y
+    meets = ((same / (3 * size)) ** SAMPLED).mean(1)
+    walks = 1
+    while (1 - (1 - meets) ** walks).mean() < recall:
+        walks += 1
+    return walks
+
+
 def edit_distance_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """Least edit distance of `item` to any part of `text`, and where that part ends."""
     row = np.zeros(len(text) + 1, np.int64)
@@ -75,18 +124,24 @@ def edit_distance_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
-def windows_of(grams: np.ndarray, bitmap: np.ndarray, sizes: list[tuple[int, int]]):
+def windows_of(grams: dict[int, np.ndarray], bitmap: np.ndarray, sizes: list[tuple[int, int]]):
     """(starts, size) of the windows worth embedding: all that share enough q-grams with items of their size.
 
-    sizes: (size, fewest shared q-grams) of each class of items.
+    grams: hashes of a text's runs, by their number of words. sizes: (size,
+    fewest shared q-grams) of each class of items.
     """
-    hits = np.flatnonzero(is_set(bitmap, grams))
-    fewest, widest = min(least for _, least in sizes), max(size for size, _ in sizes) - Q + 1
-    if not dense(hits, fewest, widest):
-        return
+    hits = {}
+    for q in {run_of(size) for size, _ in sizes}:
+        mine = [(size, least) for size, least in sizes if run_of(size) == q]
+        at = np.flatnonzero(is_set(bitmap, grams[q]))
+        if dense(at, min(least for _, least in mine), max(size for size, _ in mine) - q + 1):
+            hits[q] = at
     for size, least in sizes:
-        span = size - Q + 1
-        own = hits[is_set(bitmap, of_class(grams[hits], size))]
+        q = run_of(size)
+        if q not in hits:
+            continue
+        span = size - q + 1
+        own = hits[q][is_set(bitmap, of_class(grams[q][hits[q]], size))]
         if not dense(own, least, span):
             continue
         reach = np.arange(max(0, own[0] - span + 1), own[-1] + 1)
@@ -118,13 +173,13 @@ def gram_map(items: DataFrame) -> np.ndarray:
     n_bits = min(max((32 * words).bit_length(), MAP_BITS[0]), MAP_BITS[1])
 
     def run(batches):
-        codes = WordCodes()
         for batch in batches:
             found = [np.empty(0, np.uint64)]
             for t in batch.column("text").to_pylist():
-                c = codes.of(lower_words(t))
-                g = gram_hashes(c, Q)
-                found += [g, of_class(g, size_class(len(c)))]
+                c = codes_of(t, lower=True)
+                size = size_class(len(c))
+                g = gram_hashes(c, run_of(size))
+                found += [g, of_class(g, size)]
             bits = np.unique(np.concatenate(found) & np.uint64((1 << n_bits) - 1))
             yield pa.RecordBatch.from_arrays([pa.array(bits.astype(np.int32))], ["bit"])
 
@@ -142,40 +197,50 @@ def contaminated(
     item_col: str = "item_id",
     item_text_col: str = "text",
     share: float = 0.15,
+    recall: float = 0.95,
 ) -> DataFrame:
     """(id, item, distance, item_words, start_word): items that a text holds within share x words edits.
 
     One row per pair of text row and item that match, with the least distance
-    and the first place found. Items of fewer than three words match nothing.
-    Null texts, null items and empty ones match nothing; rows with null ids and
+    and the first place found. Null texts, null items and empty ones match nothing; rows with null ids and
     repeated ids are matched like others, repeated rows once per id; no rows on
     either side give no rows; other columns are not read.
 
-    A pair at the largest allowed distance is found by 24 walks of 3 sampled
-    places with a chance of about 0.98, nearer ones with more.
+    A pair at the largest allowed distance is found with a chance of `recall`,
+    nearer ones with more, equal ones always; items too short for an edit are
+    found by equality. The number of walks follows from the item's size.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(item_text_col, F.lit("")).alias("text"))
     bitmap = gram_map(items)
 
     def item_rows(batches):
-        codes = WordCodes()
         for batch in batches:
             out = []
             for i, t in zip(batch.column("item").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                c = codes.of(lower_words(t))
-                if len(c) >= Q:
-                    size = size_class(len(c))
-                    row = np.zeros((1, size), np.uint64)
-                    row[0, : len(c)] = c
-                    out.append((i, c.tobytes(), embed_keys(row)[0], size))
-            cols = list(zip(*out, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.list_(pa.int64())), pa.array(cols[3], pa.int32())], ["item", "item_codes", "keys", "size"])
-
-    known = cut(items.mapInArrow(item_rows, "item long, item_codes binary, keys array<long>, size int"))
+                c = codes_of(t, lower=True)
+                if len(c):
+                    out.append((i, c.tobytes(), size_class(len(c))))
+            cols = list(zip(*out, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32()), strict=True)], ["item", "item_codes", "size"])
+
+    known = cut(items.mapInArrow(item_rows, "item long, item_codes binary, size int"))
     # An edit destroys at most Q q-grams and shifts at most one out of the window.
     words = F.octet_length("item_codes") / 8
     spans = known.groupBy("size").agg(F.min(words).alias("lo"), F.max(words).alias("hi")).collect()
-    sizes = sorted((r["size"], max(1, int(r["lo"]) - Q + 1 - (Q + 1) * allowed(int(r["hi"]), share))) for r in spans)
+    sizes = sorted((r["size"], max(1, int(r["lo"]) - run_of(r["size"]) + 1 - (run_of(r["size"]) + 1) * allowed(int(r["hi"]), share))) for r in spans)
+    runs = {run_of(size) for size, _ in sizes}
+    walks = {size: walks_for(size, share, recall) for size, _ in sizes}
+
+    def item_keys(batches):
+        for batch in batches:
+            out = []
+            for codes, size in zip(batch.column("item_codes").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                row = np.zeros((1, size), np.uint64)
+                row[0, : len(codes) // 8] = np.frombuffer(codes, np.uint64)
+                out.append(embed_keys(row, walks[size])[0])
+            yield pa.RecordBatch.from_arrays([batch.column("item"), pa.array(out, pa.list_(pa.int64()))], ["item", "keys"])
+
+    keyed = known.mapInArrow(item_keys, "item long, keys array<long>")
 
     def regions(size, found):
         """A row per part of a text: what all windows that start in it can match, and their keys."""
@@ -183,7 +248,7 @@ def contaminated(
         for row, (c, start) in zip(w, ((c, start) for _, starts, c in found for start in starts), strict=True):
             part = c[start : start + size]
             row[: len(part)] = part
-        keys, slack = embed_keys(w), size // 3 + 1
+        keys, slack = embed_keys(w, walks[size]), size // 3 + 1
         out, at = [], 0
         for i, starts, c in found:
             lo = max(0, int(starts[0]) - slack)
@@ -193,19 +258,27 @@ def contaminated(
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(los, pa.int64()), pa.array(texts, pa.binary()), pa.array(all_keys, pa.list_(pa.int64()))], ["id", "start", "codes", "keys"])
 
     def doc_windows(batches):
-        codes = WordCodes()
         found: dict[int, list] = {}
         for batch in batches:
-            for i, t in zip(batch.column("id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                c = codes.of(lower_words(t))
-                for starts, size in windows_of(gram_hashes(c, Q), bitmap, sizes) if sizes else ():
-                    mine = found.setdefault(size, [])
-                    for part in np.split(starts, np.flatnonzero(np.diff(starts // size)) + 1):
-                        if len(part):
-                            mine.append((i, part, c))
-                        if sum(len(x) for _, x, _ in mine) >= AT_ONCE:
-                            yield regions(size, mine)
-                            mine.clear()
+            ids = batch.column("id").to_pylist()
+            for row, counts, codes in coded(batch.column("text"), lower=True) if sizes else ():
+                grams = {q: gram_hashes(codes, q) for q in runs}
+                # Only texts with a run of some item are looked at one by one.
+                touched = np.zeros(len(codes), np.int64)
+                for q in runs:
+                    touched[: len(grams[q])] |= is_set(bitmap, grams[q])
+                ends, total = np.cumsum(counts), np.concatenate([[0], np.cumsum(touched)])
+                for k in np.flatnonzero(total[ends] > total[ends - counts]).tolist():
+                    lo, hi, i = int(ends[k] - counts[k]), int(ends[k]), ids[row + k]
+                    c = codes[lo:hi]
+                    for starts, size in windows_of({q: grams[q][lo : max(lo, hi - q + 1)] for q in runs}, bitmap, sizes):
+                        mine = found.setdefault(size, [])
+                        for part in np.split(starts, np.flatnonzero(np.diff(starts // size)) + 1):
+                            if len(part):
+                                mine.append((i, part, c))
+                            if sum(len(x) for _, x, _ in mine) >= AT_ONCE:
+                                yield regions(size, mine)
+                                mine.clear()
             for size, mine in found.items():
                 if mine:
                     yield regions(size, mine)
@@ -214,7 +287,7 @@ def contaminated(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     windows = rows.mapInArrow(doc_windows, "id long, start long, codes binary, keys array<long>")
     windows = cut(windows.withColumn("window", F.xxhash64("id", "start", "codes", "keys")).dropDuplicates(["window"]))
-    met = windows.select("window", F.explode("keys").alias("key")).join(known.select("item", F.explode("keys").alias("key")), "key").select("window", "item").distinct()
+    met = windows.select("window", F.explode("keys").alias("key")).join(keyed.select("item", F.explode("keys").alias("key")), "key").select("window", "item").distinct()
 
     def verify(batches):
         for batch in batches:

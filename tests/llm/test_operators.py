@@ -213,7 +213,7 @@ def test_items_are_found_within_edits_and_others_not(spark, words):
     want = {}
     for d, t, *_ in rows:
         for i, w in items:
-            if len(w) >= 3:
+            if w:
                 e = brute_distance(w, (t or "").lower().split())
                 if e <= decontaminate.allowed(len(w), 0.15):
                     want[d, i] = e
