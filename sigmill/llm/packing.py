@@ -3,11 +3,12 @@
 Documents become pieces of at most `capacity` tokens. Only the histogram of
 their lengths, `capacity` counts whatever the corpus, goes to the driver. There
 a covering program over configurations (multisets of lengths that fit one
-sequence) is solved by multiplicative weights: each round prices the lengths,
-an unbounded-knapsack dynamic program finds the configuration of most price,
-and the weights of the lengths that it covers fall. The fractional solution is
-rounded down, and what is left is filled greedily, best fit first. Pieces then
-take their places by rank within their length, ranked without any task seeing a
+sequence) is solved by multiplicative weights: a length's price begins as its
+size and falls with the share of it that is covered; an unbounded-knapsack
+dynamic program finds configurations of most price, and these are used until
+one of their lengths is covered by a step more. The fractional solution is
+rounded, and what is left is filled greedily, best fit first. Pieces then take
+their places by rank within their length, ranked without any task seeing a
 whole length.
 """
 
@@ -27,6 +28,8 @@ from .common import cut
 #: The cache of a worker: distinct space-delimited units and their ids, some 200 bytes each.
 CACHE_UNITS = 1_000_000
 RANK_BUCKETS = 64
+#: Shares of the program's sequences that are tried beside best fit for the rest.
+KEPT = (1, 0.99, 0.97, 0.94, 0.9, 0.8, 0.6, 0.3, 0)
 
 
 class Encoder:
@@ -36,7 +39,7 @@ class Encoder:
     characters parts, so such a unit (with its leading space) is encoded once
     and remembered. New units are encoded as one text and parted again at the
     ids that begin with a space, of which each unit has one. Texts with other
-    white space beside a space are encoded whole.
+    white space beside a space, or with an added token, are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -46,7 +49,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
@@ -77,17 +80,20 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         split = []
         for t in texts:
+            if any(x in t for x in self.special):
+                split.append(None)
+                continue
             parts = t.split(" ")
             split.append([parts[0], *[" " + p for p in parts[1:]]])
-        wanted = set().union(*split)
+        wanted = set().union(*filter(None, split))
         if len(self.known) + len(wanted) > CACHE_UNITS:
             self.known.clear()
         self._learn(wanted.difference(self.known))
         out = []
         for t, us in zip(texts, split, strict=True):
-            try:
+            if us is not None and all(u in self.known for u in us):
                 out.append(b"".join([self.known[u] for u in us]))
-            except KeyError:
+            else:
                 out.append(self._ids([t])[0].tobytes())
         return out
 
@@ -132,30 +138,37 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
     return rows.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_configuration(price: np.ndarray, capacity: int) -> list[int]:
-    """The multiset of lengths that fits `capacity` and has most price; price[l - 1] is that of length l."""
-    best = np.zeros(capacity + 1)
-    took = np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        gain = price[:c] + best[c - 1 :: -1][:c]
-        i = int(gain.argmax())
-        if gain[i] > best[c - 1]:
-            best[c], took[c] = gain[i], i + 1
-        else:
-            best[c] = best[c - 1]
-    out, c = [], capacity
-    while c > 0:
-        if took[c]:
-            out.append(int(took[c]))
-            c -= took[c]
-        else:
-            c -= 1
-    return out
+Configuration = tuple[tuple[int, int], ...]
+
 
+def best_configurations(price: np.ndarray, capacity: int, most: int) -> tuple[list[Configuration], float]:
+    """Up to `most` configurations ((length, how many), ...) of most price, best first, and the price of the best.
 
-def greedy(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences of best fit for counts by length, equal sequences together."""
-    left, out = left.copy(), []
+    price[l - 1] is that of length l; lengths without a price are left out. One
+    table of the dynamic program gives, for each length, the best that holds it.
+    """
+    live = np.flatnonzero(price > 0) + 1
+    value = price[live - 1]
+    best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    upto = np.searchsorted(live, np.arange(capacity + 1), "right")
+    for c in range(int(live[0]), capacity + 1):
+        gain = value[: upto[c]] + best[c - live[: upto[c]]]
+        i = int(gain.argmax())
+        best[c], took[c] = max((gain[i], live[i]), (best[c - 1], 0), key=lambda x: x[0])
+    top, out = value + best[capacity - live], []
+    for i in np.argsort(-top, kind="stable")[:most]:
+        used, c = Counter({int(live[i]): 1}), capacity - int(live[i])
+        while c > 0:
+            l = int(took[c])
+            used[l] += l > 0
+            c -= l or 1
+        out.append(tuple(sorted((+used).items(), reverse=True)))
+    return out, float(top.max())
+
+
+def best_fit(left: np.ndarray, capacity: int) -> Counter:
+    """Sequences filled best fit first, equal ones together, for counts by length."""
+    left, out = left.copy(), Counter()
     while left.any():
         room, used, free = capacity, Counter(), left.copy()
         while room and len(fit := np.flatnonzero(free[:room])):
@@ -167,43 +180,85 @@ def greedy(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]
         times = min(int(left[l - 1]) // n for l, n in used.items())
         for l, n in used.items():
             left[l - 1] -= n * times
-        out.append((tuple(sorted(used.elements(), reverse=True)), times))
+        out[tuple(sorted(used.items(), reverse=True))] += times
     return out
 
 
-def configurations(counts: np.ndarray, capacity: int, rounds: int = 300, step: float = 0.15) -> list[tuple[tuple[int, ...], int]]:
-    """(configuration, how many sequences use it), covering `counts` exactly.
+def covering(counts: np.ndarray, capacity: int, rate: float = 1.0, step: float = 0.5, slack: float = 0.02, most: int = 64) -> dict[Configuration, float]:
+    """How often each configuration is used, in fractions that cover every count exactly.
 
-    Multiplicative weights for min sum x_C with sum_C a_Cl x_C >= counts_l:
-    weights start even, each round adds the configuration of most weighted
-    share of demand, and weights fall by e^(-step * covered share).
+    Multiplicative weights for min sum x_C with sum_C a_Cl x_C >= counts_l: a
+    price is the length times e^(-rate * covered share), 0 once it is covered.
+    Configurations found before serve as long as one is within `slack` of the
+    best price at the last pricing, which no later price exceeds.
+    """
+    need, size = counts.astype(float), np.arange(1, capacity + 1) / capacity
+    share, price = np.zeros(capacity), np.append(np.where(counts > 0, size, -np.inf), 0.0)
+    found: dict[Configuration, int] = {}
+    lengths, times, used = np.full((most, 4), capacity), np.zeros((most, 4)), []
+    best = 0.0
+    while (price[:-1] > 0).any():
+        with np.errstate(invalid="ignore"):
+            worth = np.where(times > 0, price[lengths] * times, 0.0).sum(1)
+        j = int(worth.argmax())
+        if not used or worth[j] <= 0 or worth[j] < (1 - slack) * best:
+            new, best = best_configurations(price[:-1], capacity, most)
+            for conf in new:
+                if conf in found:
+                    continue
+                found[conf] = len(used)
+                used.append(0.0)
+                if len(used) > len(lengths) or len(conf) > lengths.shape[1]:
+                    more = (len(lengths) if len(used) > len(lengths) else 0, max(0, len(conf) - lengths.shape[1]))
+                    lengths = np.pad(lengths, ((0, more[0]), (0, more[1])), constant_values=capacity)
+                    times = np.pad(times, ((0, more[0]), (0, more[1])))
+                at = found[conf]
+                lengths[at, : len(conf)], times[at, : len(conf)] = np.array(conf).T - [[1], [0]]
+            j = found[new[0]]
+        mine = times[j] > 0
+        l, a = lengths[j][mine], times[j][mine]
+        x = min(step * (need[l] / a).min(), ((1 - share[l]) * need[l] / a).min())
+        used[j] += x
+        share[l] += a * x / need[l]
+        price[l] = np.where(share[l] > 1 - 1e-9, -np.inf, size[l] * np.exp(-rate * share[l]))
+    return {conf: used[j] for conf, j in found.items() if used[j] > 0}
+
+
+def rounded(solution: dict[Configuration, float], counts: np.ndarray) -> tuple[Counter, np.ndarray]:
+    """Whole uses of configurations, and the counts they leave: rounded down, then one more of each that still fits, largest fraction first."""
+    left, out = counts.copy(), Counter()
+    for wanted, order in ((int, lambda u: (-u[1], u[0])), (lambda x: 1, lambda u: (-(u[1] % 1), u[0]))):
+        for conf, x in sorted(solution.items(), key=order):
+            n = min(wanted(x), *(int(left[l - 1]) // a for l, a in conf))
+            if n > 0:
+                out[conf] += n
+                for l, a in conf:
+                    left[l - 1] -= a * n
+    return out, left
+
+
+def configurations(counts: np.ndarray, capacity: int) -> tuple[list[tuple[Configuration, int]], int]:
+    """(configuration, how many sequences use it), covering `counts` exactly; and how many sequences the program gave.
+
+    What rounding leaves is filled by best fit, and with it as small a share of
+    the program's sequences, those with room left first, as makes the fewest
+    sequences in all; so they are never more than best fit alone would need.
     """
     if not counts.any():
-        return []
-    need = counts.astype(float)
-    live = need > 0
-    cover, uses = np.zeros(capacity), Counter()
-    weight = np.where(live, need / need.sum(), 0.0)
-    for _ in range(rounds):
-        price = np.where(live, weight / np.maximum(need, 1), 0.0)
-        conf = tuple(best_configuration(price, capacity))
-        a = np.bincount(np.array(conf) - 1, minlength=capacity).astype(float)
-        size = (need[a > 0] / a[a > 0]).min()
-        uses[conf] += size
-        cover += a * size
-        share = np.where(live, a * size / np.maximum(need, 1), 0.0)
-        weight = weight * np.exp(-step * share)
-        weight /= weight.sum()
-    # The solution scaled to cover every length, then each configuration rounded down where it still fits.
-    scale = 1 / max((cover[live] / need[live]).min(), 1e-9)
-    left, out = counts.copy(), []
-    for conf, x in sorted(uses.items(), key=lambda u: (-u[1], u[0])):
-        a = np.bincount(np.array(conf) - 1, minlength=capacity)
-        n = min(int(x * min(scale, 1.0)), int((left[a > 0] // a[a > 0]).min()))
-        if n > 0:
-            left -= a * n
-            out.append((conf, n))
-    return out + greedy(left, capacity)
+        return [], 0
+    out, left = rounded(covering(counts, capacity), counts)
+
+    full = {c for c in out if sum(l * a for l, a in c) == capacity}
+
+    def finished(share, all_):
+        kept, rest = Counter({c: k for c, n in out.items() if (all_ or c in full) and (k := int(n * share))}), left.copy()
+        for conf, n in (out - kept).items():
+            for l, a in conf:
+                rest[l - 1] += a * n
+        return kept, kept + best_fit(rest, capacity)
+
+    kept, whole = min((finished(share, all_) for share in KEPT for all_ in (True, False)), key=lambda t: t[1].total())
+    return sorted(whole.items(), reverse=True), kept.total()
 
 
 def pack(
@@ -213,7 +268,6 @@ def pack(
     end_id: int = 2,
     id_col: str = "doc_id",
     text_col: str = "text",
-    rounds: int = 300,
 ) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -237,9 +291,9 @@ def pack(
     slots: dict[int, list] = {}
     taken = np.zeros(capacity, np.int64)
     base = 0
-    for conf, times in configurations(counts, capacity, rounds):
+    for conf, times in configurations(counts, capacity)[0]:
         at = 0
-        for l, n in sorted(Counter(conf).items(), reverse=True):
+        for l, n in conf:
             slots.setdefault(l, []).append((taken[l - 1], n, base, at))
             taken[l - 1] += n * times
             at += l * n
