@@ -3,8 +3,10 @@
 A gear hash over the last 32 bytes marks places where a text may be cut. Cuts
 are normalised: before the usual size a stricter mask decides, after it a
 laxer one, so sizes stay near the usual one and an edit moves only the cuts
-next to it. A fingerprint is the set of (digest, length) of the chunks; two of
-them are as like as the length they share is of the longer.
+next to it. A fingerprint is the set of (digest, length) of the chunks. How far
+one text is contained in another is the length of its chunks that the other has
+too over the length of all its chunks; two texts are as like as the lesser of
+their two containments.
 """
 
 from __future__ import annotations
@@ -86,13 +88,17 @@ def fingerprint(text: str) -> np.ndarray:
     return np.unique(digest << np.uint64(16) | (ends - starts).astype(np.uint64))
 
 
-def likeness(a: np.ndarray, b: np.ndarray) -> float:
-    """Shared length over the larger length; 1 for two empty sets."""
+def containment(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
+    """How far a is contained in b, and b in a, by length; an empty one is contained in all."""
     low = np.uint64(0xFFFF)
-    size = max(int((a & low).sum()), int((b & low).sum()))
-    if not size:
-        return 1.0
-    return int((np.intersect1d(a, b, assume_unique=True) & low).sum()) / size
+    both = int((np.intersect1d(a, b, assume_unique=True) & low).sum())
+    first, second = (both / size if (size := int((x & low).sum())) else 1.0 for x in (a, b))
+    return first, second
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """The lesser containment; 1 for two empty sets, 0 if one is empty."""
+    return min(containment(a, b)) if len(a) and len(b) else float(len(a) == len(b))
 
 
 def to_text(print_: np.ndarray) -> str:
@@ -107,13 +113,15 @@ def edited(text: str, following: str) -> str:
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_bucket: int = 8 << 20) -> DataFrame:
     """(id, text, next_text): every row with the text of the next by id, the last with the first's.
 
-    Rows are dealt into ranges of ids of about `per_bucket` bytes; each range
+    Rows are dealt into ranges of ids of about `per_bucket` bytes (of up to 16
+    times that where there would be over 1024); each range
     gets a copy of the first row of the range after it, so no task sees more
     than a range. Only range borders and first ids go to the driver or through
     one task. Null ids come first; equal ids are ordered by text.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    n = blocks_for(total_bytes(rows), per_bucket)
+    size = total_bytes(rows)
+    n = max(blocks_for(size, 16 * per_bucket), min(blocks_for(size, per_bucket), 1024))
     places = rows.agg(F.percentile_approx("id", [i / n for i in range(n)], 5 * n)).first()[0] if n > 1 else None
     places = places or []
     # Every border is an id, and the least id is none, so no range is empty.
@@ -133,22 +141,25 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     return both.withColumn("next_text", F.lead("text").over(w)).filter(F.col("guard") == 0).select("id", "text", "next_text")
 
 
+COMPARED = ("n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "in_edited", "edited_in", "in_next", "next_in")
+
+
 def _print_batches(batches):
     for whole in batches:
         for at in range(0, whole.num_rows, 1000):
             batch = whole.slice(at, 1000)
-            out = [[] for _ in range(6)]
+            out = [[] for _ in range(10)]
             held = (None, None)
             for text, following in zip(batch.column("text").to_pylist(), batch.column("next_text").to_pylist(), strict=True):
                 own = held[1] if held[0] == text else fingerprint(text)
                 held = (following, fingerprint(following))
                 changed = edited(text, following)
                 other = fingerprint(changed)
-                values = (len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), to_text(own), to_text(other), likeness(own, other), likeness(own, held[1]))
+                values = (len(text), hashlib.sha256(changed.encode("utf-8", "surrogatepass")).hexdigest(), to_text(own), to_text(other), likeness(own, other), likeness(own, held[1]), *containment(own, other), *containment(own, held[1]))
                 for column, v in zip(out, values, strict=True):
                     column.append(v)
-            kinds = (pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+            kinds = (pa.int64(), *[pa.string()] * 3, *[pa.float64()] * 6)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["id", *COMPARED])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,9 +183,11 @@ def compare_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """Every row's fingerprint, its edited text's, and likeness to that and to the next row's.
 
     The edited text has its last quarter replaced by the beginning of the next
-    row's text. Nulls, repeated rows and no rows: see `with_next`.
+    row's text. in_edited is how far the text is contained in its edited text,
+    edited_in the reverse; in_next and next_in say the same of the next row's
+    text. Nulls, repeated rows and no rows: see `with_next`.
     """
-    kinds = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    kinds = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, in_edited double, edited_in double, in_next double, next_in double"
     return with_next(docs, id_col, text_col).mapInArrow(_print_batches, kinds).withColumnRenamed("id", id_col)
 
 
