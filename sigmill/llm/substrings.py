@@ -174,7 +174,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     assert window > RUN
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    blocks = blocks_for(total_bytes(rows), per_block, least=4)
+    blocks = blocks_for(total_bytes(rows), per_block, least=32)
     row = F.xxhash64("id", "text")
     dealt = rows.select(F.pmod(row, F.lit(blocks)).cast("int").alias("block"), row.alias("row"), "id", "text")
 

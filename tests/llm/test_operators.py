@@ -134,6 +134,26 @@ def test_repeats_go(messy, corpus, group_size):
     assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_removed(rows, 13)
 
 
+@pytest.mark.parametrize("group_size", [2, 400_000])
+def test_long_and_looping_repeats_go(spark, words, group_size):
+    """Repeats many times longer than a stretch, text that repeats itself, holders of parts, ties."""
+    r = random.Random(21)
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    long = say(700)
+    part = " ".join(long.split()[100:140])
+    loop = "a b " * 60
+    texts = [say(40) + " " + part, long, say(9) + " " + long + " " + say(30), loop, "x " + loop, "a " * 200, part + " " + say(13), say(12), part, part, " ".join(long.split()[95:150])]
+    rows = [(i * 3 % 11, t, "en", "s") for i, t in enumerate(texts)]
+    got = substrings.drop_repeats(make(spark, rows), per_block=4000, group_size=group_size)
+    assert rows_of(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute_removed(rows, 13)
+
+
+def test_kept_text_is_what_is_left(spark, docs, corpus):
+    for r in substrings.drop_repeats(docs).collect():
+        assert hashlib.sha256(r.kept.encode()).hexdigest() == r.kept_sha256
+        assert len(r.kept.split()) == r.n_words - r.n_removed
+
+
 # 4: personal data
 def brute_pii(text):
     spans = []
@@ -269,18 +289,60 @@ def test_packing_is_gapless_and_tight(messy, corpus):
     assert len(by) <= math.ceil(total / 1024) + 1
 
 
-def test_configurations_cover_counts_exactly():
+def histogram(lengths):
+    return np.bincount(np.clip(lengths, 1, 1024).astype(int), minlength=1025)[1:]
+
+
+@pytest.mark.parametrize("kind", ["geometric", "lognormal"])
+def test_program_gives_most_sequences_and_no_more_than_best_fit(kind):
     r = np.random.default_rng(2)
-    counts = np.zeros(1024, np.int64)
-    np.add.at(counts, np.minimum(r.geometric(1 / 300, 5000), 1024) - 1, 1)
-    plan = packing.configurations(counts, 1024)
+    counts = histogram(r.geometric(1 / 300, 20_000) if kind == "geometric" else r.lognormal(5.5, 1, 20_000))
+    plan, by_program = packing.configurations(counts, 1024)
     made = np.zeros(1024, np.int64)
     for conf, n in plan:
-        assert sum(conf) <= 1024
-        np.add.at(made, np.array(conf) - 1, n)
+        assert sum(l * a for l, a in conf) <= 1024
+        for l, a in conf:
+            made[l - 1] += a * n
     assert (made == counts).all()
-    least = math.ceil((counts * np.arange(1, 1025)).sum() / 1024)
-    assert sum(n for _, n in plan) <= 1.01 * least + 1
+    sequences, alone = sum(n for _, n in plan), packing.best_fit(counts, 1024).total()
+    assert sequences <= alone
+    # Full pieces pack themselves; of all other sequences most are the program's.
+    assert by_program - counts[-1] > 0.5 * (sequences - counts[-1])
+
+
+def test_program_alone_is_near_the_bound():
+    counts = histogram(np.random.default_rng(3).geometric(1 / 300, 20_000))
+    solution = packing.covering(counts, 1024)
+    cover = np.zeros(1024)
+    for conf, x in solution.items():
+        for l, a in conf:
+            cover[l - 1] += a * x
+    assert np.allclose(cover, counts)
+    assert sum(solution.values()) <= 1.005 * (counts * np.arange(1, 1025)).sum() / 1024
+
+
+def test_best_configurations_equal_enumeration():
+    r = np.random.default_rng(4)
+    price = np.where(r.random(12) < 0.6, r.random(12), -np.inf)
+    price[2] = 0.4
+
+    def best(room):
+        return max([0.0, *(price[l - 1] + best(room - l) for l in range(1, room + 1) if price[l - 1] > 0)])
+
+    found, value = packing.best_configurations(price, 12, 5)
+    assert math.isclose(value, best(12))
+    assert math.isclose(sum(price[l - 1] * a for l, a in found[0]), value)
+    assert all(sum(l * a for l, a in c) <= 12 for c in found)
+
+
+def test_ids_are_those_of_a_plain_call():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a  b\n c", " lead and trail ", "", "na\u00efve \U0001f600 ok", "tab\tx <|endoftext|>"]
+    plain = Tokenizer.from_file(path)
+    assert [np.frombuffer(b, "<u4").tolist() for b in packing.Encoder(path).encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 # 8: near duplicates
@@ -365,6 +427,40 @@ def test_chunk_ends_are_bounded_and_shift_with_the_text():
     assert fingerprint.likeness(fingerprint.fingerprint(text), fingerprint.fingerprint("zz" + text)) > 0.9
 
 
+def slow_chunks(data: bytes) -> list[bytes]:
+    """The rule byte by byte: a gear hash that every byte shifts on, a strict mask up to the usual size, a lax one after."""
+    out, start, h = [], 0, 0
+    for i, b in enumerate(data):
+        h = (h << 1) + int(fingerprint.GEAR32[b]) & 0xFFFFFFFF
+        size = i + 1 - start
+        mask = fingerprint.STRICT if size < fingerprint.USUAL else fingerprint.LAX
+        left = len(data) - start
+        if left <= fingerprint.LEAST:
+            continue
+        if size == fingerprint.MOST or (size >= fingerprint.LEAST and i + 1 < len(data) and not h & int(mask)):
+            out.append(data[start : i + 1])
+            start = i + 1
+    return [*out, data[start:]] if start < len(data) else out
+
+
+def test_fingerprints_equal_a_slow_chunker(spark, docs, corpus):
+    texts = [t or "" for _, t, *_ in corpus] + ["a" * 500, "ab" * 300, "\u00e9\U0001f600" * 90]
+    sets = [set(slow_chunks(t.encode())) for t in texts]
+    prints = [fingerprint.fingerprint(t) for t in texts]
+    for s, p in zip(sets, prints, strict=True):
+        assert sorted(map(len, s)) == sorted((p & np.uint64(0xFFFF)).tolist())
+    size = lambda s: sum(map(len, s))
+    for i in range(0, len(texts), 7):
+        for j in range(len(texts)):
+            a, b, both = sets[i], sets[j], size(sets[i] & sets[j])
+            want = (both / size(a) if a else 1.0, both / size(b) if b else 1.0)
+            assert fingerprint.containment(prints[i], prints[j]) == want
+    whole = corpus[0][1]
+    long = next(t for i, t, *_ in corpus if i == 405)
+    inside, around = fingerprint.containment(fingerprint.fingerprint(whole), fingerprint.fingerprint(long + whole + long))
+    assert inside > 0.7 and around < 0.1
+
+
 def test_next_rows_over_ranges(docs, corpus):
     got = sorted(((r.id, r.text, r.next_text) for r in fingerprint.with_next(docs, per_bucket=2000).collect()))
     order = sorted((i, t or "") for i, t, *_ in corpus)
