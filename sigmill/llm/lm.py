@@ -1,111 +1,120 @@
 """Prediction by partial matching over bytes, counted over a corpus and scored by Spark.
 
-A text is its lower-cased words, a space after each, and one end. Contexts are
-up to ORDER bytes and reach back to the space before a word, so a word's code
-length is one number per trie: words are scored once, not once per occurrence.
-There is a trie for each class of training rows (for documents, a language);
-a text's probability is the mixture of what the tries give it.
-
-The tries are never in one place. Blocks of documents send their distinct words
-to word groups; these send the nodes they count and the events they need
-(context, symbol) to node groups, keyed by the last two bytes of the context so
-that every shorter context from two bytes on is there too; prices of events
-come back to the word groups, scores of words to the blocks. Contexts of no or
-one byte, at most 65,792 counts a class, are a table everyone has.
-
-Escapes follow method C: a context that was seen `total` times with `kinds`
-symbols escapes with kinds / (total + kinds). Symbols of the longer context are
-excluded from the shorter one.
+A text is its bytes, A-Z in lower case and white space as it stands, and one
+end; ends stand before it too, so that every byte has ORDER bytes of context,
+across words as within them. There is a trie for each class of training rows
+(for documents, a language); a text's probability is the mixture of what the
+tries give it.
+
+The tries are never in one place. Blocks of documents send their distinct
+events (context, symbol), each once, to groups of contexts and get prices back.
+A group is made by the last two bytes of the context and a part of the third,
+so that contexts ending in a common pair are several groups; each has all its
+contexts of three bytes and more, and a copy of the nodes of two. Contexts of
+no or one byte, at most 65,792 nodes a class, are a table everyone has.
+
+Escapes follow method D: among what a context has left of `total` events and
+`kinds` symbols, a symbol seen `count` times has (2 count - 1) / (2 total), the
+escape kinds / (2 total). Symbols of the longer context are excluded from the
+shorter one.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import block_of, blocks_for, lower_words, total_bytes
+from .common import AT_ONCE, blocks_for, coded, cut, mix, total_bytes
 
 ORDER = 5
-END = b"\n"
-MAX_CLASSES = 6
-U64, I64, I32, F32 = np.dtype("<u8"), np.dtype("<i8"), np.dtype("<i4"), np.dtype("<f4")
-NODE, ASK = 0, 1
+#: A byte that no UTF-8 text holds: the end, and what stands before a text.
+END = 0xFF
+#: Into how many parts the contexts of one pair of last bytes are dealt.
+PARTS = 16
+U64, I64, F32 = np.dtype("<u8"), np.dtype("<i8"), np.dtype("<f4")
+WORDS, PRICES = 0, 1
+LOW = np.arange(256, dtype=np.uint8)
+LOW[65:91] += 32
 
 
-def word_bytes(words: list[bytes]):
-    """(bytes, offset in its word, word number) of ' ' + word + ' ' of all words, one after another."""
-    data = np.frombuffer(b"".join([b" " + w + (b"" if w == END else b" ") for w in words]), np.uint8)
-    lengths = np.array([len(w) + 2 - (w == END) for w in words])
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    offset = np.arange(len(data)) - np.repeat(first, lengths)
-    return data, offset, np.repeat(np.arange(len(words)), lengths)
+def streams(column: pa.ChunkedArray | pa.Array, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, events of each row, keys of these events) for runs of rows; a long row comes in several runs.
 
-
-def contexts(data: np.ndarray, offset: np.ndarray, k: int) -> np.ndarray:
-    """The k bytes before each place, packed; only meant where offset >= k."""
-    out = np.zeros(len(data), np.uint64)
-    for j in range(k, 0, -1):
+    A key is the last `order` bytes and the symbol. Null is empty.
+    """
+    before = 0
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        chunk = chunk.cast(pa.large_binary()).fill_null(b"")
+        _, offsets, data = chunk.buffers()
+        if not len(chunk):
+            continue
+        offsets = np.frombuffer(offsets, np.int64)[chunk.offset : chunk.offset + len(chunk) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8)
+        row = 0
+        while row < len(chunk):
+            to = max(row + 1, int(np.searchsorted(offsets, offsets[row] + AT_ONCE, "right")) - 1)
+            lengths = np.diff(offsets[row : to + 1])
+            if to > row + 1 or lengths[0] <= AT_ONCE:
+                size = lengths + order + 1
+                text = np.full(size.sum(), END, np.uint8)
+                own = np.repeat(np.arange(len(lengths)), lengths)
+                text[np.arange(lengths.sum()) + own * (order + 1) + order] = LOW[data[offsets[row] : offsets[to]]]
+                first = np.cumsum(size) - size
+                real = np.ones(len(text), bool)
+                real[first[:, None] + np.arange(order)] = False
+                yield before + row, lengths + 1, keys_of(text, order)[real]
+            else:
+                lo, hi = int(offsets[row]), int(offsets[to])
+                for at in range(lo, hi + 1, AT_ONCE):
+                    end = min(at + AT_ONCE, hi + 1)
+                    head = LOW[data[max(lo, at - order) : at]]
+                    text = np.concatenate([np.full(order - len(head), END, np.uint8), head, LOW[data[at : min(end, hi)]], np.full(int(end > hi), END, np.uint8)])
+                    yield before + row, np.array([end - at]), keys_of(text, order)[order:]
+            row = to
+        before += len(chunk)
+
+
+def keys_of(text: np.ndarray, order: int) -> np.ndarray:
+    out = np.zeros(len(text), np.uint64)
+    for j in range(order, -1, -1):
         out <<= np.uint64(8)
-        out[j:] |= data[:-j]
+        out[j:] |= text[: len(text) - j]
     return out
 
 
-def packed(k, context, symbol):
-    return np.uint64(k) << np.uint64(56) | context << np.uint64(8) | symbol.astype(np.uint64)
+def shorter(keys: np.ndarray, k: int) -> np.ndarray:
+    """Events with their context cut to its last k bytes."""
+    return keys & np.uint64((1 << 8 * (k + 1)) - 1)
 
 
-def events(words: list[bytes]):
-    """(key, word number) of every event of the words: the longest context and the symbol."""
-    data, offset, number = word_bytes(words)
-    keys = np.zeros(len(data), np.uint64)
-    for k in range(1, ORDER + 1):
-        at = np.flatnonzero(offset == k if k < ORDER else offset >= k)
-        keys[at] = packed(k, contexts(data, offset, k)[at], data[at])
-    at = offset > 0
-    return keys[at], number[at]
+def part_of(keys: np.ndarray) -> np.ndarray:
+    """By the third byte of the context from its end."""
+    return (keys >> np.uint64(24) & np.uint64(0xFF)) % np.uint64(PARTS)
 
 
-def shorter(keys: np.ndarray, k: int) -> np.ndarray:
-    """Events with their context cut to its last k bytes."""
-    return np.uint64(k) << np.uint64(56) | keys & np.uint64((1 << 8 * (k + 1)) - 1)
-
-
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """By the last two bytes of the context; contexts of one byte are anywhere."""
-    last = keys >> np.uint64(8) & np.uint64(0xFFFF)
-    last[keys >> np.uint64(56) < 2] = 0
-    return (last * np.uint64(0x9E3779B1) % np.uint64(1 << 32) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-
-
-def nodes_of(words: list[bytes], counts: np.ndarray):
-    """(key, class, count) of all nodes of two context bytes and more."""
-    data, offset, number = word_bytes(words)
-    symbols, keys, classes, totals = data.astype(np.uint64), [], [], []
-    for z in range(counts.shape[1]):
-        weight = counts[number, z]
-        for k in range(2, ORDER + 1):
-            at = np.flatnonzero((offset >= k) & (weight > 0))
-            if len(at):
-                key, inverse = np.unique(packed(k, contexts(data, offset, k)[at], symbols[at]), return_inverse=True)
-                keys.append(key)
-                classes.append(np.full(len(key), z, np.uint8))
-                totals.append(np.bincount(inverse, weights=weight[at]).astype(np.int64))
-    if not keys:
-        return np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.int64)
-    return np.concatenate(keys), np.concatenate(classes), np.concatenate(totals)
+def group_of(pair: np.ndarray, part: np.ndarray, groups: int) -> np.ndarray:
+    return (mix(pair * np.uint64(PARTS) + part) >> np.uint64(33)).astype(np.int64) % groups
 
 
 def find(values: np.ndarray, known: np.ndarray) -> np.ndarray:
     """Index of each value in sorted `known`, or len(known)."""
-    at = np.searchsorted(known, values)
-    ok = at < len(known)
-    ok[ok] = known[at[ok]] == values[ok]
-    return np.where(ok, at, len(known))
+    if not len(known):
+        return np.zeros(len(values), np.int64)
+    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+    return np.where(known[at] == values, at, len(known))
+
+
+def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their counts (a row each)."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+    return keys[first], np.add.reduceat(counts, first, axis=0) if len(first) else counts
 
 
 class Level:
@@ -116,110 +125,69 @@ class Level:
         self.counts = np.append(counts, 0).astype(float)
         self.contexts, self.of = np.unique(keys >> np.uint64(8), return_inverse=True)
         n = len(self.contexts) + 1
-        self.total = np.bincount(self.of, weights=counts, minlength=n).astype(float)
+        self.total = np.bincount(self.of, weights=counts, minlength=n)
         self.kinds = np.bincount(self.of, minlength=n).astype(float)
         self.excluded = np.zeros(n)
 
-    def count(self, keys):
+    def count(self, keys: np.ndarray) -> np.ndarray:
         return self.counts[find(keys, self.keys)]
 
-    def exclude_from(self, below: Level, k: int):
-        """What the shorter context has of the symbols seen here."""
-        seen = below.count(shorter(self.keys, k))
-        self.excluded = np.bincount(self.of, weights=seen, minlength=len(self.contexts) + 1)
-
-
-def low_levels(low: np.ndarray) -> list[Level]:
-    """Levels 0 and 1 from a 257 x 256 table: row 256 has the counts without context."""
-    symbol = np.flatnonzero(low[256]).astype(np.uint64)
-    zero = Level(symbol, low[256][symbol.astype(int)])
-    before, after = np.nonzero(low[:256])
-    one = Level(packed(1, before.astype(np.uint64), after), low[before, after])
-    one.exclude_from(zero, 0)
-    return [zero, one]
+    def above(self, below: Level, k: int) -> Level:
+        """Notes how much the contexts of k bytes, `below`, have of the symbols seen here."""
+        self.excluded = np.bincount(self.of, weights=below.count(shorter(self.keys, k)), minlength=len(self.contexts) + 1)
+        return self
 
 
 def price(keys: np.ndarray, levels: list[Level]) -> np.ndarray:
     """log10 probability of each event in one trie; levels[k] has the contexts of k bytes."""
-    size = (keys >> np.uint64(56)).astype(np.int64)
     out, open_ = np.zeros(len(keys)), np.ones(len(keys), bool)
     gone, kinds_gone = np.zeros(len(keys)), np.zeros(len(keys))
-    for k in range(ORDER, -1, -1):
-        level = levels[k]
-        at = np.flatnonzero(open_ & (size >= k))
-        if not len(at):
-            continue
-        cut_ = shorter(keys[at], k)
-        context = find(cut_ >> np.uint64(8), level.contexts)
+    for k in range(len(levels) - 1, -1, -1):
+        level, at = levels[k], np.flatnonzero(open_)
+        short = shorter(keys[at], k)
+        context, seen = find(short >> np.uint64(8), level.contexts), level.count(short)
         total, kinds = level.total[context], level.kinds[context]
-        seen = level.count(cut_)
-        new = np.maximum(kinds - kinds_gone[at], 0)
-        whole = total - gone[at] + new
+        left, new = 2 * (total - gone[at]), kinds - kinds_gone[at]
         with np.errstate(divide="ignore", invalid="ignore"):
-            hit = seen > 0
-            out[at] += np.where(hit, np.log10(seen / whole), np.where((total > 0) & (new > 0), np.log10(new / whole), 0.0))
-        open_[at[hit]] = False
+            out[at] += np.where(seen > 0, np.log10((2 * seen - 1) / left), np.where((total > 0) & (new > 0), np.log10(new / left), 0.0))
+        open_[at[seen > 0]] = False
         gone[at] = level.excluded[context]
         kinds_gone[at] = np.where(total > 0, kinds, 0)
-    out[open_] -= np.log10(np.maximum(256 - levels[0].kinds[:-1].sum(), 1))
+    out[open_] -= np.log10(max(256 - levels[0].kinds.sum(), 1))
     return out
 
 
-def _low_counts(batches, classes: int):
-    total = np.zeros((classes, 257, 256), np.int64)
-    for batch in batches:
-        for train, z, text in zip(batch.column("train").to_pylist(), batch.column("class").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if train:
-                words = lower_words(text)
-                data = np.frombuffer(b" " + b" ".join(words) + (b" " if words else b"") + END, np.uint8)
-                total[z, :256] += np.bincount(data[:-1].astype(np.int64) * 256 + data[1:], minlength=65536).reshape(256, 256)
-                total[z, 256] += np.bincount(data[1:], minlength=256)
-    z, key = np.nonzero(total.reshape(classes, -1))
-    yield pa.RecordBatch.from_arrays([pa.array(z.astype(np.int32)), pa.array(key.astype(np.int32)), pa.array(total.reshape(classes, -1)[z, key])], ["class", "key", "n"])
-
+def _split(groups: np.ndarray):
+    """(group, rows of it) for each value of `groups`."""
+    order = np.argsort(groups, kind="stable")
+    values, first = np.unique(groups[order], return_index=True)
+    return zip(values.tolist(), np.split(order, first[1:]), strict=True) if len(values) else ()
 
-def low_tables(rows: DataFrame, classes: int) -> np.ndarray:
-    got = rows.mapInArrow(lambda b: _low_counts(b, classes), "class int, key int, n long").groupBy("class", "key").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((classes, 257 * 256), np.int64)
-    out[got.column("class").to_numpy(), got.column("key").to_numpy()] = got.column("n").to_numpy()
-    return out.reshape(classes, 257, 256)
 
+def _table(columns: dict, schema: pa.Schema) -> pa.Table:
+    return pa.table([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
-def group_of(word: bytes, groups: int) -> int:
-    return zlib.crc32(word) % groups
 
-
-def vocabulary_size(rows: DataFrame, groups: int) -> int:
-    """Distinct training tokens; sets of words are counted group by group."""
-
-    def distinct(batches):
-        words = {END: None}
-        for batch in batches:
-            for text in batch.column("text").to_pylist():
-                words.update(dict.fromkeys(lower_words(text)))
-        by: dict[int, list] = {}
-        for w in words:
-            by.setdefault(group_of(w, groups), []).append(w)
-        yield pa.RecordBatch.from_arrays([pa.array(list(by), pa.int32()), pa.array([b" ".join(x) for x in by.values()], pa.binary())], ["grp", "words"])
-
-    def count(table: pa.Table) -> pa.Table:
-        known = set()
-        for x in table.column("words").to_pylist():
-            known.update(x.split(b" "))
-        return pa.table({"n": pa.array([len(known)], pa.int64())})
-
-    training = rows.filter("train")
-    if training.isEmpty():
-        return 0
-    return training.select("text").mapInArrow(distinct, "grp int, words binary").groupBy("grp").applyInArrow(count, "n long").agg(F.sum("n")).first()[0]
-
-
-def by_group(words, groups: int):
-    """(group, its words, sorted) of a set of words, in one order wherever it is asked."""
-    by: dict[int, list] = {}
-    for w in words:
-        by.setdefault(group_of(w, groups), []).append(w)
-    return [(g, sorted(by[g])) for g in sorted(by)]
+def event_counts(table: pa.Table | pa.RecordBatch, classes: int, order: int, only_training: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct events of (text, train, class) rows and how often each class of training rows has them."""
+    train, kind = table.column("train").to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column("train").to_numpy(), np.asarray(table.column("class"))
+    column = np.where(train, kind, classes)
+    found, waiting = [], 0
+    for row, n, keys in streams(table.column("text"), order):
+        own = np.repeat(column[row : row + len(n)], n)
+        keys, times = np.unique(keys << np.uint64(8) | own.astype(np.uint64), return_counts=True)
+        own = (keys & np.uint64(0xFF)).astype(np.int64)
+        if only_training:
+            keys, times, own = keys[own < classes], times[own < classes], own[own < classes]
+        counts = np.zeros((len(keys), classes + 1), np.int64)
+        counts[np.arange(len(keys)), own] = times
+        found.append(merged(keys >> np.uint64(8), counts[:, :classes]))
+        waiting += len(keys)
+        if waiting > 1_000_000:
+            found, waiting = [merged(*map(np.concatenate, zip(*found, strict=True)))], 0
+    if not found:
+        return np.empty(0, np.uint64), np.zeros((0, classes), np.int64)
+    return merged(*map(np.concatenate, zip(*found, strict=True)))
 
 
 def score_texts(
@@ -228,176 +196,171 @@ def score_texts(
     id_col: str = "doc_id",
     text_col: str = "text",
     class_col: str | None = "lang",
+    max_classes: int = 6,
     per_block: int = 16 << 20,
 ) -> DataFrame:
     """One row per input row: id, n_tokens, n_known, train_tokens, base_score, score.
 
     `train`: boolean column, true for the rows to learn from. base_score is the
     add-one unigram log10 probability of the tokens (words and the end), score
-    the mixture of tries'. `class_col` only parts the training rows (its
-    MAX_CLASSES commonest values; all else is one more class); no score looks at
-    it. Null and empty texts are the end alone. Null ids and repeated rows are
-    kept; without training rows the base is 0 and the tries are even over bytes;
-    no rows give no rows; other columns are not read.
-
-    Broadcast are two-byte counts, at most 65,792 a class. All else that the
-    corpus gives is spread over groups of words and of contexts.
+    that of the text's bytes and end by the mixture of tries. `class_col` only
+    parts the training rows into tries (its `max_classes` commonest values, and
+    one trie for all others); no score looks at it. Null and empty texts are the
+    end alone. Null ids and repeated rows are kept; without training rows the
+    base is 0 and the tries are even over bytes; no rows give no rows; other
+    columns are not read. Words are told apart by 64-bit hashes.
+
+    Broadcast are one-byte contexts, at most 65,792 nodes a class. All else that
+    the corpus gives is spread over groups of words and of contexts.
     """
     kind = F.coalesce(F.col(class_col).cast("string"), F.lit("")) if class_col else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"), F.coalesce(train, F.lit(False)).alias("train"), kind.alias("class"))
-    common = [r["class"] for r in rows.filter("train").groupBy("class").count().orderBy(F.desc("count"), "class").limit(MAX_CLASSES).collect()]
+    common = [r["class"] for r in rows.filter("train").groupBy("class").count().orderBy(F.desc("count"), "class").limit(max_classes).collect()]
     classes = len(common) + 1
     place = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, c in enumerate(common) for x in (c, i)]), F.col("class")), F.lit(len(common))) if common else F.lit(0)
     rows = rows.withColumn("class", place.cast("int"))
-    blocks = blocks_for(total_bytes(rows), per_block, least=2)
-    groups = buckets = blocks_for(blocks, 2, least=2)
-    low = low_tables(rows.select("train", "class", "text"), classes)
-    ends = low[:, 256, END[0]]
-    n_train = int(low[:, 256, 32].sum() + ends.sum())
-    vocabulary = vocabulary_size(rows.select("train", "text"), groups)
+    blocks = blocks_for(total_bytes(rows), per_block, least=32)
+    groups = blocks_for(blocks, 2)
+    dealt = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "id", "text", "train", "class")
+
+    def pairs(batches):
+        """Nodes of two context bytes, as (key, class, n)."""
+        found = []
+        for batch in batches:
+            found.append(event_counts(batch, classes, 2, only_training=True))
+            if len(found) > 16:
+                found = [merged(*map(np.concatenate, zip(*found, strict=True)))]
+        if found:
+            keys, counts = merged(*map(np.concatenate, zip(*found, strict=True)))
+            at, z = np.nonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at].astype(np.int64)), pa.array(z.astype(np.int32)), pa.array(counts[at, z])], ["key", "class", "n"])
+
+    two = cut(rows.filter("train").select("text", "train", "class").mapInArrow(pairs, "key long, class int, n long").groupBy("key", "class").agg(F.sum("n").alias("n")))
+    one = two.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key"), "class").agg(F.sum("n").alias("n")).toArrow()
+    key, of, n = (one.column(c).to_numpy() for c in ("key", "class", "n"))
+    low = []
+    ends = np.zeros(classes, np.int64)
+    for z in range(classes):
+        order = np.argsort(key[of == z])
+        keys, counts = key[of == z][order].astype(np.uint64), n[of == z][order]
+        low.append((keys, counts))
+        ends[z] = counts[keys & np.uint64(0xFF) == END].sum()
     live = np.flatnonzero(ends) if ends.any() else np.array([0])
-    prior = np.log10(np.maximum(ends[live], 1) / max(1, ends[live].sum()))
-    low = low[live]
-    rank = np.full(classes, -1)
-    rank[live] = np.arange(len(live))
-    tables = len(live)
-    dealt = rows.select(F.coalesce(block_of("id", blocks), F.lit(0)).alias("block"), "id", "text", "train", "class")
+    prior = np.log10(np.maximum(ends[live], 1) / max(1, ends.sum()))
 
-    posting = pa.schema([("grp", pa.int32()), ("block", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
+    # Words: their training counts, by groups of words.
+    posting = pa.schema([("grp", pa.int32()), ("block", pa.int32()), ("codes", pa.binary()), ("counts", pa.binary())])
 
     def postings(left: pa.Table) -> pa.Table:
-        seen, counts = {END}, [Counter() for _ in range(tables)]
-        for text, t, z in zip(left.column("text").to_pylist(), left.column("train").to_pylist(), left.column("class").to_pylist(), strict=True):
-            words = lower_words(text)
-            if t:
-                c = counts[rank[z]]
-                c.update(words)
-                c[END] += 1
-            else:
-                seen.update(words)
-        seen.update(*counts)
+        train, found = left.column("train").to_numpy(), []
+        for row, n, codes in coded(left.column("text"), lower=True):
+            own = np.repeat(train[row : row + len(n)], n).astype(np.int64)
+            found.append(merged(codes, own))
+        codes, counts = merged(*map(np.concatenate, zip(*found, strict=True)))
         out = {c: [] for c in posting.names}
-        block = left.column("block")[0].as_py()
-        for g, words in by_group(seen, groups):
-            n = np.array([[c.get(w, 0) for c in counts] for w in words], I32)
-            for c, x in zip(posting.names, (g, block, b" ".join(words), n.tobytes()), strict=True):
-                out[c].append(x)
-        return pa.table([pa.array(out[f.name], f.type) for f in posting], schema=posting)
-
-    def gathered(table: pa.Table):
-        """The words of a group and their counts by class; and each block's words as indices."""
-        index: dict[bytes, int] = {}
-        parts, counts = [], []
-        for words, n in zip(table.column("words").to_pylist(), table.column("counts").to_pylist(), strict=True):
-            ids = np.fromiter((index.setdefault(w, len(index)) for w in words.split(b" ")), np.int64)
-            parts.append(ids)
-            counts.append(np.frombuffer(n, I32).reshape(-1, tables))
-        total = np.zeros((len(index), tables), np.int64)
-        for ids, n in zip(parts, counts, strict=True):
-            total[ids] += n
-        return list(index), total, parts
-
-    sent = pa.schema([("bucket", pa.int32()), ("grp", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("classes", pa.binary()), ("counts", pa.binary())])
-
-    def split_by(values: np.ndarray):
-        order = np.argsort(values, kind="stable")
-        found, first = np.unique(values[order], return_index=True)
-        return zip(found.tolist(), np.split(order, first[1:]), strict=True)
-
-    def nodes_and_asks(table: pa.Table) -> pa.Table:
-        words, total, _ = gathered(table)
-        g = table.column("grp")[0].as_py()
-        out = {c: [] for c in sent.names}
-        keys, cls, counts = nodes_of(words, total)
-        for b, at in split_by(bucket_of(keys, buckets)):
-            for c, x in zip(sent.names, (b, g, NODE, keys[at].tobytes(), cls[at].tobytes(), counts[at].tobytes()), strict=True):
-                out[c].append(x)
-        keys = np.unique(events(words)[0])
-        for b, at in split_by(bucket_of(keys, buckets)):
-            for c, x in zip(sent.names, (b, g, ASK, keys[at].tobytes(), None, None), strict=True):
+        for g, at in _split(group_of(codes, np.uint64(0), groups)):
+            for c, x in zip(posting.names, (g, left.column("block")[0].as_py(), codes[at].tobytes(), counts[at].tobytes()), strict=True):
                 out[c].append(x)
-        return pa.table([pa.array(out[f.name], f.type) for f in sent], schema=sent)
-
-    priced = pa.schema([("grp", pa.int32()), ("keys", pa.binary()), ("prices", pa.binary())])
-
-    def prices(table: pa.Table) -> pa.Table:
-        rows_ = table.to_pylist()
-        node = [r for r in rows_ if r["kind"] == NODE]
-        keys = np.frombuffer(b"".join(r["keys"] for r in node), U64)
-        cls = np.frombuffer(b"".join(r["classes"] for r in node), np.uint8)
-        counts = np.frombuffer(b"".join(r["counts"] for r in node), I64)
-        asks = [(r["grp"], np.frombuffer(r["keys"], U64)) for r in rows_ if r["kind"] == ASK]
-        wanted = np.unique(np.concatenate([k for _, k in asks])) if asks else np.empty(0, np.uint64)
-        result = np.zeros((len(wanted), tables))
-        for z in range(tables):
-            levels = low_levels(low[z])
-            for k in range(2, ORDER + 1):
-                at = np.flatnonzero((cls == z) & (keys >> np.uint64(56) == k))
-                key, inverse = np.unique(keys[at], return_inverse=True)
-                level = Level(key, np.bincount(inverse, weights=counts[at], minlength=len(key)) if len(key) else np.empty(0))
-                level.exclude_from(levels[-1], k - 1)
-                levels.append(level)
-            result[:, z] = price(wanted, levels)
-        out = {c: [] for c in priced.names}
-        for g, k in asks:
-            for c, x in zip(priced.names, (g, k.tobytes(), result[np.searchsorted(wanted, k)].astype(F32).tobytes()), strict=True):
+        return _table(out, posting)
+
+    counted = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64())])
+
+    def word_counts(table: pa.Table) -> pa.Table:
+        mine = [(b, np.frombuffer(c, U64), np.frombuffer(n, I64)) for b, c, n in zip(*(table.column(x).to_pylist() for x in ("block", "codes", "counts")), strict=True)]
+        codes, counts = merged(np.concatenate([c for _, c, _ in mine]), np.concatenate([n for *_, n in mine]))
+        out = {c: [] for c in counted.names}
+        for i, (block, c, _) in enumerate(mine):
+            first = i == 0
+            for name, x in zip(counted.names, (block, WORDS, c.tobytes(), counts[np.searchsorted(codes, c)].tobytes(), int((counts > 0).sum()) if first else 0, int(counts.sum()) if first else 0), strict=True):
+                out[name].append(x)
+        return _table(out, counted)
+
+    words = cut(
+        dealt.groupBy("block").applyInArrow(postings, "grp int, block int, codes binary, counts binary").groupBy("grp").applyInArrow(word_counts, "block int, kind int, keys binary, values binary, distinct long, total long")
+    )
+    known = words.agg(F.coalesce(F.sum("distinct"), F.lit(0)).alias("v"), F.coalesce(F.sum("total"), F.lit(0)).alias("n")).first()
+    n_ends = int(ends.sum())
+    n_train, vocabulary = known["n"] + n_ends, known["v"] + (n_ends > 0)
+
+    # Events: prices by groups of contexts.
+    asked = pa.schema([("grp", pa.int32()), ("block", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+
+    def ask(left: pa.Table) -> pa.Table:
+        keys, counts = event_counts(left, classes, ORDER)
+        out = {c: [] for c in asked.names}
+        for g, at in _split(group_of(keys >> np.uint64(8) & np.uint64(0xFFFF), part_of(keys), groups)):
+            for c, x in zip(asked.names, (g, left.column("block")[0].as_py(), keys[at].tobytes(), counts[at].astype(np.int32).tobytes()), strict=True):
                 out[c].append(x)
-        return pa.table([pa.array(out[f.name], f.type) for f in priced], schema=priced)
-
-    scored = pa.schema([("block", pa.int32()), ("grp", pa.int32()), ("counts", pa.binary()), ("scores", pa.binary())])
-
-    def word_scores(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, total, parts = gathered(left)
-        out = {c: [] for c in scored.names}
-        if words:
-            known = np.frombuffer(b"".join(right.column("keys").to_pylist()), U64)
-            values = np.frombuffer(b"".join(right.column("prices").to_pylist()), F32).reshape(-1, tables)
-            order = np.argsort(known)
-            known, values = known[order], values[order]
-            keys, number = events(words)
-            at = np.searchsorted(known, keys)
-            score = np.stack([np.bincount(number, weights=values[at, z], minlength=len(words)) for z in range(tables)], 1).astype(F32)
-            count = total.sum(1)
-            g = left.column("grp")[0].as_py()
-            for block, ids in zip(left.column("block").to_pylist(), parts, strict=True):
-                for c, x in zip(scored.names, (block, g, count[ids].astype(I64).tobytes(), score[ids].tobytes()), strict=True):
+        return _table(out, asked)
+
+    answer = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
+
+    def prices(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {c: [] for c in answer.names}
+        mine = [(b, np.frombuffer(k, U64), np.frombuffer(n, np.int32).reshape(-1, classes)) for b, k, n in zip(*(left.column(x).to_pylist() for x in ("block", "keys", "counts")), strict=True)]
+        if mine:
+            keys, counts = merged(np.concatenate([k for _, k, _ in mine]), np.concatenate([n for *_, n in mine]).astype(np.int64))
+            pair, pair_class, pair_n = (right.column(c).to_numpy() for c in ("key", "class", "n"))
+            result = np.zeros((len(keys), len(live)), F32)
+            for i, z in enumerate(live):
+                one_key, one_n = low[z]
+                zero = Level(*merged(shorter(one_key, 0), one_n))
+                levels = [zero, Level(one_key, one_n).above(zero, 0)]
+                # A pair is here once for each of its parts that are dealt here.
+                two_key, first = np.unique(pair[pair_class == z].astype(np.uint64), return_index=True)
+                levels.append(Level(two_key, pair_n[pair_class == z][first]).above(levels[1], 1))
+                own = counts[:, z] > 0
+                for k in range(3, ORDER + 1):
+                    levels.append(Level(*merged(shorter(keys[own], k), counts[own, z])).above(levels[-1], k - 1))
+                result[:, i] = price(keys, levels)
+            for block, k, _ in mine:
+                for c, x in zip(answer.names, (block, PRICES, k.tobytes(), result[np.searchsorted(keys, k)].tobytes()), strict=True):
                     out[c].append(x)
-        return pa.table([pa.array(out[f.name], f.type) for f in scored], schema=scored)
+        return _table(out, answer)
 
     done = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
     per_token = float(np.log10(n_train + vocabulary + 1))
 
-    def totals(left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {c: [] for c in done.names}
-        texts = left.column("text").to_pylist()
-        seen = {END}
-        for text in texts:
-            seen.update(lower_words(text))
-        index: dict[bytes, int] = {}
-        for _, words in by_group(seen, groups):
-            for w in words:
-                index[w] = len(index)
-        answers = sorted(zip(right.column("grp").to_pylist(), right.column("counts").to_pylist(), right.column("scores").to_pylist(), strict=True), key=lambda r: r[0])
-        count = np.frombuffer(b"".join(r[1] for r in answers), I64)
-        table = np.frombuffer(b"".join(r[2] for r in answers), F32).reshape(-1, tables).astype(float)
-        base = np.log10(count + 1.0)
-        end = index[END]
-        for i, text in zip(left.column("id").to_pylist(), texts, strict=True):
-            at = np.fromiter(map(index.__getitem__, lower_words(text)), np.int64)
-            n = len(at) + 1
-            each = prior + table[at].sum(0) + table[end]
-            top = each.max()
-            score = top + np.log10((10.0 ** (each - top)).sum())
-            row = (i, n, int((count[at] > 0).sum() + (count[end] > 0)), n_train, float(base[at].sum() + base[end] - n * per_token), float(score))
-            for c, x in zip(done.names, row, strict=True):
-                out[c].append(x)
-        return pa.table([pa.array(out[f.name], f.type) for f in done], schema=done)
+    def answers(right: pa.Table, kind: int, dtype, width: int):
+        mine = right.filter(pc.equal(right.column("kind"), kind))
+        keys = np.frombuffer(b"".join(mine.column("keys").to_pylist()), U64)
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.frombuffer(b"".join(mine.column("values").to_pylist()), dtype).reshape(-1, width)[order].astype(float)
 
-    post = dealt.groupBy("block").applyInArrow(postings, "grp int, block int, words binary, counts binary")
-    out = post.groupBy("grp").applyInArrow(nodes_and_asks, "bucket int, grp int, kind int, keys binary, classes binary, counts binary")
-    back = out.groupBy("bucket").applyInArrow(prices, "grp int, keys binary, prices binary")
-    answers = post.groupBy("grp").cogroup(back.groupBy("grp")).applyInArrow(word_scores, "block int, grp int, counts binary, scores binary")
-    result = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(totals, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    def totals(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:
+            return _table({c: [] for c in done.names}, done)
+        word, count = answers(right, WORDS, I64, 1)
+        event, cost = answers(right, PRICES, F32, len(live))
+        n_rows, texts = left.num_rows, left.column("text")
+        n_tokens, n_known = np.ones(n_rows, np.int64), np.full(n_rows, int(n_ends > 0))
+        base, each = np.full(n_rows, np.log10(n_ends + 1.0)), np.repeat(prior[None, :], n_rows, axis=0)
+        count = count[:, 0]
+        logs = np.log10(count + 1)
+        for row, n, codes in coded(texts, lower=True):
+            at, own = np.searchsorted(word, codes), np.repeat(np.arange(row, row + len(n)), n)
+            n_tokens[row : row + len(n)] += n
+            n_known += np.bincount(own, weights=count[at] > 0, minlength=n_rows).astype(np.int64)
+            base += np.bincount(own, weights=logs[at], minlength=n_rows)
+        for row, n, keys in streams(texts, ORDER):
+            keys, at = np.unique(keys, return_inverse=True)
+            each[row : row + len(n)] += np.add.reduceat(cost[np.searchsorted(event, keys)][at], np.cumsum(n) - n, axis=0)
+        top = each.max(1)
+        score = top + np.log10((10.0 ** (each - top[:, None])).sum(1))
+        ids = left.column("id").combine_chunks()
+        return _table(dict(zip(done.names, (ids, n_tokens, n_known, np.full(n_rows, n_train), base - n_tokens * per_token, score), strict=True)), done)
+
+    @F.arrow_udf("array<int>")
+    def groups_of_pair(keys: pa.Array) -> pa.Array:
+        pair = keys.to_numpy(zero_copy_only=False).astype(np.uint64) >> np.uint64(8)
+        every = np.stack([group_of(pair, np.uint64(p), groups) for p in range(PARTS)], 1).astype(np.int32)
+        return pa.array(list(every), pa.list_(pa.int32()))
+
+    copies = two.select(F.explode(F.array_distinct(groups_of_pair("key"))).alias("grp"), "key", "class", "n")
+    events = dealt.groupBy("block").applyInArrow(ask, "grp int, block int, keys binary, counts binary")
+    priced = events.groupBy("grp").cogroup(copies.groupBy("grp")).applyInArrow(prices, "block int, kind int, keys binary, values binary")
+    back = priced.union(words.select("block", "kind", "keys", "values"))
+    result = dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(totals, "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return result.withColumnRenamed("id", id_col)
 
 

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -41,23 +42,24 @@ def test_ppm_base_matches_counts_and_score_is_a_probability(spark, docs, corpus)
         assert r.score < 0
 
 
-def brute_ppm(counts: dict[bytes, int], word: bytes) -> float:
-    """Method C with exclusion, from dictionaries."""
+def brute_ppm(training: list[str], text: str) -> float:
+    """Method D with exclusion, from dictionaries, event by event."""
     nodes: dict[bytes, Counter] = defaultdict(Counter)
-    unit = lambda w: b" " + w + (b"" if w == lm.END else b" ")
-    for w, c in counts.items():
-        s = unit(w)
-        for i in range(1, len(s)):
-            for k in range(min(lm.ORDER, i) + 1):
-                nodes[s[i - k : i]][s[i]] += c
-    total, s = 0.0, unit(word)
-    for i in range(1, len(s)):
-        h, gone = s[max(0, i - lm.ORDER) : i], set()
+    end = bytes([lm.END])
+    stream = lambda t: end * lm.ORDER + t.encode().lower() + end
+    for t in training:
+        s = stream(t)
+        for i in range(lm.ORDER, len(s)):
+            for k in range(lm.ORDER + 1):
+                nodes[s[i - k : i]][s[i]] += 1
+    total, s = 0.0, stream(text)
+    for i in range(lm.ORDER, len(s)):
+        h, gone = s[i - lm.ORDER : i], set()
         while True:
             node = {x: c for x, c in nodes.get(h, {}).items() if x not in gone}
-            whole = sum(node.values()) + len(node)
+            whole = 2 * sum(node.values())
             if s[i] in node:
-                total += math.log10(node[s[i]] / whole)
+                total += math.log10((2 * node[s[i]] - 1) / whole)
                 break
             if node:
                 total += math.log10(len(node) / whole)
@@ -69,17 +71,35 @@ def brute_ppm(counts: dict[bytes, int], word: bytes) -> float:
     return total
 
 
+def test_long_texts_stream_in_pieces(words, monkeypatch):
+    texts = pa.array([" ".join(words[:30]), None, "", "a", "x" * 63, "y" * 64, "z" * 65, "\u00e9" * 200])
+    whole = list(lm.streams(texts, lm.ORDER))
+    monkeypatch.setattr(lm, "AT_ONCE", 64)
+    parts = list(lm.streams(texts, lm.ORDER))
+    assert len(whole) == 1 and len(parts) > len(texts)
+    assert np.concatenate([k for *_, k in parts]).tolist() == whole[0][2].tolist()
+    n = np.zeros(len(texts), int)
+    for row, size, _ in parts:
+        n[row : row + len(size)] += size
+    assert n.tolist() == whole[0][1].tolist()
+
+
 def test_ppm_score_equals_brute_force(spark, words):
+    """Several classes, more than have tries of their own; white space, capitals and other letters."""
     r = random.Random(1)
-    rows = [(i, " ".join(r.choice(words[:40]) for _ in range(30)), "en", "s") for i in range(12)] + [(99, "zebra Quux abc", "en", "s")]
-    got = {x.doc_id: x.score for x in lm.score_texts(make(spark, rows), F.col("doc_id") < 10, per_block=500).collect()}
-    counts = Counter()
-    for i, t, *_ in rows:
-        if i < 10:
-            counts.update(t.encode().split())
-            counts[lm.END] += 1
+    rows = [(i, r.choice(["  ", "", "\n"]).join(r.choice(words[:40]) + " " for _ in range(30)), f"l{i % 4}", "s") for i in range(16)] + [(20, "na\u00efve \u00c9\U0001f600", None, "s")]
+    rows += [(99, "zebra Quux abc\t\t", "l1", "s"), (98, "", "l9", "s"), (97, None, None, "s")]
+    teach = lambda i: i < 13 or i == 20
+    df = make(spark, rows)
+    got = {x.doc_id: x.score for x in lm.score_texts(df, (F.col("doc_id") < 13) | (F.col("doc_id") == 20), max_classes=3, per_block=500).collect()}
+    classes = defaultdict(list)
+    for i, t, z, _ in rows:
+        if teach(i):
+            classes[z if z in ("l0", "l1", "l2") else "other"].append(t or "")
+    n = sum(map(len, classes.values()))
     for i, t, *_ in rows:
-        want = sum(brute_ppm(counts, w) for w in [*t.encode().lower().split(), lm.END])
+        each = [math.log10(len(c) / n) + brute_ppm(c, t or "") for c in classes.values()]
+        want = max(each) + math.log10(sum(10 ** (x - max(each)) for x in each))
         assert math.isclose(got[i], want, rel_tol=1e-4), i
 
 
