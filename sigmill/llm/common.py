@@ -59,6 +59,18 @@ def lower_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def planes(a: np.ndarray) -> bytes:
+    """An array, column by column, as all its first bytes, then all its second ones, and so on: sorted keys and small counts then compress well."""
+    a = np.ascontiguousarray(a.T)
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, a.itemsize).T).tobytes()
+
+
+def from_planes(raw: bytes, dtype: np.dtype, columns: int = 1) -> np.ndarray:
+    """What `planes` was given; rows of `columns` numbers if there is more than one."""
+    a = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(dtype.itemsize, -1).T).view(dtype)
+    return a.ravel() if columns == 1 else a.reshape(columns, -1).T
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection on 64 bits in which every output bit depends on every input bit."""
     with np.errstate(over="ignore"):

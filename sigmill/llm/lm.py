@@ -29,14 +29,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import AT_ONCE, blocks_for, coded, cut, mix, total_bytes
+from .common import AT_ONCE, blocks_for, coded, cut, from_planes, mix, planes, total_bytes
 
 ORDER = 5
 #: A byte that no UTF-8 text holds: the end, and what stands before a text.
 END = 0xFF
 #: Into how many parts the contexts of one pair of last bytes are dealt.
 PARTS = 16
-U64, I64, F32 = np.dtype("<u8"), np.dtype("<i8"), np.dtype("<f4")
+U64, I64, I32, F32 = np.dtype("<u8"), np.dtype("<i8"), np.dtype("<i4"), np.dtype("<f4")
+#: Distinct events that wait to be merged.
+WAITING = 300_000
 WORDS, PRICES = 0, 1
 LOW = np.arange(256, dtype=np.uint8)
 LOW[65:91] += 32
@@ -179,14 +181,14 @@ def event_counts(table: pa.Table | pa.RecordBatch, classes: int, order: int, onl
         own = (keys & np.uint64(0xFF)).astype(np.int64)
         if only_training:
             keys, times, own = keys[own < classes], times[own < classes], own[own < classes]
-        counts = np.zeros((len(keys), classes + 1), np.int64)
+        counts = np.zeros((len(keys), classes + 1), I32)
         counts[np.arange(len(keys)), own] = times
         found.append(merged(keys >> np.uint64(8), counts[:, :classes]))
         waiting += len(keys)
-        if waiting > 1_000_000:
+        if waiting > WAITING + 2 * len(found[0][0]):
             found, waiting = [merged(*map(np.concatenate, zip(*found, strict=True)))], 0
     if not found:
-        return np.empty(0, np.uint64), np.zeros((0, classes), np.int64)
+        return np.empty(0, np.uint64), np.zeros((0, classes), I32)
     return merged(*map(np.concatenate, zip(*found, strict=True)))
 
 
@@ -197,7 +199,7 @@ def score_texts(
     text_col: str = "text",
     class_col: str | None = "lang",
     max_classes: int = 6,
-    per_block: int = 16 << 20,
+    per_block: int = 8 << 20,
 ) -> DataFrame:
     """One row per input row: id, n_tokens, n_known, train_tokens, base_score, score.
 
@@ -219,8 +221,7 @@ def score_texts(
     classes = len(common) + 1
     place = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, c in enumerate(common) for x in (c, i)]), F.col("class")), F.lit(len(common))) if common else F.lit(0)
     rows = rows.withColumn("class", place.cast("int"))
-    blocks = blocks_for(total_bytes(rows), per_block, least=32)
-    groups = blocks_for(blocks, 2)
+    blocks = blocks_for(total_bytes(rows), per_block, least=16)
     dealt = rows.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "id", "text", "train", "class")
 
     def pairs(batches):
@@ -258,20 +259,20 @@ def score_texts(
             found.append(merged(codes, own))
         codes, counts = merged(*map(np.concatenate, zip(*found, strict=True)))
         out = {c: [] for c in posting.names}
-        for g, at in _split(group_of(codes, np.uint64(0), groups)):
-            for c, x in zip(posting.names, (g, left.column("block")[0].as_py(), codes[at].tobytes(), counts[at].tobytes()), strict=True):
+        for g, at in _split(group_of(codes, np.uint64(0), blocks)):
+            for c, x in zip(posting.names, (g, left.column("block")[0].as_py(), planes(codes[at]), planes(counts[at].astype(I64))), strict=True):
                 out[c].append(x)
         return _table(out, posting)
 
     counted = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("values", pa.binary()), ("distinct", pa.int64()), ("total", pa.int64())])
 
     def word_counts(table: pa.Table) -> pa.Table:
-        mine = [(b, np.frombuffer(c, U64), np.frombuffer(n, I64)) for b, c, n in zip(*(table.column(x).to_pylist() for x in ("block", "codes", "counts")), strict=True)]
+        mine = [(b, from_planes(c, U64), from_planes(n, I64)) for b, c, n in zip(*(table.column(x).to_pylist() for x in ("block", "codes", "counts")), strict=True)]
         codes, counts = merged(np.concatenate([c for _, c, _ in mine]), np.concatenate([n for *_, n in mine]))
         out = {c: [] for c in counted.names}
         for i, (block, c, _) in enumerate(mine):
             first = i == 0
-            for name, x in zip(counted.names, (block, WORDS, c.tobytes(), counts[np.searchsorted(codes, c)].tobytes(), int((counts > 0).sum()) if first else 0, int(counts.sum()) if first else 0), strict=True):
+            for name, x in zip(counted.names, (block, WORDS, planes(c), planes(counts[np.searchsorted(codes, c)]), int((counts > 0).sum()) if first else 0, int(counts.sum()) if first else 0), strict=True):
                 out[name].append(x)
         return _table(out, counted)
 
@@ -288,8 +289,8 @@ def score_texts(
     def ask(left: pa.Table) -> pa.Table:
         keys, counts = event_counts(left, classes, ORDER)
         out = {c: [] for c in asked.names}
-        for g, at in _split(group_of(keys >> np.uint64(8) & np.uint64(0xFFFF), part_of(keys), groups)):
-            for c, x in zip(asked.names, (g, left.column("block")[0].as_py(), keys[at].tobytes(), counts[at].astype(np.int32).tobytes()), strict=True):
+        for g, at in _split(group_of(keys >> np.uint64(8) & np.uint64(0xFFFF), part_of(keys), blocks)):
+            for c, x in zip(asked.names, (g, left.column("block")[0].as_py(), planes(keys[at]), planes(counts[at].astype(I32))), strict=True):
                 out[c].append(x)
         return _table(out, asked)
 
@@ -297,9 +298,9 @@ def score_texts(
 
     def prices(left: pa.Table, right: pa.Table) -> pa.Table:
         out = {c: [] for c in answer.names}
-        mine = [(b, np.frombuffer(k, U64), np.frombuffer(n, np.int32).reshape(-1, classes)) for b, k, n in zip(*(left.column(x).to_pylist() for x in ("block", "keys", "counts")), strict=True)]
+        mine = [(b, from_planes(k, U64), from_planes(n, I32, classes).reshape(-1, classes)) for b, k, n in zip(*(left.column(x).to_pylist() for x in ("block", "keys", "counts")), strict=True)]
         if mine:
-            keys, counts = merged(np.concatenate([k for _, k, _ in mine]), np.concatenate([n for *_, n in mine]).astype(np.int64))
+            keys, counts = merged(np.concatenate([k for _, k, _ in mine]), np.concatenate([n for *_, n in mine]).astype(I64))
             pair, pair_class, pair_n = (right.column(c).to_numpy() for c in ("key", "class", "n"))
             result = np.zeros((len(keys), len(live)), F32)
             for i, z in enumerate(live):
@@ -314,7 +315,7 @@ def score_texts(
                     levels.append(Level(*merged(shorter(keys[own], k), counts[own, z])).above(levels[-1], k - 1))
                 result[:, i] = price(keys, levels)
             for block, k, _ in mine:
-                for c, x in zip(answer.names, (block, PRICES, k.tobytes(), result[np.searchsorted(keys, k)].tobytes()), strict=True):
+                for c, x in zip(answer.names, (block, PRICES, planes(k), planes(result[np.searchsorted(keys, k)])), strict=True):
                     out[c].append(x)
         return _table(out, answer)
 
@@ -323,9 +324,10 @@ def score_texts(
 
     def answers(right: pa.Table, kind: int, dtype, width: int):
         mine = right.filter(pc.equal(right.column("kind"), kind))
-        keys = np.frombuffer(b"".join(mine.column("keys").to_pylist()), U64)
+        keys = np.concatenate([np.empty(0, U64), *(from_planes(x, U64) for x in mine.column("keys").to_pylist())])
+        values = np.concatenate([np.empty((0, width), dtype), *(from_planes(x, dtype, width).reshape(-1, width) for x in mine.column("values").to_pylist())])
         order = np.argsort(keys, kind="stable")
-        return keys[order], np.frombuffer(b"".join(mine.column("values").to_pylist()), dtype).reshape(-1, width)[order].astype(float)
+        return keys[order], values[order].astype(float)
 
     def totals(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -353,7 +355,7 @@ def score_texts(
     @F.arrow_udf("array<int>")
     def groups_of_pair(keys: pa.Array) -> pa.Array:
         pair = keys.to_numpy(zero_copy_only=False).astype(np.uint64) >> np.uint64(8)
-        every = np.stack([group_of(pair, np.uint64(p), groups) for p in range(PARTS)], 1).astype(np.int32)
+        every = np.stack([group_of(pair, np.uint64(p), blocks) for p in range(PARTS)], 1).astype(np.int32)
         return pa.array(list(every), pa.list_(pa.int32()))
 
     copies = two.select(F.explode(F.array_distinct(groups_of_pair("key"))).alias("grp"), "key", "class", "n")
