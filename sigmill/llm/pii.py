@@ -4,7 +4,9 @@ Strict patterns find seed entities. The words before a seed are lexical
 patterns; a graph of patterns and the values seen after them is scored in
 rounds: a pattern is worth the share of known values among its distinct values,
 a value is known as far as any of its patterns is trusted. Values that trusted
-patterns introduce are found although no strict pattern knows their shape.
+patterns introduce are found although no strict pattern knows their shape. A
+value is a strict match, or a token with a digit or with a mark between letters
+(`jane(at)host`); words of letters alone, such as names, are never values.
 """
 
 from __future__ import annotations
@@ -24,10 +26,10 @@ REGEX = {
     "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9]++(?:[ -][0-9]++)*+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "context": r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+",
+    "context": r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D0-9]*+[0-9]|[A-Za-z]++[^A-Za-z0-9\x20\x09-\x0D]++[A-Za-z])[^\x20\x09-\x0D]*+",
 }
 #: What a text must hold for a pattern to be tried at all.
-NEEDS = {"email": lambda t: F.contains(t, F.lit("@")), "phone": lambda t: F.contains(t, F.lit("+")), "card": lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){12}"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "context": lambda t: t.rlike("[0-9]")}
+NEEDS = {"email": lambda t: F.contains(t, F.lit("@")), "phone": lambda t: F.contains(t, F.lit("+")), "card": lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){12}"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "context": lambda t: t.rlike(r"[0-9]|[A-Za-z][^A-Za-z0-9\x20\x09-\x0D]++[A-Za-z]")}
 
 
 def luhn(digits: Column) -> Column:
@@ -75,16 +77,19 @@ def located(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def contextual(each: DataFrame, rounds: int, min_seeds: int, min_confidence: float) -> DataFrame:
     """(row, start, end) of values that trusted patterns introduce and no strict pattern covers."""
-    base = each.filter(F.col("kind") != "context").select("row", F.col("start").alias("s"), F.col("end").alias("e"))
-    cands = each.filter(F.col("kind") == "context").select("row", "start", "end", "value", "before")
-    marks = base.groupBy("row").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
-    cands = cands.join(marks, "row", "left").withColumn("seed", F.coalesce(F.exists("spans", lambda x: (F.col("start") < x["e"]) & (F.col("end") > x["s"])), F.lit(False)))
+    strict = each.filter(F.col("kind") != "context")
+    marks = strict.groupBy("row").agg(F.collect_set(F.struct(F.col("start").alias("s"), F.col("end").alias("e"))).alias("spans"))
+    tokens = each.filter(F.col("kind") == "context").join(marks, "row", "left")
+    free = ~F.coalesce(F.exists("spans", lambda x: (F.col("start") < x["e"]) & (F.col("end") > x["s"])), F.lit(False))
+    place = ("row", "start", "end", "value", "before")
+    cands = strict.select(*place, F.lit(True).alias("seed")).union(tokens.filter(free).select(*place, F.lit(False)))
     words = F.filter(F.split(F.lower(F.when(F.char_length("before") < 80, F.col("before")).otherwise(F.regexp_replace("before", r"^\S*\s", ""))), r"\s+"), lambda w: w != "")
     one = F.element_at(words, -1)
     patterns = F.when(F.size(words) >= 2, F.array(F.concat_ws(" ", F.element_at(words, -2), one), one)).when(F.size(words) == 1, F.array(one)).otherwise(F.array().cast("array<string>"))
     seen = cut(cands.select("row", "start", "end", F.lower("value").alias("value"), "seed", patterns.alias("patterns")))
     edges = cut(seen.select("value", "seed", F.explode("patterns").alias("pattern")).groupBy("pattern", "value").agg(F.max("seed").alias("seed")))
-    value = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"))
+    # Each side is written before it is joined, so that the share of a hot word or value can be split.
+    value = cut(edges.groupBy("value").agg(F.max("seed").cast("double").alias("score")))
     pattern = None
     for _ in range(rounds):
         graded = edges.join(value, "value")
@@ -105,7 +110,8 @@ def extract_personal(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     `min_confidence` of all values after it. Null texts are empty; null ids and
     repeated rows are kept; no rows give no rows; other columns are not read.
     Patterns and values meet as a graph of distinct pairs, counted before any
-    exchange, so a word that introduces half the corpus is one edge per value.
+    exchange, so a word that introduces half the corpus is one edge per value;
+    what is left of a hot word the adaptive skew join parts.
     """
     rows, each = located(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     each = cut(each)

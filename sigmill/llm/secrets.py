@@ -81,7 +81,8 @@ def ownership_scan(
     Null texts count as empty; a null owner is an owner of its own; null ids
     and repeated rows are kept as they are; no rows give no rows. Other columns
     are not read. Copied values are counted per (hash, owner, repo) before they
-    meet, so a value that a third of all rows hold is a few rows by then.
+    meet, so a value that a third of all rows hold is a few rows by then; spans
+    go back to their frequency by a join whose hot values are split.
     """
     key = lambda cols: F.to_json(F.array(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in cols]))
     rows = docs.select(
@@ -91,7 +92,8 @@ def ownership_scan(
     each = scanned.select("row", "owner", "repo", F.explode("spans").alias("s")).select("row", "owner", "repo", "s.*")
     by_repo = each.dropDuplicates(["row", "hash"]).groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
     by_owner = by_repo.groupBy("hash", "owner").agg(F.count("*").alias("repos"), F.sum("n").alias("n"))
-    freq = by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_docs"))
+    # Written before it is joined, so that the adaptive skew join can part the spans of a hot value.
+    freq = cut(by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("n").alias("n_docs")))
     verdict = F.when(F.col("n_owners") <= max_owners, "live").when(F.col("n_owners") >= copied_owners, "copied").otherwise("shared")
     judged = each.join(freq, "hash").withColumn("verdict", verdict).filter((F.col("kind") != "owner") | (F.col("verdict") == "live"))
     span = F.struct("start", F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("order"), "kind", "end", "hash", "n_owners", "n_repos", "n_docs", "verdict")
