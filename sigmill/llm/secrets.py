@@ -126,22 +126,15 @@ def op2_secret_scans(spark, sf_dir):
     )
 
 
-def _redact_batches(batches):
-    for batch in batches:
-        out = []
-        for text, spans in zip(batch.column("text"), batch.column("cuts"), strict=True):
-            text, spans = text.as_py(), spans.as_py()
-            if text and spans:
-                parts, at = [], 0
-                for s in sorted(spans, key=lambda s: s["start"]):
-                    if s["end"] <= at:
-                        continue
-                    parts += [text[at : max(at, s["start"])], "[SECRET]" if s["start"] >= at else ""]
-                    at = s["end"]
-                text = "".join([*parts, text[at:]])
-            out.append(text)
-        i = batch.schema.get_field_index("text")
-        yield batch.set_column(i, batch.schema.field(i), pa.array(out, pa.string())).drop_columns(["cuts"])
+def redacted(text: str, spans: list[dict]) -> str:
+    """The text with [SECRET] for each span; of overlapping ones, one for all."""
+    parts, at = [], 0
+    for s in sorted(spans, key=lambda s: s["start"]):
+        if s["end"] <= at:
+            continue
+        parts += [text[at : max(at, s["start"])], "[SECRET]" if s["start"] >= at else ""]
+        at = s["end"]
+    return "".join([*parts, text[at:]])
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **scan_args) -> DataFrame:
@@ -149,13 +142,23 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **sc
 
     Rows meet their spans by a 64-bit hash of id and text, which alone decide
     them: repeated rows, ids of several texts and null ids are redacted like
-    others, one row for one. Rows with a null text or no secret stay as they are.
+    others, one row for one. Rows with a null text or no secret stay as they
+    are; other columns, whatever their names, too; no rows give no rows.
     """
-    key = F.xxhash64(id_col, text_col)
-    spans = ownership_scan(docs.withColumn("__key", key), "__key", text_col, **scan_args)
-    cuts = F.filter("spans", lambda s: s["verdict"] != "copied")
-    spans = spans.select("__key", F.transform(cuts, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias("cuts")).filter(F.size("cuts") > 0)
-    spans = spans.groupBy("__key").agg(F.first("cuts").alias("cuts"))
-    joined = docs.withColumn("__key", key).join(spans, "__key", "left").drop("__key").withColumnRenamed(text_col, "text")
-    schema = joined.drop("cuts").schema
-    return joined.mapInArrow(_redact_batches, schema).withColumnRenamed("text", text_col).select(docs.columns)
+    columns = docs.columns
+    at = columns.index(text_col)
+    # Names of its own for the way, so that none of the columns' can clash.
+    keyed = docs.toDF(*[f"c{i}" for i in range(len(columns))]).withColumn("key", F.xxhash64(F.col(f"c{columns.index(id_col)}"), F.col(f"c{at}")))
+    owners = scan_args.pop("owner_cols", ("source",)), scan_args.pop("repo_cols", ("source", "lang"))
+    owners = [tuple(f"c{columns.index(c)}" for c in cols) for cols in owners]
+    spans = ownership_scan(keyed, "key", f"c{at}", *owners, **scan_args)
+    cuts = F.transform(F.filter("spans", lambda s: s["verdict"] != "copied"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    spans = cut(spans.select("key", cuts.alias("cuts")).filter(F.size("cuts") > 0).groupBy("key").agg(F.first("cuts").alias("cuts")))
+
+    def run(batches):
+        for batch in batches:
+            made = [redacted(t, c) if t and c else t for t, c in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(made, pa.string())).drop_columns(["cuts"])
+
+    joined = keyed.join(spans, "key", "left").drop("key")
+    return joined.mapInArrow(run, joined.drop("cuts").schema).toDF(*columns)

@@ -50,3 +50,55 @@ def test_run_equals_brute_force(spark, words, tmp_path, monkeypatch):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter((x.doc_id, x.text) for x in got) == expected(rows, [item], secret)
     assert all(x.n_chars == (None if x.text is None else len(x.text)) for x in got)
+
+
+def odd_tables(spark, words, where, rows):
+    r = random.Random(8)
+    cols = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted int, cuts string, key string, spans string, component string"
+    spark.createDataFrame([(d, t, None, "s", None if t is None else len(t), 0.5, 7, "c", "k", "s", "m") for d, t in rows], cols).write.parquet(f"{where}/documents.parquet")
+    spark.createDataFrame([(i, i % 2, 0, "x", "y") for i in range(40)], "doc_id long, quality int, toxic int, text string, score string").write.parquet(f"{where}/labels.parquet")
+    spark.createDataFrame([(1, " ".join(r.choice(words) for _ in range(20)), "x"), (None, None, "y")], "item_id long, text string, doc_id string").write.parquet(f"{where}/benchmark.parquet")
+    return spark.read.parquet(f"{where}/documents.parquet")
+
+
+def test_stages_take_odd_rows_and_names(spark, words, tmp_path):
+    """Nulls, repeats, ties, a long text and columns whose names the stages use: nothing is lost but what a stage drops."""
+    r = random.Random(9)
+    say = lambda n: " ".join(r.choice(words) for _ in range(n))
+    rows = [(i, say(30) + ".") for i in range(40)] + [(1, say(20)), (2, None), (None, say(9)), (None, None), (3, ""), (50, say(20_000)), (51, "password=Zk81xQ7bTr " + say(30))]
+    docs = odd_tables(spark, words, str(tmp_path), [*rows, rows[0]])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path)).collect()
+        if name == "packing":
+            assert {x.doc_id for x in out} == {d for d, _ in rows}
+            continue
+        assert [*out[0].asDict()] == docs.columns, name
+        before = Counter((x.doc_id, x.text) for x in docs.collect())
+        after = Counter((x.doc_id, x.text) for x in out)
+        assert all((x.score, x.predicted, x.cuts, x.key, x.spans, x.component) == (0.5, 7, "c", "k", "s", "m") for x in out), name
+        if name == "secrets":
+            assert after.total() == before.total() and sum("[SECRET]" in (x.text or "") for x in out) == 1
+        else:
+            assert not after - before, name
+        if name == "near_dedup":
+            assert after == before - Counter([rows[0]])
+        if name == "decontaminate":
+            assert after == before
+
+
+def test_stages_take_no_rows(spark, words, tmp_path):
+    docs = odd_tables(spark, words, str(tmp_path), [])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, str(tmp_path)).count() == 0, name
+
+
+def test_quality_stage_keeps_what_the_classifier_keeps(spark, words, tmp_path):
+    from sigmill.llm.quality import classify
+
+    r = random.Random(10)
+    rows = [(i, "\n".join(" ".join(r.choice(words) for _ in range(12)) + "." if i % 2 else " | ".join([r.choice(words)] * 6) for _ in range(4))) for i in range(80)]
+    docs = odd_tables(spark, words, str(tmp_path), rows)
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet").select("doc_id", "quality")
+    want = {x.doc_id for x in classify(docs.select("doc_id", "text"), labels).filter("predicted = 1").collect()}
+    got = {x.doc_id for x in corpus_pipeline.quality(spark, docs, str(tmp_path)).collect()}
+    assert got == want and 20 < len(got) < 60
