@@ -35,8 +35,17 @@ def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def quality(spark, docs, sf_dir):
-    """Documents that the line classifier rejects go."""
-    return classify(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(docs.columns)
+    """Documents that the line classifier rejects go.
+
+    Null and empty texts are judged as one empty line; null ids and repeated
+    rows are judged like others; ties at the threshold stay; no rows give no rows.
+    """
+    # Only ids and texts go in, under names that none of the result's can clash with.
+    text, others = docs.columns.index("text"), [c for c in docs.columns if c != "text"]
+    named = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(others)], F.col(docs.columns[text]).alias("text"))
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias(f"c{others.index('doc_id')}"), "quality")
+    kept = classify(named, labels, id_col=f"c{others.index('doc_id')}").filter("predicted = 1")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(others)], "text").select(docs.columns)
 
 
 def near_dedup(spark, docs, sf_dir):
@@ -55,20 +64,26 @@ def near_dedup(spark, docs, sf_dir):
 
 
 def decontaminate(spark, docs, sf_dir):
-    """Documents that hold a benchmark item within a fifth of its words in edits go."""
+    """Documents that hold a benchmark item within 15 % of its words in edits go.
+
+    Null and empty texts hold none; null ids and repeated rows go like others; no rows give no rows.
+    """
     keyed = _keyed(docs)
     return _without(keyed, contaminated(keyed, table(spark, sf_dir, "benchmark"), KEY)).select(docs.columns)
 
 
 def secrets(spark, docs, sf_dir):
-    """Secrets become [SECRET], but for widely copied examples; n_chars follows the text."""
+    """Secrets become [SECRET], but for widely copied examples; n_chars follows the text.
+
+    No row goes, repeated ones and those of null ids included; null texts stay null; no rows give no rows.
+    """
     clean = redact(docs)
     changed = F.contains("text", F.lit("[SECRET]"))
     return clean.withColumn("n_chars", F.when(changed, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def packing(spark, docs, sf_dir):
-    """Pieces of at most 1024 tokens and the place of each in a sequence."""
+    """Pieces of at most 1024 tokens and the place of each in a sequence; null and empty texts are their end alone; no rows give no rows."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
