@@ -85,8 +85,12 @@ def sql_scrub(c: str) -> str:
     return sql_chain(c, [(p, FILTERED) for p in SCRUB])
 
 
+def sql_byte_prefix(c: str, limit: int) -> str:
+    return f"CASE WHEN strlen({c}) <= {limit} THEN {c} ELSE left({c}, list_max(list_filter(range(0, {limit} + 1), lambda upto: strlen(left({c}, upto)) <= {limit}))) END"
+
+
 def sql_normalize(c: str) -> str:
-    return f"trim({sql_chain(f'left({c}, 500)', NORMAL)})"
+    return f"trim({sql_chain(sql_byte_prefix(c, 500), NORMAL)})"
 
 
 def sql_mask(c: str) -> str:

@@ -32,10 +32,14 @@ def lifecycle_events(logs: DataFrame, actions: DataFrame) -> DataFrame:
     Occurrences and actions (fingerprint, env, at, action) are one sequence per
     group. An action counts if it changes the status; an occurrence counts when
     the last status was resolved, and reopens. Occurrences between two actions
-    can only matter once, so only the first after each action stays.
+    can only matter once, so only the first after each action stays, by an
+    aggregate: the windows see a group's actions and one row after each.
     """
-    occur = logs.filter(is_error() & (F.col("error_fingerprint") != "")).select(F.col("error_fingerprint").alias("fingerprint"), "env", F.col("ts").alias("at"), F.lit("occurred").alias("what"))
+    occur = logs.filter(is_error() & (F.col("error_fingerprint") != "")).select(F.col("error_fingerprint").alias("fingerprint"), "env", F.col("ts").alias("at"))
     acts = actions.select("fingerprint", "env", "at", F.col("action").alias("what"))
+    times = acts.groupBy("fingerprint", "env").agg(F.collect_list("at").alias("times"))
+    after = F.size(F.filter("times", lambda t: t < F.col("at"))).alias("after")
+    occur = occur.join(times, ["fingerprint", "env"]).groupBy("fingerprint", "env", after).agg(F.min("at").alias("at")).select("fingerprint", "env", "at", F.lit("occurred").alias("what"))
     w = Window.partitionBy("fingerprint", "env").orderBy("at", F.when(F.col("what") == "occurred", 0).otherwise(1), "what")
     every = occur.unionByName(acts).withColumn("before", F.lag("what").over(w)).filter((F.col("what") != "occurred") | (F.col("before") != "occurred"))
     # What the status is before each event: only an action or a reopening sets it.

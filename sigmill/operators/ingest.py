@@ -11,21 +11,41 @@ from ..functions import text
 from ..sources.wire import FIELDS, LIMITS
 
 # Keys whose values never pass.
-SENSITIVE = ("password", "token", "secret", "api_key", "authorization", "credit_card", "ssn")
-ALIASES = {
-    "msg": "message",
-    "severity": "level",
-    "timestamp": "ts",
-    "time": "ts",
-    "environment": "env",
-    "commit": "version",
-    "commit_hash": "version",
-    "controller": "handler",
-    "exception": "error_class",
-    "exception_class": "error_class",
-    "duration": "duration_ms",
-    "metadata": "body",
+SENSITIVE = ("password", "token", "secret", "authorization", "api_key", "credit_card")
+# Names of other logging habits by the field they mean; a dot leads into the body.
+ALIASES_OF = {
+    "ts": "timestamp time @timestamp datetime date when",
+    "level": "severity levelname log_level loglevel priority",
+    "message": "msg text content summary",
+    "service": "logger app application service_name component",
+    "env": "environment stage deployment",
+    "version": "release commit sha revision build",
+    "host": "hostname server pod container instance",
+    "duration_ms": "duration elapsed latency took response_time runtime",
+    "status": "status_code http_status response_status",
+    "path": "url uri request_path",
+    "route": "endpoint pattern",
+    "method": "verb http_method request_method",
+    "handler": "controller action function operation",
+    "user_id": "user uid actor current_user",
+    "tenant_id": "account_id org_id organization_id workspace_id",
+    "trace_id": "trace traceid",
+    "request_id": "correlation_id req_id",
+    "span_id": "span spanid",
+    "parent_span_id": "parent_id",
+    "error_class": "exception error_type exception_class class",
+    "error_message": "error err exception_message reason",
+    "source_file": "file filename path_to_file",
+    "source_line": "line lineno line_number",
+    "job_queue": "queue",
+    "job_class": "worker job task",
+    "db_ms": "db_time sql_time",
+    "db_count": "sql_count query_count",
+    "body": "metadata extra fields attributes attrs context data payload details queries",
+    "body.backtrace": "stack stacktrace backtrace stack_trace traceback",
+    "body.params": "params",
 }
+ALIASES = {alias: field for field, names in ALIASES_OF.items() for alias in names.split()}
 
 
 def unit_hash(c: Column) -> Column:
@@ -131,8 +151,9 @@ def expand_in_request_logs(logs: DataFrame, most: int = 1000) -> DataFrame:
 
 
 def ingest_pipeline(logs: DataFrame, rules: DataFrame) -> DataFrame:
-    """ING-8: sample, fingerprint, scrub, expand, in this order."""
-    scrub = lambda df: df.withColumns({"message": text.scrub_text(F.col("message")), "body": scrub_body(F.col("body"))})
+    """ING-8: sample, fingerprint, scrub (both texts and the body), expand, in this order."""
+    texts = [c for c in ("message", "error_message") if c in logs.columns]
+    scrub = lambda df: df.withColumns({c: text.scrub_text(F.col(c)) for c in texts} | {"body": scrub_body(F.col("body"))})
     return sample_logs(logs, rules).transform(add_fingerprints).transform(scrub).transform(expand_in_request_logs)
 
 
@@ -196,8 +217,9 @@ def infer_kind(value) -> Column:
 
 
 def suggest_field(c: Column) -> Column:
-    """ING-11: an alias, or the nearest field within two edits; ties go to the smaller name."""
+    """ING-11: an alias, told with its place where it lies in the body, or the nearest field within two edits; ties go to the smaller name."""
     k = F.lower(F.trim(c))
-    alias = F.try_element_at(F.create_map(*[F.lit(x) for kv in ALIASES.items() for x in kv]), k)
+    place = lambda field: '{}, as "{}" inside it'.format(*field.split(".")) if "." in field else field
+    alias = F.try_element_at(F.create_map(*[F.lit(x) for name, field in ALIASES.items() for x in (name, place(field))]), k)
     near = F.array_compact(F.array(*[F.when(F.levenshtein(k, F.lit(f), 2) >= 0, F.struct(F.levenshtein(k, F.lit(f), 2).alias("d"), F.lit(f).alias("f"))) for f in FIELDS]))
     return F.coalesce(alias, F.array_min(near)["f"], F.lit(""))

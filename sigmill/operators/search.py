@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,22 +40,25 @@ def get_log(logs: DataFrame, log_id: int) -> DataFrame:
 def log_context(logs: DataFrame, anchors: DataFrame, before=10, after=10, same_service=False, hours=24) -> DataFrame:
     """SRT-4: rows around each anchor (id) in its environment, `side` before/anchor/after, `n` away.
 
-    Days are the equi-join key of the range join: an anchor meets its own day
-    and the two beside it, not the whole table.
+    Environment and day are the keys of the range join: an anchor meets its own
+    day and the two beside it, not the whole table.
     """
     day = F.unix_date(F.to_date("ts"))
     a = logs.join(anchors.select(F.col("id").alias("anchor")), F.col("id") == F.col("anchor")).select("anchor", F.col("ts").alias("at"), F.col("env").alias("a_env"), F.col("service").alias("a_service"), day.alias("a_day"))
     a = a.withColumn("day", F.explode(F.array(*[F.col("a_day") + d for d in (-1, 0, 1)])))
-    near = logs.withColumn("day", day).join(a, "day").filter((F.col("env") == F.col("a_env")) & (F.abs(F.timestamp_diff("SECOND", F.col("at"), F.col("ts"))) <= hours * 3600))
+    near = logs.withColumns({"day": day, "a_env": F.col("env")}).join(a, ["a_env", "day"]).filter(F.abs(F.timestamp_diff("SECOND", F.col("at"), F.col("ts"))) <= hours * 3600)
     if same_service:
         near = near.filter(F.col("service") == F.col("a_service"))
     place = F.when(F.col("id") == F.col("anchor"), "anchor").when(F.struct("ts", "id") < F.struct(F.col("at").alias("ts"), F.col("anchor").alias("id")), "before").otherwise("after")
     near = near.withColumn("side", place)
-    down = F.row_number().over(Window.partitionBy("anchor", "side").orderBy(F.desc("ts"), F.desc("id")))
-    up = F.row_number().over(Window.partitionBy("anchor", "side").orderBy(F.asc("ts"), F.asc("id")))
-    near = near.withColumn("n", F.when(F.col("side") == "before", down).when(F.col("side") == "after", up).otherwise(0))
-    keep = F.when(F.col("side") == "before", F.col("n") <= min(before, 50)).when(F.col("side") == "after", F.col("n") <= min(after, 50)).otherwise(True)
-    return near.filter(keep).drop("day", "a_day", "a_env", "a_service", "at")
+
+    def nearest(side, most, *order):
+        """A rank with a bound: no task ever sorts more than the first few rows of an anchor."""
+        rank = F.row_number().over(Window.partitionBy("anchor").orderBy(*order))
+        return near.filter(F.col("side") == side).withColumn("n", rank).filter(F.col("n") <= min(most, 50))
+
+    parts = [near.filter("side = 'anchor'").withColumn("n", F.lit(0)), nearest("before", before, F.desc("ts"), F.desc("id")), nearest("after", after, F.asc("ts"), F.asc("id"))]
+    return reduce(DataFrame.unionByName, parts).drop("day", "a_day", "a_env", "a_service", "at")
 
 
 def tail_logs(logs: DataFrame, after_id=None, limit=50) -> DataFrame:

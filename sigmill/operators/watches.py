@@ -7,6 +7,7 @@ window, every metric as a column; there is no query per rule.
 from __future__ import annotations
 
 import json
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -29,8 +30,7 @@ def compare(a: Column, op: str, b) -> Column:
 
 def metrics_frame(logs: DataFrame, as_of: str, minutes: int, baseline_minutes: int, env=None) -> DataFrame:
     """now_*, previous_* and baseline_* metrics per (service, env) in windows that end at `as_of`."""
-    end = F.lit(as_of).cast("timestamp")
-    at = lambda m: logs.sparkSession.range(1).select((end - F.make_dt_interval(mins=F.lit(m))).cast("timestamp_ntz").cast("string")).first()[0]
+    at = lambda m: str(datetime.fromisoformat(as_of) - timedelta(minutes=m))
     spans = {"now": (at(minutes), as_of), "previous": (at(2 * minutes), at(minutes)), "baseline": (at(minutes + baseline_minutes), at(minutes))}
     out = None
     for name, (s, e) in spans.items():

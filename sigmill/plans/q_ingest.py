@@ -21,10 +21,8 @@ q = B.add
 
 
 def folder(spark, name: str) -> str:
-    """A fresh folder that all executors share."""
-    import tempfile
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sigmill-")
+    """A fresh folder that all executors share: under spark.checkpoint.dir, or the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
@@ -83,6 +81,21 @@ def _(spark, d):
     return spark.read.parquet(where).agg(F.count("*").alias("n"), F.countDistinct(src.HOUR).alias("hours"), F.sum("id").alias("ids"))
 
 
+@q("src5_dictionaries", "SELECT strftime(date_trunc('hour', received_at), '%Y-%m-%d-%H') AS arrival_hour, 'service' AS \"column\", service AS value, count(*) AS n FROM logs GROUP BY ALL UNION ALL SELECT strftime(date_trunc('hour', received_at), '%Y-%m-%d-%H'), 'level', level, count(*) FROM logs GROUP BY ALL")
+def _(spark, d):
+    where = folder(spark, "logs")
+    src.write_logs(logs(spark, d), where, beside=f"{where}-beside")
+    return spark.read.parquet(f"{where}-beside/dictionaries").filter("column in ('service', 'level')").select(F.col(src.HOUR).cast("string").alias("arrival_hour"), "column", "value", "n")
+
+
+@q("src7_read_jdbc_query", "SELECT s_suppkey, s_nationkey FROM supplier", ())
+def _(spark, d):
+    url = f"jdbc:derby:memory:sigmill{uuid.uuid4().hex};create=true"
+    driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    table(spark, d, "supplier").select("s_suppkey", "s_nationkey").write.jdbc(url, "supplier", properties=driver)
+    return src.read_jdbc_query(spark, url, 'SELECT "s_suppkey", "s_nationkey" FROM supplier', **driver)
+
+
 @q("src6_scan_logs", "SELECT id, service FROM logs WHERE ts >= TIMESTAMP '2024-01-10 03:20:00' AND ts <= TIMESTAMP '2024-01-12 17:00:00'")
 def _(spark, d):
     where = folder(spark, "logs")
@@ -146,9 +159,9 @@ def _(spark, d):
     return ing.add_fingerprints(logs(spark, d)).filter(F.col("level").isin("error", "fatal")).select("id", "error_fingerprint")
 
 
-@q("ing5_normalize_message", f"SELECT doc_id, {text.sql_normalize('t')} AS normal FROM (SELECT doc_id, left(text, 120) AS t FROM documents)", ())
+@q("ing5_normalize_message", f"SELECT doc_id, {text.sql_normalize('text')} AS normal FROM documents", ())
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.normalize_message(F.substring("text", 1, 120)).alias("normal"))
+    return table(spark, d, "documents").select("doc_id", text.normalize_message(F.col("text")).alias("normal"))
 
 
 @q("ing6_source_file", "SELECT id, source_file AS file FROM logs WHERE source_file IS NOT NULL")
@@ -172,9 +185,21 @@ def _(spark, d):
     return plain(out, "id", "level", "message", "ts", "service")
 
 
-@q("ing8_ingest_pipeline", f", s AS (SELECT * FROM logs WHERE id % 4 = 0 AND CASE service WHEN 'api' THEN {ERR} OR {UNIT} < 0.25 WHEN 'web' THEN {UNIT} < 0.0 ELSE {ERR} OR {UNIT} < 0.5 END) SELECT service, count(*)*3 AS n FROM s GROUP BY 1")
+KEPT = f"SELECT * FROM logs WHERE CASE service WHEN 'api' THEN {ERR} OR {UNIT} < 0.25 WHEN 'web' THEN {UNIT} < 0.0 ELSE {ERR} OR {UNIT} < 0.5 END"
+
+
+@q(
+    "ing8_ingest_pipeline",
+    f""", s AS ({KEPT})
+SELECT id, level, {text.sql_scrub("message")} AS message, 'mail [FILTERED]' AS error_message, CASE WHEN {ERR} THEN error_fingerprint ELSE '' END AS fingerprint,
+       CASE WHEN id % 4 = 0 THEN '' ELSE '[FILTERED]' END AS token FROM s
+UNION ALL SELECT id, 'info', 'step 0 of ' || id, '', '', '' FROM s WHERE id % 4 = 0 UNION ALL SELECT id, 'warn', 'step 1 of ' || id, '', '', '' FROM s WHERE id % 4 = 0""",
+)
 def _(spark, d):
-    return ing.ingest_pipeline(with_children(spark, d).filter("id % 4 = 0"), rules(spark)).groupBy("service").agg(F.count("*").alias("n"))
+    body = F.when(F.col("id") % 4 == 0, F.col("body")).otherwise(F.concat(F.lit('{"Token":"t'), "id", F.lit('"}')))
+    rows = with_children(spark, d).withColumns({"error_message": F.concat(F.lit("mail u"), "id", F.lit("@mail.org")), "body": body})
+    out = ing.ingest_pipeline(rows, rules(spark))
+    return out.select("id", "level", "message", *[F.coalesce(c, F.lit("")).alias(n) for c, n in ((F.col("error_message"), "error_message"), (F.col("error_fingerprint"), "fingerprint"), (F.get_json_object("body", "$.Token"), "token"))])
 
 
 @q("ing9_dedup_batches", ", b AS (SELECT *, id // 20 % 300 AS batch_id FROM logs) SELECT id, batch_id FROM b JOIN (SELECT batch_id, min(received_at) AS r FROM b GROUP BY 1) USING (batch_id) WHERE received_at = r")
@@ -183,9 +208,9 @@ def _(spark, d):
     return ing.dedup_batches(rows).select("id", "batch_id")
 
 
-@q("ing10_validate_payload", "SELECT NOT (id % 50 = 0 AND level<>'warn') AND id % 40 <> 1 AND NOT coalesce(method IS NOT NULL, false) AS valid, CASE WHEN method IS NOT NULL THEN 'request' ELSE 'log' END AS kind, count(*) AS n FROM logs WHERE id % 10 <> 0 GROUP BY ALL")
+@q("ing10_validate_payload", "SELECT id % 10 <> 0 AND NOT (id % 50 = 0 AND level<>'warn') AND id % 40 <> 1 AND NOT coalesce(method IS NOT NULL, false) AS valid, CASE WHEN id % 10 <> 0 AND method IS NOT NULL THEN 'request' ELSE 'log' END AS kind, count(*) AS n FROM logs GROUP BY ALL")
 def _(spark, d):
-    return ing.validate_payload(payloads(spark, d).filter("id % 10 <> 0"), AS_OF).groupBy("valid", "kind").agg(F.count("*").alias("n"))
+    return ing.validate_payload(payloads(spark, d), AS_OF).groupBy("valid", "kind").agg(F.count("*").alias("n"))
 
 
 @q("ing11_suggest_field", "SELECT DISTINCT CASE event_id % 3 WHEN 0 THEN 'servce' WHEN 1 THEN 'severity' ELSE 'qqqqqq' END AS field, CASE event_id % 3 WHEN 0 THEN 'service' WHEN 1 THEN 'level' ELSE '' END AS suggestion FROM events", ())

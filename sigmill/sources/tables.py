@@ -12,14 +12,17 @@ def arrival_hour(c: str = "received_at"):
     return F.date_format(F.date_trunc("hour", c), "yyyy-MM-dd-HH")
 
 
-def write_logs(df: DataFrame, path: str, mode: str = "append", files_per_hour: int = 1) -> None:
-    """SRC-5: append to the table at `path`, one folder an arrival hour.
+def write_logs(df: DataFrame, path: str, mode: str = "append", files_per_hour: int = 1, beside: str | None = None) -> None:
+    """SRC-5: append to the table at `path`, one folder an arrival hour; with `beside`, its rollup and dictionaries there.
 
     Rows are dealt by hour and, for busy tables, over several files an hour, so
     an hour is neither many small files nor one task's work.
     """
     out = df.withColumn(HOUR, arrival_hour())
     out.repartition(HOUR, F.pmod(F.xxhash64("id"), F.lit(files_per_hour))).write.mode(mode).partitionBy(HOUR).parquet(path)
+    if beside:
+        write_rollup(df, f"{beside}/minutes", mode)
+        hour_dictionaries(df).write.mode(mode).partitionBy(HOUR).parquet(f"{beside}/dictionaries")
 
 
 def write_rollup(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -29,6 +32,12 @@ def write_rollup(df: DataFrame, path: str, mode: str = "append") -> None:
     rollup_minute(df).withColumn("day", F.to_date("minute")).write.mode(mode).partitionBy("day").parquet(path)
 
 
+def hour_dictionaries(df: DataFrame, columns: tuple[str, ...] = ("service", "env", "level", "version")) -> DataFrame:
+    """SRC-5: (arrival_hour, column, value, n): the distinct values of low-cardinality columns in each hour."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("e")
+    return df.select(arrival_hour().alias(HOUR), each).groupBy(HOUR, "e.column", "e.value").agg(F.count("*").alias("n")).filter("value is not null")
+
+
 def scan_logs(spark: SparkSession, path: str, start: str, end: str, margin_hours: int = 1) -> DataFrame:
     """SRC-6: rows with ts in [start, end]; folders an hour outside are not read."""
     s, e = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
@@ -39,7 +48,9 @@ def scan_logs(spark: SparkSession, path: str, start: str, end: str, margin_hours
 
 
 def read_jdbc_query(spark: SparkSession, url: str, query: str, max_rows: int = 1000, **options) -> DataFrame:
-    """SRC-7: a bounded read of a query's rows; the driver's jar must be on the class path."""
+    """SRC-7: a bounded read of a query's rows, which must only read; the driver's jar must be on the class path."""
+    if query.split(None, 1)[0].lower() not in ("select", "with") or ";" in query:
+        raise ValueError("only one SELECT may be asked")
     return spark.read.format("jdbc").options(url=url, query=query, **options).load().limit(max_rows)
 
 
@@ -91,11 +102,32 @@ def prune(df: DataFrame, ttl: str, as_of: str, time_col: str = "ts") -> DataFram
 
 
 def prune_log_hours(logs: DataFrame, ttl: str, as_of: str) -> DataFrame:
-    """SRC-10 for logs: whole arrival hours go, once their last arrival is before the cutoff."""
+    """SRC-10 for logs: whole arrival hours go, once their last arrival is before the cutoff.
+
+    Only the hour that the cutoff lies in needs a look at its rows; all others are told by their name.
+    """
     s = seconds_of(ttl)
     if s is None:
         return logs
     cutoff = F.lit(as_of).cast("timestamp") - F.make_dt_interval(secs=F.lit(s))
-    hour = F.date_trunc("hour", "received_at")
-    live = logs.groupBy(hour.alias("h")).agg(F.max("received_at").alias("last")).filter(F.col("last") >= cutoff).select("h")
-    return logs.withColumn("h", hour).join(live, "h", "left_semi").drop("h")
+    hour, edge = F.date_trunc("hour", "received_at"), F.date_trunc("hour", cutoff)
+    alive = logs.filter((hour == edge) & (F.col("received_at") >= cutoff)).select(F.lit(1)).limit(1)
+    # A cross join with one row or none: the hour at the edge stays or goes as a whole.
+    return logs.filter(hour > edge).unionByName(logs.filter(hour == edge).crossJoin(F.broadcast(alive)).select(logs.columns))
+
+
+def drop_old_hours(spark: SparkSession, path: str, ttl: str, as_of: str) -> list[str]:
+    """SRC-10: deletes the folders of a table of `write_logs` whose hour and rows are before the cutoff; returns the hours."""
+    s = seconds_of(ttl)
+    if s is None:
+        return []
+    cutoff = F.lit(as_of).cast("timestamp") - F.make_dt_interval(secs=F.lit(s))
+    edge = F.date_format(F.date_trunc("hour", cutoff), "yyyy-MM-dd-HH")
+    rows = spark.read.parquet(path).withColumn(HOUR, F.col(HOUR).cast("string"))
+    old = rows.select(HOUR).filter(F.col(HOUR) < edge).distinct().union(rows.filter(F.col(HOUR) == edge).groupBy(HOUR).agg(F.max("received_at").alias("last")).filter(F.col("last") < cutoff).select(HOUR))
+    hours = sorted(r[0] for r in old.collect())
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for h in hours:
+        folder = hadoop(f"{path}/{HOUR}={h}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return hours

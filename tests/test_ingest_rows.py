@@ -13,3 +13,36 @@ def test_rows_without_children_are_expanded_too(spark):
     n, held = logs(spark, D).count(), logs(spark, D).filter("id % 4 = 0").count()
     rows = q_ingest.with_children(spark, D)
     assert (rows.count(), ing.expand_in_request_logs(rows).count()) == (n, n + 2 * held)
+
+
+def test_old_hours_go_as_folders(spark, tmp_path):
+    from pathlib import Path
+
+    from sigmill.sources import tables as src
+
+    rows, where = logs(spark, D), str(tmp_path / "logs")
+    src.write_logs(rows, where, beside=str(tmp_path / "beside"))
+    as_of = "2024-01-31 00:00:00"
+    gone = src.drop_old_hours(spark, where, "100h", as_of)
+    assert gone and not any(Path(where, f"{src.HOUR}={h}").exists() for h in gone)
+    left = sorted(r.id for r in spark.read.parquet(where).collect())
+    assert left == sorted(r.id for r in src.prune_log_hours(rows, "100h", as_of).collect())
+    assert spark.read.parquet(str(tmp_path / "beside/minutes")).agg({"n": "sum"}).first()[0] == rows.count()
+    assert src.drop_old_hours(spark, where, "never", as_of) == []
+
+
+def test_only_selects_are_asked(spark):
+    import pytest
+
+    from sigmill.sources import tables as src
+
+    for bad in ("DELETE FROM t", "SELECT 1; DROP TABLE t"):
+        with pytest.raises(ValueError):
+            src.read_jdbc_query(spark, "jdbc:derby:memory:x", bad)
+
+
+def test_body_aliases_say_where(spark):
+    from pyspark.sql import functions as F
+
+    got = spark.createDataFrame([("Traceback",), ("@timestamp",), (" LATENCY ",), ("servcie",), (None,)], "f string").select(ing.suggest_field(F.col("f")).alias("s"))
+    assert [r.s for r in got.collect()] == ['body, as "backtrace" inside it', "ts", "duration_ms", "service", ""]
