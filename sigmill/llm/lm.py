@@ -36,7 +36,9 @@ ORDER = 5
 END = 0xFF
 #: Into how many parts the contexts of one pair of last bytes are dealt.
 PARTS = 16
-U64, I64, I32, F32 = np.dtype("<u8"), np.dtype("<i8"), np.dtype("<i4"), np.dtype("<f4")
+U64, I64, I32, U16 = np.dtype("<u8"), np.dtype("<i8"), np.dtype("<i4"), np.dtype("<u2")
+#: Prices travel in this part of a digit, at most 16 digits: a byte's price is off by 1/8192 of a digit at most, up or down.
+STEPS = 4096
 #: Distinct events that wait to be merged.
 WAITING = 300_000
 WORDS, PRICES = 0, 1
@@ -210,7 +212,8 @@ def score_texts(
     one trie for all others); no score looks at it. Null and empty texts are the
     end alone. Null ids and repeated rows are kept; without training rows the
     base is 0 and the tries are even over bytes; no rows give no rows; other
-    columns are not read. Words are told apart by 64-bit hashes.
+    columns are not read. Words are told apart by 64-bit hashes; a byte's price is
+    rounded to 1/4096 of a digit.
 
     Broadcast are one-byte contexts, at most 65,792 nodes a class. All else that
     the corpus gives is spread over groups of words and of contexts.
@@ -302,7 +305,7 @@ def score_texts(
         if mine:
             keys, counts = merged(np.concatenate([k for _, k, _ in mine]), np.concatenate([n for *_, n in mine]).astype(I64))
             pair, pair_class, pair_n = (right.column(c).to_numpy() for c in ("key", "class", "n"))
-            result = np.zeros((len(keys), len(live)), F32)
+            result = np.zeros((len(keys), len(live)), U16)
             for i, z in enumerate(live):
                 one_key, one_n = low[z]
                 zero = Level(*merged(shorter(one_key, 0), one_n))
@@ -313,7 +316,7 @@ def score_texts(
                 own = counts[:, z] > 0
                 for k in range(3, ORDER + 1):
                     levels.append(Level(*merged(shorter(keys[own], k), counts[own, z])).above(levels[-1], k - 1))
-                result[:, i] = price(keys, levels)
+                result[:, i] = np.minimum(np.rint(-STEPS * price(keys, levels)), 65535)
             for block, k, _ in mine:
                 for c, x in zip(answer.names, (block, PRICES, planes(k), planes(result[np.searchsorted(keys, k)])), strict=True):
                     out[c].append(x)
@@ -333,7 +336,8 @@ def score_texts(
         if not left.num_rows:
             return _table({c: [] for c in done.names}, done)
         word, count = answers(right, WORDS, I64, 1)
-        event, cost = answers(right, PRICES, F32, len(live))
+        event, cost = answers(right, PRICES, U16, len(live))
+        cost /= -STEPS
         n_rows, texts = left.num_rows, left.column("text")
         n_tokens, n_known = np.ones(n_rows, np.int64), np.full(n_rows, int(n_ends > 0))
         base, each = np.full(n_rows, np.log10(n_ends + 1.0)), np.repeat(prior[None, :], n_rows, axis=0)
