@@ -40,7 +40,7 @@ U64, I64, I32, U16 = np.dtype("<u8"), np.dtype("<i8"), np.dtype("<i4"), np.dtype
 #: Prices travel in this part of a digit, at most 16 digits: a byte's price is off by 1/8192 of a digit at most, up or down.
 STEPS = 4096
 #: Distinct events that wait to be merged.
-WAITING = 300_000
+WAITING = 100_000
 WORDS, PRICES = 0, 1
 LOW = np.arange(256, dtype=np.uint8)
 LOW[65:91] += 32
@@ -118,7 +118,7 @@ def merged(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
-    return keys[first], np.add.reduceat(counts, first, axis=0) if len(first) else counts
+    return keys[first], np.add.reduceat(counts, first, axis=0, dtype=counts.dtype) if len(first) else counts
 
 
 class Level:
@@ -187,7 +187,7 @@ def event_counts(table: pa.Table | pa.RecordBatch, classes: int, order: int, onl
         counts[np.arange(len(keys)), own] = times
         found.append(merged(keys >> np.uint64(8), counts[:, :classes]))
         waiting += len(keys)
-        if waiting > WAITING + 2 * len(found[0][0]):
+        if waiting > WAITING + len(found[0][0]):
             found, waiting = [merged(*map(np.concatenate, zip(*found, strict=True)))], 0
     if not found:
         return np.empty(0, np.uint64), np.zeros((0, classes), I32)
