@@ -237,7 +237,7 @@ def score_texts(
         if found:
             keys, counts = merged(*map(np.concatenate, zip(*found, strict=True)))
             at, z = np.nonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[at].astype(np.int64)), pa.array(z.astype(np.int32)), pa.array(counts[at, z])], ["key", "class", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at].astype(np.int64)), pa.array(z.astype(np.int32)), pa.array(counts[at, z], pa.int64())], ["key", "class", "n"])
 
     two = cut(rows.filter("train").select("text", "train", "class").mapInArrow(pairs, "key long, class int, n long").groupBy("key", "class").agg(F.sum("n").alias("n")))
     one = two.groupBy(F.col("key").bitwiseAND(F.lit(0xFFFF)).alias("key"), "class").agg(F.sum("n").alias("n")).toArrow()
