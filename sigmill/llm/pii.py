@@ -26,10 +26,10 @@ REGEX = {
     "ip": r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9]++(?:[ -][0-9]++)*+",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "context": r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D0-9]*+[0-9]|[A-Za-z]++[^A-Za-z0-9\x20\x09-\x0D]++[A-Za-z])[^\x20\x09-\x0D]*+",
+    "context": r"(?<![^\x20\x09-\x0D])(?:[^\x20\x09-\x0D0-9]*+[0-9]|[\p{L}\p{M}]++[^\p{L}\p{M}\p{N}\x20\x09-\x0D]++\p{L})[^\x20\x09-\x0D]*+",
 }
 #: What a text must hold for a pattern to be tried at all.
-NEEDS = {"email": lambda t: F.contains(t, F.lit("@")), "phone": lambda t: F.contains(t, F.lit("+")), "card": lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){12}"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "context": lambda t: t.rlike(r"[0-9]|[A-Za-z][^A-Za-z0-9\x20\x09-\x0D]++[A-Za-z]")}
+NEEDS = {"email": lambda t: F.contains(t, F.lit("@")), "phone": lambda t: F.contains(t, F.lit("+")), "card": lambda t: t.rlike(r"[0-9](?:[ -]?[0-9]){12}"), "ip": lambda t: t.rlike(r"[0-9]\.[0-9]"), "context": lambda t: t.rlike(r"[0-9]|[\p{L}\p{M}][^\p{L}\p{M}\p{N}\x20\x09-\x0D]++\p{L}")}
 
 
 def luhn(digits: Column) -> Column:
