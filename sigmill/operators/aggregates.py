@@ -85,9 +85,14 @@ def aggregate_requests(logs: DataFrame, **params) -> DataFrame:
     return a.select("requests", rate("d", "requests").alias("avg_duration_ms"), rate("q", "requests").alias("avg_db_count"), "cache_reads", "cache_hits", rate("cache_hits", "cache_reads", 100).alias("hit_rate"))
 
 
+def performance_rows(logs: DataFrame, sort_by="duration", limit=20, **params) -> DataFrame:
+    """AGG-10: the rows of a performance search."""
+    return search_requests(logs, sort_by, limit, **params)
+
+
 def performance_report(logs: DataFrame, sort_by="duration", limit=20, **params) -> DataFrame:
     """AGG-10: totals and hints over the rows of a performance search."""
-    top = search_requests(logs, sort_by, limit, **params)
+    top = performance_rows(logs, sort_by, limit, **params)
     a = top.agg(F.count("*").alias("requests"), one(F.col("n_plus_one")).alias("n_plus_one"), F.sum("db_count").alias("q"), F.sum("duration_ms").alias("d"))
     avg = lambda c: F.round(F.col(c) / F.col("requests"), 4)
     return a.select("requests", "n_plus_one", avg("q").alias("avg_sql"), avg("d").alias("avg_duration_ms"), (avg("q") > 20).alias("hint_sql"), (avg("d") > 1000).alias("hint_slow"))

@@ -220,6 +220,11 @@ def _(spark, d):
     return agg.performance_report(logs(spark, d), limit=50)
 
 
+@q("agg10_performance_rows", f"SELECT id, service, path, duration_ms, db_count FROM logs WHERE {REQ} ORDER BY duration_ms DESC, id LIMIT 50")
+def _(spark, d):
+    return agg.performance_rows(logs(spark, d), limit=50).select("id", "service", "path", "duration_ms", "db_count")
+
+
 LV = ", ".join(f"count(*) FILTER (level='{v}') AS {v}" for v in ("debug", "info", "warn", "error", "fatal"))
 
 
