@@ -205,23 +205,28 @@ def changes(logs: DataFrame, groups: DataFrame, since: str, as_of: str) -> DataF
     return a.crossJoin(new).withColumn("percent", p)
 
 
-def measure(logs: DataFrame, start: str, end: str, endpoint=None, env=None, keys=("service", "env")) -> DataFrame:
-    """AGG-21: every metric a rule may name, one row per key, in one aggregate."""
-    s, e = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
-    rows = logs.filter((F.col("ts") >= s) & (F.col("ts") < e) & env_matches(env))
-    if endpoint:
-        rows = rows.filter((F.col("path") == endpoint) | (F.col("handler") == endpoint))
+def measures(end) -> list[F.Column]:
+    """AGG-21: every metric a rule may name, as aggregates of a window that ends at `end`."""
     timed = is_request() & (F.col("duration_ms") > 0)
     d = F.when(timed, F.col("duration_ms"))
     hits, reads = F.sum(F.when(timed, F.col("cache_hits"))), F.sum(F.when(timed, F.col("cache_hits") + F.col("cache_misses")))
     errors, n = one(is_error()), F.count("*")
-    return rows.groupBy(*keys).agg(
+    return [
         n.alias("log_count"),
         errors.alias("error_count"),
         F.round(errors / n, 6).alias("error_rate"),
         F.round(F.sum(d) / F.count(d), 4).alias("response_time"),
         F.expr("percentile_disc(0.95) within group (order by case when kind = 'request' and duration_ms > 0 then duration_ms end)").cast("long").alias("p95_response"),
-        F.timestamp_diff("SECOND", F.max("ts"), e).alias("heartbeat"),
+        F.timestamp_diff("SECOND", F.max("ts"), end).alias("heartbeat"),
         F.coalesce(F.sum(F.when(timed, F.col("db_count"))), F.lit(0)).alias("sql_count"),
         F.when(reads > 0, F.round(hits / reads, 6)).otherwise(0.0).alias("cache_hit_rate"),
-    )
+    ]
+
+
+def measure(logs: DataFrame, start: str, end: str, endpoint=None, env=None, keys=("service", "env")) -> DataFrame:
+    """AGG-21: one row of metrics per key, in one aggregate."""
+    s, e = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
+    rows = logs.filter((F.col("ts") >= s) & (F.col("ts") < e) & env_matches(env))
+    if endpoint:
+        rows = rows.filter((F.col("path") == endpoint) | (F.col("handler") == endpoint))
+    return rows.groupBy(*keys).agg(*measures(e))

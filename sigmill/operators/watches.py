@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .aggregates import measure, one
-from .predicates import is_error
+from .aggregates import measure, measures, one
+from .predicates import env_matches, is_error
 
 METRICS = ("log_count", "error_count", "error_rate", "response_time", "p95_response", "heartbeat", "sql_count", "cache_hit_rate")
 COUNTS = ("log_count", "error_count", "sql_count")
@@ -32,11 +32,15 @@ def metrics_frame(logs: DataFrame, as_of: str, minutes: int, baseline_minutes: i
     """now_*, previous_* and baseline_* metrics per (service, env) in windows that end at `as_of`."""
     at = lambda m: str(datetime.fromisoformat(as_of) - timedelta(minutes=m))
     spans = {"now": (at(minutes), as_of), "previous": (at(2 * minutes), at(minutes)), "baseline": (at(minutes + baseline_minutes), at(minutes))}
-    out = None
-    for name, (s, e) in spans.items():
-        m = measure(logs, s, e, env=env)
-        m = m.select("service", "env", *[F.col(c).cast("double").alias(f"{name}_{c}") for c in METRICS])
-        out = m if out is None else out.join(m, ["service", "env"], "full_outer")
+    when = lambda t: F.lit(t).cast("timestamp")
+    inside = lambda s, e: (F.col("ts") >= when(s)) & (F.col("ts") < when(e))
+    # One scan and one shuffle: a row goes to each window that holds it, and windows become columns after the aggregate.
+    first = min(s for s, _ in spans.values())
+    span = F.explode(F.array_compact(F.array(*[F.when(inside(s, e), F.lit(name)) for name, (s, e) in spans.items()]))).alias("span")
+    rows = logs.filter(inside(first, as_of) & env_matches(env)).select("*", span)
+    end = F.when(F.col("span") == "now", when(as_of)).otherwise(when(at(minutes)))
+    m = rows.groupBy("service", "env", "span").agg(*measures(end))
+    out = m.groupBy("service", "env").agg(*[F.max(F.when(F.col("span") == name, F.col(c).cast("double"))).alias(f"{name}_{c}") for name in spans for c in METRICS])
     # A silent window has counts of nothing and a heartbeat of its whole length.
     fill = {f"{n}_{c}": 0.0 for n in spans for c in COUNTS} | {"now_heartbeat": minutes * 60.0}
     return out.fillna(fill)

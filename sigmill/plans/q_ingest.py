@@ -14,18 +14,12 @@ from ..sources import wire
 from ..streaming import streams
 from .q_logs import ERR, plain
 from .q_signals import metrics
-from .views import AS_OF, Book, logs, table
+from .views import AS_OF, Book, folder, logs, table
 
 B = Book()
 q = B.add
 
 
-def folder(spark, name: str) -> str:
-    """A fresh folder that all executors share: under spark.checkpoint.dir, or the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
 def payloads(spark, d):
     """Wire JSON made of log rows: odd levels, numeric strings, an array for every tenth row."""
     rows = logs(spark, d)
@@ -237,7 +231,7 @@ def drained(stream, mode: str, foreach) -> None:
 def sunk(stream, mode: str, keys: tuple[str, ...] = ()):
     """The rows that a stream over all there is wrote to the shared folder: the newest of each key, or all if there is none."""
     spark, where = stream.sparkSession, folder(stream.sparkSession, "sink")
-    drained(stream, mode, streams.merge_updates(where, keys))
+    drained(stream, mode, streams.keep_updates(where))
     rows = spark.read.parquet(where)
     return streams.latest_updates(rows, keys) if keys else rows
 
@@ -256,7 +250,7 @@ def _(spark, d):
 def _(spark, d):
     where = folder(spark, "groups")
     keys = ("fingerprint", "env")
-    drained(streams.stream_error_groups(log_stream(spark, d)), "update", streams.merge_updates(where, keys))
+    drained(streams.stream_error_groups(log_stream(spark, d)), "update", streams.keep_updates(where))
     return plain(streams.latest_updates(spark.read.parquet(where), keys), "fingerprint", "env", "occurrences", "first_seen", "last_seen")
 
 

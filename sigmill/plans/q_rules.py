@@ -9,9 +9,10 @@ from ..operators import errors as err
 from ..operators import health as hlt
 from ..operators import reports as rpt
 from ..operators import watches as wat
+from ..operators.predicates import is_error
 from .q_logs import ERR, measure_sql, plain
 from .q_signals import events_of, groups_of, metrics, probes
-from .views import AS_OF, VIEWS, Book, logs, table
+from .views import AS_OF, VIEWS, Book, logs, table, written
 
 B = Book()
 q = B.add
@@ -81,12 +82,20 @@ streaks AS (SELECT watch_id, service, t AS "at", breached, CAST(sum(CASE WHEN br
 alerts AS (SELECT watch_id || '@' || epoch_us("at")//1000000 AS alert_id, watch_id, service, "at", 'pending' AS status FROM streaks WHERE breached AND consecutive=2)"""
 
 
+def runs_in(rows):
+    return wat.breach_runs(wat.run_history(rows, 360, 4), 2)
+
+
 def runs_of(spark, d):
-    return wat.breach_runs(wat.run_history(logs(spark, d), 360, 4), 2)
+    return runs_in(logs(spark, d))
 
 
 def alerts_of(spark, d):
-    a = runs_of(spark, d).filter("alert")
+    return alerts_in(logs(spark, d))
+
+
+def alerts_in(rows):
+    a = runs_in(rows).filter("alert")
     return a.select(F.concat_ws("@", "watch_id", F.unix_seconds("at")).alias("alert_id"), "watch_id", "service", "at", F.lit("pending").alias("status"))
 
 
@@ -181,10 +190,13 @@ sig AS (SELECT ts AS "at", 'error' AS type, service, env, message AS detail FROM
 
 
 def signals(spark, d, start, end, **scope):
-    rows, groups = groups_of(spark, d)
+    # Every signal but the probes comes from these columns; texts are kept for error rows alone.
+    rows = logs(spark, d)
+    rows = written(rows.select("id", "ts", "level", "service", "env", "version", "error_fingerprint", *[F.when(is_error(), F.col(c)).alias(c) for c in ("message", "error_class", "source_file")]))
+    groups = written(err.error_groups(rows))
     life = events_of(rows, groups).join(groups.select("fingerprint", "env", "service"), ["fingerprint", "env"])
     moves = hlt.transitions(probes(spark, d), "1900-01-01", "2100-01-01").withColumn("checked_at", F.col("checked_at") + F.expr("interval 28 years"))
-    return rpt.timeline_events(rows, dep.deploys(rows), life, alerts_of(spark, d), moves, start, end, **scope)
+    return rpt.timeline_events(rows, dep.deploys(rows), life, alerts_in(rows), moves, start, end, **scope)
 
 
 W0, W1 = "2024-01-15 00:00:00", "2024-01-22 00:00:00"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -29,6 +31,19 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def folder(spark, name: str) -> str:
+    """A fresh folder that all executors share: under spark.checkpoint.dir, or the warehouse where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df):
+    """What several branches of a query read, made once: fewer scans, and a lost executor costs a reread."""
+    where = folder(df.sparkSession, "shared")
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
 def as_of():
     return F.lit(AS_OF).cast("timestamp")
 

@@ -36,7 +36,7 @@ def stream_impacts(stream: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("error_fingerprint").alias("fingerprint"), "env", "user_id").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("occurrences"))
 
 
-def merge_updates(path: str, keys: tuple[str, ...]) -> Callable[[DataFrame, int], None]:
+def keep_updates(path: str) -> Callable[[DataFrame, int], None]:
     """A foreachBatch sink for update mode: each batch is a folder of its own, so a repeated batch overwrites itself."""
 
     def write(batch: DataFrame, number: int) -> None:
@@ -46,7 +46,7 @@ def merge_updates(path: str, keys: tuple[str, ...]) -> Callable[[DataFrame, int]
 
 
 def latest_updates(updates: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """The newest row per key of a table that `merge_updates` wrote."""
+    """The newest row per key of a table that `keep_updates` wrote."""
     rest = [c for c in updates.columns if c not in (*keys, "batch", "update")]
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
