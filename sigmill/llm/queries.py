@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .align import op11_cross_tokenizer_alignment
 from .chat import OP5_SQL, op5_chat_formatting
 from .decontaminate import op6_benchmark_decontamination
 from .fingerprint import op9_document_fingerprints
@@ -10,8 +11,10 @@ from .near import op8_minhash_near_dedup
 from .packing import op7_best_fit_packing
 from .pii import op4_personal_data
 from .quality import op10_quality_classifier
+from .quantized import op12_embedding_near_dedup
 from .secrets import op2_secret_scans
 from .substrings import op3_substring_dedup
+from .whitening import op13_embedding_whitening
 
 QUERIES = {
     "op1_ppm_scoring": op1_ppm_scoring,
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_document_fingerprints": op9_document_fingerprints,
     "op10_quality_classifier": op10_quality_classifier,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 
