@@ -12,40 +12,36 @@ from ..sources.wire import FIELDS, LIMITS
 
 # Keys whose values never pass.
 SENSITIVE = ("password", "token", "secret", "authorization", "api_key", "credit_card")
-# Names of other logging habits by the field they mean; a dot leads into the body.
-ALIASES_OF = {
-    "ts": "timestamp time @timestamp datetime date when",
-    "level": "severity levelname log_level loglevel priority",
-    "message": "msg text content summary",
-    "service": "logger app application service_name component",
-    "env": "environment stage deployment",
-    "version": "release commit sha revision build",
-    "host": "hostname server pod container instance",
-    "duration_ms": "duration elapsed latency took response_time runtime",
-    "status": "status_code http_status response_status",
-    "path": "url uri request_path",
-    "route": "endpoint pattern",
-    "method": "verb http_method request_method",
-    "handler": "controller action function operation",
-    "user_id": "user uid actor current_user",
-    "tenant_id": "account_id org_id organization_id workspace_id",
-    "trace_id": "trace traceid",
-    "request_id": "correlation_id req_id",
-    "span_id": "span spanid",
-    "parent_span_id": "parent_id",
-    "error_class": "exception error_type exception_class class",
-    "error_message": "error err exception_message reason",
-    "source_file": "file filename path_to_file",
-    "source_line": "line lineno line_number",
-    "job_queue": "queue",
-    "job_class": "worker job task",
-    "db_ms": "db_time sql_time",
-    "db_count": "sql_count query_count",
-    "body": "metadata extra fields attributes attrs context data payload details queries",
-    "body.backtrace": "stack stacktrace backtrace stack_trace traceback",
-    "body.params": "params",
-}
-ALIASES = {alias: field for field, names in ALIASES_OF.items() for alias in names.split()}
+# Names of other logging habits and the field they mean; a dot leads into the body.
+ALIASES = {
+    "timestamp": "ts", "time": "ts", "@timestamp": "ts", "datetime": "ts", "date": "ts", "when": "ts",
+    "severity": "level", "levelname": "level", "log_level": "level", "loglevel": "level", "priority": "level",
+    "msg": "message", "text": "message", "content": "message", "summary": "message",
+    "logger": "service", "app": "service", "application": "service", "service_name": "service", "component": "service",
+    "environment": "env", "stage": "env", "deployment": "env",
+    "release": "version", "commit": "version", "sha": "version", "revision": "version", "build": "version",
+    "hostname": "host", "server": "host", "pod": "host", "container": "host", "instance": "host",
+    "duration": "duration_ms", "elapsed": "duration_ms", "latency": "duration_ms", "took": "duration_ms", "response_time": "duration_ms", "runtime": "duration_ms",
+    "status_code": "status", "http_status": "status", "response_status": "status",
+    "url": "path", "uri": "path", "request_path": "path",
+    "endpoint": "route", "pattern": "route",
+    "verb": "method", "http_method": "method", "request_method": "method",
+    "controller": "handler", "action": "handler", "function": "handler", "operation": "handler",
+    "user": "user_id", "uid": "user_id", "actor": "user_id", "current_user": "user_id",
+    "account_id": "tenant_id", "org_id": "tenant_id", "organization_id": "tenant_id", "workspace_id": "tenant_id",
+    "trace": "trace_id", "traceid": "trace_id",
+    "correlation_id": "request_id", "req_id": "request_id",
+    "span": "span_id", "spanid": "span_id", "parent_id": "parent_span_id",
+    "exception": "error_class", "error_type": "error_class", "exception_class": "error_class", "class": "error_class",
+    "error": "error_message", "err": "error_message", "exception_message": "error_message", "reason": "error_message",
+    "file": "source_file", "filename": "source_file", "path_to_file": "source_file",
+    "line": "source_line", "lineno": "source_line", "line_number": "source_line",
+    "queue": "job_queue", "worker": "job_class", "job": "job_class", "task": "job_class",
+    "db_time": "db_ms", "sql_time": "db_ms", "sql_count": "db_count", "query_count": "db_count",
+    "metadata": "body", "extra": "body", "fields": "body", "attributes": "body", "attrs": "body", "context": "body", "data": "body", "payload": "body", "details": "body", "queries": "body",
+    "stack": "body.backtrace", "stacktrace": "body.backtrace", "backtrace": "body.backtrace", "stack_trace": "body.backtrace", "traceback": "body.backtrace",
+    "params": "body.params",
+}
 
 
 def unit_hash(c: Column) -> Column:
@@ -167,9 +163,35 @@ def dedup_batches(df: DataFrame, batch: str = "batch_id", row: str = "id") -> Da
     return df.join(first, batch).filter(F.col("received_at") == F.col("first_received")).drop("first_received")
 
 
-def dedup_batches_stream(df: DataFrame, batch: str = "batch_id", within: str = "1 hour") -> DataFrame:
-    """ING-9 on a stream: ids are remembered for as long as the watermark allows."""
-    return df.withWatermark("received_at", within).dropDuplicatesWithinWatermark([batch])
+def dedup_batches_stream(df: DataFrame, batch: str = "batch_id", within: str = "1 hour", remember_s: int = 3600) -> DataFrame:
+    """ING-9 on a stream: every row of a batch's first arrival passes; the batch sent again doesn't.
+
+    The first arrival is the least `received_at` of the first micro-batch that
+    has the id; rows of that arrival pass in later ones too. Ids are forgotten
+    once the watermark (`received_at` less `within`) is `remember_s` past their
+    arrival, so the state holds the ids of that time and no more. Rows without
+    an id are never dropped: they pass by, without any state.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    known = df.withColumn("received_at", F.col("received_at").cast("timestamp")).withWatermark("received_at", within)
+    names = known.columns
+
+    def admit(key, parts, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        parts = list(parts)
+        first = state.get[0] if state.exists else min(int(p["__us"].min()) for p in parts)
+        state.update((first,))
+        state.setTimeoutTimestamp(max(first // 1000 + 1000 * remember_s, state.getCurrentWatermarkMs() + 1))
+        for p in parts:
+            yield p.loc[p["__us"] == first, names]
+
+    some = F.coalesce(F.col(batch).cast("string"), F.lit("")) != ""
+    rows = known.filter(some).withColumn("__us", F.unix_micros("received_at"))
+    kept = rows.groupBy(batch).applyInPandasWithState(admit, known.schema, "first long", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.unionByName(known.filter(~some))
 
 
 def validate_payload(payloads: DataFrame, as_of: str, c: str = "payload") -> DataFrame:

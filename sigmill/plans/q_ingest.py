@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import json
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -11,10 +11,11 @@ from ..functions import text
 from ..operators import ingest as ing
 from ..sources import tables as src
 from ..sources import wire
+from ..streaming import rules as live
 from ..streaming import streams
 from .q_logs import ERR, plain
-from .q_signals import metrics
-from .views import AS_OF, Book, folder, logs, table
+from .q_signals import actions, events_of, groups_of, metrics
+from .views import AS_OF, VIEWS, Book, folder, logs, table
 
 B = Book()
 q = B.add
@@ -222,6 +223,35 @@ def log_stream(spark, d):
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-n // 2)).parquet(where)
 
 
+#: Where the rows are parted in time for streams that bring them in order.
+PERIODS = ("2024-01-08 12:00:00", "2024-01-16 00:00:00", "2024-01-23 12:00:00")
+
+
+def ordered_stream(spark, rows):
+    """The rows as a stream that brings one period after the other, each of several files."""
+    where, n = folder(spark, "ordered"), spark.sparkContext.defaultParallelism
+    for start, end in zip((None, *PERIODS), (*PERIODS, None), strict=True):
+        part = rows
+        if start:
+            part = part.filter(F.col("ts") >= F.lit(start).cast("timestamp"))
+        if end:
+            part = part.filter(F.col("ts") < F.lit(end).cast("timestamp"))
+        part.repartition(n, "id").write.mode("append").parquet(where)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", n).parquet(where)
+
+
+@contextmanager
+def several_states(spark):
+    """Keyed state of several variables needs the RocksDB store."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
+
+
 def drained(stream, mode: str, foreach) -> None:
     """Runs a stream over all there is."""
     at = folder(stream.sparkSession, "progress")
@@ -236,14 +266,34 @@ def sunk(stream, mode: str, keys: tuple[str, ...] = ()):
     return streams.latest_updates(rows, keys) if keys else rows
 
 
-@q("str1_stream_watches", f", m AS (SELECT time_bucket(INTERVAL 6 hour, ts) AS t, service, env, count(*) FILTER ({ERR})::DOUBLE/count(*) > 0.15 AS breached FROM logs GROUP BY ALL) SELECT 'w1' AS watch_id, t AS \"at\", service, env, breached FROM m")
+LIVE = [
+    {"id": "w1", "minutes": 720, "baseline_minutes": 1440, "interval_minutes": 5, "condition": {"any": [{"type": "threshold", "metric": "error_rate", "op": "gt", "value": 0.2}, {"type": "relative", "metric": "error_rate", "op": "gt", "multiple": 1.1}, {"all": [{"type": "delta", "metric": "log_count", "percent": 20}, {"not": {"type": "threshold", "metric": "cache_hit_rate", "op": "lt", "value": 0.75}}]}]}},
+    {"id": "w2", "minutes": 60, "interval_minutes": 57_600, "condition": {"type": "count", "name": "users", "field": "user_id", "level": "ERROR", "minutes": 2880, "op": "gte", "value": 2}},
+    {"id": "w3", "status": "paused", "condition": {"type": "threshold", "metric": "log_count", "op": "gte", "value": 0}},
+    {"id": "w4", "service": "API", "minutes": 1440, "baseline_minutes": 1440, "condition": {"any": [{"type": "threshold", "metric": "p95_response", "op": "gt", "value": 90}, {"type": "threshold", "metric": "heartbeat", "op": "gt", "value": 30}, {"type": "threshold", "metric": "sql_count", "op": "lt", "value": 5}]}},
+]
+# Each period judges the rules of a service and environment at the end of the newest minute it brings.
+VIEWS["live"] = VIEWS["logs"] + f""", chk AS (SELECT service, env, CASE WHEN ts < TIMESTAMP '{PERIODS[0]}' THEN 1 WHEN ts < TIMESTAMP '{PERIODS[1]}' THEN 2 WHEN ts < TIMESTAMP '{PERIODS[2]}' THEN 3 ELSE 4 END AS p, date_trunc('minute', max(ts)) + INTERVAL 1 minute AS "at" FROM logs GROUP BY ALL),
+lm AS (SELECT c.service, c.env, c."at", c.p, count(*) FILTER (l.ts >= c."at" - INTERVAL 12 hour) AS n, count(*) FILTER (l.ts >= c."at" - INTERVAL 12 hour AND {ERR}) AS e,
+ count(*) FILTER (l.ts >= c."at" - INTERVAL 24 hour AND l.ts < c."at" - INTERVAL 12 hour) AS pn, count(*) FILTER (l.ts >= c."at" - INTERVAL 36 hour AND l.ts < c."at" - INTERVAL 12 hour) AS bn, count(*) FILTER (l.ts >= c."at" - INTERVAL 36 hour AND l.ts < c."at" - INTERVAL 12 hour AND {ERR}) AS be,
+ CAST(sum(cache_hits) FILTER (l.ts >= c."at" - INTERVAL 12 hour AND duration_ms > 0) AS BIGINT) AS hits, CAST(sum(cache_hits + cache_misses) FILTER (l.ts >= c."at" - INTERVAL 12 hour AND duration_ms > 0) AS BIGINT) AS reads,
+ count(DISTINCT user_id) FILTER (level = 'error') AS users, quantile_disc(CASE WHEN duration_ms > 0 THEN duration_ms END, 0.95) FILTER (l.ts >= c."at" - INTERVAL 24 hour) AS p95, max(l.ts) AS last,
+ CAST(coalesce(sum(db_count) FILTER (l.ts >= c."at" - INTERVAL 24 hour AND duration_ms > 0), 0) AS BIGINT) AS sqls
+ FROM chk c JOIN logs l ON l.service = c.service AND l.env = c.env AND l.ts >= c."at" - INTERVAL 48 hour AND l.ts < c."at" GROUP BY ALL),
+lr AS (SELECT *, round(e::DOUBLE/n, 6) AS er, round(be::DOUBLE/nullif(bn,0), 6) AS br, CASE WHEN reads > 0 THEN round(hits::DOUBLE/reads, 6) ELSE 0.0 END AS hr, min("at") OVER (PARTITION BY service, env) AS first_at FROM lm),
+l2 AS (SELECT *, "at" >= first_at + INTERVAL 20 day AS later FROM lr)"""
+
+
+@q(
+    "str1_stream_watches",
+    """ SELECT 'w1' AS watch_id, "at", service, env, er > 0.2 OR (coalesce(br <> 0, false) AND coalesce(er > br*1.1, false)) OR (coalesce(abs(n-pn)*100.0::DOUBLE/nullif(pn,0), -1) >= 20 AND NOT hr < 0.75) AS breached FROM lr
+UNION ALL SELECT 'w2', "at", service, env, users >= 2 FROM l2 WHERE "at" = first_at OR later AND p = (SELECT min(x.p) FROM l2 x WHERE x.service = l2.service AND x.env = l2.env AND x.later)
+UNION ALL SELECT 'w4', "at", service, env, coalesce(p95 > 90, false) OR (epoch_us("at") - epoch_us(last)) // 1000000 > 30 OR sqls < 5 FROM lr WHERE service = 'api'""",
+    ("live",),
+)
 def _(spark, d):
-    where = folder(spark, "runs")
-    rule = {"id": "w1", "condition": json.dumps({"type": "threshold", "metric": "error_rate", "op": "gt", "value": 0.15})}
-    drained(streams.stream_watches(log_stream(spark, d), "6 hours"), "update", streams.judge_batch([rule], where))
-    runs = spark.read.parquet(where)
-    newest = runs.groupBy("watch_id", "at", "service", "env").agg(F.max_by("breached", "batch").alias("breached"))
-    return plain(newest)
+    with several_states(spark):
+        return plain(sunk(live.stream_watches(ordered_stream(spark, logs(spark, d)), LIVE), "update"), "watch_id", "at", "service", "env", "breached")
 
 
 @q("str2_error_groups", f"SELECT error_fingerprint AS fingerprint, env, count(*) AS occurrences, min(ts) AS first_seen, max(ts) AS last_seen FROM logs WHERE {ERR} AND error_fingerprint<>'' GROUP BY ALL")
@@ -254,9 +304,18 @@ def _(spark, d):
     return plain(streams.latest_updates(spark.read.parquet(where), keys), "fingerprint", "env", "occurrences", "first_seen", "last_seen")
 
 
-@q("str2_impacts", f"SELECT error_fingerprint AS fingerprint, env, user_id, count(*) AS occurrences FROM logs WHERE {ERR} AND error_fingerprint<>'' GROUP BY ALL")
+@q("str2_group_states", ", st AS (SELECT fingerprint, env, arg_max(event, (\"at\", event)) AS e, CAST(count(*) FILTER (event='reopened') AS BIGINT) AS r FROM evts GROUP BY ALL) SELECT g.* EXCLUDE (status), CASE WHEN e IN ('resolved','ignored') THEN e ELSE 'unresolved' END AS status, coalesce(r,0) AS reopened FROM groups g LEFT JOIN st USING (fingerprint, env)", ("acts",))
+def _(spark, d):
+    where = folder(spark, "actions")
+    acts = actions(groups_of(spark, d)[1])
+    acts.write.parquet(where)
+    found = streams.stream_group_states(log_stream(spark, d), spark.readStream.schema(acts.schema).parquet(where))
+    return plain(sunk(found, "update", ("fingerprint", "env")), *found.columns)
+
+
+@q("str2_impacts", f"SELECT error_fingerprint AS fingerprint, env, user_id, count(*) AS occurrences, min(ts) AS first_seen, max(ts) AS last_seen FROM logs WHERE {ERR} AND error_fingerprint<>'' GROUP BY ALL")
 def _(spark, d):
-    return sunk(streams.stream_impacts(log_stream(spark, d)), "update", ("fingerprint", "env", "user_id")).select("fingerprint", "env", "user_id", "occurrences")
+    return plain(sunk(streams.stream_impacts(log_stream(spark, d)), "update", ("fingerprint", "env", "user_id")), "fingerprint", "env", "user_id", "occurrences", "first_seen", "last_seen")
 
 
 @q("str3_trace_status", f"SELECT trace_id, count(*) AS spans, array_to_string(list_sort(list(DISTINCT service)), ',') AS services, epoch_us(max(ts))//1000 - epoch_us(min(ts))//1000 AS duration_ms, bool_or({ERR}) AS has_errors FROM logs GROUP BY 1")
@@ -264,6 +323,14 @@ def _(spark, d):
     return sunk(streams.stream_trace_status(log_stream(spark, d), None), "update", ("trace_id",)).select("trace_id", "spans", "services", "duration_ms", "has_errors")
 
 
+LAST = "(SELECT epoch_us(max(ts))//1000 - 3600000 FROM logs)"
+
+
+@q("str3_trace_timeouts", f"SELECT trace_id, count(*) AS spans, array_to_string(list_sort(list(DISTINCT service)), ',') AS services, epoch_us(max(ts))//1000 - epoch_us(min(ts))//1000 AS duration_ms, bool_or({ERR}) AS has_errors, CASE WHEN epoch_us(max(ts))//1000 + 30000 < {LAST} THEN 'timeout' ELSE 'partial' END AS status FROM logs GROUP BY 1")
+def _(spark, d):
+    return sunk(streams.stream_trace_status(ordered_stream(spark, logs(spark, d)), 30, "event"), "update", ("trace_id",))
+
+
 @q("str4_live_tail", f"SELECT id, message FROM logs WHERE {ERR} AND level='fatal' AND service='web'")
 def _(spark, d):
     return sunk(streams.live_tail(log_stream(spark, d), level="fatal", service="web"), "append").select("id", "message")
@@ -274,6 +341,12 @@ def _(spark, d):
     return sunk(streams.stream_heartbeat(log_stream(spark, d), None), "update", ("service",)).select("service", "last_ms")
 
 
+@q("str5_silent_services", f"SELECT service, epoch_us(max(ts))//1000 AS last_ms, epoch_us(max(ts))//1000 + 60000 < {LAST} AS silent FROM (SELECT service || '/' || env || '/' || version AS service, ts FROM logs) GROUP BY 1")
+def _(spark, d):
+    parts = logs(spark, d).withColumn("service", F.concat_ws("/", "service", "env", "version"))
+    return sunk(streams.stream_heartbeat(ordered_stream(spark, parts), 60, "event"), "update", ("service",))
+
+
 @q("str6_minute_rollup", "SELECT date_trunc('minute', ts) AS minute, service, env, level, count(*) AS n FROM logs GROUP BY ALL")
 def _(spark, d):
     # Complete, as rows are spread over the batches whatever their time: update would drop the late ones.
@@ -285,4 +358,14 @@ def _(spark, d):
     return sunk(streams.stream_first_seen_deploys(log_stream(spark, d)), "append").select("version", "service", "env")
 
 
+@q("ing9_dedup_stream", "SELECT id, id // 20 AS batch_id, min(ts) OVER (PARTITION BY id // 20) AS received_at FROM logs")
+def _(spark, d):
+    # Batches of 20 rows; two in three are sent again ten minutes later, with all their rows.
+    rows = logs(spark, d).select("id", "ts", F.floor(F.col("id") / 20).alias("batch_id"))
+    sent = rows.join(rows.groupBy("batch_id").agg(F.min("ts").alias("received_at")), "batch_id").select("id", "batch_id", "received_at")
+    again = sent.filter("batch_id % 3 > 0").withColumn("received_at", F.col("received_at") + F.expr("interval 10 minutes"))
+    stream = ordered_stream(spark, sent.union(again).withColumn("ts", F.col("received_at")))
+    return plain(sunk(ing.dedup_batches_stream(stream), "append"), "id", "batch_id", "received_at")
+
+
 QUERIES, SQL = B.queries, B.sql

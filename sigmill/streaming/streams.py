@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_right
 from collections.abc import Callable
 
 import pandas as pd
@@ -51,18 +53,41 @@ def latest_updates(updates: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
 
 
+#: Of a trace or service that has been silent for so long nothing is kept any more.
+FORGET_S = 86_400
+
+
+def timer(silence_s: int | None, clock: str) -> str:
+    """Timers by the watermark ("event"), so that replayed history times out as live data would, or by the machine's clock; none without a silence."""
+    if clock not in ("event", "processing"):
+        raise ValueError(f"no clock {clock!r}")
+    if not silence_s:
+        return GroupStateTimeout.NoTimeout
+    return GroupStateTimeout.EventTimeTimeout if clock == "event" else GroupStateTimeout.ProcessingTimeTimeout
+
+
+def wake(state: GroupState, last_ms: int, after_s: int, clock: str) -> None:
+    """Times out once `after_s` have passed since `last_ms`, or since now by the machine's clock."""
+    if clock == "event":
+        state.setTimeoutTimestamp(max(last_ms + 1000 * after_s, state.getCurrentWatermarkMs() + 1))
+    else:
+        state.setTimeoutDuration(1000 * after_s)
+
+
 TRACE = "trace_id string, spans long, services string, duration_ms long, has_errors boolean, status string"
-TRACE_STATE = "spans long, services string, first long, last long, errors boolean"
+TRACE_STATE = "spans long, services string, first long, last long, errors boolean, status string"
 
 
-def trace_update(silence_ms: int | None):
-    """One trace's state: emitted on change, and as timed out after silence."""
+def trace_update(silence_s: int | None, clock: str):
+    """One trace's state: emitted on change, once more after silence, and forgotten after long silence."""
 
     def update(key, batches, state: GroupState):
-        spans, services, first, last, errors = state.get if state.exists else (0, "", None, None, False)
+        spans, services, first, last, errors, status = state.get if state.exists else (0, "", None, None, False, "partial")
         if state.hasTimedOut:
+            if status == "timeout":
+                state.remove()
+                return
             status = "timeout"
-            state.remove()
         else:
             status, names = "partial", set(filter(None, services.split(",")))
             for df in batches:
@@ -73,24 +98,21 @@ def trace_update(silence_ms: int | None):
                 last = int(at.max()) if last is None else max(last, int(at.max()))
                 errors = bool(errors or df["level"].isin(["error", "fatal"]).any())
             services = ",".join(sorted(names))
-            state.update((spans, services, first, last, errors))
-            if silence_ms:
-                state.setTimeoutDuration(silence_ms)
-        yield pd.DataFrame([{"trace_id": key[0], "spans": spans, "services": services, "duration_ms": (last or 0) - (first or 0), "has_errors": errors, "status": status}])
+        state.update((spans, services, first, last, errors, status))
+        if silence_s:
+            wake(state, last, silence_s if status == "partial" else max(silence_s, FORGET_S), clock)
+        yield pd.DataFrame([{"trace_id": key[0], "spans": spans, "services": services, "duration_ms": last - first, "has_errors": errors, "status": status}])
 
     return update
 
 
-def timer(silence_ms: int | None) -> str:
-    """A bounded run (availableNow) can't wait for timers: without a silence there are none."""
-    return GroupStateTimeout.ProcessingTimeTimeout if silence_ms else GroupStateTimeout.NoTimeout
+def stream_trace_status(stream: DataFrame, silence_s: int | None = 30, clock: str = "processing") -> DataFrame:
+    """STR-3: TRC-6 kept per trace; a trace that is silent for 30 s comes out once more, timed out (TRC-7).
 
-
-def stream_trace_status(stream: DataFrame, silence_s: int | None = 30) -> DataFrame:
-    """STR-3: TRC-6 kept per trace; a trace that is silent for 30 s comes out once more, timed out."""
-    ms = 1000 * silence_s if silence_s else None
-    rows = stream.filter(F.coalesce("trace_id", F.lit("")) != "").select("trace_id", "service", "level", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    return rows.groupBy("trace_id").applyInPandasWithState(trace_update(ms), TRACE, TRACE_STATE, "update", timer(ms))
+    A later row makes it partial again with all its counts, for a day.
+    """
+    rows = marked(stream).filter(F.coalesce("trace_id", F.lit("")) != "").select("trace_id", "service", "level", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("trace_id").applyInPandasWithState(trace_update(silence_s, clock), TRACE, TRACE_STATE, "update", timer(silence_s, clock))
 
 
 def live_tail(stream: DataFrame, **params) -> DataFrame:
@@ -98,7 +120,7 @@ def live_tail(stream: DataFrame, **params) -> DataFrame:
     return filter_logs(stream, **params)
 
 
-def heartbeat_update(silence_ms: int | None):
+def heartbeat_update(silence_s: int | None, clock: str):
     def update(key, batches, state: GroupState):
         if state.hasTimedOut:
             last = state.get[0]
@@ -109,18 +131,17 @@ def heartbeat_update(silence_ms: int | None):
         if state.exists:
             last = max(last, state.get[0])
         state.update((last,))
-        if silence_ms:
-            state.setTimeoutDuration(silence_ms)
+        if silence_s:
+            wake(state, last, silence_s, clock)
         yield pd.DataFrame([{"service": key[0], "last_ms": last, "silent": False}])
 
     return update
 
 
-def stream_heartbeat(stream: DataFrame, silence_s: int | None = 900) -> DataFrame:
+def stream_heartbeat(stream: DataFrame, silence_s: int | None = 900, clock: str = "processing") -> DataFrame:
     """STR-5: the last row of each service, and once more when it has been silent for the threshold."""
-    ms = 1000 * silence_s if silence_s else None
-    rows = stream.select("service", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    return rows.groupBy("service").applyInPandasWithState(heartbeat_update(ms), "service string, last_ms long, silent boolean", "last long", "update", timer(ms))
+    rows = marked(stream).select("service", "ts", F.unix_millis("ts").alias("ms"))
+    return rows.groupBy("service").applyInPandasWithState(heartbeat_update(silence_s, clock), "service string, last_ms long, silent boolean", "last long", "update", timer(silence_s, clock))
 
 
 def stream_first_seen_deploys(stream: DataFrame) -> DataFrame:
@@ -129,20 +150,90 @@ def stream_first_seen_deploys(stream: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["version", "service", "env"])
 
 
-def stream_watches(stream: DataFrame, interval: str = "5 minutes") -> DataFrame:
-    """STR-1: the metrics that rules need, per service, environment and check interval; judge each batch in foreachBatch."""
-    g = marked(stream).groupBy(F.window("ts", interval), "service", "env").agg(F.count("*").alias("log_count"), F.sum(F.when(is_error(), 1).otherwise(0)).alias("error_count"), F.sum("duration_ms").alias("d"), F.count("duration_ms").alias("timed"))
-    return g.select(F.col("window.start").alias("at"), "service", "env", "log_count", "error_count", F.round(F.col("error_count") / F.col("log_count"), 6).alias("error_rate"), F.round(F.col("d") / F.col("timed"), 4).alias("response_time"))
-
-
-def judge_batch(watches: list[dict], path: str) -> Callable[[DataFrame, int], None]:
-    """The foreachBatch of STR-1: every rule over a batch's metrics, runs appended under `path`."""
-    from ..operators.watches import METRICS, evaluate_condition
-
-    def write(batch: DataFrame, number: int) -> None:
-        frame = batch.withColumns({f"now_{c}": F.col(c).cast("double") if c in batch.columns else F.lit(None).cast("double") for c in METRICS})
-        rules = [F.struct(F.lit(w["id"]).alias("watch_id"), evaluate_condition(w["condition"]).alias("breached")) for w in watches]
-        runs = frame.select("at", "service", "env", F.explode(F.array(*rules)).alias("r")).select("r.watch_id", "at", "service", "env", "r.breached")
-        runs.write.mode("overwrite").parquet(f"{path}/batch={number}")
-
-    return write
+DESCRIBED = ("service", "error_class", "message", "source_file")
+GROUP = "fingerprint string, env string, service string, error_class string, message string, source_file string, first_seen timestamp, last_seen timestamp, occurrences long, last_log_id long, status string, reopened long"
+
+
+def folded(actions: list[list]) -> tuple[str, int]:
+    """Status and reopenings after a group's actions [at, what, first and last occurrence until the next action], in order of time."""
+    status, reopened = "unresolved", 0
+    for _, what, first, _ in actions:
+        if what != status and not (what == "reopened" and status == "unresolved"):
+            status, reopened = what, reopened + (what == "reopened")
+        if status == "resolved" and first is not None:
+            status, reopened = "reopened", reopened + 1
+    return status if status in ("resolved", "ignored") else "unresolved", reopened
+
+
+def seen(actions: list[list], times: list[int]) -> None:
+    """Notes occurrences (rising) with the action that each of them follows."""
+    for i, entry in enumerate(actions):
+        until = actions[i + 1][0] if i + 1 < len(actions) else None
+        # An occurrence at the time of an action comes before it.
+        here = times[bisect_right(times, entry[0]) : None if until is None else bisect_right(times, until)]
+        if here:
+            entry[2] = here[0] if entry[2] is None else min(entry[2], here[0])
+            entry[3] = here[-1] if entry[3] is None else max(entry[3], here[-1])
+
+
+def acted(actions: list[list], at: int, what: str, last_seen: int | None) -> None:
+    """Puts an action in its place; what is known to have occurred after it goes over to it."""
+    if any(entry[:2] == [at, what] for entry in actions):
+        return
+    place = bisect_right([entry[:2] for entry in actions], [at, what])
+    first = last = None
+    if place:
+        before = actions[place - 1]
+        if before[3] is not None and before[3] > at:
+            first, last = (before[2] if before[2] > at else before[3]), before[3]
+            if before[2] > at:
+                before[2] = before[3] = None
+            else:
+                before[3] = before[2]
+    elif last_seen is not None and last_seen > at:
+        first = last = last_seen
+        if actions and actions[0][0] < last_seen:
+            first = last = None
+    actions.insert(place, [at, what, first, last])
+
+
+def group_update(key, batches, state: GroupState):
+    """One group's first row, counts and actions; rows and actions may come in any order."""
+    held = json.loads(state.get[0]) if state.exists else {"n": 0, "first": None, "last": None, "last_id": None, "actions": []}
+    rows = pd.concat([b for b in batches if len(b)])
+    occurred, actions = rows[rows["action"].isna()], rows[rows["action"].notna()]
+    times = sorted(occurred["us"].tolist())
+    for at, what in sorted(zip(actions["us"].tolist(), actions["action"], strict=True)):
+        acted(held["actions"], at, what, held["last"])
+    seen(held["actions"], times)
+    if times:
+        first = occurred.sort_values(["us", "id"]).iloc[0]
+        described = [int(first["us"]), int(first["id"]), *(None if pd.isna(first[c]) else first[c] for c in DESCRIBED)]
+        if held["first"] is None or described[:2] < held["first"][:2]:
+            held["first"] = described
+        held["n"] += len(times)
+        held["last"] = max(times[-1], held["last"] if held["last"] is not None else times[-1])
+        held["last_id"] = max(int(occurred["id"].max()), held["last_id"] if held["last_id"] is not None else -(1 << 63))
+    state.update((json.dumps(held),))
+    if held["n"]:
+        status, reopened = folded(held["actions"])
+        moment = lambda us: pd.Timestamp(us, unit="us")
+        row = (*key, *held["first"][2:], moment(held["first"][0]), moment(held["last"]), held["n"], held["last_id"], status, reopened)
+        yield pd.DataFrame([row], columns=[c.split()[0] for c in GROUP.split(", ")])
+
+
+def stream_group_states(stream: DataFrame, actions: DataFrame) -> DataFrame:
+    """STR-2: ERR-1's groups with the status and reopenings of ERR-3, kept per (fingerprint, env); update mode.
+
+    `actions` is a stream of (fingerprint, env, at, action). Log rows and
+    actions count by their own times, whatever order they come in; of a group's
+    actions the first and last occurrence after each are kept. An action that
+    comes after the occurrences it precedes may name a later one as the first
+    after it; status and number are right.
+    """
+    us = lambda c: F.unix_micros(F.col(c).cast("timestamp")).alias("us")
+    none = lambda *names: [F.lit(None).cast("string").alias(c) for c in names]
+    rows = stream.filter(is_error() & (F.col("error_fingerprint") != ""))
+    rows = rows.select(F.col("error_fingerprint").alias("fingerprint"), "env", us("ts"), "id", "service", "error_class", F.substring("message", 1, 500).alias("message"), "source_file", *none("action"))
+    acts = actions.select("fingerprint", "env", us("at"), F.lit(None).cast("long").alias("id"), *none(*DESCRIBED), "action")
+    return rows.unionByName(acts).groupBy("fingerprint", "env").applyInPandasWithState(group_update, GROUP, "held string", "update", GroupStateTimeout.NoTimeout)
