@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from .common import cut, from_planes, planes, table
 
 #: The cache of a worker: distinct words with their tokens, some 200 bytes each.
-CACHE_UNITS = 1_000_000
+CACHE_UNITS = 400_000
 #: Bytes of text of a block, whose pairs are counted together, and of what is walked at once.
-BLOCK_BYTES, AT_ONCE = 16 << 20, 2 << 20
+BLOCK_BYTES, AT_ONCE = 16 << 20, 1 << 20
 #: Tokens of a stretch, and the longest block compared at once.
-STRETCH, LONGEST = 128, 32
+STRETCH, LONGEST = 64, 32
 #: A group of more links than this is counted by its distinct ids.
 LARGE_GROUP = 1 << 16
 BITS = 16
