@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import ingest as ing
+from ..sources import sealed as store
 from ..sources import tables as src
 from ..sources import wire
 from ..streaming import rules as live
 from ..streaming import streams
-from .q_logs import ERR, plain
+from .q_logs import ERR, measure_sql, plain
 from .q_signals import actions, events_of, groups_of, metrics
 from .views import AS_OF, VIEWS, Book, folder, logs, table
 
@@ -83,6 +84,79 @@ def _(spark, d):
     return spark.read.parquet(f"{where}-beside/dictionaries").filter("column in ('service', 'level')").select(F.col(src.HOUR).cast("string").alias("arrival_hour"), "column", "value", "n")
 
 
+#: Thirty days of few rows: a folder a day.
+DAILY = store.Layout(hours=24, buckets=2)
+_sealed: dict[tuple[str, str], str] = {}
+
+
+def sealed_table(spark, d):
+    """The log rows in two appends, one of them made twice; folders before the 20th are sealed, in two steps. Written once a session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _sealed:
+        where = folder(spark, "sealed")
+        rows = logs(spark, d)
+        store.append_logs(rows.filter("id % 3 > 0"), where, "a", DAILY)
+        store.seal(spark, where, "2024-01-10-00", DAILY)
+        for _ in range(2):
+            store.append_logs(rows.filter("id % 3 = 0"), where, "b", DAILY)
+        store.seal(spark, where, "2024-01-20-00", DAILY)
+        _sealed[key] = where
+    return _sealed[key]
+
+
+@q("src5_sealed_hours", "SELECT date_trunc('minute', ts) AS minute, service, env, level, count(*) AS n, min(id) AS first_id, max(id) AS last_id, count(*) FILTER (duration_ms > 0) AS timed, CAST(coalesce(sum(duration_ms) FILTER (duration_ms > 0), 0) AS BIGINT) AS duration_sum, coalesce(array_to_string(list_sort(list(duration_ms) FILTER (duration_ms > 0)), ','), '') AS durations FROM logs WHERE received_at < TIMESTAMP '2024-01-20' GROUP BY ALL")
+def _(spark, d):
+    minutes = store.read(spark, sealed_table(spark, d), "minutes").filter(F.col("append") == store.SEALED)
+    each = F.array_join(F.flatten(F.transform("durations", lambda x: F.array_repeat(x["value"], x["times"].cast("int")))), ",")
+    minutes = minutes.withColumn("durations", F.coalesce(each, F.lit("")))
+    return plain(minutes, "minute", "service", "env", "level", "n", "first_id", "last_id", "timed", "duration_sum", "durations")
+
+
+# A span that begins and ends within minutes, partly over sealed hours.
+LO, HI = "2024-01-08 03:14:15.500000", "2024-01-24 21:45:30.250000"
+WITHIN = f"ts >= TIMESTAMP '{LO}' AND ts <= TIMESTAMP '{HI}'"
+
+
+@q("agg1_level_from_summaries", f"SELECT level, count(*) AS n FROM logs WHERE {WITHIN} AND lower(service)='web' AND (env='' OR env='staging') GROUP BY level")
+def _(spark, d):
+    return store.count_by_level(spark, sealed_table(spark, d), LO, HI, service="WEB", env="Staging")
+
+
+@q("agg2_rate_from_summaries", f"SELECT count(*) AS total, CAST(count(*) FILTER ({ERR}) AS BIGINT) AS errors, round(count(*) FILTER ({ERR})*100.0::DOUBLE/count(*),4) AS percent FROM logs WHERE {WITHIN}")
+def _(spark, d):
+    return store.error_rate(spark, sealed_table(spark, d), LO, HI)
+
+
+@q("agg3_service_from_summaries", f"SELECT service, count(*) AS total, count(*) FILTER ({ERR}) AS errors FROM logs WHERE {WITHIN} GROUP BY service")
+def _(spark, d):
+    return store.count_by_service(spark, sealed_table(spark, d), LO, HI)
+
+
+@q("agg4_histogram_from_summaries", ", b AS (SELECT unnest(generate_series(0, 160)) AS i), c AS (SELECT datediff('second', TIMESTAMP '2024-01-10 00:07:00', date_trunc('second', ts)) // 5400 AS i, count(*) AS n FROM logs WHERE ts >= TIMESTAMP '2024-01-10 00:07:00' AND ts < TIMESTAMP '2024-01-20 00:07:00' AND service='api' GROUP BY ALL) SELECT TIMESTAMP '2024-01-10 00:07:00' + to_seconds(b.i*5400) AS bucket, coalesce(c.n,0) AS n FROM b LEFT JOIN c USING (i)")
+def _(spark, d):
+    return plain(store.histogram(spark, sealed_table(spark, d), "2024-01-10 00:07:00", "2024-01-20 00:07:00", 5400, service="api"))
+
+
+@q("agg6_values_from_dictionaries", f"SELECT DISTINCT source_file AS value FROM logs WHERE {WITHIN} AND coalesce(source_file,'')<>''")
+def _(spark, d):
+    return store.distinct_values(spark, sealed_table(spark, d), "source_file", LO, HI)
+
+
+@q("agg21_measure_from_summaries", measure_sql(LO, "2024-01-24 21:45:30", "service, env"))
+def _(spark, d):
+    return store.measure(spark, sealed_table(spark, d), LO, "2024-01-24 21:45:30")
+
+
+@q("flt6_stored_postings", f"SELECT id, message FROM logs WHERE {WITHIN} AND list_has_all({text.sql_tokens('message')}, ['purchase', 'took', '7'])".replace(", '7'", ", '10'"))
+def _(spark, d):
+    return store.full_text_hours(spark, sealed_table(spark, d), "10 took PURCHASE", LO, HI, layout=DAILY).select("id", "message")
+
+
+@q("srt1_newest_first", f"SELECT id, ts, service FROM logs WHERE ts <= TIMESTAMP '{HI}' AND ts >= TIMESTAMP '2024-01-02' AND level='fatal' ORDER BY ts DESC, id DESC LIMIT 40 OFFSET 5")
+def _(spark, d):
+    return plain(store.search_newest(spark, sealed_table(spark, d), AS_OF, "2024-01-02", HI, 40, 5, layout=DAILY, level="fatal"), "id", "ts", "service")
+
+
 @q("src7_read_jdbc_query", "SELECT s_suppkey, s_nationkey FROM supplier", ())
 def _(spark, d):
     url = f"jdbc:derby:memory:sigmill{uuid.uuid4().hex};create=true"

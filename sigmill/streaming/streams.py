@@ -237,3 +237,20 @@ def stream_group_states(stream: DataFrame, actions: DataFrame) -> DataFrame:
     rows = rows.select(F.col("error_fingerprint").alias("fingerprint"), "env", us("ts"), "id", "service", "error_class", F.substring("message", 1, 500).alias("message"), "source_file", *none("action"))
     acts = actions.select("fingerprint", "env", us("at"), F.lit(None).cast("long").alias("id"), *none(*DESCRIBED), "action")
     return rows.unionByName(acts).groupBy("fingerprint", "env").applyInPandasWithState(group_update, GROUP, "held string", "update", GroupStateTimeout.NoTimeout)
+
+
+def compact_updates(spark, path: str, keys: tuple[str, ...]) -> None:
+    """Makes one folder of all that `keep_updates` wrote, the newest row of each key; a sink then holds keys, not history.
+
+    Call it between runs of the stream. A crash is made good by the next call.
+    """
+    from ..sources import folders
+
+    folders.recover(spark, path)
+    old = [c for c in folders.children(spark, path) if c.startswith("update=")]
+    if len(old) > 1:
+        rows = spark.read.parquet(path).drop("update")
+        rest = [c for c in rows.columns if c not in keys]
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*")
+        # A number that no batch has, so a batch that comes again can't overwrite it.
+        folders.replace_folders(spark, path, "updates", {"newest": newest.withColumn("update", F.lit(-1))}, {"newest": ("update",)}, old, flat=True)
