@@ -29,8 +29,10 @@ Q = 3
 #: The map of the items' q-grams has 2^this bits at least and at most: half a megabyte to eight. A full map lets more
 #: windows through and loses none.
 MAP_BITS = 22, 26
-#: Windows embedded at once.
-AT_ONCE = 4096
+#: Windows embedded at once, and words of theirs.
+AT_ONCE, WORDS_AT_ONCE = 4096, 1 << 19
+#: Beyond this share of edits an item and its copy need not have a word in common at any place that a window keeps.
+MOST_SHARE = 0.45
 SAMPLED = 3
 #: Made-up pairs of each size, and walks of each, that tell how many walks a recall takes.
 TRIALS, TRIAL_WALKS = 96, 24
@@ -49,9 +51,16 @@ def allowed(n: int, share: float) -> int:
     return int(n * share)
 
 
-def run_of(size: int) -> int:
-    """Words in the runs that items of a size class must share with a window."""
-    return min(Q, size)
+def run_of(size: int, fewest: int, edits: int) -> tuple[int, int]:
+    """(q, n): a window must share n runs of q words with an item of `fewest` words and more; the longest runs of which it must share any.
+
+    An edit destroys at most q runs and shifts at most one out of the window.
+    """
+    for q in range(min(Q, size), 0, -1):
+        n = fewest - q + 1 - (q + 1) * edits
+        if n > 0 or q == 1:
+            return q, n
+    raise AssertionError
 
 
 def walk(windows: np.ndarray, walks: int):
@@ -124,20 +133,19 @@ def edit_distance_within(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
-def windows_of(grams: dict[int, np.ndarray], bitmap: np.ndarray, sizes: list[tuple[int, int]]):
+def windows_of(grams: dict[int, np.ndarray], bitmap: np.ndarray, sizes: list[tuple[int, int, int]]):
     """(starts, size) of the windows worth embedding: all that share enough q-grams with items of their size.
 
     grams: hashes of a text's runs, by their number of words. sizes: (size,
-    fewest shared q-grams) of each class of items.
+    q, fewest shared q-grams) of each class of items.
     """
     hits = {}
-    for q in {run_of(size) for size, _ in sizes}:
-        mine = [(size, least) for size, least in sizes if run_of(size) == q]
+    for q in {q for _, q, _ in sizes}:
+        mine = [(size, least) for size, own, least in sizes if own == q]
         at = np.flatnonzero(is_set(bitmap, grams[q]))
         if dense(at, min(least for _, least in mine), max(size for size, _ in mine) - q + 1):
             hits[q] = at
-    for size, least in sizes:
-        q = run_of(size)
+    for size, q, least in sizes:
         if q not in hits:
             continue
         span = size - q + 1
@@ -164,7 +172,7 @@ def is_set(bitmap: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return (bitmap[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def gram_map(items: DataFrame) -> np.ndarray:
+def gram_map(items: DataFrame, run_words: dict[int, int]) -> np.ndarray:
     """Bits of the items' q-grams, alone and with their size class, a sixteenth of all at most while the map can grow.
 
     At most 2^26 numbers reach the driver.
@@ -178,7 +186,7 @@ def gram_map(items: DataFrame) -> np.ndarray:
             for t in batch.column("text").to_pylist():
                 c = codes_of(t, lower=True)
                 size = size_class(len(c))
-                g = gram_hashes(c, run_of(size))
+                g = gram_hashes(c, run_words.get(size, 1))
                 found += [g, of_class(g, size)]
             bits = np.unique(np.concatenate(found) & np.uint64((1 << n_bits) - 1))
             yield pa.RecordBatch.from_arrays([pa.array(bits.astype(np.int32))], ["bit"])
@@ -208,11 +216,12 @@ def contaminated(
 
     A pair at the largest allowed distance is found with a chance of `recall`,
     nearer ones with more, equal ones always; items too short for an edit are
-    found by equality. The number of walks follows from the item's size.
+    found by equality. The number of walks follows from the item's size. Shares
+    from MOST_SHARE on are refused.
     """
+    if not 0 <= share < MOST_SHARE:
+        raise ValueError(f"share must be below {MOST_SHARE}")
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.coalesce(item_text_col, F.lit("")).alias("text"))
-    bitmap = gram_map(items)
-
     def item_rows(batches):
         for batch in batches:
             out = []
@@ -224,12 +233,12 @@ def contaminated(
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.binary(), pa.int32()), strict=True)], ["item", "item_codes", "size"])
 
     known = cut(items.mapInArrow(item_rows, "item long, item_codes binary, size int"))
-    # An edit destroys at most Q q-grams and shifts at most one out of the window.
     words = F.octet_length("item_codes") / 8
     spans = known.groupBy("size").agg(F.min(words).alias("lo"), F.max(words).alias("hi")).collect()
-    sizes = sorted((r["size"], max(1, int(r["lo"]) - run_of(r["size"]) + 1 - (run_of(r["size"]) + 1) * allowed(int(r["hi"]), share))) for r in spans)
-    runs = {run_of(size) for size, _ in sizes}
-    walks = {size: walks_for(size, share, recall) for size, _ in sizes}
+    sizes = sorted((r["size"], *run_of(r["size"], int(r["lo"]), allowed(int(r["hi"]), share))) for r in spans)
+    bitmap = gram_map(items, {size: q for size, q, _ in sizes})
+    runs = {q for _, q, _ in sizes}
+    walks = {size: walks_for(size, share, recall) for size, *_ in sizes}
 
     def item_keys(batches):
         for batch in batches:
@@ -244,11 +253,15 @@ def contaminated(
 
     def regions(size, found):
         """A row per part of a text: what all windows that start in it can match, and their keys."""
-        w = np.zeros((sum(len(starts) for _, starts, _ in found), size), np.uint64)
-        for row, (c, start) in zip(w, ((c, start) for _, starts, c in found for start in starts), strict=True):
-            part = c[start : start + size]
-            row[: len(part)] = part
-        keys, slack = embed_keys(w, walks[size]), size // 3 + 1
+        places = [(c, start) for _, starts, c in found for start in starts]
+        step, keys, slack = max(1, min(AT_ONCE, WORDS_AT_ONCE // size)), [], max(size // 3, int(size * share)) + 1
+        for at in range(0, len(places), step):
+            w = np.zeros((len(places[at : at + step]), size), np.uint64)
+            for row, (c, start) in zip(w, places[at : at + step], strict=True):
+                part = c[start : start + size]
+                row[: len(part)] = part
+            keys.append(embed_keys(w, walks[size]))
+        keys = np.concatenate(keys)
         out, at = [], 0
         for i, starts, c in found:
             lo = max(0, int(starts[0]) - slack)

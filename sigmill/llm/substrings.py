@@ -170,9 +170,11 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     so one that a third of all rows share is one row a block.
 
     Words are compared by 64-bit hashes, 13 and more of them in the trees; a
-    block looks up its own stretches by 64 bits of the whole stretch.
+    block looks up its own stretches by 64 bits of the whole stretch. `window`
+    is from 7 to 32,000 words: places in a stretch take 16 bits.
     """
-    assert window > RUN
+    if not RUN < window <= 32_000:
+        raise ValueError("window must be from 7 to 32,000 words")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     blocks = blocks_for(total_bytes(rows), per_block, least=32)
     row = F.xxhash64("id", "text")
@@ -251,16 +253,16 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             block = left.column("block")[0].as_py()
             for g, at in _split(_group_of(prefix, blocks) * 2 + single):
                 codes = flat[np.repeat(begin[at], length[at]) + within(length[at])]
-                values = (g // 2, block, bool(g % 2), prefix[at].tobytes(), hashed[at].tobytes(), length[at].astype(np.uint8).tobytes(), codes.tobytes(), least[at].tobytes(), most[at].tobytes())
+                values = (g // 2, block, bool(g % 2), prefix[at].tobytes(), hashed[at].tobytes(), length[at].astype(np.uint16).tobytes(), codes.tobytes(), least[at].tobytes(), most[at].tobytes())
                 for c, x in zip(leaf.names, values, strict=True):
                     out[c].append(x)
         return _table(out, leaf)
 
     def repeats(group: pa.Table) -> pa.Table:
         """The subtrees of a group, some prefixes at a time; the repeats of each stretch go back to its block."""
-        types = {"prefix": U64, "hash": U64, "length": np.dtype(np.uint8), "codes": U64, "least": I64, "most": I64}
+        types = {"prefix": U64, "hash": U64, "length": np.dtype(np.uint16), "codes": U64, "least": I64, "most": I64}
         prefix, hashed, length, flat, least, most = (np.frombuffer(b"".join(group.column(c).to_pylist()), t) for c, t in types.items())
-        times = [len(x) for x in group.column("length").to_pylist()]
+        times = [len(x) // 2 for x in group.column("length").to_pylist()]
         block, single = (np.repeat(np.array(group.column(c).to_pylist()), times) for c in ("block", "single"))
         length = length.astype(np.int64)
         begin = np.cumsum(length) - length
@@ -290,7 +292,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 found.append((mine[need], np.full(len(need), o), depths[need, o], holders[need, o]))
             which, offset, depth, first_id = (np.concatenate(x) for x in zip(*found, strict=True))
             for b, k in _split(block[which].astype(np.int64) * 2 + single[which]):
-                b_of = np.stack([offset[k] << 8 | depth[k], first_id[k]], 1).astype(I64)
+                b_of = np.stack([offset[k] << 16 | depth[k], first_id[k]], 1).astype(I64)
                 for c, x in zip(answer.names, (b // 2, SINGLES if b % 2 else STRETCHES, hashed[which[k]].tobytes(), b_of.tobytes()), strict=True):
                     out[c].append(x)
         return _table(out, answer)
@@ -305,9 +307,9 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         which, at = np.repeat(np.arange(len(start)), n), np.repeat(lo, n) + within(n)
         earlier = held[at, 1] < ids[row[which]]
         which, at = which[earlier], at[earlier]
-        begin = start[which] + (held[at, 0] >> 8)
+        begin = start[which] + (held[at, 0] >> 16)
         np.add.at(cover, begin, 1)
-        np.add.at(cover, begin + (held[at, 0] & 255), -1)
+        np.add.at(cover, begin + (held[at, 0] & 0xFFFF), -1)
         return n == 0
 
     def remove(left: pa.Table, right: pa.Table) -> pa.Table:
