@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .predicates import is_error
 
 # Frame styles, folders and endings that decide what is a source file.
-FRAMES = (r"([\w./-]+\.rb):\d+", r"([\w./-]+\.go):\d+", r"\(?([\w./-]+\.(?:jsx|tsx|js|ts)):\d+", r'File "([^"]+\.py)"')
+FRAMES = (r"([^\s:]+\.\w+):\d+", r"([^\s]+\.go):\d+", r"\(([^)]+\.[jt]sx?):\d+:\d+\)", r'File "([^"]+\.py)", line \d+')
 SKIPPED = ("/vendor/", "/node_modules/", "/gems/", "/site-packages/")
 ENDINGS = (".rb", ".go", ".js", ".ts", ".jsx", ".tsx", ".py", ".java", ".rs", ".ex", ".exs", ".php")
 

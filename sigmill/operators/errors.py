@@ -6,14 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .predicates import env_matches, is_error, same
+from .predicates import env_matches, is_critical, is_error, same
 from .search import clamp
 
 
 def error_groups(logs: DataFrame) -> DataFrame:
-    """ERR-1: error rows folded by (fingerprint, env); what describes a group is its first row's."""
+    """ERR-1: error rows folded by (fingerprint, env); what describes a group is its first row's (its line too, where rows have one)."""
     rows = logs.filter(is_error() & (F.col("error_fingerprint") != ""))
-    first = F.min_by(F.struct("service", "error_class", F.substring("message", 1, 500).alias("message"), "source_file"), F.struct("ts", "id"))
+    line = [c for c in logs.columns if c == "source_line"]
+    first = F.min_by(F.struct("service", "error_class", F.substring("message", 1, 500).alias("message"), "source_file", *line), F.struct("ts", "id"))
     g = rows.groupBy(F.col("error_fingerprint").alias("fingerprint"), "env").agg(
         first.alias("first"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("occurrences"), F.max("id").alias("last_log_id")
     )
@@ -141,6 +142,11 @@ def impact(impacts: DataFrame, as_of: str) -> DataFrame:
     return users.join(s.groupBy("fingerprint").agg(F.max_by("env", F.struct("score", "env")).alias("env"), F.max("score").alias("score")), "fingerprint")
 
 
+def impact_with_traits(impacts: DataFrame, as_of: str, newest=100, least=0.1) -> DataFrame:
+    """ERR-12 in full: with the traits of the best-scoring environment as common_context."""
+    return impact(impacts, as_of).join(traits_map(common_traits(impacts, newest, least)), ["fingerprint", "env"], "left")
+
+
 def affected_users(impacts: DataFrame, fingerprint: str, env=None, limit=20) -> DataFrame:
     """ERR-13."""
     i = impacts.filter(F.col("fingerprint") == fingerprint).filter(env_matches(env))
@@ -156,18 +162,32 @@ def user_errors(impacts: DataFrame, groups: DataFrame, user: str, since=None) ->
     return i.join(g, ["fingerprint", "env"], "left").withColumn("status", F.coalesce("status", F.lit("unresolved"))).select("fingerprint", "env", "error_class", "status", "occurrences", "last_seen")
 
 
-def rank_by_impact(impacts: DataFrame, groups: DataFrame, as_of: str, status=None, service=None, limit=10, top_users=3) -> DataFrame:
-    """ERR-15: groups by score, each with its users of most occurrences."""
-    g = groups.select("fingerprint", "env", "service", "error_class", "status")
+RANKS = {"impact": "score", "users": "users", "occurrences": "occurrences", "last_seen": "last_seen"}
+
+
+def rank_by_impact(impacts: DataFrame, groups: DataFrame, as_of: str, status=None, service=None, limit=10, top_users=3, since=None, sort_by="impact", critical: list[str] | None = None) -> DataFrame:
+    """ERR-15: groups by score (or RANKS), each with its users of most occurrences; of the best `limit`, those of a critical path come first.
+
+    `since` bounds the last sighting. With `critical` patterns there is a column of that name.
+    """
+    if critical:
+        # Who pays comes first, but only among what ranks high.
+        top = rank_by_impact(impacts, groups, as_of, status, service, limit, top_users, since, sort_by)
+        paths = groups.select("fingerprint", "env", is_critical(critical, "service", "message", "error_class").alias("critical"))
+        return top.join(paths, ["fingerprint", "env"]).orderBy(F.desc("critical"), F.desc(RANKS[sort_by]), "fingerprint", "env")
+    g = groups.select("fingerprint", "env", "service", "error_class", "status", "last_seen")
     if status:
         g = g.filter(F.col("status") == status)
     if service:
         g = g.filter(same("service", service))
+    if since:
+        g = g.filter(F.col("last_seen") >= F.lit(since).cast("timestamp"))
+    g = g.drop("last_seen")
     w = Window.partitionBy("fingerprint", "env").orderBy(F.desc("occurrences"), "user_id")
     users = impacts.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= top_users)
     users = users.groupBy("fingerprint", "env").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "user_id"))), lambda u: u["user_id"]), ",").alias("top_users"))
     ranked = impact_scores(impacts, as_of).join(g, ["fingerprint", "env"]).join(users, ["fingerprint", "env"])
-    return ranked.orderBy(F.desc("score"), "fingerprint", "env").limit(limit)
+    return ranked.orderBy(F.desc(RANKS[sort_by]), "fingerprint", "env").limit(limit)
 
 
 def recent_occurrences(logs: DataFrame, groups: DataFrame, n=5, hours=24) -> DataFrame:
@@ -178,23 +198,46 @@ def recent_occurrences(logs: DataFrame, groups: DataFrame, n=5, hours=24) -> Dat
     return rows.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= n)
 
 
+def error_detail(logs: DataFrame, groups: DataFrame, events: DataFrame, fingerprint: str, env: str | None = None, n_events=10, n_rows=5) -> DataFrame:
+    """ERR-16 in one answer: (part, n, at, id, what) of the group, its newest life events and its last occurrences; without an environment that seen last."""
+    group = get_group(groups, fingerprint, env)
+    key = F.broadcast(group.select("fingerprint", "env"))  # one row
+    numbered = lambda df, order: df.withColumn("n", F.row_number().over(Window.partitionBy("fingerprint", "env").orderBy(*order)))
+    life = numbered(events.join(key, ["fingerprint", "env"]), (F.desc("at"), "event")).filter(F.col("n") <= n_events)
+    recent = recent_occurrences(logs.join(key.withColumnRenamed("fingerprint", "error_fingerprint"), ["error_fingerprint", "env"]), group, n_rows)
+    part = lambda df, name, n, at, id_, what: df.select(F.lit(name).alias("part"), n.cast("int").alias("n"), F.col(at).alias("at"), id_.cast("long").alias("id"), what.alias("what"))
+    one = F.concat_ws(" ", "service", "error_class", "status", "occurrences")
+    return part(group, "group", F.lit(0), "last_seen", F.col("last_log_id"), one).union(part(life, "event", F.col("n"), "at", F.lit(None), F.col("event"))).union(part(recent, "occurrence", F.col("n"), "ts", F.col("id"), F.col("message")))
+
+
 def resolve_trace_anchor(logs: DataFrame, trace_id: str) -> DataFrame:
     """ERR-17: a trace's first error row, else its last row."""
     rows = logs.filter(F.col("trace_id") == trace_id)
     return rows.orderBy(F.desc(is_error()), F.when(is_error(), F.unix_millis("ts")).otherwise(-F.unix_millis("ts")), "id").limit(1)
 
 
-def investigate_error(logs: DataFrame, groups: DataFrame, log_id: int) -> DataFrame:
-    """ERR-17: (part, id, ts, level, service, message) of the anchor, its trace and its neighbours."""
+def investigate_error(logs: DataFrame, groups: DataFrame, log_id: int | None = None, trace_id: str | None = None, fields: tuple[str, ...] = ()) -> DataFrame:
+    """ERR-17: (part, id, ts, level, service, message) of the anchor, its trace and its neighbours.
+
+    The anchor is a row, or what a trace resolves to. With `fields` of the body
+    (of an exception, say) those the anchor has follow, a part of each name, and
+    so does its group: status in place of a level, occurrences in that of an id.
+    """
     from .search import log_context
 
     cols = ("id", "ts", "level", "service", "message")
-    anchor = logs.filter(F.col("id") == log_id)
+    anchor = logs.filter(F.col("id") == log_id) if log_id is not None else resolve_trace_anchor(logs, trace_id)
     trace = anchor.select("trace_id", F.col("ts").alias("at")).filter("trace_id <> ''")
     same_trace = logs.join(F.broadcast(trace), "trace_id").filter(F.abs(F.timestamp_diff("SECOND", F.col("at"), F.col("ts"))) <= 3600).orderBy("ts", "id").limit(30)
     near = log_context(logs, anchor, 5, 5).filter("side <> 'anchor'")
     part = lambda df, name: df.select((F.lit(name) if isinstance(name, str) else name).alias("part"), *cols)
-    return part(anchor, "anchor").union(part(same_trace, "trace")).union(part(near, F.col("side")))
+    out = part(anchor, "anchor").union(part(same_trace, "trace")).union(part(near, F.col("side")))
+    if not fields:
+        return out
+    named = F.explode(F.array(*[F.struct(F.lit(f).alias("part"), F.coalesce(F.get_json_object("body", f"$.{f}"), F.get_json_object("body", f"$.metadata.{f}")).alias("message")) for f in fields])).alias("f")
+    body = anchor.select("id", "ts", "level", "service", named).select("f.part", "id", "ts", "level", "service", "f.message").filter("message is not null")
+    of_group = groups.join(F.broadcast(anchor.select(F.col("error_fingerprint").alias("fingerprint"), "env")), ["fingerprint", "env"])  # one row
+    return out.union(body).union(of_group.select(F.lit("group"), "occurrences", "last_seen", "status", "service", "fingerprint"))
 
 
 def user_timeline(logs: DataFrame, user=None, tenant=None, since=None, limit=50) -> DataFrame:

@@ -194,20 +194,34 @@ def dedup_batches_stream(df: DataFrame, batch: str = "batch_id", within: str = "
     return kept.unionByName(known.filter(~some))
 
 
+KINDS = {"string": "a JSON string", "number": "a JSON number", "boolean": "true or false", "object": "a JSON object"}
+# Fields that every sender should give.
+RECOMMENDED = ("service", "ts")
+REQUEST_ONLY = ("method", "path", "handler", "n_plus_one", "dup_queries")
+
+
+def json_kind(value: Column) -> Column:
+    """The JSON kind of a variant: string, number, boolean, object, array; null for JSON null and for nothing."""
+    t = F.schema_of_variant(value)
+    return F.when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(F.startswith(t, F.lit("OBJECT")), "object").when(F.startswith(t, F.lit("ARRAY")), "array").when(t != "VOID", "number")
+
+
 def validate_payload(payloads: DataFrame, as_of: str, c: str = "payload") -> DataFrame:
-    """ING-10: errors, warnings, unknown fields and the inferred kind of each JSON object."""
+    """ING-10: errors, warnings, unknown fields (and what each may have meant) and the inferred kind of each JSON object.
+
+    The text is parsed once, to a variant; each field's kind is asked of that.
+    """
     value = lambda k: F.get_json_object(c, f"$.{k}")
+    whole = F.try_parse_json(F.col(c))
     keys = F.json_object_keys(c)
     bad = keys.isNull()
     level = F.lower(value("level"))
     ok_levels = ("debug", "info", "warn", "warning", "error", "fatal")
     ts = F.try_to_timestamp(value("ts"))
     age = F.timestamp_diff("SECOND", ts, F.lit(as_of).cast("timestamp"))
-    # A number may be written bare; a string in its place is an error.
-    numeric = [k for k, t in FIELDS.items() if t == "number"]
-    wrong = [F.when(F.regexp_like(F.col(c), F.lit(f'"{k}"\\s*:\\s*["{{\\[tf]')), F.lit(f"{k}: expected a JSON number")) for k in numeric]
+    of = lambda k: json_kind(F.try_variant_get(whole, f"$.{k}", "variant"))
+    wrong = [F.when(of(k) != t, F.concat(F.lit(f"{k}: expected {KINDS[t]}, got "), of(k))) for k, t in FIELDS.items()]
     kind = infer_kind(value)
-    request_only = ("method", "path", "handler", "n_plus_one", "dup_queries")
     errors = [
         F.when(bad, "entry must be a JSON object"),
         F.when(~bad & (F.coalesce(value("level"), F.lit("")) == ""), "level: required"),
@@ -216,16 +230,20 @@ def validate_payload(payloads: DataFrame, as_of: str, c: str = "payload") -> Dat
         F.when((F.coalesce(value("ts"), F.lit("")) != "") & ts.isNull(), "ts: not RFC 3339"),
         *wrong,
     ]
+    sent = lambda k: F.array_contains(keys, k)
     warnings = [
         F.when(value("level") != level, "level: stored in lower case"),
+        F.when(value("level") == "warning", "level: stored as warn"),
         F.when(age > 48 * 3600, "ts: older than 48 hours"),
         F.when(age < -3600, "ts: more than an hour ahead"),
+        *[F.when(~bad & ~sent(k), f"{k}: not sent") for k in RECOMMENDED],
         *[F.when(F.octet_length(value(k)) > n, f"{k}: truncated to {n} bytes") for k, n in LIMITS.items()],
-        *[F.when((kind != "request") & value(k).isNotNull(), f"{k}: kept on request rows only") for k in request_only],
+        F.when(~bad & (F.coalesce(value("kind"), F.lit("")) == ""), F.concat(F.lit("kind: not sent, inferred as "), kind)),
+        *[F.when((kind != "request") & value(k).isNotNull(), f"{k}: kept on request rows only") for k in REQUEST_ONLY],
     ]
     some = lambda xs: F.array_compact(F.array(*xs))
     unknown = F.sort_array(F.array_except(F.coalesce(keys, F.array().cast("array<string>")), F.array(*map(F.lit, FIELDS))))
-    report = payloads.select("*", some(errors).alias("errors"), some(warnings).alias("warnings"), unknown.alias("unknown"), kind.alias("kind"))
+    report = payloads.select("*", some(errors).alias("errors"), some(warnings).alias("warnings"), unknown.alias("unknown"), F.transform(unknown, suggest_field).alias("did_you_mean"), kind.alias("kind"))
     return report.withColumn("valid", F.size("errors") == 0)
 
 

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .aggregates import count_by_level, error_rate, measure, one, service_error_rates
 from .predicates import env_matches, is_critical, is_error, same
@@ -63,8 +64,8 @@ def catchup(groups, alerts, deploys, since: str, as_of: str, env=None, critical:
     return out.orderBy(F.desc("critical"), "severity", F.desc("at"), "title", "env").limit(limit)
 
 
-def triage(groups, alerts, checks, servers, env=None, limit: int = 20) -> DataFrame:
-    """RPT-3: what is open now, worst first."""
+def triage(groups, alerts, checks, servers, env=None, limit: int = 20, connectors: DataFrame | None = None) -> DataFrame:
+    """RPT-3: what is open now, worst first; connectors (name, status) that failed are among it."""
     g = groups.filter(F.col("status") == "unresolved")
     if env:
         g = g.filter(env_matches(env))
@@ -75,6 +76,8 @@ def triage(groups, alerts, checks, servers, env=None, limit: int = 20) -> DataFr
         item(servers.filter("status = 'offline'"), "server_offline", F.lit(2), "server", F.lit(0)),
         item(g, "error_group", F.when(F.col("occurrences") >= 100, 2).otherwise(3), "fingerprint", F.col("occurrences")),
     ]
+    if connectors is not None:
+        parts.append(item(connectors.filter("status = 'error'"), "connector_failed", F.lit(2), "name", F.lit(0)))
     return merged(parts).orderBy("severity", F.desc("weight"), "type", "title").limit(limit)
 
 
@@ -126,6 +129,12 @@ def investigate_overview(logs, groups, alerts, service: str, start: str, end: st
     return merged([pairs(g.withColumn("k", F.concat_ws("/", "fingerprint", "env")), "groups", "k", "occurrences"), pairs(classes, "errors", "error_class", "n"), pairs(alerts.filter(same("service", service)).groupBy("status").agg(F.count("*").alias("n")), "alerts", "status", "n"), wide(service_error_rates(rows), "volume", "total", "errors")])
 
 
+def recent_errors(logs, service: str, start: str, end: str, limit: int = 10) -> DataFrame:
+    """RPT-6: the newest error rows of a service."""
+    rows = logs.filter(same("service", service) & within("ts", start, end) & is_error())
+    return rows.orderBy(F.desc("ts"), F.desc("id")).limit(limit).select("id", "ts", "level", "error_class", "message", "trace_id")
+
+
 def activity_stats(activity: DataFrame, as_of: str) -> DataFrame:
     """RPT-7: sessions of the last five minutes, calls and errors of the last hour, last activity."""
     age = F.unix_millis(F.lit(as_of).cast("timestamp")) - F.unix_millis("created_at")
@@ -134,6 +143,12 @@ def activity_stats(activity: DataFrame, as_of: str) -> DataFrame:
     return activity.agg(F.countDistinct(F.when(five, F.col("session"))).alias("active_sessions"), zero(one(hour)).alias("calls_1h"), zero(one(hour & F.col("is_error"))).alias("errors_1h"), F.max("created_at").alias("last_activity"))
 
 
+def activity_of_investigations(activity: DataFrame) -> DataFrame:
+    """RPT-7: the calls of every investigation in their order: `step` by step_index, then time."""
+    order = Window.partitionBy("investigation").orderBy("step_index", "created_at", "id")
+    return activity.filter(F.col("investigation").isNotNull()).withColumn("step", F.row_number().over(order))
+
+
 def recent_activity(activity: DataFrame, limit: int = 50) -> DataFrame:
     """RPT-7: newest first."""
     return activity.orderBy(F.desc("created_at"), "id").limit(limit)

@@ -70,8 +70,9 @@ def tail_logs(logs: DataFrame, after_id=None, limit=50) -> DataFrame:
 
 
 def enrich_with_groups(logs: DataFrame, groups: DataFrame) -> DataFrame:
-    """SRT-6: group status and counts beside rows, by fingerprint and environment."""
-    g = groups.select(F.col("fingerprint").alias("error_fingerprint"), "env", F.col("status").alias("group_status"), F.col("occurrences").alias("group_occurrences"), F.col("last_seen").alias("group_last_seen"))
+    """SRT-6: group status, counts and (where groups have them) reopenings beside rows, by fingerprint and environment."""
+    reopened = [F.col("reopened").alias("group_reopened")] if "reopened" in groups.columns else []
+    g = groups.select(*reopened, F.col("fingerprint").alias("error_fingerprint"), "env", F.col("status").alias("group_status"), F.col("occurrences").alias("group_occurrences"), F.col("last_seen").alias("group_last_seen"))
     return logs.join(g, ["error_fingerprint", "env"], "left")
 
 
@@ -97,6 +98,3 @@ def result_summary(rows: DataFrame) -> DataFrame:
     by = lambda c: rows.groupBy(F.lit(c).alias("field"), F.col(c).alias("value")).agg(F.count("*").alias("n"))
     return by("level").union(by("service"))
 
-
-def errors_of(logs: DataFrame) -> DataFrame:
-    return logs.filter(is_error())

@@ -157,6 +157,31 @@ def evidence(logs: DataFrame, start: str, end: str, base_start: str, service: st
     return classes.union(slower).union(by("source_file", "file")).union(by("trace_id", "trace"))
 
 
+def evidence_bundle(logs: DataFrame, watch: dict, value: float, start: str, end: str, base_start: str, newest: int = 20, longest: int = 200) -> DataFrame:
+    """WAT-10 in full: (part, key, n, detail) of `evidence`, then the newest rows, the metric against its baseline and the timeline.
+
+    watch: service, metric and created_at; value: what the alert measured. The
+    baseline is the metric over [base_start, start), captured at start.
+    """
+    parts = evidence(logs, start, end, base_start, watch["service"])
+    rows = logs.filter((F.lower("service") == watch["service"].lower()) & (F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp")))
+    recent = rows.orderBy(F.desc("ts"), F.desc("id")).limit(newest)
+    recent = recent.select(F.lit("row").alias("part"), F.col("id").cast("string").alias("key"), F.lit(1).cast("long").alias("n"), F.concat_ws(" ", "level", F.substring("message", 1, longest)).alias("detail"))
+    base = measure(logs.filter(F.lower("service") == watch["service"].lower()), base_start, start, keys=("service",)).agg(F.max(F.col(watch["metric"]).cast("double")).alias("b"))
+    percent = F.when(F.coalesce("b", F.lit(0.0)) != 0, F.round((F.lit(float(value)) - F.col("b")) * 100 / F.col("b"), 2))
+    said = F.concat_ws(" ", F.lit("baseline"), F.round("b", 4).cast("string"), F.lit("now"), F.lit(str(float(value))), F.concat(percent.cast("string"), F.lit("%")))
+    diff = base.select(F.lit("baseline").alias("part"), F.lit(watch["metric"]).alias("key"), F.lit(1).cast("long").alias("n"), said.alias("detail"))
+    steps = ((watch["created_at"], "watch_created"), (start, "baseline_captured"), (end, f"alert_triggered: {watch['metric']} = {value:.4f}"))
+    timeline = base.select(F.explode(F.array(*[F.struct(F.lit("timeline").alias("part"), F.lit(at).alias("key"), F.lit(i).cast("long").alias("n"), F.lit(what).alias("detail")) for i, (at, what) in enumerate(steps)])).alias("s")).select("s.*")
+    return parts.union(recent).union(diff).union(timeline)
+
+
+def service_rows(logs: DataFrame, service: str, start: str, end: str, limit: int = 20) -> DataFrame:
+    """WAT-16: the newest rows of a service in a window, errors before others."""
+    rows = logs.filter((F.lower("service") == service.lower()) & (F.col("ts") >= F.lit(start).cast("timestamp")) & (F.col("ts") < F.lit(end).cast("timestamp")))
+    return rows.orderBy(F.desc(is_error()), F.desc("ts"), F.desc("id")).limit(limit).select("id", "ts", "level", "error_class", "message")
+
+
 def default_watches(logs: DataFrame, watches: DataFrame) -> DataFrame:
     """WAT-11: an error-rate and a heartbeat rule for every (service, env) without a rule."""
     bare = logs.select("service", "env").distinct().join(watches.select("service", "env"), ["service", "env"], "left_anti")

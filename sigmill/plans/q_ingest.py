@@ -282,6 +282,73 @@ def _(spark, d):
     return ing.validate_payload(payloads(spark, d), AS_OF).groupBy("valid", "kind").agg(F.count("*").alias("n"))
 
 
+def odd_payloads(spark, d):
+    """Wire JSON with fields of wrong kinds, unknown names and missing ones, by id."""
+    i = F.col("id")
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    fields = [
+        F.when(i % 9 > 0, F.concat(F.lit('"level":'), F.when(i % 5 == 0, F.lit("7")).when(i % 5 == 1, F.lit('"WARNING"')).otherwise(quoted(F.col("level"))))),
+        F.when(i % 7 > 0, F.concat(F.lit('"service":'), F.when(i % 4 == 0, F.lit("[1]")).otherwise(quoted(F.col("service"))))),
+        F.concat(F.lit('"message":'), F.when(i % 6 == 0, F.lit("{}")).otherwise(F.lit('"m"'))),
+        F.concat(F.lit('"duration_ms":'), F.when(i % 3 == 0, F.lit('"12"')).when(i % 3 == 1, F.lit("1.5")).otherwise(F.lit("null"))),
+        F.concat(F.lit('"n_plus_one":'), F.when(i % 2 == 0, F.lit("true")).otherwise(F.lit("0"))),
+        F.concat(F.lit('"body":'), F.when(i % 8 == 0, F.lit("[]")).when(i % 8 == 1, F.lit('"x"')).otherwise(F.lit('{"a":1}'))),
+        F.when(i % 10 == 0, F.lit('"severity":"x"')),
+        F.when(i % 11 == 0, F.lit('"qqqqqq":1')),
+    ]
+    return logs(spark, d).select("id", F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}")).alias("payload"))
+
+
+_K = "CASE WHEN coalesce({0}, 'NULL') = 'NULL' THEN NULL WHEN {0} = 'VARCHAR' THEN 'string' WHEN {0} = 'BOOLEAN' THEN 'boolean' WHEN {0} = 'OBJECT' THEN 'object' WHEN {0} = 'ARRAY' THEN 'array' ELSE 'number' END"
+_P = """, p AS (SELECT id, level AS lv, '{' || concat_ws(',', CASE WHEN id%9>0 THEN '"level":' || CASE id%5 WHEN 0 THEN '7' WHEN 1 THEN '"WARNING"' ELSE '"' || level || '"' END END, CASE WHEN id%7>0 THEN '"service":' || CASE WHEN id%4=0 THEN '[1]' ELSE '"' || service || '"' END END,
+ '"message":' || CASE WHEN id%6=0 THEN '{}' ELSE '"m"' END, '"duration_ms":' || CASE id%3 WHEN 0 THEN '"12"' WHEN 1 THEN '1.5' ELSE 'null' END, '"n_plus_one":' || CASE WHEN id%2=0 THEN 'true' ELSE '0' END, '"body":' || CASE id%8 WHEN 0 THEN '[]' WHEN 1 THEN '"x"' ELSE '{"a":1}' END,
+ CASE WHEN id%10=0 THEN '"severity":"x"' END, CASE WHEN id%11=0 THEN '"qqqqqq":1' END) || '}' AS payload FROM logs)"""
+_W = " UNION ALL ".join(f"SELECT id, 'error' AS part, '{k}: expected {ing.KINDS[want]}, got ' || {_K.format(f'json_type(payload, {chr(39)}$.{k}{chr(39)})')} AS said FROM p WHERE {_K.format(f'json_type(payload, {chr(39)}$.{k}{chr(39)})')} <> '{want}'" for k, want in (("level", "string"), ("service", "string"), ("message", "string"), ("duration_ms", "number"), ("n_plus_one", "boolean"), ("body", "object")))
+
+
+@q(
+    "ing10_full_report",
+    _P + f""" {_W} UNION ALL SELECT id, 'error', 'level: required' FROM p WHERE id%9=0 UNION ALL SELECT id, 'error', 'level: not one of debug, info, warn, error, fatal' FROM p WHERE id%9>0 AND id%5=0
+UNION ALL SELECT id, 'warning', 'level: stored in lower case' FROM p WHERE id%9>0 AND id%5=1 UNION ALL SELECT id, 'warning', 'service: not sent' FROM p WHERE id%7=0 UNION ALL SELECT id, 'warning', 'ts: not sent' FROM p
+UNION ALL SELECT id, 'warning', 'kind: not sent, inferred as log' FROM p UNION ALL SELECT id, 'warning', 'n_plus_one: kept on request rows only' FROM p
+UNION ALL SELECT id, 'unknown', 'qqqqqq ' FROM p WHERE id%11=0 UNION ALL SELECT id, 'unknown', 'severity level' FROM p WHERE id%10=0""",
+)
+def _(spark, d):
+    r = ing.validate_payload(odd_payloads(spark, d), AS_OF)
+    part = lambda name, c: r.select("id", F.lit(name).alias("part"), F.explode(c).alias("said"))
+    unknown = r.select("id", F.lit("unknown").alias("part"), F.explode(F.arrays_zip("unknown", "did_you_mean")).alias("u")).select("id", "part", F.concat_ws(" ", "u.unknown", "u.did_you_mean").alias("said"))
+    return part("error", "errors").union(part("warning", "warnings")).union(unknown)
+
+
+def wire_files(spark, d):
+    """The wire payloads as files, one payload a line; lines are objects."""
+    where = folder(spark, "wire")
+    payloads(spark, d).select(F.regexp_replace("payload", r"^\[|\]$", "").alias("value")).write.text(where)
+    return where
+
+
+SRC1 = "SELECT id % 50 = 0 AND level <> 'warn' AS loud, service, env, method, path, status, CASE WHEN id % 40 <> 1 THEN message END AS message, CAST(duration_ms AS BIGINT) AS duration_ms, trace_id FROM logs"
+
+
+@q("src1_from_files", SRC1)
+def _(spark, d):
+    found = wire.read_flat_logs(spark, wire_files(spark, d), lines=True)
+    return found.select((F.col("level") == "loud").alias("loud"), "service", "env", "method", "path", "status", "message", "duration_ms", "trace_id")
+
+
+@q("src1_from_stream", SRC1)
+def _(spark, d):
+    found = sunk(wire.read_flat_logs(spark, wire_files(spark, d), stream=True, lines=True), "append")
+    return found.select((F.col("level") == "loud").alias("loud"), "service", "env", "method", "path", "status", "message", "duration_ms", "trace_id")
+
+
+@q("ing11_suggest_all_aliases", "SELECT field, suggestion FROM (VALUES " + ", ".join("('{}', '{}')".format(a, f if "." not in f else '{}, as "{}" inside it'.format(*f.split("."))) for a, f in ing.ALIASES.items()) + ") v(field, suggestion) WHERE EXISTS (SELECT 1 FROM events)", ())
+def _(spark, d):
+    names = list(ing.ALIASES)
+    wanted = table(spark, d, "events").select(F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % len(names) + 1).cast("int")).alias("field"))
+    return wanted.distinct().select("field", ing.suggest_field(F.col("field")).alias("suggestion"))
+
+
 @q("ing11_suggest_field", "SELECT DISTINCT CASE event_id % 3 WHEN 0 THEN 'servce' WHEN 1 THEN 'severity' ELSE 'qqqqqq' END AS field, CASE event_id % 3 WHEN 0 THEN 'service' WHEN 1 THEN 'level' ELSE '' END AS suggestion FROM events", ())
 def _(spark, d):
     i = F.col("event_id") % 3

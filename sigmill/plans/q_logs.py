@@ -118,7 +118,7 @@ def _(spark, d):
 
 @q(
     "srt4_log_context",
-    """, a AS (SELECT id AS anchor, ts AS at, env AS aenv FROM logs WHERE id % 1000 = 500),
+    """, a AS (SELECT id AS anchor, ts AS at, env AS aenv FROM logs WHERE id % 20 = 0),
 n AS (SELECT a.anchor, l.id, CASE WHEN l.id=a.anchor THEN 'anchor' WHEN (l.ts, l.id) < (a.at, a.anchor) THEN 'before' ELSE 'after' END AS side, l.ts
   FROM logs l JOIN a ON l.env=a.aenv AND abs(epoch(l.ts)-epoch(a.at)) < 86401 AND abs(datediff('second', a.at, l.ts)) <= 86400),
 r AS (SELECT *, CASE side WHEN 'before' THEN row_number() OVER (PARTITION BY anchor, side ORDER BY ts DESC, id DESC) WHEN 'after' THEN row_number() OVER (PARTITION BY anchor, side ORDER BY ts, id) ELSE 0 END AS n FROM n)
@@ -126,7 +126,7 @@ SELECT anchor, side, CAST(n AS INT) AS n, id FROM r WHERE n <= 5""",
 )
 def _(spark, d):
     rows = logs(spark, d)
-    return srt.log_context(rows, rows.filter("id % 1000 = 500"), 5, 5).select("anchor", "side", F.col("n").cast("int").alias("n"), "id")
+    return srt.log_context(rows, rows.filter("id % 20 = 0"), 5, 5).select("anchor", "side", F.col("n").cast("int").alias("n"), "id")
 
 
 @q("srt5_tail_logs", "SELECT id, level FROM logs WHERE id > 100 ORDER BY id LIMIT 60")
@@ -137,11 +137,11 @@ def _(spark, d):
 GROUPS = "g AS (SELECT error_fingerprint AS fingerprint, env, count(*) AS occurrences, min(ts) AS first_seen, max(ts) AS last_seen FROM logs WHERE level IN ('error','fatal') AND error_fingerprint<>'' GROUP BY ALL)"
 
 
-@q("srt6_enrich_with_groups", f", {GROUPS} SELECT l.id, l.error_fingerprint, CASE WHEN g.fingerprint IS NOT NULL THEN 'unresolved' END AS group_status, g.occurrences AS group_occurrences FROM logs l LEFT JOIN g ON l.error_fingerprint=g.fingerprint AND l.env=g.env WHERE l.level='fatal'")
+@q("srt6_enrich_with_groups", f", {GROUPS} SELECT l.id, l.error_fingerprint, CASE WHEN g.fingerprint IS NOT NULL THEN 'unresolved' END AS group_status, g.occurrences AS group_occurrences, g.last_seen AS group_last_seen FROM logs l LEFT JOIN g ON l.error_fingerprint=g.fingerprint AND l.env=g.env")
 def _(spark, d):
     rows = logs(spark, d)
     groups = err.error_groups(rows)
-    return srt.enrich_with_groups(rows.filter("level = 'fatal'"), groups).select("id", "error_fingerprint", "group_status", "group_occurrences")
+    return plain(srt.enrich_with_groups(rows, groups), "id", "error_fingerprint", "group_status", "group_occurrences", "group_last_seen")
 
 
 @q("srt7_service_fallback", "SELECT service, count(*) AS n FROM logs WHERE service='billing' GROUP BY service")
@@ -154,6 +154,20 @@ def _(spark, d):
     return plain(srt.time_distribution(logs(spark, d).filter("level = 'fatal'")))
 
 
+@q("srt8_all_rows", "SELECT time_bucket(INTERVAL 1 hour, ts) AS bucket, 3600 AS width, count(*) AS n FROM logs GROUP BY ALL")
+def _(spark, d):
+    return plain(srt.time_distribution(logs(spark, d)))
+
+
+@q("srt8_narrow_spans", ", o AS (SELECT min(ts) AS s FROM logs), w AS (SELECT l.ts, p.span FROM logs l, o, (VALUES (2, 60), (12, 300), (48, 1800)) p(h, span) WHERE l.ts <= o.s + to_hours(p.h)), m AS (SELECT span, datediff('second', date_trunc('second', min(ts)), date_trunc('second', max(ts))) - CASE WHEN max(ts) - date_trunc('second', max(ts)) < min(ts) - date_trunc('second', min(ts)) THEN 1 ELSE 0 END AS s FROM w GROUP BY 1), x AS (SELECT span, CASE WHEN s<=300 THEN 30 WHEN s<=1800 THEN 60 WHEN s<=7200 THEN 300 WHEN s<=43200 THEN 1800 ELSE 3600 END AS width FROM m) SELECT CAST(w.span AS INT) AS span, make_timestamp((epoch_us(ts) // 1000000 // width * width) * 1000000) AS bucket, width, count(*) AS n FROM w JOIN x USING (span) GROUP BY ALL")
+def _(spark, d):
+    rows = logs(spark, d)
+    first = rows.agg(F.min("ts")).first()[0]
+    within = lambda h: rows.filter(F.col("ts") <= F.lit(first) + F.make_dt_interval(hours=F.lit(h)))
+    parts = [srt.time_distribution(within(h)).select(F.lit(span).alias("span"), "bucket", "width", "n") for h, span in ((2, 60), (12, 300), (48, 1800))]
+    return plain(parts[0].union(parts[1]).union(parts[2]))
+
+
 @q("srt9_result_summary", ", p AS (SELECT * FROM logs ORDER BY ts DESC, id DESC LIMIT 100) SELECT 'level' AS field, level AS value, count(*) AS n FROM p GROUP BY ALL UNION ALL SELECT 'service', service, count(*) FROM p GROUP BY ALL")
 def _(spark, d):
     return srt.result_summary(srt.search_logs(logs(spark, d), AS_OF, start="2024-01-01", limit=100))

@@ -139,6 +139,18 @@ def _(spark, d):
     return e.withColumn("detail", F.when(F.col("part") == "endpoint", "").otherwise(F.col("detail")))
 
 
+@q(
+    "wat10_evidence_bundle",
+    f""", n AS (SELECT * FROM logs WHERE service='api' AND ts >= TIMESTAMP '{S}' AND ts < TIMESTAMP '{E}'), m AS ({measure_sql(S2, S, 'service', chr(115) + 'ervice=' + chr(39) + 'api' + chr(39))}),
+r AS (SELECT id::VARCHAR AS key, level || ' ' || left(message, 200) AS detail FROM n ORDER BY ts DESC, id DESC LIMIT 20)
+SELECT 'row' AS part, key, 1 AS n, detail FROM r UNION ALL SELECT 'timeline', '2024-01-18 00:00:00', 0, 'watch_created' UNION ALL SELECT 'timeline', '{S}', 1, 'baseline_captured' UNION ALL SELECT 'timeline', '{E}', 2, 'alert_triggered: log_count = 500.0000'
+UNION ALL SELECT 'baseline', 'log_count', 1, 'baseline ' || log_count::DOUBLE || ' now 500.0 ' || round((500.0-log_count)*100.0::DOUBLE/log_count, 2) || '%' FROM m""",
+)
+def _(spark, d):
+    watch = {"service": "API", "metric": "log_count", "created_at": "2024-01-18 00:00:00"}
+    return wat.evidence_bundle(logs(spark, d), watch, 500, S, E, S2).filter("part in ('row', 'baseline', 'timeline')")
+
+
 @q("wat11_default_watches", "SELECT service, env, m.metric AS metric, 'gt' AS op, m.value AS value, CAST(m.w AS INT) AS window_min, CAST(m.c AS INT) AS min_consecutive FROM (SELECT DISTINCT service, env FROM logs WHERE env<>'staging') CROSS JOIN (VALUES ('error_rate', 0.05::DOUBLE, 5, 2), ('heartbeat', 900.0::DOUBLE, 20, 1)) m(metric, value, w, c)")
 def _(spark, d):
     rows = logs(spark, d)
@@ -181,6 +193,11 @@ def _(spark, d):
     return wat.investigate_service(logs(spark, d), "Web", S, E)
 
 
+@q("wat16_service_rows", f"SELECT id, ts, level, error_class, message FROM logs WHERE service='web' AND ts >= TIMESTAMP '{S}' AND ts < TIMESTAMP '{E}' ORDER BY {ERR} DESC, ts DESC, id DESC LIMIT 20")
+def _(spark, d):
+    return plain(wat.service_rows(logs(spark, d), "Web", S, E))
+
+
 # One week of every signal, as one list of events.
 VIEWS["signals"] = VIEWS["acts"] + ", " + VIEWS["probes"] + ", " + VIEWS["runs"].removeprefix(VIEWS["logs"] + ", ") + f""", dpl AS (SELECT version, service, env, min(ts) AS first_seen FROM logs GROUP BY ALL),
 tr AS (SELECT "check", checked_at, before, status FROM (SELECT *, lag(status) OVER (PARTITION BY "check" ORDER BY checked_at, response_ms, status_code) AS before FROM probes) WHERE before<>status),
@@ -233,6 +250,12 @@ def _(spark, d):
     return rpt.triage(groups_of(spark, d)[1], alerts_of(spark, d), *checks_servers(spark, d))
 
 
+@q("rpt3_triage_connectors", ", u AS (SELECT 'check_down' AS type, 1 AS severity, \"check\" AS title, 0 AS weight FROM checks WHERE status='down' UNION ALL SELECT 'alert', 2, watch_id, 0 FROM alerts UNION ALL SELECT 'server_offline', 2, server, 0 FROM servers WHERE status='offline' UNION ALL SELECT 'connector_failed', 2, 'db-' || n_nationkey, 0 FROM nation WHERE n_nationkey % 3 = 0 UNION ALL SELECT 'error_group', CASE WHEN occurrences>=100 THEN 2 ELSE 3 END, fingerprint, occurrences FROM groups WHERE env='' OR env='staging') SELECT * FROM u ORDER BY severity, weight DESC, type, title LIMIT 60", ("now",))
+def _(spark, d):
+    connectors = table(spark, d, "nation").select(F.concat(F.lit("db-"), "n_nationkey").alias("name"), F.when(F.col("n_nationkey") % 3 == 0, "error").otherwise("ok").alias("status"))
+    return rpt.triage(groups_of(spark, d)[1], alerts_of(spark, d), *checks_servers(spark, d), env="Staging", limit=60, connectors=connectors)
+
+
 @q("rpt4_status", f"SELECT (SELECT count(*) FROM logs WHERE ts > TIMESTAMP '{NOW}' - INTERVAL 1 hour AND ts <= TIMESTAMP '{NOW}') AS logs_1h, (SELECT count(*) FROM logs WHERE {ERR} AND ts > TIMESTAMP '{NOW}' - INTERVAL 1 hour AND ts <= TIMESTAMP '{NOW}') AS errors_1h, (SELECT count(*) FROM groups) AS open_groups, (SELECT count(*) FROM alerts) AS pending_alerts, (SELECT count(*) FROM checks) AS checks, (SELECT count(*) FROM checks WHERE status='down') AS checks_down, (SELECT count(*) FROM servers) AS servers, (SELECT count(*) FROM servers WHERE status='offline') AS servers_offline", ("now",))
 def _(spark, d):
     rows, groups = groups_of(spark, d)
@@ -266,6 +289,17 @@ def _(spark, d):
     return rpt.investigate_overview(rows, groups, alerts_of(spark, d), "web", W0, W1)
 
 
+@q("rpt6_recent_errors", f"SELECT id, ts, level, error_class, message, trace_id FROM logs WHERE service='web' AND {ERR} AND ts >= TIMESTAMP '{W0}' AND ts <= TIMESTAMP '{W1}' ORDER BY ts DESC, id DESC LIMIT 10")
+def _(spark, d):
+    return plain(rpt.recent_errors(logs(spark, d), "WEB", W0, W1))
+
+
+@q("rpt7_activity_of_investigations", "SELECT event_id AS id, user_id AS investigation, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 5, ts, event_id) AS step FROM events WHERE event_id % 2 = 0", ())
+def _(spark, d):
+    a = activity(spark, d).withColumns({"investigation": F.when(F.col("id") % 2 == 0, F.col("session")), "step_index": F.col("id") % 5})
+    return rpt.activity_of_investigations(a).select("id", "investigation", F.col("step").cast("long").alias("step"))
+
+
 def activity(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("session"), (F.col("event_type") == "error").alias("is_error"), F.col("ts").cast("timestamp").alias("created_at"))
 

@@ -55,6 +55,12 @@ def _(spark, d):
     return plain(groups_of(spark, d)[1])
 
 
+@q("err1_source_lines", f"SELECT error_fingerprint AS fingerprint, env, arg_min(id % 90, (ts, id)) AS source_line, arg_min(source_file, (ts, id)) AS source_file FROM (SELECT *, coalesce(source_file, '') AS sf FROM logs) WHERE {ERR} AND error_fingerprint<>'' AND sf<>'' GROUP BY ALL")
+def _(spark, d):
+    rows = logs(spark, d).filter("source_file <> ''").withColumn("source_line", F.col("id") % 90)
+    return err.error_groups(rows).select("fingerprint", "env", "source_line", "source_file")
+
+
 @q("err2_seen_in_envs", "SELECT g.fingerprint, g.env, e.seen_in_envs FROM groups g JOIN (SELECT fingerprint, array_to_string(list_sort(list(DISTINCT env)), ',') AS seen_in_envs FROM groups GROUP BY 1) e USING (fingerprint)", ("groups",))
 def _(spark, d):
     return err.seen_in_envs(groups_of(spark, d)[1]).select("fingerprint", "env", F.array_join("seen_in_envs", ",").alias("seen_in_envs"))
@@ -118,6 +124,19 @@ def _(spark, d):
     return err.impact(impacts_of(spark, d), AS_OF)
 
 
+@q(
+    "err12_impact_with_traits",
+    """, u AS (SELECT fingerprint, count(DISTINCT user_id) AS users, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM impacts GROUP BY 1), b AS (SELECT fingerprint, arg_max(env, (score, env)) AS env, max(score) AS score FROM scores GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY fingerprint, env ORDER BY last_seen DESC, user_id) AS rn FROM impacts), t0 AS (SELECT fingerprint, env, json_extract_string(context,'$.k') AS value, count(*) AS m FROM r WHERE rn<=100 GROUP BY ALL), t1 AS (SELECT *, sum(m) OVER (PARTITION BY fingerprint, env) AS total FROM t0), t AS (SELECT fingerprint, env, count(*) AS n_traits, round(max(m::DOUBLE/total), 4) AS largest FROM t1 WHERE m >= 0.1*total GROUP BY ALL)
+SELECT u.*, b.env, b.score, coalesce(t.n_traits, 0) AS n_traits, t.largest FROM u JOIN b USING (fingerprint) LEFT JOIN t USING (fingerprint, env)""",
+    ("scores",),
+)
+def _(spark, d):
+    i = err.impact_with_traits(impacts_of(spark, d), AS_OF)
+    shares = F.map_values(F.try_element_at("common_context", F.lit("k")))
+    return i.select("fingerprint", "users", "occurrences", "env", "score", F.coalesce(F.cardinality(shares), F.lit(0)).cast("long").alias("n_traits"), F.array_max(shares).alias("largest"))
+
+
 TOP = "SELECT fingerprint FROM impacts GROUP BY 1 ORDER BY sum(occurrences) DESC, fingerprint LIMIT 1"
 
 
@@ -143,6 +162,21 @@ def _(spark, d):
     return plain(err.rank_by_impact(err.error_impacts(rows), groups, AS_OF))
 
 
+@q("err15_critical_first", ", t AS (SELECT s.fingerprint, s.env, s.score, s.users, contains(lower(g.service), 'bill') OR contains(lower(g.message), 'bill') OR contains(lower(g.error_class), 'bill') AS critical FROM scores s JOIN groups g USING (fingerprint, env) WHERE g.last_seen >= TIMESTAMP '2024-01-12' ORDER BY users DESC, fingerprint, env LIMIT 25) SELECT * FROM t", ("scores",))
+def _(spark, d):
+    rows, groups = groups_of(spark, d)
+    return err.rank_by_impact(err.error_impacts(rows), groups, AS_OF, "unresolved", limit=25, since="2024-01-12", sort_by="users", critical=["BILL"]).select("fingerprint", "env", "score", "users", "critical")
+
+
+@q("err16_error_detail", f""", one AS (SELECT fingerprint, env FROM evts GROUP BY ALL ORDER BY count(*) DESC, fingerprint, env LIMIT 1), g AS (SELECT * FROM groups JOIN one USING (fingerprint, env)), l AS (SELECT l.*, row_number() OVER (ORDER BY l.ts DESC, l.id DESC) AS n FROM logs l JOIN g ON l.error_fingerprint=g.fingerprint AND l.env=g.env WHERE l.{ERR} AND epoch_us(g.last_seen)-epoch_us(l.ts) < 86401000000)
+SELECT 'group' AS part, 0 AS n, last_seen AS "at", last_log_id AS id, concat_ws(' ', service, error_class, status, occurrences) AS what FROM g UNION ALL SELECT 'event', CAST(row_number() OVER (ORDER BY "at" DESC, event) AS INT), "at", NULL, event FROM evts JOIN one USING (fingerprint, env) UNION ALL SELECT 'occurrence', CAST(n AS INT), ts, id, message FROM l WHERE n<=5""", ("acts",))
+def _(spark, d):
+    rows, groups = groups_of(spark, d)
+    events = events_of(rows, groups)
+    one = events.groupBy("fingerprint", "env").count().orderBy(F.desc("count"), "fingerprint", "env").limit(1).first()
+    return plain(err.error_detail(rows, groups, events, one["fingerprint"], one["env"]))
+
+
 @q("err16_recent_occurrences", f", r AS (SELECT l.error_fingerprint, l.env, l.id, row_number() OVER (PARTITION BY l.error_fingerprint, l.env ORDER BY l.ts DESC, l.id DESC) AS n FROM logs l JOIN groups g ON l.error_fingerprint=g.fingerprint AND l.env=g.env WHERE l.{ERR} AND epoch_us(g.last_seen)-epoch_us(l.ts) < 86401000000) SELECT error_fingerprint, env, id, CAST(n AS INT) AS n FROM r WHERE n<=5", ("groups",))
 def _(spark, d):
     rows, groups = groups_of(spark, d)
@@ -155,6 +189,15 @@ def _(spark, d):
     return plain(err.investigate_error(rows, groups, 505))
 
 
+@q("err17_investigate_trace", f""", tr AS (SELECT trace_id FROM logs WHERE {ERR} GROUP BY 1 ORDER BY count(*) DESC, trace_id LIMIT 1), a AS (SELECT * FROM logs WHERE trace_id=(SELECT trace_id FROM tr) AND {ERR} ORDER BY ts, id LIMIT 1), nb AS (SELECT l.*, CASE WHEN (l.ts,l.id) < (a.ts,a.id) THEN 'before' ELSE 'after' END AS side FROM logs l, a WHERE l.env=a.env AND l.id<>a.id AND abs(epoch_us(l.ts)-epoch_us(a.ts)) < 86401000000),
+nr AS (SELECT *, CASE side WHEN 'before' THEN row_number() OVER (PARTITION BY side ORDER BY ts DESC, id DESC) ELSE row_number() OVER (PARTITION BY side ORDER BY ts, id) END AS n FROM nb) SELECT 'anchor' AS part, id, ts, level, service, message FROM a UNION ALL (SELECT 'trace', l.id, l.ts, l.level, l.service, l.message FROM logs l, a WHERE l.trace_id=a.trace_id AND abs(epoch_us(l.ts)-epoch_us(a.ts)) < 3601000000 ORDER BY l.ts, l.id LIMIT 30)
+UNION ALL SELECT side, id, ts, level, service, message FROM nr WHERE n<=5 UNION ALL SELECT 'k', id, ts, level, service, json_extract_string(body, '$.metadata.k') FROM a UNION ALL SELECT 'group', g.occurrences, g.last_seen, 'unresolved', g.service, g.fingerprint FROM groups g, a WHERE g.fingerprint=a.error_fingerprint AND g.env=a.env""", ("groups",))
+def _(spark, d):
+    rows, groups = groups_of(spark, d)
+    busiest = rows.filter("level in ('error', 'fatal')").groupBy("trace_id").count().orderBy(F.desc("count"), "trace_id").first()[0]
+    return plain(err.investigate_error(rows, groups, trace_id=busiest, fields=("exception", "k")))
+
+
 @q("err18_user_timeline", f"SELECT id, ts, level, count(*) FILTER ({ERR}) OVER () AS errors FROM logs WHERE tenant_id='tenant-3' ORDER BY ts DESC, id DESC LIMIT 50")
 def _(spark, d):
     return plain(err.user_timeline(logs(spark, d), tenant="tenant-3"), "id", "ts", "level", "errors")
@@ -188,10 +231,10 @@ def _(spark, d):
     return trc.trace_first_error(logs(spark, d))
 
 
-@q("trc5_trace_context", ", p AS (SELECT trace_id, service, min(ts) AS a, max(ts) AS b FROM logs WHERE id % 500 < 5 GROUP BY ALL), n AS (SELECT p.trace_id AS of_trace, l.service, l.id, row_number() OVER (PARTITION BY p.trace_id, l.service ORDER BY l.ts, l.id) AS n FROM logs l JOIN p ON l.service=p.service AND l.trace_id<>p.trace_id AND (epoch_us(l.ts) // 1000) >= (epoch_us(p.a) // 1000)-60000 AND (epoch_us(l.ts) // 1000) <= (epoch_us(p.b) // 1000)+60000) SELECT of_trace, service, id, CAST(n AS INT) AS n FROM n WHERE n<=50")
+@q("trc5_trace_context", ", p AS (SELECT trace_id, service, min(ts) AS a, max(ts) AS b FROM logs WHERE id % 20 < 5 GROUP BY ALL), n AS (SELECT p.trace_id AS of_trace, l.service, l.id, row_number() OVER (PARTITION BY p.trace_id, l.service ORDER BY l.ts, l.id) AS n FROM logs l JOIN p ON l.service=p.service AND l.trace_id<>p.trace_id AND (epoch_us(l.ts) // 1000) >= (epoch_us(p.a) // 1000)-60000 AND (epoch_us(l.ts) // 1000) <= (epoch_us(p.b) // 1000)+60000) SELECT of_trace, service, id, CAST(n AS INT) AS n FROM n WHERE n<=50")
 def _(spark, d):
     rows = logs(spark, d)
-    return trc.trace_context(rows, rows.filter("id % 500 < 5"), margin_s=60)
+    return trc.trace_context(rows, rows.filter("id % 20 < 5"), margin_s=60)
 
 
 @q("trc6_trace_status", f"SELECT trace_id, count(*) AS spans, arg_min(span_id, (ts, id)) FILTER (parent_span_id IS NULL) AS root_span, array_to_string(list_sort(list(DISTINCT service)), ',') AS services, min(ts) AS first_seen, max(ts) AS last_updated, (epoch_us(max(ts)) // 1000) - (epoch_us(min(ts)) // 1000) AS duration_ms, bool_or({ERR}) AS has_errors, 'partial' AS status FROM logs GROUP BY 1")
@@ -252,6 +295,18 @@ def _(spark, d):
     return rows.select(F.explode(cod.extract_files(trace)).alias("file")).distinct()
 
 
+FRAME_SQL = " || chr(10) || ".join(f"'{a}' || id % 13 || '{b}'" for a, b in (("src/Main", ".java:12"), ("at src/m", ".rs:10"), ("lib/a@1+b", ".ex:3"), ("a", ".php:2"), ("x/t", ".exs:9 (x)"), ("at f (web/ui", ".tsx:3:14)"), ("/srv/node_modules/y", ".js:1"), ("main/go", ".go:77 +0x1d"), ("config", ".yml:3"))) + """ || chr(10) || '  File "py/m' || id % 13 || '.py", line 3'"""
+_ALL = "list_concat(list_concat(regexp_extract_all(t, '([^\\s:]+\\.\\w+):\\d+', 1), regexp_extract_all(t, '([^\\s]+\\.go):\\d+', 1)), list_concat(regexp_extract_all(t, '\\(([^)]+\\.[jt]sx?):\\d+:\\d+\\)', 1), regexp_extract_all(t, 'File \"([^\"]+\\.py)\", line \\d+', 1)))"
+
+
+@q("cod1_all_endings", f", f AS (SELECT DISTINCT id % 13 AS k, {FRAME_SQL} AS t FROM logs) SELECT k, array_to_string(list_sort(list_distinct(list_filter({_ALL}, lambda p: regexp_matches(p, '\\.(rb|go|js|ts|jsx|tsx|py|java|rs|ex|exs|php)$') AND NOT contains(p, '/node_modules/')))), ' ') AS files FROM f")
+def _(spark, d):
+    k = F.col("id") % 13
+    frames = [("src/Main", ".java:12"), ("at src/m", ".rs:10"), ("lib/a@1+b", ".ex:3"), ("a", ".php:2"), ("x/t", ".exs:9 (x)"), ("at f (web/ui", ".tsx:3:14)"), ("/srv/node_modules/y", ".js:1"), ("main/go", ".go:77 +0x1d"), ("config", ".yml:3"), ('  File "py/m', '.py", line 3')]
+    trace = F.concat_ws("\n", *[F.concat(F.lit(a), k, F.lit(b)) for a, b in frames])
+    return logs(spark, d).select(k.alias("k"), F.array_join(F.array_sort(cod.extract_files(trace)), " ").alias("files")).distinct()
+
+
 @q("cod2_code_entities", "SELECT * FROM entities", ("entities",))
 def _(spark, d):
     return plain(cod.code_entities(logs(spark, d)))

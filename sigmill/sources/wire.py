@@ -28,9 +28,9 @@ def truncated(c: str) -> Column:
     return F.when(F.octet_length(c) > limit, F.concat(byte_prefix(F.col(c), limit - len(CUT_MARK.encode())), F.lit(CUT_MARK))).otherwise(F.col(c))
 
 
-def read_flat_logs(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """SRC-1: JSON files of one object or an array each; bad rows keep their text in _corrupt_record."""
-    reader = (spark.readStream if stream else spark.read).schema(WIRE).option("multiLine", True).option("primitivesAsString", True)
+def read_flat_logs(spark: SparkSession, path: str, stream: bool = False, lines: bool = False) -> DataFrame:
+    """SRC-1: JSON files of one object or an array each, or of one object a line; bad rows keep their text in _corrupt_record."""
+    reader = (spark.readStream if stream else spark.read).schema(WIRE).option("multiLine", not lines).option("primitivesAsString", True)
     return typed(reader.json(path))
 
 
