@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import body
 from ..functions.text import mask_message
 from .predicates import env_matches, filter_logs, is_error, is_request
 from .search import clamp, search_requests
@@ -72,7 +73,7 @@ def attribute_values(logs: DataFrame, field: str, limit=100, **params) -> DataFr
 
 def metadata_keys(logs: DataFrame, **params) -> DataFrame:
     """AGG-8: distinct keys of body.metadata with how many rows have them."""
-    keys = F.json_object_keys(F.get_json_object("body", "$.metadata"))
+    keys = body.keys(body.is_variant(logs), "$.metadata")
     return filter_logs(logs, **params).select(F.explode(keys).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import body
 from .predicates import env_matches, is_critical, is_error, same
 from .search import clamp
 
@@ -107,7 +108,7 @@ def error_impacts(logs: DataFrame) -> DataFrame:
     rows = logs.filter(is_error() & (F.col("error_fingerprint") != "") & (F.coalesce("user_id", F.lit("")) != ""))
     last = F.struct("ts", "id")
     return rows.groupBy(F.col("error_fingerprint").alias("fingerprint"), "env", "user_id").agg(
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("occurrences"), F.max_by(F.get_json_object("body", "$.metadata"), last).alias("context"), F.max_by("id", last).alias("last_log_id")
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.count("*").alias("occurrences"), F.max_by(body.part(body.is_variant(logs), "$.metadata"), last).alias("context"), F.max_by("id", last).alias("last_log_id")
     )
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import body
 from ..functions.text import tokens
 
 NAMES = ("service", "level", "event_type", "error_class", "source_file", "version", "method")
@@ -70,7 +71,7 @@ def filter_logs(logs: DataFrame, start=None, end=None, env=None, path=None, min_
     if exclude:
         logs = logs.filter(excluded(logs, exclude))
     if metadata:
-        logs = logs.filter(metadata_filter(metadata))
+        logs = logs.filter(metadata_filter(metadata, body.is_variant(logs)))
     if query is not None:
         logs = full_text(logs, query)
     return logs
@@ -99,9 +100,9 @@ def full_text_by_postings(logs: DataFrame, postings: DataFrame, query: str) -> D
     return logs.join(hits, "id", "left_semi")
 
 
-def metadata_filter(wanted: dict[str, str]) -> Column:
-    """FLT-7: every key is in body.metadata with this value as text."""
-    found = F.from_json(F.get_json_object("body", "$.metadata"), "map<string,string>")
+def metadata_filter(wanted: dict[str, str], variant: bool = False) -> Column:
+    """FLT-7: every key is in body.metadata with this value as text; `variant` where the body is one."""
+    found = body.texts(variant, "$.metadata")
     out = F.lit(True)
     for k, v in wanted.items():
         out &= F.coalesce(F.try_element_at(found, F.lit(k)) == v, F.lit(False))

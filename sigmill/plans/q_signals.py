@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import body
 from ..operators import captures as cap
 from ..operators import code_risk as cod
 from ..operators import deploys as dep
 from ..operators import errors as err
 from ..operators import health as hlt
 from ..operators import traces as trc
+from ..operators.aggregates import metadata_keys
+from ..operators.predicates import filter_logs
 from .q_logs import ERR, GROUPS, plain
-from .views import AS_OF, VIEWS, Book, logs, table
+from .views import AS_OF, VIEWS, Book, logs, table, written
 
 B = Book()
 q = B.add
@@ -453,4 +456,32 @@ def _(spark, d):
     return cap.recent_emails(audited(spark, d), "2024-01-29").select("id", cap.field("to").alias("to"))
 
 
+def stored(rows):
+    """Rows as an ingest job stores them: the body parsed once, to a variant."""
+    return written(body.parsed(rows))
+
+
+def of_variant(name, f):
+    """The question of a query, asked of stored variants."""
+    B.queries[f"{name}_variant"], B.sql[f"{name}_variant"] = f, B.sql[name]
+
+
+of_variant("cap1_captures", lambda spark, d: cap.captures(stored(logs(spark, d)), "sql").select("id", cap.field("table", True).alias("table")))
+of_variant("cap2_request_capture", lambda spark, d: cap.request_capture(stored(logs(spark, d)), 99).select("id", F.get_json_object("metadata", "$.k").alias("k")))
+of_variant("cap3_audit_trail", lambda spark, d: cap.audit_trail(stored(audited(spark, d)), "purchase", "tenant-4").select("id", cap.field("actor", True).alias("actor")))
+of_variant("cap4_search_audit", lambda spark, d: cap.search_audit(stored(audited(spark, d)), AS_OF, action="error", hours=240).select("id", cap.field("actor", True).alias("actor")))
+of_variant("cap5_search_sql", lambda spark, d: cap.search_sql(stored(logs(spark, d)), table="t2", min_ms=30).select("id", "table", "duration_ms"))
+of_variant("cap6_recent_emails", lambda spark, d: cap.recent_emails(stored(audited(spark, d)), "2024-01-29").select("id", cap.field("to", True).alias("to")))
+
+
+@q("flt7_metadata_filter_variant", "SELECT id FROM logs WHERE json_extract_string(body,'$.metadata.k')='7'")
+def _(spark, d):
+    return filter_logs(stored(logs(spark, d)), metadata={"k": "7"}).select("id")
+
+
+@q("agg8_metadata_keys_variant", "SELECT 'k' AS key, count(*) AS n FROM logs WHERE json_extract_string(body,'$.metadata.k') IS NOT NULL")
+def _(spark, d):
+    return metadata_keys(stored(logs(spark, d)))
+
+
 QUERIES, SQL = B.queries, B.sql

@@ -32,8 +32,10 @@ def table(spark, sf_dir, name):
 
 
 def folder(spark, name: str) -> str:
-    """A fresh folder that all executors share: under spark.checkpoint.dir, or the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A fresh folder that all executors share, under spark.checkpoint.dir; nothing else is sure to be shared."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
