@@ -162,7 +162,8 @@ def _(spark, d):
     url = f"jdbc:derby:memory:sigmill{uuid.uuid4().hex};create=true"
     driver = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
     table(spark, d, "supplier").select("s_suppkey", "s_nationkey").write.jdbc(url, "supplier", properties=driver)
-    return src.read_jdbc_query(spark, url, 'SELECT "s_suppkey", "s_nationkey" FROM supplier', **driver)
+    ends = table(spark, d, "supplier").agg(F.min("s_suppkey"), F.max("s_suppkey")).first()
+    return src.read_jdbc_query(spark, url, 'SELECT "s_suppkey", "s_nationkey" FROM supplier', max_rows=None, split=('"s_suppkey"', ends[0], ends[1], 4), **driver)
 
 
 @q("src6_scan_logs", "SELECT id, service FROM logs WHERE ts >= TIMESTAMP '2024-01-10 03:20:00' AND ts <= TIMESTAMP '2024-01-12 17:00:00'")
@@ -499,6 +500,13 @@ def _(spark, d):
     return sunk(streams.stream_first_seen_deploys(log_stream(spark, d)), "append").select("version", "service", "env")
 
 
+@q("str7_first_sightings", "SELECT version, service, env, min(ts) AS first_seen FROM logs GROUP BY ALL")
+def _(spark, d):
+    where, keys = folder(spark, "sightings"), ("version", "service", "env")
+    drained(streams.sightings(log_stream(spark, d)), "append", streams.keep_first(where, keys))
+    return plain(streams.latest_updates(spark.read.parquet(where), keys), *keys, "first_seen")
+
+
 @q("ing9_dedup_stream", "SELECT id, id // 20 AS batch_id, min(ts) OVER (PARTITION BY id // 20) AS received_at FROM logs")
 def _(spark, d):
     # Batches of 20 rows; two in three are sent again ten minutes later, with all their rows.

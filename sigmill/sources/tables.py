@@ -47,11 +47,22 @@ def scan_logs(spark: SparkSession, path: str, start: str, end: str, margin_hours
     return rows.filter((F.col(HOUR) >= name(s - margin)) & (F.col(HOUR) <= name(e + margin)) & (F.col("ts") >= s) & (F.col("ts") <= e))
 
 
-def read_jdbc_query(spark: SparkSession, url: str, query: str, max_rows: int = 1000, **options) -> DataFrame:
-    """SRC-7: a bounded read of a query's rows, which must only read; the driver's jar must be on the class path."""
+def read_jdbc_query(spark: SparkSession, url: str, query: str, max_rows: int | None = 1000, split: tuple[str, int, int, int] | None = None, **options) -> DataFrame:
+    """SRC-7: the rows of a query, which must only read; the driver's jar must be on the class path.
+
+    At most `max_rows`, which ones the database decides, or all with None. With
+    `split` (column, least, most, parts) the database is asked for that many
+    ranges of a column at once, a task each.
+    """
     if query.split(None, 1)[0].lower() not in ("select", "with") or ";" in query:
         raise ValueError("only one SELECT may be asked")
-    return spark.read.format("jdbc").options(url=url, query=query, **options).load().limit(max_rows)
+    asked = spark.read.format("jdbc").options(url=url, **options)
+    if split:
+        column, low, high, n = split
+        rows = asked.options(dbtable=f"({query}) asked", partitionColumn=column, lowerBound=low, upperBound=high, numPartitions=n).load()
+    else:
+        rows = asked.option("query", query).load()
+    return rows if max_rows is None else rows.limit(max_rows)
 
 
 def profile_table(df: DataFrame, few: int = 50, samples: int = 5) -> DataFrame:

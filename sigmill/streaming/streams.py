@@ -239,6 +239,32 @@ def stream_group_states(stream: DataFrame, actions: DataFrame) -> DataFrame:
     return rows.unionByName(acts).groupBy("fingerprint", "env").applyInPandasWithState(group_update, GROUP, "held string", "update", GroupStateTimeout.NoTimeout)
 
 
+def keep_first(path: str, keys: tuple[str, ...], at: str = "first_seen") -> Callable[[DataFrame, int], None]:
+    """STR-7: a foreachBatch sink of first sightings: of a batch's rows the least `at` of each key, where it is new or earlier than what is stored.
+
+    The stored sightings are the memory, so no state grows in the stream; they
+    are as many as there are keys once `compact_updates` has run.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        from ..sources import folders
+
+        spark = batch.sparkSession
+        found = batch.groupBy(*keys).agg(F.min(at).alias(at))
+        if any(c.startswith("update=") and c != f"update={number}" for c in folders.children(spark, path)):
+            known = spark.read.parquet(path).filter(F.col("update") != number).groupBy(*keys).agg(F.min(at).alias("known"))
+            same = [found[k].eqNullSafe(known[k]) for k in keys]
+            found = found.join(known, same, "left").filter(F.col("known").isNull() | (found[at] < F.col("known"))).select(*[found[c] for c in (*keys, at)])
+        found.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/update={number}")
+
+    return write
+
+
+def sightings(stream: DataFrame) -> DataFrame:
+    """STR-7: (version, service, env, first_seen) of every row with a version, for `keep_first`."""
+    return stream.filter(F.coalesce("version", F.lit("")) != "").select("version", "service", "env", F.col("ts").cast("timestamp").alias("first_seen"))
+
+
 def compact_updates(spark, path: str, keys: tuple[str, ...]) -> None:
     """Makes one folder of all that `keep_updates` wrote, the newest row of each key; a sink then holds keys, not history.
 

@@ -41,6 +41,26 @@ def test_only_selects_are_asked(spark):
             src.read_jdbc_query(spark, "jdbc:derby:memory:x", bad)
 
 
+def test_a_database_is_read_in_ranges_and_up_to_a_bound(spark):
+    from sigmill.sources import tables as src
+
+    url, driver = "jdbc:derby:memory:ranges;create=true", {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    spark.range(2500).write.jdbc(url, "numbers", properties=driver)
+    whole = src.read_jdbc_query(spark, url, 'SELECT "id" FROM numbers', max_rows=None, split=('"id"', 0, 2499, 5), **driver)
+    assert whole.rdd.getNumPartitions() == 5 and sorted(r.id for r in whole.collect()) == list(range(2500))
+    assert src.read_jdbc_query(spark, url, 'SELECT "id" FROM numbers', **driver).count() == 1000
+
+
+def test_newest_deploy_and_pending_alerts(spark):
+    from sigmill.operators import deploys as dep
+    from sigmill.operators import watches as wat
+
+    rows = spark.createDataFrame([("v1", "api", "prod", "2024-01-01"), ("v2", "api", "prod", "2024-01-03"), ("v3", "web", "prod", "2024-01-04")], "version string, service string, env string, first_seen string").selectExpr("version", "service", "env", "cast(first_seen as timestamp) first_seen")
+    assert [r.version for r in dep.latest_deploy(rows, "api", "prod").collect()] == ["v2"]
+    alerts = spark.createDataFrame([("a", "pending"), ("b", "dismissed"), ("c", "pending")], "alert_id string, status string")
+    assert wat.pending_count(alerts).first().n == 2
+
+
 def test_body_aliases_say_where(spark):
     from pyspark.sql import functions as F
 
