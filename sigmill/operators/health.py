@@ -36,10 +36,20 @@ def uptime(checks: DataFrame, results: DataFrame, since: str) -> DataFrame:
 
 
 def transitions(results: DataFrame, start: str, end: str) -> DataFrame:
-    """HLT-3: changes of status inside the window; the state before it is the seed."""
-    rows = results.withColumn("before", F.lag("status").over(in_time()))
-    inside = (F.col("checked_at") >= F.lit(start).cast("timestamp")) & (F.col("checked_at") <= F.lit(end).cast("timestamp"))
-    return rows.filter(inside & (F.col("before") != F.col("status"))).select("check", "checked_at", "before", "status")
+    """HLT-3: changes of status inside the window; the state before it is the seed.
+
+    A task sees a day of a check at most: the last status of each day (and of
+    all time before the window) is one row, and goes over to the next day.
+    """
+    begin = F.lit(start).cast("timestamp")
+    rows = results.filter((F.col("checked_at") >= begin) & (F.col("checked_at") <= F.lit(end).cast("timestamp"))).withColumn("day", F.to_date("checked_at"))
+    final = F.max(F.struct(*LATEST, "status"))["status"].alias("final")
+    seed = results.filter(F.col("checked_at") < begin).groupBy("check").agg(final, F.lit("0001-01-01").cast("date").alias("day"))
+    days = rows.groupBy("check", "day").agg(final).unionByName(seed)
+    carried = days.select("check", "day", F.lag("final").over(Window.partitionBy("check").orderBy("day")).alias("carried"))
+    of_day = F.lag("status").over(Window.partitionBy("check", "day").orderBy(*LATEST))
+    rows = rows.withColumn("of_day", of_day).join(carried, ["check", "day"]).withColumn("before", F.coalesce("of_day", "carried"))
+    return rows.filter(F.col("before") != F.col("status")).select("check", "checked_at", "before", "status")
 
 
 def reliability(results: DataFrame, last: int = 5) -> DataFrame:

@@ -120,12 +120,24 @@ def baseline(logs: DataFrame, start: str, end: str) -> DataFrame:
 
 
 def breach_runs(runs: DataFrame, min_consecutive: int) -> DataFrame:
-    """WAT-7: runs (watch_id, at, breached) with their place in a streak; alert on the run that reaches the minimum."""
-    w = Window.partitionBy("watch_id").orderBy("at")
-    island = F.sum(F.when(F.col("breached"), 0).otherwise(1)).over(w)
-    runs = runs.withColumn("island", island)
-    streak = F.sum(F.when(F.col("breached"), 1).otherwise(0)).over(Window.partitionBy("watch_id", "island").orderBy("at"))
-    return runs.withColumn("consecutive", streak).withColumn("alert", F.col("breached") & (F.col("consecutive") == min_consecutive)).drop("island")
+    """WAT-7: runs (watch_id, at, breached) with their place in a streak; alert on the run that reaches the minimum.
+
+    A task sees a day of a rule at most: the streak that a day ends with is one
+    row, and goes over to the next day.
+    """
+    hit, calm = F.when(F.col("breached"), 1).otherwise(0), F.when(F.col("breached"), 0).otherwise(1)
+    runs = runs.withColumn("day", F.to_date("at"))
+    today = Window.partitionBy("watch_id", "day")
+    runs = runs.withColumn("island", F.sum(calm).over(today.orderBy("at")))
+    runs = runs.withColumn("streak", F.sum(hit).over(Window.partitionBy("watch_id", "day", "island").orderBy("at")))
+    # The streak at a day's end, and whether the whole day was one.
+    days = runs.groupBy("watch_id", "day").agg(F.max_by("streak", F.struct("at", "island", "streak")).alias("tail"), F.max("island").alias("calm"))
+    in_days = Window.partitionBy("watch_id").orderBy("day")
+    days = days.withColumn("since", F.sum(F.when(F.col("calm") > 0, 1).otherwise(0)).over(in_days))
+    days = days.withColumn("end", F.sum("tail").over(Window.partitionBy("watch_id", "since").orderBy("day")))
+    carried = days.select("watch_id", "day", F.coalesce(F.lag("end").over(in_days), F.lit(0)).alias("carried"))
+    runs = runs.join(carried, ["watch_id", "day"]).withColumn("consecutive", F.col("streak") + F.when(F.col("island") == 0, F.col("carried")).otherwise(0))
+    return runs.withColumn("alert", F.col("breached") & (F.col("consecutive") == min_consecutive)).drop("island", "day", "streak", "carried")
 
 
 def auto_resolve(watches: DataFrame, near: float = 0.10) -> DataFrame:
