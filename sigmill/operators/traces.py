@@ -9,12 +9,8 @@ from pyspark.sql.window import Window
 from .predicates import is_error
 
 
-def each():
-    return Window.partitionBy("trace_id")
-
-
 def in_order():
-    return each().orderBy("ts", "id")
+    return Window.partitionBy("trace_id").orderBy("ts", "id")
 
 
 def ms_between(a, b):
@@ -26,19 +22,13 @@ def of_traces(logs: DataFrame) -> DataFrame:
 
 
 def trace_timeline(logs: DataFrame, trace_id: str | None = None) -> DataFrame:
-    """TRC-1: rows of one trace (or all) oldest first, elapsed ms from the first, and the whole trace's span."""
+    """TRC-1: rows of one trace (or all) oldest first, elapsed ms from the first, and the whole trace's span.
+
+    What holds for a whole trace is aggregated once and joined to its rows.
+    """
     rows = of_traces(logs) if trace_id is None else logs.filter(F.col("trace_id") == trace_id)
-    first, last = F.min("ts").over(each()), F.max("ts").over(each())
-    return rows.select(
-        "trace_id",
-        "id",
-        "service",
-        "level",
-        ms_between(first, F.col("ts")).alias("elapsed_ms"),
-        ms_between(first, last).alias("total_ms"),
-        F.max(is_error()).over(each()).alias("has_errors"),
-        F.size(F.collect_set("service").over(each())).cast("long").alias("n_services"),
-    )
+    whole = rows.groupBy("trace_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.max(is_error()).alias("has_errors"), F.size(F.collect_set("service")).cast("long").alias("n_services"))
+    return rows.select("trace_id", "id", "service", "level", "ts").join(whole, "trace_id").select("trace_id", "id", "service", "level", ms_between("first", "ts").alias("elapsed_ms"), ms_between("first", "last").alias("total_ms"), "has_errors", "n_services")
 
 
 def trace_service_summary(logs: DataFrame) -> DataFrame:
