@@ -200,28 +200,32 @@ RECOMMENDED = ("service", "ts")
 REQUEST_ONLY = ("method", "path", "handler", "n_plus_one", "dup_queries")
 
 
+JSON_KINDS = {"STRING": "string", "BOOLEAN": "boolean", "OBJECT": "object", "ARRAY": "array", "VOID": ""}
+
+
 def json_kind(value: Column) -> Column:
-    """The JSON kind of a variant: string, number, boolean, object, array; null for JSON null and for nothing."""
-    t = F.schema_of_variant(value)
-    return F.when(t == "STRING", "string").when(t == "BOOLEAN", "boolean").when(F.startswith(t, F.lit("OBJECT")), "object").when(F.startswith(t, F.lit("ARRAY")), "array").when(t != "VOID", "number")
+    """The JSON kind of a variant: string, number, boolean, object or array; empty for JSON null."""
+    outer = F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in JSON_KINDS.items() for x in pair]), outer), F.lit("number"))
 
 
 def validate_payload(payloads: DataFrame, as_of: str, c: str = "payload") -> DataFrame:
     """ING-10: errors, warnings, unknown fields (and what each may have meant) and the inferred kind of each JSON object.
 
-    The text is parsed once, to a variant; each field's kind is asked of that.
+    The kinds of all fields that were sent come from one parse of the text, to a variant.
     """
+    kinds_sent = F.transform_values(F.try_variant_get(F.try_parse_json(F.col(c)), "$", "map<string,variant>"), lambda _, v: json_kind(v))
     value = lambda k: F.get_json_object(c, f"$.{k}")
-    whole = F.try_parse_json(F.col(c))
+    payloads, known = payloads.withColumns({"__kinds": kinds_sent, "__kind": infer_kind(value)}), payloads.columns
     keys = F.json_object_keys(c)
     bad = keys.isNull()
     level = F.lower(value("level"))
     ok_levels = ("debug", "info", "warn", "warning", "error", "fatal")
     ts = F.try_to_timestamp(value("ts"))
     age = F.timestamp_diff("SECOND", ts, F.lit(as_of).cast("timestamp"))
-    of = lambda k: json_kind(F.try_variant_get(whole, f"$.{k}", "variant"))
-    wrong = [F.when(of(k) != t, F.concat(F.lit(f"{k}: expected {KINDS[t]}, got "), of(k))) for k, t in FIELDS.items()]
-    kind = infer_kind(value)
+    of = lambda k: F.try_element_at("__kinds", F.lit(k))
+    wrong = [F.when((of(k) != t) & (of(k) != ""), F.concat(F.lit(f"{k}: expected {KINDS[t]}, got "), of(k))) for k, t in FIELDS.items()]
+    kind = F.col("__kind")
     errors = [
         F.when(bad, "entry must be a JSON object"),
         F.when(~bad & (F.coalesce(value("level"), F.lit("")) == ""), "level: required"),
@@ -243,7 +247,7 @@ def validate_payload(payloads: DataFrame, as_of: str, c: str = "payload") -> Dat
     ]
     some = lambda xs: F.array_compact(F.array(*xs))
     unknown = F.sort_array(F.array_except(F.coalesce(keys, F.array().cast("array<string>")), F.array(*map(F.lit, FIELDS))))
-    report = payloads.select("*", some(errors).alias("errors"), some(warnings).alias("warnings"), unknown.alias("unknown"), F.transform(unknown, suggest_field).alias("did_you_mean"), kind.alias("kind"))
+    report = payloads.select(*known, some(errors).alias("errors"), some(warnings).alias("warnings"), unknown.alias("unknown"), F.transform(unknown, suggest_field).alias("did_you_mean"), kind.alias("kind"))
     return report.withColumn("valid", F.size("errors") == 0)
 
 
