@@ -123,10 +123,12 @@ def breach_runs(runs: DataFrame, min_consecutive: int) -> DataFrame:
     """WAT-7: runs (watch_id, at, breached) with their place in a streak; alert on the run that reaches the minimum.
 
     A task sees a day of a rule at most: the streak that a day ends with is one
-    row, and goes over to the next day.
+    row, and goes over to the next day. Runs told apart by plain numbers instead
+    of times are one day.
     """
+    timed = dict(runs.dtypes)["at"] in ("timestamp", "timestamp_ntz", "date")
     hit, calm = F.when(F.col("breached"), 1).otherwise(0), F.when(F.col("breached"), 0).otherwise(1)
-    runs = runs.withColumn("day", F.to_date("at"))
+    runs = runs.withColumn("day", F.to_date("at") if timed else F.lit(0))
     today = Window.partitionBy("watch_id", "day")
     runs = runs.withColumn("island", F.sum(calm).over(today.orderBy("at")))
     runs = runs.withColumn("streak", F.sum(hit).over(Window.partitionBy("watch_id", "day", "island").orderBy("at")))

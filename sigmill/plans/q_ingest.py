@@ -304,7 +304,7 @@ _K = "CASE WHEN coalesce({0}, 'NULL') = 'NULL' THEN NULL WHEN {0} = 'VARCHAR' TH
 _P = """, p AS (SELECT id, level AS lv, '{' || concat_ws(',', CASE WHEN id%9>0 THEN '"level":' || CASE id%5 WHEN 0 THEN '7' WHEN 1 THEN '"WARNING"' ELSE '"' || level || '"' END END, CASE WHEN id%7>0 THEN '"service":' || CASE WHEN id%4=0 THEN '[1]' ELSE '"' || service || '"' END END,
  '"message":' || CASE WHEN id%6=0 THEN '{}' ELSE '"m"' END, '"duration_ms":' || CASE id%3 WHEN 0 THEN '"12"' WHEN 1 THEN '1.5' ELSE 'null' END, '"n_plus_one":' || CASE WHEN id%2=0 THEN 'true' ELSE '0' END, '"body":' || CASE id%8 WHEN 0 THEN '[]' WHEN 1 THEN '"x"' ELSE '{"a":1}' END,
  CASE WHEN id%10=0 THEN '"severity":"x"' END, CASE WHEN id%11=0 THEN '"qqqqqq":1' END) || '}' AS payload FROM logs)"""
-_W = " UNION ALL ".join(f"SELECT id, 'error' AS part, '{k}: expected {ing.KINDS[want]}, got ' || {_K.format(f'json_type(payload, {chr(39)}$.{k}{chr(39)})')} AS said FROM p WHERE {_K.format(f'json_type(payload, {chr(39)}$.{k}{chr(39)})')} <> '{want}'" for k, want in (("level", "string"), ("service", "string"), ("message", "string"), ("duration_ms", "number"), ("n_plus_one", "boolean"), ("body", "object")))
+_W = " UNION ALL ".join(f"SELECT id, 'error' AS part, '{k}: expected {ing.KINDS[want]}' AS said FROM p WHERE {_K.format(f'json_type(payload, {chr(39)}$.{k}{chr(39)})')} <> '{want}'" for k, want in (("level", "string"), ("service", "string"), ("message", "string"), ("duration_ms", "number"), ("n_plus_one", "boolean"), ("body", "object")))
 
 
 @q(
