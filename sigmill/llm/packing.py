@@ -3,13 +3,13 @@
 Documents become pieces of at most `capacity` tokens. Only the histogram of
 their lengths, `capacity` counts whatever the corpus, goes to the driver. There
 a covering program over configurations (multisets of lengths that fit one
-sequence) is solved by multiplicative weights: a length's price begins as its
-size and falls with the share of it that is covered; an unbounded-knapsack
-dynamic program finds configurations of most price, and these are used until
-one of their lengths is covered by a step more. The fractional solution is
-rounded, and what is left is filled greedily, best fit first. Pieces then take
-their places by rank within their length, ranked without any task seeing a
-whole length.
+sequence) is solved by multiplicative weights: a length's
+price is its size and a premium whose weight falls with the share of it that is
+covered; an unbounded-knapsack dynamic program finds configurations of most
+price, and these are used until one of their lengths is covered by a step more.
+The fractional solution is rounded, and what is left is filled greedily, best
+fit first. Pieces then take their places by rank within their length, ranked
+without any task seeing a whole length; full ones are sequences by themselves.
 """
 
 from __future__ import annotations
@@ -27,9 +27,13 @@ from .common import cut
 
 #: The cache of a worker: distinct space-delimited units and their ids, some 200 bytes each.
 CACHE_UNITS = 1_000_000
-RANK_BUCKETS = 64
+#: Pieces of one length that are ranked together.
+RANKED = 1_000_000
+#: (premium, rate, step) of the programs that are solved. The premium is what a long piece may be worth above its
+#: tokens: little where many lengths fit each other, much where few do.
+PROGRAMS = ((0.001, 1.0, 0.5), (0.3, 1.0, 0.5), (0.3, 0.3, 1.0))
 #: Shares of the program's sequences that are tried beside best fit for the rest.
-KEPT = (1, 0.99, 0.97, 0.94, 0.9, 0.8, 0.6, 0.3, 0)
+KEPT = (1, 0.98, 0.95, 0.9, 0.8, 0.6, 0.3, 0)
 
 
 class Encoder:
@@ -148,14 +152,16 @@ def best_configurations(price: np.ndarray, capacity: int, most: int) -> tuple[li
     table of the dynamic program gives, for each length, the best that holds it.
     """
     live = np.flatnonzero(price > 0) + 1
-    value = price[live - 1]
+    value = np.where(price > 0, price, -np.inf)
     best, took = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    upto = np.searchsorted(live, np.arange(capacity + 1), "right")
     for c in range(int(live[0]), capacity + 1):
-        gain = value[: upto[c]] + best[c - live[: upto[c]]]
+        gain = value[:c] + best[c - 1 :: -1]
         i = int(gain.argmax())
-        best[c], took[c] = max((gain[i], live[i]), (best[c - 1], 0), key=lambda x: x[0])
-    top, out = value + best[capacity - live], []
+        if gain[i] > best[c - 1]:
+            best[c], took[c] = gain[i], i + 1
+        else:
+            best[c] = best[c - 1]
+    top, out = price[live - 1] + best[capacity - live], []
     for i in np.argsort(-top, kind="stable")[:most]:
         used, c = Counter({int(live[i]): 1}), capacity - int(live[i])
         while c > 0:
@@ -184,16 +190,21 @@ def best_fit(left: np.ndarray, capacity: int) -> Counter:
     return out
 
 
-def covering(counts: np.ndarray, capacity: int, rate: float = 1.0, step: float = 0.5, slack: float = 0.02, most: int = 64) -> dict[Configuration, float]:
+def covering(counts: np.ndarray, capacity: int, premium: float = 0.001, rate: float = 1.0, step: float = 0.5, most: int = 64) -> dict[Configuration, float]:
     """How often each configuration is used, in fractions that cover every count exactly.
 
-    Multiplicative weights for min sum x_C with sum_C a_Cl x_C >= counts_l: a
-    price is the length times e^(-rate * covered share), 0 once it is covered.
-    Configurations found before serve as long as one is within `slack` of the
-    best price at the last pricing, which no later price exceeds.
+    Multiplicative weights for min sum x_C with sum_C a_Cl x_C >= counts_l. A
+    price is the share s of a sequence that the length takes, and on top of it
+    premium * s^2 times the length's weight, which is multiplied by
+    e^(-rate * the share of the count just covered); 0 once it is covered. s
+    alone is the dual solution of the bound "tokens / capacity"; the premium
+    uses long pieces, which few others fit, while short ones are at hand.
+    Configurations found before serve as long as one is near the best price at
+    the last pricing, which no later price exceeds.
     """
-    need, size = counts.astype(float), np.arange(1, capacity + 1) / capacity
-    share, price = np.zeros(capacity), np.append(np.where(counts > 0, size, -np.inf), 0.0)
+    need, size, slack = counts.astype(float), np.arange(1, capacity + 1) / capacity, min(1e-3, premium / 10)
+    share, weight = np.zeros(capacity), np.ones(capacity)
+    price = np.append(np.where(counts > 0, size * (1 + premium * size), -np.inf), 0.0)
     found: dict[Configuration, int] = {}
     lengths, times, used = np.full((most, 4), capacity), np.zeros((most, 4)), []
     best = 0.0
@@ -220,7 +231,8 @@ def covering(counts: np.ndarray, capacity: int, rate: float = 1.0, step: float =
         x = min(step * (need[l] / a).min(), ((1 - share[l]) * need[l] / a).min())
         used[j] += x
         share[l] += a * x / need[l]
-        price[l] = np.where(share[l] > 1 - 1e-9, -np.inf, size[l] * np.exp(-rate * share[l]))
+        weight[l] *= np.exp(-rate * a * x / need[l])
+        price[l] = np.where(share[l] > 1 - 1e-9, -np.inf, size[l] * (1 + premium * size[l] * weight[l]))
     return {conf: used[j] for conf, j in found.items() if used[j] > 0}
 
 
@@ -238,27 +250,33 @@ def rounded(solution: dict[Configuration, float], counts: np.ndarray) -> tuple[C
 
 
 def configurations(counts: np.ndarray, capacity: int) -> tuple[list[tuple[Configuration, int]], int]:
-    """(configuration, how many sequences use it), covering `counts` exactly; and how many sequences the program gave.
+    """(configuration, how many sequences use it), covering `counts` exactly; and how many of them the program and full pieces gave.
 
-    What rounding leaves is filled by best fit, and with it as small a share of
-    the program's sequences, those with room left first, as makes the fewest
-    sequences in all; so they are never more than best fit alone would need.
+    Pieces of full length are sequences as they are. The rest
+    is solved for each of PROGRAMS and rounded; what rounding leaves, and with
+    it as small a share of the program's sequences as makes the fewest in all,
+    is filled by best fit. So they are never more than best fit alone needs.
     """
-    if not counts.any():
-        return [], 0
-    out, left = rounded(covering(counts, capacity), counts)
-
-    full = {c for c in out if sum(l * a for l, a in c) == capacity}
-
-    def finished(share, all_):
-        kept, rest = Counter({c: k for c, n in out.items() if (all_ or c in full) and (k := int(n * share))}), left.copy()
-        for conf, n in (out - kept).items():
+    whole, counts = int(counts[-1]), np.append(counts[:-1], 0)
+    plan, by_program = Counter(), 0
+    if counts.any():
+        plan, by_program = min((p for how in PROGRAMS for p in finished(covering(counts, capacity, *how), counts, capacity)), key=lambda p: (p[0].total(), -p[1]))
+    full = [(((capacity, 1),), whole)] if whole else []
+    return full + sorted(plan.items(), reverse=True), by_program + whole
+
+
+def finished(solution: dict[Configuration, float], counts: np.ndarray, capacity: int):
+    """(all sequences, how many are the program's) for each of KEPT, those with least room kept longest."""
+    out, left = rounded(solution, counts)
+    room = sorted(out, key=lambda c: (capacity - sum(l * a for l, a in c), c))
+    for share in KEPT:
+        kept, rest, n = Counter(), left.copy(), int(share * out.total())
+        for conf in room:
+            kept[conf] = min(out[conf], n)
+            n -= kept[conf]
             for l, a in conf:
-                rest[l - 1] += a * n
-        return kept, kept + best_fit(rest, capacity)
-
-    kept, whole = min((finished(share, all_) for share in KEPT for all_ in (True, False)), key=lambda t: t[1].total())
-    return sorted(whole.items(), reverse=True), kept.total()
+                rest[l - 1] += a * (out[conf] - kept[conf])
+        yield +kept + best_fit(rest, capacity), kept.total()
 
 
 def pack(
@@ -278,16 +296,20 @@ def pack(
 
     The driver sees `capacity` counts and solves the program there; the places
     it hands back are a table of (length, configuration), at most a few
-    thousand rows whatever the corpus.
+    thousand rows whatever the corpus. A full piece is a sequence by itself,
+    with a number below 0, and needs no rank. Shorter ones are ranked by at most
+    about a million of a length in a task; the table of the counts of these
+    parts, one row each, is broadcast.
     """
     ps = cut(pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col))
-    bucket = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(RANK_BUCKETS)).cast("int")
-    ps = ps.withColumn("bucket", bucket)
-    by_bucket = ps.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     counts = np.zeros(capacity, np.int64)
-    for r in by_bucket.groupBy("length").agg(F.sum("n").alias("n")).collect():
+    for r in ps.filter(F.col("length") < capacity).groupBy("length").agg(F.count("*").alias("n")).collect():
         counts[r["length"] - 1] = r["n"]
+    parts = F.get(F.lit((-(-counts // RANKED)).tolist()), (F.col("length") - 1).cast("int"))
+    bucket = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.greatest(parts, F.lit(1))).cast("int")
+    short = ps.filter(F.col("length") < capacity).withColumn("bucket", bucket)
+    by_bucket = short.groupBy("length", "bucket").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     slots: dict[int, list] = {}
     taken = np.zeros(capacity, np.int64)
     base = 0
@@ -316,10 +338,11 @@ def pack(
 
     first = by_bucket.select("length", "bucket", before.alias("before"))
     order = Window.partitionBy("length", "bucket").orderBy("id", "piece", "ids_crc32")
-    ranked = ps.withColumn("r", F.row_number().over(order) - 1).join(F.broadcast(first), ["length", "bucket"])
+    ranked = short.withColumn("r", F.row_number().over(order) - 1).join(F.broadcast(first), ["length", "bucket"])
     ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", (F.col("r") + F.col("before")).cast("long").alias("rank"))
     out = ranked.mapInArrow(place, "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return out.withColumnRenamed("id", id_col)
+    full = ps.filter(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return out.union(full).withColumnRenamed("id", id_col)
 
 
 def op7_best_fit_packing(spark, sf_dir):

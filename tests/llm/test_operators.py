@@ -370,6 +370,38 @@ def test_program_gives_most_sequences_and_no_more_than_best_fit(kind):
     assert by_program - counts[-1] > 0.5 * (sequences - counts[-1])
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_program_on_the_tables_lengths(sf):
+    import public_tokenizers
+    import pyarrow.parquet as pq
+
+    texts = pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"]).column(0).to_pylist()
+    encoder, lengths = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")), []
+    for at in range(0, len(texts), 500):
+        for raw in encoder.encode([t or "" for t in texts[at : at + 500]]):
+            lengths += [n for _, n in packing.cut_points(len(raw) // 4 + 1, 1024)]
+    counts = histogram(np.array(lengths))
+    plan, by_program = packing.configurations(counts, 1024)
+    sequences, alone = sum(n for _, n in plan), packing.best_fit(counts, 1024).total()
+    rest = np.append(counts[:-1], 0)
+    bound = math.ceil((rest * np.arange(1, 1025)).sum() / 1024)
+    assert sequences <= alone and sequences - counts[-1] <= bound + 1
+    assert by_program - counts[-1] > 0.9 * (sequences - counts[-1])
+    assert min(sum(packing.covering(rest, 1024, *how).values()) for how in packing.PROGRAMS) <= 1.001 * bound
+
+
+@pytest.mark.parametrize("low", [342, 520, 700])
+def test_program_on_lengths_that_pack_badly(low):
+    counts = histogram(np.random.default_rng(low).integers(low, 1024, 3_000))
+    plan, _ = packing.configurations(counts, 1024)
+    made = np.zeros(1024, np.int64)
+    for conf, n in plan:
+        for l, a in conf:
+            made[l - 1] += a * n
+    assert (made == counts).all()
+    assert sum(n for _, n in plan) <= packing.best_fit(counts, 1024).total()
+
+
 def test_program_alone_is_near_the_bound():
     counts = histogram(np.random.default_rng(3).geometric(1 / 300, 20_000))
     solution = packing.covering(counts, 1024)
