@@ -58,47 +58,44 @@ class Encoder:
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, i in vocabulary.items():
             self.begins[i] = token.startswith("\u0120")
-        self.known: dict[str, bytes] = {}
+        # What a text begins with, and what follows a space.
+        self.first: dict[str, bytes] = {}
+        self.inner: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: set[str]) -> None:
+    def _learn(self, first: set[str], inner: set[str]) -> None:
         """Encodes new units; those beside other white space can't be parted and stay unknown."""
-        inner, first = [], []
-        for u in new:
-            body = u[1:] if u[:1] == " " else u
-            if body and not body[0].isspace() and not body[-1].isspace():
-                (first if body is u else inner).append(u)
-        for u, ids in zip(first, self._ids(first), strict=True):
-            self.known[u] = ids.tobytes()
-        for at in range(0, len(inner), 500):
-            part = inner[at : at + 500]
-            ids = self._ids(["".join(part)])[0]
-            ends = np.append(np.flatnonzero(self.begins[ids])[1:], len(ids)).tolist()
-            raw, start = ids.tobytes(), 0
-            for u, end in zip(part, ends, strict=True):
-                self.known[u] = raw[4 * start : 4 * end]
-                start = end
+        starts, others = ([u for u in new if u and not u[0].isspace() and not u[-1].isspace()] for new in (first, inner))
+        self.first.update(zip(starts, (ids.tobytes() for ids in self._ids(starts)), strict=True))
+        for at in range(0, len(others), 500):
+            part = others[at : at + 500]
+            ids = self._ids([" " + " ".join(part)])[0]
+            begins = (4 * np.flatnonzero(self.begins[ids])).tolist()
+            raw, ends = ids.tobytes(), [*begins[1:], 4 * len(ids)]
+            self.inner.update(zip(part, [raw[x:y] for x, y in zip(begins, ends, strict=True)], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for t in texts:
-            if any(x in t for x in self.special):
-                split.append(None)
-                continue
-            parts = t.split(" ")
-            split.append([parts[0], *[" " + p for p in parts[1:]]])
-        wanted = set().union(*filter(None, split))
-        if len(self.known) + len(wanted) > CACHE_UNITS:
-            self.known.clear()
-        self._learn(wanted.difference(self.known))
+        plain = {k: t.split(" ") for k, t in enumerate(texts) if not any(x in t for x in self.special)}
+        ids: dict[int, list] = {}
+        first, inner = set(), set()
+        if len(self.first) + len(self.inner) > CACHE_UNITS:
+            self.first.clear(), self.inner.clear()
+        for k, parts in plain.items():
+            ids[k] = found = [self.first.get(parts[0]), *map(self.inner.get, parts[1:])]
+            if None in found:
+                first.add(parts[0])
+                inner.update(u for u, x in zip(parts, found, strict=True) if x is None)
+        self._learn(first, inner)
         out = []
-        for t, us in zip(texts, split, strict=True):
-            if us is not None and all(u in self.known for u in us):
-                out.append(b"".join([self.known[u] for u in us]))
-            else:
-                out.append(self._ids([t])[0].tobytes())
+        for k, t in enumerate(texts):
+            found = ids.get(k, [None])
+            if None in found and k in plain:
+                found[0] = self.first.get(plain[k][0])
+                for i in [i for i, x in enumerate(found) if x is None and i]:
+                    found[i] = self.inner.get(plain[k][i])
+            out.append(self._ids([t])[0].tobytes() if None in found else b"".join(found))
         return out
 
 
