@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -40,25 +38,28 @@ def get_log(logs: DataFrame, log_id: int) -> DataFrame:
 def log_context(logs: DataFrame, anchors: DataFrame, before=10, after=10, same_service=False, hours=24) -> DataFrame:
     """SRT-4: rows around each anchor (id) in its environment, `side` before/anchor/after, `n` away.
 
-    Environment and day are the keys of the range join: an anchor meets its own
-    day and the two beside it, not the whole table.
+    Rows are numbered by time in each environment, minute by minute: a rank in
+    the minute and the rows of all minutes before it. An anchor then asks for
+    the numbers around its own, so it meets no more rows than it shows. Only
+    days within reach of an anchor are numbered.
     """
+    keys = ["env", "service"] if same_service else ["env"]
     day = F.unix_date(F.to_date("ts"))
-    a = logs.join(anchors.select(F.col("id").alias("anchor")), F.col("id") == F.col("anchor")).select("anchor", F.col("ts").alias("at"), F.col("env").alias("a_env"), F.col("service").alias("a_service"), day.alias("a_day"))
-    a = a.withColumn("day", F.explode(F.array(*[F.col("a_day") + d for d in (-1, 0, 1)])))
-    near = logs.withColumns({"day": day, "a_env": F.col("env")}).join(a, ["a_env", "day"]).filter(F.abs(F.timestamp_diff("SECOND", F.col("at"), F.col("ts"))) <= hours * 3600)
-    if same_service:
-        near = near.filter(F.col("service") == F.col("a_service"))
-    place = F.when(F.col("id") == F.col("anchor"), "anchor").when(F.struct("ts", "id") < F.struct(F.col("at").alias("ts"), F.col("anchor").alias("id")), "before").otherwise("after")
-    near = near.withColumn("side", place)
-
-    def nearest(side, most, *order):
-        """A rank with a bound: no task ever sorts more than the first few rows of an anchor."""
-        rank = F.row_number().over(Window.partitionBy("anchor").orderBy(*order))
-        return near.filter(F.col("side") == side).withColumn("n", rank).filter(F.col("n") <= min(most, 50))
-
-    parts = [near.filter("side = 'anchor'").withColumn("n", F.lit(0)), nearest("before", before, F.desc("ts"), F.desc("id")), nearest("after", after, F.asc("ts"), F.asc("id"))]
-    return reduce(DataFrame.unionByName, parts).drop("day", "a_day", "a_env", "a_service", "at")
+    chosen = logs.join(anchors.select(F.col("id").alias("anchor")).distinct(), F.col("id") == F.col("anchor"))
+    reach = -(-hours // 24)
+    days = chosen.select(*keys, F.explode(F.sequence(day - reach, day + reach)).alias("__day")).distinct()
+    near = logs.withColumns({"__day": day, "__minute": F.floor(F.unix_timestamp("ts") / 60)}).join(days, [*keys, "__day"], "left_semi").drop("__day")
+    sizes = near.groupBy(*keys, "__minute").agg(F.count("*").alias("__n"))
+    earlier = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__minute")) - F.col("__n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "__minute").orderBy("ts", "id"))
+    ranked = near.withColumn("__inside", inside).join(sizes.select(*keys, "__minute", earlier.alias("__earlier")), [*keys, "__minute"])
+    ranked = ranked.withColumn("__rank", F.col("__earlier") + F.col("__inside")).drop("__minute", "__inside", "__earlier")
+    steps = F.explode(F.sequence(F.lit(-max(0, min(before, 50))), F.lit(max(0, min(after, 50))))).alias("__step")
+    wanted = ranked.join(anchors.select(F.col("id").alias("anchor")).distinct(), F.col("id") == F.col("anchor")).select(*keys, "anchor", F.col("ts").alias("__at"), F.col("__rank").alias("__own"), steps)
+    wanted = wanted.withColumn("__rank", F.col("__own") + F.col("__step")).drop("__own")
+    found = ranked.join(wanted, [*keys, "__rank"]).filter(F.abs(F.timestamp_diff("SECOND", F.col("__at"), F.col("ts"))) <= hours * 3600)
+    side = F.when(F.col("__step") == 0, "anchor").when(F.col("__step") < 0, "before").otherwise("after")
+    return found.select(*logs.columns, "anchor", side.alias("side"), F.abs("__step").alias("n"))
 
 
 def tail_logs(logs: DataFrame, after_id=None, limit=50) -> DataFrame:
