@@ -69,28 +69,30 @@ def ranked() -> Column:
     return F.when((F.col("kind") == "request") & (F.col("duration_ms") > 0), F.col("duration_ms"))
 
 
-def with_durations(summaries: DataFrame, counted: DataFrame, keys: list[str]) -> DataFrame:
-    """Summaries with their exact counts of durations: (keys, value, times) as an array, sorted by value."""
-    lists = counted.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("value", "times"))).alias("durations"))
-    both = [summaries[k].eqNullSafe(lists[k]) for k in keys]
-    return summaries.join(lists, both, "left").select(*[summaries[c] for c in summaries.columns], "durations")
+LEAST, MOST = ("first_id", "first_ts"), ("last_id", "last_ts")
+
+
+def folded(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """Parts of summaries, one row a key and duration (value, times), as one row a key: durations as an array, sorted by value, null if there are none."""
+    listed = F.sort_array(F.collect_list(F.when(F.col("value").isNotNull(), F.struct("value", "times"))))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in SUMMED] + [F.min(c).alias(c) for c in LEAST] + [F.max(c).alias(c) for c in MOST]
+    return parts.groupBy(*keys).agg(*sums, listed.alias("durations")).withColumn("durations", F.when(F.size("durations") > 0, F.col("durations")))
 
 
 def summarise(rows: DataFrame, *more: str) -> DataFrame:
     """AGG-5 and all of AGG-21 of each minute, service, env and level (and `more`), in a form that adds up."""
     keys = [*more, *KEYS]
     rows = rows.withColumn("minute", F.date_trunc("minute", "ts"))
-    counted = rows.groupBy(*keys, ranked().alias("value")).agg(F.count("*").alias("times")).filter("value is not null")
-    return with_durations(rows.groupBy(*keys).agg(*summary_columns()), counted, keys)
+    return folded(rows.groupBy(*keys, ranked().alias("value")).agg(*summary_columns(), F.count("*").alias("times")), keys)
 
 
 def added(summaries: DataFrame, *keys: str) -> DataFrame:
     """Summaries of one key as one."""
     keys = list(keys)
-    least = [F.min(c).alias(c) for c in ("first_id", "first_ts")] + [F.max(c).alias(c) for c in ("last_id", "last_ts")]
-    sums = summaries.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in SUMMED], *least)
-    counted = summaries.select(*keys, F.explode("durations").alias("d")).groupBy(*keys, F.col("d.value").alias("value")).agg(F.sum("d.times").alias("times"))
-    return with_durations(sums, counted, keys)
+    each = summaries.select(*keys, *SUMMED, *LEAST, *MOST, F.posexplode_outer("durations").alias("pos", "d"))
+    # The sums of a summary count once, with its first duration.
+    sums = [F.sum(F.when(F.coalesce("pos", F.lit(0)) == 0, F.col(c))).alias(c) for c in SUMMED] + [F.min(c).alias(c) for c in LEAST] + [F.max(c).alias(c) for c in MOST]
+    return folded(each.groupBy(*keys, F.col("d.value").alias("value")).agg(*sums, F.sum("d.times").alias("times")), keys)
 
 
 def dictionaries(rows: DataFrame) -> DataFrame:
@@ -108,6 +110,15 @@ def postings(rows: DataFrame, layout: Layout) -> DataFrame:
     return found.withColumn("bucket", bucket("token", layout))
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows brought together by folder; what is too much for one task becomes several files."""
+    return df.hint("rebalance", *by)
+
+
+def in_files(rows: DataFrame, layout: Layout) -> DataFrame:
+    return dealt(rows.withColumn("__file", F.pmod(F.xxhash64("id"), F.lit(layout.files))), HOUR, "__file").drop("__file")
+
+
 def _parts(table: str) -> tuple[str, ...]:
     return (HOUR, "bucket", "append") if table == "postings" else (HOUR, "append")
 
@@ -134,15 +145,19 @@ def append_logs(df: DataFrame, root: str, append: str, layout: Layout = HOURLY)
     merged = read(spark, root, "merged")
     if merged is not None:
         rows = rows.join(merged.filter(F.col("merged_append") == append).select(HOUR).distinct(), HOUR, "left_anti")
-    made = {
-        "rows": rows.repartition(HOUR, F.pmod(F.xxhash64("id"), F.lit(layout.files))),
-        "minutes": summarise(rows, HOUR, "append").repartition(HOUR),
-        "dictionaries": dictionaries(rows).repartition(HOUR),
-        "postings": postings(rows, layout).repartition(HOUR, "bucket"),
-    }
-    for table, part in made.items():
+
+    def put(table: str, part: DataFrame) -> None:
         part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*_parts(table)).parquet(f"{root}/{table}")
 
+    put("rows", in_files(rows, layout))
+    if not folders.exists(spark, f"{root}/rows"):
+        return
+    # What stands beside comes from the rows as written: the frame is asked once, and few columns are read.
+    there = spark.read.schema(rows.schema).option("basePath", f"{root}/rows").parquet(f"{root}/rows").filter(F.col("append") == append)
+    put("minutes", dealt(summarise(there, HOUR, "append"), HOUR))
+    put("dictionaries", dictionaries(there).repartition(HOUR))
+    put("postings", dealt(postings(there, layout), HOUR, "bucket"))
+
 
 def open_hours(spark: SparkSession, root: str, before: str | None = None) -> list[str]:
     """Hours (before one) that hold appends not merged yet; names of folders, nothing is read."""
@@ -174,10 +189,10 @@ def seal(spark: SparkSession, root: str, before: str | None = None, layout: Layo
         common = common.union(known.select(HOUR, "token")).distinct()
     lists = inside("dictionaries").groupBy(HOUR, "column", "value").agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
     tables = {
-        "rows": rows.drop("append").repartition(HOUR, F.pmod(F.xxhash64("id"), F.lit(layout.files))).sortWithinPartitions(HOUR, "ts"),
-        "minutes": added(inside("minutes"), HOUR, *KEYS).repartition(HOUR),
+        "rows": in_files(rows.drop("append"), layout).sortWithinPartitions(HOUR, "ts"),
+        "minutes": dealt(added(inside("minutes"), HOUR, *KEYS), HOUR),
         "dictionaries": lists.repartition(HOUR),
-        "postings": posts.join(common, [HOUR, "token"], "left_anti").repartition(HOUR, "bucket").sortWithinPartitions(HOUR, "bucket", "token"),
+        "postings": dealt(posts.join(common, [HOUR, "token"], "left_anti"), HOUR, "bucket").sortWithinPartitions(HOUR, "bucket", "token"),
         "common": common.repartition(HOUR),
         "merged": names.repartition(HOUR),
     }

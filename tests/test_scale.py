@@ -7,6 +7,10 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from sigmill.operators import search as srt
+from sigmill.plans.views import logs
+from sigmill.sources import sealed
+
+D = "/root/testdata/sf0.001"
 
 
 def most_rows(spark) -> int:
@@ -47,3 +51,20 @@ def test_context_keeps_to_its_hours_and_service(spark):
     assert show() == [("after", 1, 6), ("after", 2, 2), ("anchor", 0, 1)]
     assert show(same_service=True, hours=48) == [("after", 1, 6), ("after", 2, 3), ("anchor", 0, 1)]
     assert show(before=0, after=0) == [("anchor", 0, 1)]
+
+
+def test_an_append_asks_its_rows_once(spark, tmp_path):
+    rows = logs(spark, D).filter("ts < '2024-01-03'")
+    n, asked = rows.count(), spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(message):
+        asked.add(1)
+        return message
+
+    sealed.append_logs(rows.withColumn("message", counted("message")), str(tmp_path), "01", sealed.Layout(24, 2))
+    assert n and asked.value == n
+    for table in ("rows", "minutes", "dictionaries", "postings"):
+        assert sealed.read(spark, str(tmp_path), table).count() >= 1
+    sealed.append_logs(rows.filter("false"), str(tmp_path / "none"), "a")
+    assert sealed.read(spark, str(tmp_path / "none"), "rows") is None
