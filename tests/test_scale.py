@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sigmill.operators import search as srt
 from sigmill.plans.views import logs
 from sigmill.sources import sealed
+from sigmill.streaming import streams
 
 D = "/root/testdata/sf0.001"
 
@@ -68,3 +69,15 @@ def test_an_append_asks_its_rows_once(spark, tmp_path):
         assert sealed.read(spark, str(tmp_path), table).count() >= 1
     sealed.append_logs(rows.filter("false"), str(tmp_path / "none"), "a")
     assert sealed.read(spark, str(tmp_path / "none"), "rows") is None
+
+
+def test_traces_share_states(spark, tmp_path):
+    rows = spark.range(600).selectExpr("concat('t', id % 200) AS trace_id", "nullif(concat('s', id % 3), 's2') AS service", "if(id = 7, 'error', 'info') AS level", "timestamp_seconds(1700000000 + id) AS ts")
+    rows.write.parquet(f"{tmp_path}/in")
+    stream = streams.stream_trace_status(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), 30, "event", buckets=3)
+    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).foreachBatch(streams.keep_updates(f"{tmp_path}/out")).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 3
+    got = {r.trace_id: r for r in streams.latest_updates(spark.read.parquet(f"{tmp_path}/out"), ("trace_id",)).collect()}
+    assert len(got) == 200 and all((r.spans, r.services, r.duration_ms, r.status) == (3, "s0,s1", 400_000, "partial") for r in got.values())
+    assert [t for t, r in got.items() if r.has_errors] == ["t7"]
