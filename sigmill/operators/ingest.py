@@ -200,6 +200,8 @@ RECOMMENDED = ("service", "ts")
 REQUEST_ONLY = ("method", "path", "handler", "n_plus_one", "dup_queries")
 
 
+#: What `infer_kind` looks at beside an explicit kind.
+EVIDENCE = ("status", "event_type", "method", "path", "route", "job_class", "job_queue", "job_id")
 JSON_KINDS = {"STRING": "string", "BOOLEAN": "boolean", "OBJECT": "object", "ARRAY": "array", "VOID": ""}
 
 
@@ -212,11 +214,13 @@ def json_kind(value: Column) -> Column:
 def validate_payload(payloads: DataFrame, as_of: str, c: str = "payload") -> DataFrame:
     """ING-10: errors, warnings, unknown fields (and what each may have meant) and the inferred kind of each JSON object.
 
-    The kinds of all fields that were sent come from one parse of the text, to a variant.
+    The kinds of all fields that were sent come from one parse of the text, to a variant, and the values from another.
     """
     kinds_sent = F.transform_values(F.try_variant_get(F.try_parse_json(F.col(c)), "$", "map<string,variant>"), lambda _, v: json_kind(v))
-    value = lambda k: F.get_json_object(c, f"$.{k}")
-    payloads, known = payloads.withColumns({"__kinds": kinds_sent, "__kind": infer_kind(value)}), payloads.columns
+    known, value = payloads.columns, lambda k: F.col(f"__sent_{k}")
+    asked = sorted({"level", "message", "ts", "kind", *EVIDENCE, *LIMITS, *REQUEST_ONLY})
+    # Generated, so that what depends on the values doesn't parse the text again for each use.
+    payloads = payloads.select("*", F.json_tuple(c, *asked).alias(*[f"__sent_{k}" for k in asked])).select("*", F.explode(F.array(kinds_sent)).alias("__kinds")).withColumn("__kind", infer_kind(value))
     keys = F.json_object_keys(c)
     bad = keys.isNull()
     level = F.lower(value("level"))
