@@ -1,30 +1,30 @@
 """STR-1: alert rules of all kinds on a live stream.
 
-What rules need of the past is kept per (service, environment): a summary of
-each minute, when each rule was last judged, and the newest minute. Summaries
-add up, so a window of any rule is a sum of minutes, and its p95 comes from
-exact counts of values. Partitions sum their rows before the shuffle, so a
-busy service sends a row a minute, not all of its rows.
+What rules need of the past is kept per (service, environment): sums of each
+minute, when each rule was last judged, and the newest minute. Sums add up, so
+a window of any rule is a sum of minutes, and its p95 comes from exact counts
+of values. Partitions sum their rows before the shuffle, so a busy service
+sends a row for each duration of a minute, not all of its rows.
 """
 
 from __future__ import annotations
 
+import io
 import json
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.predicates import ERRORS, is_request
 from ..operators.watches import COUNTS, METRICS, evaluate_condition
-from .streams import LATE
+from .streams import LATE, packed
 
 WINDOWS = ("now", "previous", "baseline")
 SUMS = ("n", "errors", "d", "timed", "sql", "hits", "reads", "p95", "last")
-PARTIAL = "service string, env string, minute long, summary string, at timestamp"
 
 
 def count_leaves(watches: list[dict]) -> dict[str, dict]:
@@ -49,70 +49,104 @@ def count_leaves(watches: list[dict]) -> dict[str, dict]:
     return found
 
 
-def add(a: dict | None, b: dict) -> dict:
-    """The summary of two sets of rows of one minute."""
-    if a is None:
-        return b
-    out = {k: a[k] + b[k] for k in SUMS if k not in ("p95", "last")}
-    out["last"] = max(a["last"], b["last"])
-    out["times"] = dict(Counter(a["times"]) + Counter(b["times"]))
-    out["counts"] = {k: x + b["counts"][k] if isinstance(x, int) else sorted({*x, *b["counts"][k]}) for k, x in a["counts"].items()}
-    return out
-
-
-def summary(rows: pd.DataFrame, leaves: dict[str, dict]) -> dict:
-    """What is kept of the rows of one minute."""
-    timed = rows[rows["timed"]]
-    counts: dict[str, int | list[str]] = {}
-    for name, leaf in leaves.items():
-        some = rows
+def minutes(stream: DataFrame, leaves: dict[str, dict]) -> DataFrame:
+    """What each batch of rows adds to each minute: SUMS and counts by (service, env, minute), by `value` (a request's duration, 0 for other rows), and by the values that conditions count."""
+    timed = is_request() & (F.col("duration_ms") > 0)
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    whole = lambda c: F.when(timed, c).otherwise(0)
+    some = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))
+    added = {
+        "n": F.lit(1), "errors": F.col("level").isin(*ERRORS), "d": whole(F.col("duration_ms")), "timed": timed, "sql": whole(F.col("db_count")),
+        "hits": whole(F.col("cache_hits")), "reads": whole(F.col("cache_hits") + F.col("cache_misses")), "last": us,
+    }
+    keys, counted = {}, {}
+    for i, leaf in enumerate(leaves.values()):
+        meant = F.lit(True)
         if leaf["level"]:
-            some = some[some["level"] == leaf["level"].lower()]
+            meant &= F.col("level") == leaf["level"].lower()
         if leaf["service"]:
-            some = some[some["service"].str.lower() == leaf["service"].lower()]
-        counts[name] = sorted({v for v in some[f"field_{leaf['field']}"].dropna() if v}) if leaf["field"] else len(some)
-    whole = lambda c: int(timed[c].fillna(0).sum())
-    times = rows.loc[rows["ranked"], "duration_ms"].astype("int64").value_counts()
-    return {
-        "n": len(rows), "errors": int(rows["level"].isin(ERRORS).sum()), "d": whole("duration_ms"), "timed": len(timed), "sql": whole("db_count"), "hits": whole("cache_hits"), "reads": whole("reads"),
-        "last": int(rows["us"].max()), "times": {str(k): int(v) for k, v in times.items()}, "counts": counts,
-    }
+            meant &= F.lower("service") == leaf["service"].lower()
+        if leaf["field"]:
+            keys[f"leaf{i}"] = F.nullif(F.when(meant, F.col(leaf["field"]).cast("string")), F.lit(""))
+        else:
+            counted[f"leaf{i}"] = meant
+    ranked = F.when((F.col("kind") == "request") & (F.col("duration_ms") > 0), F.col("duration_ms"))
+    rows = stream.filter((F.coalesce("service", F.lit("")) != "") & F.col("ts").isNotNull()).select(
+        "service", F.coalesce("env", F.lit("")).alias("env"), F.floor(us / 60_000_000).alias("minute"), some(ranked).alias("value"),
+        *[c.alias(k) for k, c in keys.items()], *[some(c).alias(k) for k, c in (added | counted).items()],
+    )
+    by = ["service", "env", "minute", "value", *keys]
+    sums = [(c, "max" if c == "last" else "sum") for c in (*added, *counted)]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in gathered(batches, lambda b: b.num_rows):
+            found = pa.Table.from_batches(parts).group_by(by, use_threads=False).aggregate(sums)
+            yield from found.rename_columns([c.removesuffix("_sum").removesuffix("_max") for c in found.column_names]).to_batches(max_chunksize=10_000)
 
-def minutes(stream: DataFrame, leaves: dict[str, dict]) -> DataFrame:
-    """(service, env, minute, summary): what each batch of rows adds to each minute."""
-    fields = sorted({leaf["field"] for leaf in leaves.values() if leaf["field"]})
-    timed = is_request() & (F.col("duration_ms") > 0)
-    rows = stream.filter(F.coalesce("service", F.lit("")) != "").select(
-        "service", F.coalesce("env", F.lit("")).alias("env"), "level", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), F.coalesce(timed, F.lit(False)).alias("timed"),
-        F.coalesce((F.col("kind") == "request") & (F.col("duration_ms") > 0), F.lit(False)).alias("ranked"), "duration_ms", "db_count", "cache_hits", (F.col("cache_hits") + F.col("cache_misses")).alias("reads"),
-        *[F.col(f).cast("string").alias(f"field_{f}") for f in fields],
-    )
+    return rows.mapInArrow(run, rows.schema).withColumn("at", F.timestamp_seconds(F.col("minute") * 60)).withWatermark("at", LATE)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            if rows.empty:
-                continue
-            out = [(*key, json.dumps(summary(part, leaves))) for key, part in rows.groupby(["service", "env", rows["us"] // 60_000_000])]
-            got = pd.DataFrame(out, columns=["service", "env", "minute", "summary"])
-            got["at"] = pd.to_datetime(got["minute"] * 60, unit="s")
-            yield got
 
-    return rows.mapInPandas(run, PARTIAL).withWatermark("at", LATE)
+def gathered(parts: Iterator, size: Callable, rows: int = 200_000) -> Iterator[list]:
+    """Parts in lists of so many rows, but for the last list."""
+    some, n = [], 0
+    for part in parts:
+        some.append(part)
+        n += size(part)
+        if n >= rows:
+            yield some
+            some, n = [], 0
+    if n:
+        yield some
+
+
+class Kept:
+    """The minutes of one (service, environment): SUMS, counts of durations, and the values that conditions count."""
+
+    FRAMES = ("sums", "times", "values")
+
+    def __init__(self, leaves: dict[str, dict]):
+        self.fields = {f"leaf{i}": i for i, leaf in enumerate(leaves.values()) if leaf["field"]}
+        self.columns = [s for s in SUMS if s != "p95"] + [f"leaf{i}" for i, leaf in enumerate(leaves.values()) if not leaf["field"]]
+        self.sums = pd.DataFrame(columns=["minute", *self.columns], dtype="int64")
+        self.times = pd.DataFrame(columns=["minute", "value", "n"], dtype="int64")
+        self.values = pd.DataFrame({"minute": pd.Series(dtype="int64"), "leaf": pd.Series(dtype="int64"), "value": pd.Series(dtype="object")})
+
+    def load(self, held: tuple) -> None:
+        self.sums, self.times, self.values = (pd.read_feather(io.BytesIO(h)) for h in held)
+
+    def saved(self) -> tuple:
+        return tuple(packed(getattr(self, f)) for f in self.FRAMES)
+
+    def add(self, rows: pd.DataFrame) -> None:
+        """Adds rows of `minutes`."""
+        self.sums = pd.concat([self.sums, rows[self.sums.columns]]).groupby("minute", as_index=False).agg({c: "max" if c == "last" else "sum" for c in self.columns})
+        self.times = pd.concat([self.times, rows.loc[rows["value"] > 0, ["minute", "value", "n"]]]).groupby(["minute", "value"], as_index=False)["n"].sum()
+        values = [rows.loc[rows[c].notna(), ["minute", c]].rename(columns={c: "value"}).assign(leaf=i) for c, i in self.fields.items()]
+        self.values = pd.concat([self.values, *(v[self.values.columns] for v in values)]).drop_duplicates()
+
+    def forget(self, until: int) -> None:
+        """Drops the minutes up to `until`."""
+        for f in self.FRAMES:
+            setattr(self, f, getattr(self, f).loc[lambda x: x["minute"] > until])
+
+    def window(self, start: int, end: int) -> list:
+        """SUMS of the minutes in [start, end); p95 is the value of the nearest rank."""
+        sums, times = within(self.sums, start, end), within(self.times, start, end).groupby("value")["n"].sum().cumsum()
+        if sums.empty:
+            return [0] * 7 + [None, None]
+        p95 = int(times.index[times.searchsorted(-(-95 * int(times.iloc[-1]) // 100))]) if len(times) else None
+        return [*(int(sums[c].sum()) for c in SUMS[:7]), p95, int(sums["last"].max())]
+
+    def counted(self, i: int, start: int, end: int) -> int:
+        """What a count condition (by its number) counts in the minutes of [start, end)."""
+        if i not in self.fields.values():
+            return int(within(self.sums, start, end)[f"leaf{i}"].sum())
+        values = within(self.values, start, end)
+        return values.loc[values["leaf"] == i, "value"].nunique()
 
 
-def window_sums(held: dict[int, dict], start: int, end: int) -> list:
-    """SUMS of the minutes in [start, end); p95 is the value of the nearest rank."""
-    found = [s for m, s in held.items() if start <= m < end]
-    if not found:
-        return [0] * 7 + [None, None]
-    times = sum((Counter({int(k): v for k, v in s["times"].items()}) for s in found), Counter())
-    rank, p95 = -(-95 * sum(times.values()) // 100), None
-    for value in sorted(times):
-        if rank <= 0:
-            break
-        rank, p95 = rank - times[value], value
-    return [*(sum(s[k] for s in found) for k in SUMS[:7]), p95, max(s["last"] for s in found)]
+def within(frame: pd.DataFrame, start: int, end: int) -> pd.DataFrame:
+    return frame[(frame["minute"] >= start) & (frame["minute"] < end)]
 
 
 class RuleMemory(StatefulProcessor):
@@ -125,7 +159,7 @@ class RuleMemory(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.minutes = handle.getListState("minutes", "minute long, summary string")
+        self.minutes = handle.getValueState("minutes", "sums binary, times binary, values binary")
         self.judged = handle.getMapState("judged", "watch_id string", "at long")
         self.newest = handle.getValueState("newest", "minute long, until long")
 
@@ -142,13 +176,14 @@ class RuleMemory(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         service, env = key
-        held = {int(m): json.loads(s) for m, s in self.minutes.get()}
-        for part in rows:
-            for minute, s in zip(part["minute"].tolist(), part["summary"], strict=True):
-                held[minute] = add(held.get(minute), json.loads(s))
-        newest = max(held)
-        held = {m: s for m, s in held.items() if m > newest - self.keep}
-        self.minutes.put([(m, json.dumps(s)) for m, s in sorted(held.items())])
+        kept = Kept(self.leaves)
+        if self.minutes.exists():
+            kept.load(self.minutes.get())
+        for parts in gathered(rows, len):
+            kept.add(pd.concat(parts))
+            newest = int(kept.sums["minute"].max())
+            kept.forget(newest - self.keep)
+        self.minutes.update(kept.saved())
         if self.newest.exists():
             self.handle.deleteTimer(self.newest.get()[1])
         # Once nothing of it can matter any more the whole of it is forgotten.
@@ -158,11 +193,8 @@ class RuleMemory(StatefulProcessor):
         at, out = newest + 1, []
         for w in self.due(service, env, at):
             spans = {"now": (at - w["minutes"], at), "previous": (at - 2 * w["minutes"], at - w["minutes"]), "baseline": (at - w["minutes"] - w["baseline_minutes"], at - w["minutes"])}
-            counted = []
-            for name, leaf in self.leaves.items():
-                values = [s["counts"][name] for m, s in held.items() if at - leaf["minutes"] <= m < at]
-                counted.append(len(set().union(*values)) if leaf["field"] else sum(values))
-            out.append([w["id"], at, service, env, *(v for n in WINDOWS for v in window_sums(held, *spans[n])), *counted])
+            counted = [kept.counted(i, at - leaf["minutes"], at) for i, leaf in enumerate(self.leaves.values())]
+            out.append([w["id"], at, service, env, *(v for n in WINDOWS for v in kept.window(*spans[n])), *counted])
         yield pd.DataFrame(out, columns=[c for c, _ in columns(self.leaves)]).astype({c: "Int64" for c, kind in columns(self.leaves) if kind == "long"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
