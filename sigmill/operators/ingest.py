@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import json
 
 from pyspark.sql import Column, DataFrame
@@ -163,35 +164,60 @@ def dedup_batches(df: DataFrame, batch: str = "batch_id", row: str = "id") -> Da
     return df.join(first, batch).filter(F.col("received_at") == F.col("first_received")).drop("first_received")
 
 
-def dedup_batches_stream(df: DataFrame, batch: str = "batch_id", within: str = "1 hour", remember_s: int = 3600) -> DataFrame:
+#: Batch ids are kept in so many buckets, each one state: a micro-batch costs its rows and a fixed number of calls, not a call an id.
+BUCKETS = 512
+
+
+def admit(names: list[str], remember_s: int):
+    """The batches of one bucket: rows of first arrivals come out, ids without rows are forgotten once they are due."""
+    import pandas as pd
+
+    from ..streaming.streams import packed
+
+    def update(key, parts, state):
+        held = pd.read_feather(io.BytesIO(state.get[0])) if state.exists else pd.DataFrame({"batch": pd.Series(dtype="object"), "first": pd.Series(dtype="int64"), "due": pd.Series(dtype="int64")})
+        now = state.getCurrentWatermarkMs()
+        parts = [] if state.hasTimedOut else [p for p in parts if len(p)]
+        shown, fresh = None, None
+        if parts:
+            rows = pd.concat(parts)
+            first = rows.groupby("__batch")["__us"].min().dropna().astype("int64")
+            known = held[held["batch"].isin(first.index)].set_index("batch")["first"]
+            first.loc[known.index] = known
+            due = (first // 1000 + 1000 * remember_s).clip(lower=now + 1)
+            fresh = pd.DataFrame({"batch": first.index, "first": first.to_numpy("int64"), "due": due.to_numpy("int64")})
+            held = held[~held["batch"].isin(first.index)]
+            shown = rows.loc[rows["__us"] == rows["__batch"].map(first), names]
+        kept = [k for k in (held[held["due"] >= now], fresh) if k is not None and len(k)]
+        if kept:
+            kept = pd.concat(kept)
+            state.update((packed(kept),))
+            state.setTimeoutTimestamp(max(int(kept["due"].min()), now + 1))
+        elif state.exists:
+            state.remove()
+        if shown is not None:
+            yield shown
+
+    return update
+
+
+def dedup_batches_stream(df: DataFrame, batch: str = "batch_id", within: str = "1 hour", remember_s: int = 3600, buckets: int = BUCKETS) -> DataFrame:
     """ING-9 on a stream: every row of a batch's first arrival passes; the batch sent again doesn't.
 
     The first arrival is the least `received_at` of the first micro-batch that
     has the id; rows of that arrival pass in later ones too. Ids are forgotten
     once the watermark (`received_at` less `within`) is `remember_s` past their
     arrival, so the state holds the ids of that time and no more. Rows without
-    an id are never dropped: they pass by, without any state.
+    an id are never dropped: they pass by, without any state. Ids are told
+    apart by their text.
     """
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+    from pyspark.sql.streaming.state import GroupStateTimeout
 
     known = df.withColumn("received_at", F.col("received_at").cast("timestamp")).withWatermark("received_at", within)
-    names = known.columns
-
-    def admit(key, parts, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        parts = list(parts)
-        first = state.get[0] if state.exists else min(int(p["__us"].min()) for p in parts)
-        state.update((first,))
-        state.setTimeoutTimestamp(max(first // 1000 + 1000 * remember_s, state.getCurrentWatermarkMs() + 1))
-        for p in parts:
-            yield p.loc[p["__us"] == first, names]
-
-    some = F.coalesce(F.col(batch).cast("string"), F.lit("")) != ""
-    rows = known.filter(some).withColumn("__us", F.unix_micros("received_at"))
-    kept = rows.groupBy(batch).applyInPandasWithState(admit, known.schema, "first long", "append", GroupStateTimeout.EventTimeTimeout)
-    return kept.unionByName(known.filter(~some))
+    ids = F.coalesce(F.col(batch).cast("string"), F.lit(""))
+    rows = known.filter(ids != "").withColumns({"__us": F.unix_micros("received_at"), "__batch": ids, "__bucket": F.pmod(F.xxhash64(ids), F.lit(buckets))})
+    kept = rows.groupBy("__bucket").applyInPandasWithState(admit(known.columns, remember_s), known.schema, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.unionByName(known.filter(ids == ""))
 
 
 KINDS = {"string": "a JSON string", "number": "a JSON number", "boolean": "true or false", "object": "a JSON object"}

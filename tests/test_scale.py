@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 from pyspark.sql import functions as F
 
+from sigmill.operators import ingest as ing
 from sigmill.operators import search as srt
 from sigmill.plans.views import logs
 from sigmill.sources import sealed
@@ -104,3 +105,16 @@ def test_rules_meet_sums_not_rows(spark):
     kept.add(pd.DataFrame([r.asDict() for r in found]))
     first = min(r["minute"] for r in found)
     assert kept.counted(0, first, first + 3) == 2 and kept.window(first, first + 3)[0] == 6000 and kept.window(first, first + 3)[7] == 5
+
+
+def test_batches_share_states(spark, tmp_path):
+    """600 rows of 200 batches, each sent again five minutes later, in two files: first arrivals pass whole, and the state is a few buckets."""
+    rows = spark.range(600).selectExpr("concat('b', id % 200) AS batch_id", "id", "timestamp_seconds(1700000000 + id % 200) AS received_at")
+    again = rows.withColumn("received_at", F.col("received_at") + F.expr("interval 5 minutes"))
+    for part in (rows.filter("id < 400"), again.unionByName(rows.filter("id >= 400"))):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = ing.dedup_batches_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), buckets=3)
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).foreachBatch(streams.keep_updates(f"{tmp_path}/out")).start()
+    query.awaitTermination()
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 3
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(600))
