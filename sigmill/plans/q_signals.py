@@ -12,7 +12,7 @@ from ..operators import errors as err
 from ..operators import health as hlt
 from ..operators import traces as trc
 from ..operators.aggregates import metadata_keys
-from ..operators.predicates import filter_logs
+from ..operators.predicates import filter_logs, is_error
 from .q_logs import ERR, GROUPS, plain
 from .views import AS_OF, VIEWS, Book, logs, table, written
 
@@ -36,8 +36,9 @@ evts AS (SELECT fingerprint, env, "at", action AS event FROM acts UNION ALL SELE
 def actions(groups):
     day = lambda n: F.col("first_seen") + F.make_dt_interval(days=F.lit(n))
     one = F.substring("fingerprint", 1, 1)
-    part = lambda cond, n, what: groups.filter(cond).select("fingerprint", "env", day(n).alias("at"), F.lit(what).alias("action"))
-    return part(one < "8", 3, "resolved").union(part(one.isin("e", "f"), 5, "ignored"))
+    part = lambda n, what: F.struct(day(n).alias("at"), F.lit(what).alias("action"))
+    act = F.when(one < "8", part(3, "resolved")).when(one.isin("e", "f"), part(5, "ignored"))
+    return groups.select("fingerprint", "env", act.alias("act")).filter("act is not null").select("fingerprint", "env", "act.*")
 
 
 def groups_of(spark, d):
@@ -49,6 +50,19 @@ def events_of(rows, groups):
     return err.lifecycle_events(rows, actions(groups))
 
 
+def errors_of(spark, d):
+    """What groups and their lives need of the error rows, made once: a row's fingerprint costs more than what reads it."""
+    rows = logs(spark, d).filter(is_error() & (F.col("error_fingerprint") != ""))
+    return written(rows.select("id", "ts", "service", "env", "level", "error_class", "source_file", "message", "error_fingerprint"))
+
+
+def life_of(spark, d):
+    """Error rows, their groups, and the events of these, each made once."""
+    rows = errors_of(spark, d)
+    groups = written(err.error_groups(rows))
+    return rows, groups, written(err.lifecycle_events(rows, actions(groups)))
+
+
 def impacts_of(spark, d):
     return err.error_impacts(logs(spark, d))
 
@@ -71,13 +85,13 @@ def _(spark, d):
 
 @q("err3_lifecycle_events", "SELECT * FROM evts", ("acts",))
 def _(spark, d):
-    return plain(events_of(*groups_of(spark, d)))
+    return plain(life_of(spark, d)[2])
 
 
 @q("err3_group_status", ", st AS (SELECT fingerprint, env, arg_max(event, (\"at\", event)) AS e, CAST(count(*) FILTER (event='reopened') AS BIGINT) AS r FROM evts GROUP BY ALL) SELECT g.fingerprint, g.env, CASE WHEN e IN ('resolved','ignored') THEN e ELSE 'unresolved' END AS status, coalesce(r,0) AS reopened FROM groups g LEFT JOIN st USING (fingerprint, env)", ("acts",))
 def _(spark, d):
-    rows, groups = groups_of(spark, d)
-    return err.with_status(groups, events_of(rows, groups)).select("fingerprint", "env", "status", "reopened")
+    _, groups, events = life_of(spark, d)
+    return err.with_status(groups, events).select("fingerprint", "env", "status", "reopened")
 
 
 @q("err4_list_groups", "SELECT fingerprint, env, occurrences, last_seen FROM groups WHERE lower(service)='api' AND first_seen >= TIMESTAMP '2024-01-02' ORDER BY occurrences DESC, fingerprint, env LIMIT 30", ("groups",))
@@ -97,7 +111,7 @@ def _(spark, d):
 
 @q("err7_group_events", ", one AS (SELECT fingerprint, env FROM evts GROUP BY ALL ORDER BY count(*) DESC, fingerprint, env LIMIT 1) SELECT e.* FROM evts e JOIN one USING (fingerprint, env) ORDER BY \"at\" DESC, event LIMIT 20", ("acts",))
 def _(spark, d):
-    events = events_of(*groups_of(spark, d))
+    events = life_of(spark, d)[2]
     one = events.groupBy("fingerprint", "env").count().orderBy(F.desc("count"), "fingerprint", "env").limit(1).first()
     return plain(err.group_events(events, one["fingerprint"], one["env"]))
 
@@ -174,16 +188,15 @@ def _(spark, d):
 @q("err16_error_detail", f""", one AS (SELECT fingerprint, env FROM evts GROUP BY ALL ORDER BY count(*) DESC, fingerprint, env LIMIT 1), g AS (SELECT * FROM groups JOIN one USING (fingerprint, env)), l AS (SELECT l.*, row_number() OVER (ORDER BY l.ts DESC, l.id DESC) AS n FROM logs l JOIN g ON l.error_fingerprint=g.fingerprint AND l.env=g.env WHERE l.{ERR} AND epoch_us(g.last_seen)-epoch_us(l.ts) < 86401000000)
 SELECT 'group' AS part, 0 AS n, last_seen AS "at", last_log_id AS id, concat_ws(' ', service, error_class, status, occurrences) AS what FROM g UNION ALL SELECT 'event', CAST(row_number() OVER (ORDER BY "at" DESC, event) AS INT), "at", NULL, event FROM evts JOIN one USING (fingerprint, env) UNION ALL SELECT 'occurrence', CAST(n AS INT), ts, id, message FROM l WHERE n<=5""", ("acts",))
 def _(spark, d):
-    rows, groups = groups_of(spark, d)
-    events = events_of(rows, groups)
+    rows, groups, events = life_of(spark, d)
     one = events.groupBy("fingerprint", "env").count().orderBy(F.desc("count"), "fingerprint", "env").limit(1).first()
     return plain(err.error_detail(rows, groups, events, one["fingerprint"], one["env"]))
 
 
 @q("err16_recent_occurrences", f", r AS (SELECT l.error_fingerprint, l.env, l.id, row_number() OVER (PARTITION BY l.error_fingerprint, l.env ORDER BY l.ts DESC, l.id DESC) AS n FROM logs l JOIN groups g ON l.error_fingerprint=g.fingerprint AND l.env=g.env WHERE l.{ERR} AND epoch_us(g.last_seen)-epoch_us(l.ts) < 86401000000) SELECT error_fingerprint, env, id, CAST(n AS INT) AS n FROM r WHERE n<=5", ("groups",))
 def _(spark, d):
-    rows, groups = groups_of(spark, d)
-    return err.recent_occurrences(rows, groups).select("error_fingerprint", "env", "id", F.col("n").cast("int").alias("n"))
+    rows = errors_of(spark, d)
+    return err.recent_occurrences(rows, err.error_groups(rows)).select("error_fingerprint", "env", "id", F.col("n").cast("int").alias("n"))
 
 
 @q("err17_investigate_error", ", a AS (SELECT * FROM logs WHERE id=505), nb AS (SELECT l.*, CASE WHEN (l.ts,l.id) < (a.ts,a.id) THEN 'before' ELSE 'after' END AS side FROM logs l, a WHERE l.env=a.env AND l.id<>a.id AND abs(epoch_us(l.ts)-epoch_us(a.ts)) < 86401000000), nr AS (SELECT *, CASE side WHEN 'before' THEN row_number() OVER (PARTITION BY side ORDER BY ts DESC, id DESC) ELSE row_number() OVER (PARTITION BY side ORDER BY ts, id) END AS n FROM nb) SELECT 'anchor' AS part, id, ts, level, service, message FROM a UNION ALL (SELECT 'trace', l.id, l.ts, l.level, l.service, l.message FROM logs l, a WHERE l.trace_id=a.trace_id AND abs(epoch_us(l.ts)-epoch_us(a.ts)) < 3601000000 ORDER BY l.ts, l.id LIMIT 30) UNION ALL SELECT side, id, ts, level, service, message FROM nr WHERE n<=5")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sigmill.operators import ingest as ing
 from sigmill.operators import search as srt
+from sigmill.plans import q_signals
 from sigmill.plans.views import logs
 from sigmill.sources import sealed
 from sigmill.streaming import rules, streams
@@ -118,3 +119,17 @@ def test_batches_share_states(spark, tmp_path):
     query.awaitTermination()
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 3
     assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == list(range(600))
+
+
+def test_error_detail_makes_error_rows_once(spark, monkeypatch):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(message):
+        asked.add(1)
+        return message
+
+    monkeypatch.setattr(q_signals, "logs", lambda spark, d: logs(spark, d).withColumn("message", counted("message")))
+    errors = logs(spark, D).filter("level in ('error', 'fatal') and error_fingerprint <> ''").count()
+    assert {r.part for r in q_signals.QUERIES["err16_error_detail"](spark, D).collect()} == {"group", "event", "occurrence"}
+    assert 0 < asked.value <= errors
