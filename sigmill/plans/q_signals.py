@@ -308,7 +308,7 @@ def risk_of(spark, d):
 def _(spark, d):
     rows = logs(spark, d).filter("source_file is not null")
     trace = F.concat(F.col("source_file"), F.lit(":12:in `call'\n/usr/gems/x.rb:3\n  File \"notes.txt\", line 3"))
-    return rows.select(F.explode(cod.extract_files(trace)).alias("file")).distinct()
+    return cod.trace_files(rows.select(trace.alias("trace"))).select(F.explode("files").alias("file")).distinct()
 
 
 FRAME_SQL = " || chr(10) || ".join(f"'{a}' || id % 13 || '{b}'" for a, b in (("src/Main", ".java:12"), ("at src/m", ".rs:10"), ("lib/a@1+b", ".ex:3"), ("a", ".php:2"), ("x/t", ".exs:9 (x)"), ("at f (web/ui", ".tsx:3:14)"), ("/srv/node_modules/y", ".js:1"), ("main/go", ".go:77 +0x1d"), ("config", ".yml:3"))) + """ || chr(10) || '  File "py/m' || id % 13 || '.py", line 3'"""
@@ -320,7 +320,8 @@ def _(spark, d):
     k = F.col("id") % 13
     frames = [("src/Main", ".java:12"), ("at src/m", ".rs:10"), ("lib/a@1+b", ".ex:3"), ("a", ".php:2"), ("x/t", ".exs:9 (x)"), ("at f (web/ui", ".tsx:3:14)"), ("/srv/node_modules/y", ".js:1"), ("main/go", ".go:77 +0x1d"), ("config", ".yml:3"), ('  File "py/m', '.py", line 3')]
     trace = F.concat_ws("\n", *[F.concat(F.lit(a), k, F.lit(b)) for a, b in frames])
-    return logs(spark, d).select(k.alias("k"), F.array_join(F.array_sort(cod.extract_files(trace)), " ").alias("files")).distinct()
+    found = cod.trace_files(logs(spark, d).select(k.alias("k"), trace.alias("trace")), "k")
+    return found.select("k", F.array_join(F.array_sort("files"), " ").alias("files")).distinct()
 
 
 @q("cod2_code_entities", "SELECT * FROM entities", ("entities",))

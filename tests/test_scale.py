@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pandas as pd
 from pyspark.sql import functions as F
 
+from sigmill.operators import code_risk as cod
 from sigmill.operators import ingest as ing
 from sigmill.operators import search as srt
 from sigmill.plans import q_signals
@@ -133,3 +134,19 @@ def test_error_detail_makes_error_rows_once(spark, monkeypatch):
     errors = logs(spark, D).filter("level in ('error', 'fatal') and error_fingerprint <> ''").count()
     assert {r.part for r in q_signals.QUERIES["err16_error_detail"](spark, D).collect()} == {"group", "event", "occurrence"}
     assert 0 < asked.value <= errors
+
+
+def test_equal_back_traces_are_taken_apart_once(spark, monkeypatch):
+    asked, whole = spark.sparkContext.accumulator(0), cod.extract_files
+
+    @F.udf("string")
+    def counted(trace):
+        asked.add(1)
+        return trace
+
+    monkeypatch.setattr(cod, "extract_files", lambda trace: whole(counted(trace)))
+    assert len(q_signals.QUERIES["cod1_all_endings"](spark, D).collect()) == 13
+    assert asked.value == 13
+    rows = spark.range(500).selectExpr("'error' AS level", "'api' AS service", "'' AS source_file", "timestamp_seconds(id) AS ts", """if(id % 5 > 0, '{"stack_trace":"a.rb:1"}', '{"stack_trace":"a.rb:1 b.rb:2"}') AS body""")
+    assert sorted((r.file, r.service, r.errors, r.last_error.timestamp()) for r in cod.code_entities(rows).collect()) == [("a.rb", "api", 500, 499.0), ("b.rb", "api", 100, 495.0)]
+    assert asked.value == 13 + 2
